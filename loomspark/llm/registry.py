@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from loomspark.llm import substring
+from loomspark.llm import minhash, substring, winnow
 
-QUERIES = {"op9_substring_dedup": substring.op9_substring_dedup}
-ORACLE_SQL = {"op9_substring_dedup": substring.ORACLE}
+QUERIES = {
+    "op2_minhash_neardup": minhash.op2_minhash_neardup,
+    "op6_benchmark_decontamination": winnow.op6_benchmark_decontamination,
+    "op9_substring_dedup": substring.op9_substring_dedup,
+}
+ORACLE_SQL = {
+    "op2_minhash_neardup": minhash.ORACLE,
+    "op6_benchmark_decontamination": winnow.ORACLE,
+    "op9_substring_dedup": substring.ORACLE,
+}
