@@ -1,8 +1,9 @@
 """Connected components of documents that share buckets, with every link confirmed; no group's pairs are all made.
 
 Buckets of any size are worked through in rounds: each member is first held against one leader of its bucket,
-then what is still outside the bucket's largest component against other leaders, and only what is left after
-that against every member of another component. Members that are already connected are never compared.
+then what is still outside the bucket's largest component against other leaders. What is left after that is either
+unlinked or linked in an unusual way; it is held against all of its buckets' members, by `rest`. Members that are
+already connected are never compared.
 """
 
 from __future__ import annotations
@@ -41,40 +42,48 @@ def components(links: DataFrame) -> DataFrame:
     return ends.unionByName(links.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def bucket_pairs(verify: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """A `rest` that makes the pairs of each bucket with an end outside its largest component."""
+
+    def rest(now: DataFrame) -> DataFrame:
+        left = now.where("component != major").select("key", F.col("id").alias("x"), F.col("component").alias("cx"))
+        right = now.select("key", F.col("id").alias("y"), F.col("component").alias("cy"))
+        return verify(_pairs(left, right))
+
+    return rest
+
+
+def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    both = left.join(right, "key").where("cx != cy")
+    return common.materialize(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+
+
+def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rest: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(id, component) of the members that have links; all links between members of a common bucket count.
 
     members: key (any type) and id, each pair once. verify: takes pairs (a, b), a < b, each once, and returns those that
-    are links. Ids without any link may be missing from the result.
+    are links. rest: takes (key, id, component, major) of the buckets that still hold several components, and returns
+    the links (a, b) of members outside their bucket's major component with any member of another component. Ids
+    without any link may be missing from the result.
     """
     sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lead")).where("n > 1")
     members = common.materialize(members.join(sizes, "key"))
-    pairs = members.where("id > lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    links = common.materialize(verify(common.materialize(pairs)))
-    tested = pairs
+    pairs = common.materialize(members.where("id > lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
+    links = common.materialize(verify(pairs))
     for last in (False, True):
-        comps = components(links)
-        now = members.select("key", "id").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        now = members.select("key", "id").join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        now = common.materialize(now)
         counts = now.groupBy("key", "component").agg(F.count("*").alias("n"))
         major = counts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
         now = common.materialize(now.join(major, "key"))
-        minor = now.where("component != major")
+        if now.isEmpty():
+            break
         if last:
-            others = now
+            found = (rest or bucket_pairs(verify))(now)
         else:
-            ranked = now.where("component = major").select("key", "id", "component")
-            others = None
-            for k in range(LEADERS):
-                picked = ranked.groupBy("key").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(k))).alias("p")).select("key", "p.*")
-                others = picked if others is None else others.unionByName(picked)
-            others = others.distinct()
-        left = minor.select("key", F.col("id").alias("x"), F.col("component").alias("cx"))
-        right = others.select("key", F.col("id").alias("y"), F.col("component").alias("cy"))
-        # Of two members outside the largest component each pair is met from both sides; it is taken once.
-        pairs = left.join(right, "key").where("cx != cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        pairs = common.materialize(pairs.join(tested, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            continue
-        links = common.materialize(links.select("a", "b").unionByName(verify(pairs).select("a", "b")))
-        tested = tested.unionByName(pairs)
+            ranked = now.where("component = major")
+            picks = F.array(*(F.min_by(F.struct(F.col("id").alias("y"), F.col("component").alias("cy")), F.xxhash64("id", F.lit(k))) for k in range(LEADERS)))
+            lead = ranked.groupBy("key").agg(F.array_distinct(picks).alias("p")).select("key", F.explode("p").alias("p")).select("key", "p.*")
+            found = verify(_pairs(now.where("component != major").select("key", F.col("id").alias("x"), F.col("component").alias("cx")), lead))
+        links = common.materialize(links.select("a", "b").unionByName(found.select("a", "b")))
     return components(links)

@@ -100,6 +100,41 @@ def _set_rows(width: int):
     return run
 
 
+#: Shingles in a block of documents that are compared in one task.
+BLOCK = 1 << 20
+
+
+def _block_links(least: int, most: int):
+    """Links between the guests of a block and its holders, by counting shared shingles over postings; only links leave the task."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ids, comp, role = (table.column(c).to_numpy() for c in ("id", "component", "guest"))
+        lists = table.column("shingles").combine_chunks()
+        first, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+        size = np.diff(first)
+        rows = np.flatnonzero(~role)
+        owner = np.repeat(np.arange(len(rows)), size[rows])
+        held = np.concatenate([values[first[k] : first[k + 1]] for k in rows]) if len(rows) else np.empty(0, dtype=np.int64)
+        order = np.argsort(held, kind="stable")
+        held, owner = held[order], owner[order]
+        a, b = [], []
+        for k in np.flatnonzero(role):
+            mine = values[first[k] : first[k + 1]]
+            low, high = np.searchsorted(held, mine), np.searchsorted(held, mine, side="right")
+            n = high - low
+            at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+            shared = np.bincount(owner[at], minlength=len(rows))
+            link = (shared * most >= (size[k] + size[rows] - shared) * least) & (comp[rows] != comp[k])
+            other = ids[rows[link]]
+            a.append(np.minimum(other, ids[k]))
+            b.append(np.maximum(other, ids[k]))
+        cat = lambda x: pa.array(np.concatenate(x) if x else np.empty(0, dtype=np.int64), pa.int64())
+        return pa.table({"a": cat(a), "b": cat(b)})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """Groups of documents whose sets of `width`-word shingles have a Jaccard similarity of `similarity` or more.
 
@@ -117,16 +152,34 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = SIMILAR
     members = bands.select(F.xxhash64("band", "bucket").alias("key"), "id")
     least, most = int(round(100 * similarity)), 100
 
+    def sets_of(ids: DataFrame) -> DataFrame:
+        ids = common.materialize(ids.distinct())
+        return common.materialize(common.by_ids(docs, ids, "doc_id").mapInArrow(_set_rows(width), "id long, shingles array<long>"))
+
     def verify(pairs: DataFrame) -> DataFrame:
-        ids = common.materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-        sets = common.by_ids(docs, ids, "doc_id").mapInArrow(_set_rows(width), "id long, shingles array<long>")
-        sets = common.materialize(sets)
+        sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
         shared = F.size(F.array_intersect("sa", "sb"))
         both = both.select("a", "b", shared.alias("n"), (F.size("sa") + F.size("sb") - shared).alias("m"))
         return both.where(F.col("n") * most >= F.col("m") * least).select("a", "b")
 
-    comps = cluster.linked(members, verify).withColumnRenamed("id", "rep")
+    def rest(now: DataFrame) -> DataFrame:
+        # A region is a major component with what shares its buckets: guests, from other components, are held against
+        # all of it, block by block. Regions of any size are split into blocks of about BLOCK shingles.
+        region = now.groupBy("major", "id", "component").agg(F.max(F.col("component") != F.col("major")).alias("guest"))
+        region = region.join(sets_of(now.select(F.col("id").alias("doc_id"))), "id")
+        blocks = lambda n: F.ceil(F.coalesce(n, F.lit(0)) / BLOCK + F.lit(1e-9)).cast("int")
+        n = F.size("shingles")
+        sizes = region.groupBy("major").agg(blocks(F.sum(n)).alias("nh"), blocks(F.sum(F.when(F.col("guest"), n))).alias("ng"))
+        region = region.join(sizes, "major")
+        share = lambda k: F.pmod(F.xxhash64("id"), F.col(k)).cast("int")
+        every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+        held = region.withColumn("guest", F.lit(False)).withColumn("h", share("nh")).withColumn("g", every("ng"))
+        guests = region.where("guest").withColumn("g", share("ng")).withColumn("h", every("nh"))
+        rows = held.unionByName(guests).select("major", "g", "h", "id", "component", "guest", "shingles")
+        return rows.groupBy("major", "g", "h").applyInArrow(_block_links(least, most), "a long, b long").distinct()
+
+    comps = cluster.linked(members, verify, rest).withColumnRenamed("id", "rep")
     classes = same.join(comps, "rep", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = made.drop("bands").join(classes, ["s1", "s2", "n_shingles"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
