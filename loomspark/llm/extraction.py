@@ -5,13 +5,15 @@ model over what a node shows by itself (tag, class and id words, length, share o
 potentials say how a child's state goes with its parent's. Sum-product messages go up the tree and down again
 and leave exact marginals; a text node is content where its marginal reaches one half.
 
-Both kinds of potentials are trained on labelled pages: a bounded sample of pages with an article element,
-whose text outside unwanted parts is content. All pages are then scored in one pass over the table.
+Both kinds of potentials are trained together, by maximum likelihood, on labelled pages: a bounded sample of pages
+with an article element, whose text outside unwanted parts is content; each is shown once more with an unwanted
+part and another form of content put in. All pages are then scored in one pass over the table.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 
 from loomspark.llm import common
 
-#: Labelled pages that the model is trained on, at most.
-TRAIN_PAGES = 200
+#: Labelled pages that the model is trained on, at most, and steps of the training.
+TRAIN_PAGES, STEPS = 100, 150
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _RAW = re.compile(r"script|style|textarea|title|noscript|template|iframe|xmp")
@@ -45,7 +47,11 @@ _GOOD, _BAD = ("article", "content", "story", "post", "entry", "text", "main", "
 )
 _UNWANTED_TAGS = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "fieldset"}
 _UNWANTED_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "menu", "menubar", "form"}
-_FEATURES = 16
+_KINDS = ({""}, {"p", "blockquote", "pre"}, {"h1", "h2", "h3", "h4", "h5", "h6"}, {"ul", "ol", "li", "table", "tr", "td"}, {"a"}, {"div", "section"}, {"body", "html", "#root", "head"}, {"b", "i", "em", "strong", "span", "code"})
+_BY_TAG = {tag: (1.0, *(float(tag in kind) for kind in _KINDS)) for kind in _KINDS for tag in kind}
+_OTHER = (1.0, *(0.0 for _ in _KINDS))
+_MAIN = len(_OTHER)
+_FEATURES = _MAIN + 7
 
 
 class Page:
@@ -115,32 +121,35 @@ class Page:
         self.hidden.append("hidden" in raw or raw.get("aria-hidden") == "true" or "display:none" in raw.get("style", "").replace(" ", ""))
         return len(self.tag) - 1
 
-    def features(self) -> np.ndarray:
+    def features(self) -> list[tuple]:
         """A row per node; lengths and links of an element are those of what it holds."""
-        n = len(self.tag)
-        chars, linked, stops = np.zeros(n), np.zeros(n), np.zeros(n)
-        in_link = [False] * n
-        x = np.zeros((n, _FEATURES))
+        n, parent, tags = len(self.tag), self.parent, self.tag
+        chars, linked, stops, in_link = [0] * n, [0] * n, [0] * n, [False] * n
         for k in range(1, n):
-            tag, up = self.tag[k], self.parent[k]
-            in_link[k] = in_link[up] or tag == "a"
-            if not tag:
-                size = len(self.text[k].strip())
-                chars[k], linked[k], stops[k] = size, size * in_link[k], sum(self.text[k].count(c) for c in ".,;!?")
+            in_link[k] = in_link[parent[k]] or tags[k] == "a"
+            if not tags[k]:
+                text = self.text[k]
+                chars[k] = size = len(text.strip())
+                linked[k] = size if in_link[k] else 0
+                stops[k] = text.count(".") + text.count(",")
         for k in range(n - 1, 0, -1):
-            up = self.parent[k]
+            up = parent[k]
             chars[up] += chars[k]
             linked[up] += linked[k]
             stops[up] += stops[k]
+        rows = []
         for k in range(n):
-            tag, words = self.tag[k], self.words[k]
-            unwanted = tag in _UNWANTED_TAGS or self.role[k] in _UNWANTED_ROLES or self.hidden[k]
-            x[k] = (
-                1, tag == "", tag in ("article", "main") or self.role[k] in ("article", "main"), unwanted, tag in ("p", "blockquote", "pre"), tag in ("h1", "h2", "h3", "h4", "h5", "h6"),
-                tag in ("ul", "ol", "li"), tag == "a", tag in ("div", "section"), tag in ("body", "html", "#root"), any(w in _GOOD for w in words), any(w in _BAD for w in words),
-                np.log1p(chars[k]) / 6, linked[k] / chars[k] if chars[k] else 0, min(1.0, 10 * stops[k] / chars[k]) if chars[k] else 0, tag in ("b", "i", "em", "strong", "span", "code"),
-            )
-        return x
+            tag, words = tags[k], self.words[k]
+            main = tag in ("article", "main") or self.role[k] in ("article", "main")
+            size = chars[k] or 1
+            rows.append((
+                *_BY_TAG.get(tag, _OTHER), main, self.unwanted(k), bool(words) and any(w in _GOOD for w in words), bool(words) and any(w in _BAD for w in words),
+                min(1.0, chars[k] / 200), linked[k] / size, min(1.0, 10 * stops[k] / size),
+            ))
+        return rows
+
+    def unwanted(self, k: int) -> bool:
+        return self.tag[k] in _UNWANTED_TAGS or self.role[k] in _UNWANTED_ROLES or self.hidden[k]
 
     def labels(self) -> np.ndarray | None:
         """1 for what an article holds outside unwanted parts; none for a page without an article."""
@@ -149,101 +158,117 @@ class Page:
             up = self.parent[k]
             if self.tag[k] in ("article", "main") or self.role[k] == "main":
                 state[k], seen = 1, True
-            elif state[up] and not (self.tag[k] in _UNWANTED_TAGS or self.role[k] in _UNWANTED_ROLES or self.hidden[k] or any(w in _BAD for w in self.words[k])):
+            elif state[up] and not self.unwanted(k) and not any(w in _BAD for w in self.words[k]):
                 state[k] = 1
         return state if seen else None
 
-    def blocks(self, content: np.ndarray) -> str:
+    def blocks(self, content: list[bool]) -> str:
         """Text of the content nodes; blocks are joined by one space, inline elements by nothing."""
-        parts, last = [], None
+        parts, block = [], [0] * len(self.tag)
+        last, fresh = -1, False
         for k in range(1, len(self.tag)):
-            if self.tag[k]:
+            tag, up = self.tag[k], self.parent[k]
+            if tag:
+                block[k] = k if tag in _BLOCK else block[up]
+                fresh |= tag in _BLOCK
                 continue
             if not content[k]:
                 parts.append(" ")
                 continue
-            up = self.parent[k]
-            while up and self.tag[up] not in _BLOCK:
-                up = self.parent[up]
-            # Another block, or a break element since the last text, parts the words.
-            if up != last or any(t in _BLOCK for t in self.tag[previous + 1 : k]):
+            if fresh or block[up] != last:
                 parts.append(" ")
             parts.append(self.text[k])
-            last, previous = up, k
+            last, fresh = block[up], False
         return " ".join("".join(parts).split())
 
 
-def marginals(parent: list[int], unary: np.ndarray, pair: np.ndarray) -> np.ndarray:
-    """P(state 1) of each node by sum-product over the tree. unary: log potentials of state 1 against 0; pair[parent state, child state]: logs."""
-    n = len(parent)
-    own = np.zeros((n, 2))
-    own[:, 1] = unary
-    own = own.tolist()
-    p = np.exp(pair).tolist()
-    sent = [(1.0, 1.0)] * n
-    # Upward: children before parents. Messages are scaled, logs are summed.
-    for k in range(n - 1, 0, -1):
-        a, b = own[k]
-        top = max(a, b)
-        a, b = np.exp(a - top), np.exp(b - top)
-        zero, one = p[0][0] * a + p[0][1] * b, p[1][0] * a + p[1][1] * b
-        sent[k] = (np.log(zero), np.log(one))
-        up = own[parent[k]]
-        up[0] += sent[k][0] + top
-        up[1] += sent[k][1] + top
-    # Downward: a parent's belief without the child's own message.
-    belief = [own[0]] + [None] * (n - 1)
-    for k in range(1, n):
-        above = belief[parent[k]]
-        a, b = above[0] - sent[k][0], above[1] - sent[k][1]
-        top = max(a, b)
-        a, b = np.exp(a - top), np.exp(b - top)
-        zero, one = np.log(a * p[0][0] + b * p[1][0]), np.log(a * p[0][1] + b * p[1][1])
-        top = max(own[k][0] + zero, own[k][1] + one)
-        belief[k] = [own[k][0] + zero - top, own[k][1] + one - top]
-    out = np.array(belief)
-    out -= out.max(axis=1, keepdims=True)
-    e = np.exp(out)
-    return e[:, 1] / e.sum(axis=1)
-
-
-def train(pages: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(node weights, edge logs) from labelled pages: logistic regression of a node's state given its parent's, edges by counts."""
-    xs, ys, pairs = [], [], np.ones((2, 2))
-    for source in pages:
-        page = Page(source)
-        y = page.labels()
-        if y is None:
-            continue
-        x = page.features()
-        xs.append(x)
-        ys.append(y)
-        up = np.array(page.parent[1:], dtype=int)
-        np.add.at(pairs, (y[up], y[1:]), 1)
-    edge = np.log(pairs / pairs.sum(axis=1, keepdims=True))
+def messages(parent: list[int], unary: list[float], edge: tuple[float, float, float]) -> tuple[list[float], list[float], list[float]]:
+    """Sum-product over trees: (log odds of content of each node, of its subtree alone, its message to its parent).
+
+    Parents stand before their children; a root's parent is -1. unary: log potential of content against not; edge: log
+    potentials of (parent, child) = (0, 1), (1, 0), (1, 1) against (0, 0).
+    """
+    e01, e10, e11 = map(math.exp, edge)
+    n, exp, log = len(parent), math.exp, math.log
+    own, sent = list(unary), [0.0] * n
+    for k in range(n - 1, -1, -1):  # upward: children before parents
+        up = parent[k]
+        if up >= 0:
+            v = exp(min(max(own[k], -200.0), 200.0))
+            sent[k] = m = log((e10 + e11 * v) / (1 + e01 * v))
+            own[up] += m
+    odds = list(own)
+    for k in range(n):  # downward: what the parent believes without this child
+        up = parent[k]
+        if up >= 0:
+            v = exp(min(max(odds[up] - sent[k], -200.0), 200.0))
+            odds[k] = own[k] + log((e01 + e11 * v) / (1 + e10 * v))
+    return odds, own, sent
+
+
+#: Parts that no article wants, put into labelled pages so that the model sees them there too.
+_NOISE = (
+    '<section class="comments"><h3>Comments</h3><p>{0}</p><p>{1}</p></section>', '<div id="comments"><div class="comment"><p>{0}</p></div></div>', '<aside><p>{0}</p></aside>',
+    '<div class="ad"><p>{0}</p></div>', "<form><label>{1}</label><input><button>Go</button></form>", '<div class="share"><a href="/x">Share</a></div>', "<header><h2>{1}</h2></header>",
+    '<div class="notice">{0}</div>', '<nav class="breadcrumb"><a href="/">Home</a> {1}</nav>', "<footer><p>{0}</p></footer>", '<div class="related"><ul><li><a href="/y">{1}</a></li></ul></div>',
+)
+#: Content in other dress than most pages have.
+_CONTENT = (
+    "<ul><li>{0}</li><li>{1}</li></ul>", "<table><tr><td>{1}</td><td>{0}</td></tr></table>", "<div><p>{0}</p></div>", "<blockquote>{0}</blockquote>", "<section><h2>{1}</h2><p>{0}</p></section>",
+    "<p><a href='/z'>{1}</a> {0}</p>", "<div>{0}</div>", "<pre>{0}</pre>", "<p>{1}</p>", "<span>{1}</span>", "<ol><li><em>{0}</em></li></ol>",
+)
+
+
+def _augmented(source: str, k: int) -> str:
+    """The page with some unwanted parts and some other forms of content inside its article."""
+    text = re.sub(r"<[^>]*>", " ", source[source.find("<article") : source.find("</article")])
+    long, short = text[:300].strip() or "Text.", text[20:40].strip() or "Text"
+    at = source.find("</p>", source.find("<article"))
+    at = at + 4 if at > 0 else source.find("</article")
+    parts = [_NOISE[(k + 3 * i) % len(_NOISE)] for i in range(1 + k % 6)] + [_CONTENT[(k // 2 + 5 * i) % len(_CONTENT)] for i in range(1 + k % 4)]
+    parts = parts[k % len(parts) :] + parts[: k % len(parts)]
+    return source[:at] + "".join(x.format(long, short) for x in parts) + source[at:] if at > 0 else source
+
+
+def train(pages: list[str]) -> tuple[list[float], tuple[float, float, float]]:
+    """(node weights, edge logs) of most likelihood over labelled pages: expected features by sum-product against those seen."""
+    xs, ys, parent = [], [], []
+    for i, source in enumerate(pages):
+        for page in (Page(source), Page(_augmented(source, i))):
+            y = page.labels()
+            if y is not None:
+                base = len(parent)
+                parent += [k + base if k >= 0 else -1 for k in page.parent]
+                xs.append(np.array(page.features(), dtype=float))
+                ys.append(y)
     if not xs:  # no labelled page: an article and what it holds
-        weights = np.zeros(_FEATURES)
-        weights[[0, 2, 3, 4, 11, 13]] = -1, 6, -6, 2, -4, -3
-        return weights, np.log(np.array([[0.9, 0.1], [0.05, 0.95]]))
+        weights = dict.fromkeys(range(_FEATURES), 0.0) | {0: -1.0, _MAIN: 12.0, _MAIN + 1: -12.0, _MAIN + 3: -12.0}
+        return [weights[k] for k in range(_FEATURES)], (-4.0, -1.0, 2.0)
     x, y = np.concatenate(xs), np.concatenate(ys)
-    w = np.zeros(_FEATURES)
-    for _ in range(30):  # Newton's method with a ridge
-        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (q * (1 - q) + 1e-6)[:, None]).T @ x + np.eye(_FEATURES)
-        step = np.linalg.solve(h, x.T @ (y - q) - w)
-        w += step
-        if np.abs(step).max() < 1e-6:
-            break
-    # What a state's frequency says is in the edges already; the signs of what is unwanted stay, even if no page shows them.
-    w[3], w[11] = min(w[3], -4.0), min(w[11], -4.0)
-    return w, edge
-
-
-def extract(source: str, weights: np.ndarray, edge: np.ndarray) -> str:
+    up = np.array(parent)
+    child = np.flatnonzero(up >= 0)
+    up = up[child]
+    seen = np.array([np.sum((y[up] == a) & (y[child] == b)) for a, b in ((0, 1), (1, 0), (1, 1))], dtype=float)
+    w, first, second = np.zeros(_FEATURES + 3), np.zeros(_FEATURES + 3), np.zeros(_FEATURES + 3)
+    w[_FEATURES:] = -2, -1, 1
+    for turn in range(1, STEPS + 1):  # Adam's steps, shorter towards the end
+        odds, own, sent = map(np.array, messages(parent, (x @ w[:_FEATURES]).tolist(), tuple(w[_FEATURES:])))
+        p = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
+        a, b = np.exp(np.clip(odds[up] - sent[child], -50, 50)), np.exp(np.clip(own[child], -50, 50))
+        both = np.exp(w[_FEATURES:])[:, None] * np.stack([b, a, a * b])
+        expected = (both / (1 + both.sum(axis=0))).sum(axis=1)
+        slope = (np.concatenate([x.T @ (y - p), seen - expected]) - 0.05 * w) / len(pages)
+        first = 0.9 * first + 0.1 * slope
+        second = 0.99 * second + 0.01 * slope**2
+        w += 0.5 * (1 - turn / (STEPS + 1)) * (first / (1 - 0.9**turn)) / (np.sqrt(second / (1 - 0.99**turn)) + 1e-8)
+    return w[:_FEATURES].tolist(), tuple(w[_FEATURES:].tolist())
+
+
+def extract(source: str, weights: list[float], edge: tuple[float, float, float]) -> str:
     """The main text of a page."""
     page = Page(source)
-    p = marginals(page.parent, page.features() @ weights, edge)
-    return page.blocks(p >= 0.5)
+    unary = (np.array(page.features(), dtype=float) @ weights).tolist()
+    return page.blocks([v >= 0 for v in messages(page.parent, unary, edge)[0]])
 
 
 def main_text(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from loomspark.llm import credentials, minhash, packing, substring, winnow
+from loomspark.llm import credentials, extraction, minhash, packing, quality, substring, winnow
 
 QUERIES = {
     "op1_secret_scans": credentials.op1_secret_scans,
     "op2_minhash_neardup": minhash.op2_minhash_neardup,
+    "op5_quality_classifier": quality.op5_quality_classifier,
     "op6_benchmark_decontamination": winnow.op6_benchmark_decontamination,
+    "op8_html_extraction": extraction.op8_html_extraction,
     "op9_substring_dedup": substring.op9_substring_dedup,
     "op10_packing": packing.op10_packing,
 }
