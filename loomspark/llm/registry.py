@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from loomspark.llm import credentials, extraction, minhash, packing, quality, substring, winnow
+from loomspark.llm import credentials, extraction, licenses, minhash, neighbours, packing, quality, substring, winnow
 
 QUERIES = {
     "op1_secret_scans": credentials.op1_secret_scans,
     "op2_minhash_neardup": minhash.op2_minhash_neardup,
+    "op3_license_scans": licenses.op3_license_scans,
+    "op4_nearest_neighbours": neighbours.op4_nearest_neighbours,
     "op5_quality_classifier": quality.op5_quality_classifier,
     "op6_benchmark_decontamination": winnow.op6_benchmark_decontamination,
     "op8_html_extraction": extraction.op8_html_extraction,
