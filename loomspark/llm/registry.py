@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomspark.llm import credentials, extraction, licenses, minhash, neighbours, packing, quality, substring, winnow
+from loomspark.llm import credentials, extraction, licenses, lines, minhash, neighbours, packing, quality, substring, winnow
 
 QUERIES = {
     "op1_secret_scans": credentials.op1_secret_scans,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_nearest_neighbours": neighbours.op4_nearest_neighbours,
     "op5_quality_classifier": quality.op5_quality_classifier,
     "op6_benchmark_decontamination": winnow.op6_benchmark_decontamination,
+    "op7_line_dedup": lines.op7_line_dedup,
     "op8_html_extraction": extraction.op8_html_extraction,
     "op9_substring_dedup": substring.op9_substring_dedup,
     "op10_packing": packing.op10_packing,
