@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm import common
@@ -42,15 +44,33 @@ def components(links: DataFrame) -> DataFrame:
     return ends.unionByName(links.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def bucket_pairs(verify: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
-    """A `rest` that makes the pairs of each bucket with an end outside its largest component."""
+def blockwise(now: DataFrame, by: str, payload: DataFrame, weight: Column, block: int, links_of: Callable[[pa.Table], pa.Table], group_rows: int) -> DataFrame:
+    """Links (a, b) of members outside their bucket's major component with any other of the same `by`, found inside tasks.
 
-    def rest(now: DataFrame) -> DataFrame:
-        left = now.where("component != major").select("key", F.col("id").alias("x"), F.col("component").alias("cx"))
-        right = now.select("key", F.col("id").alias("y"), F.col("component").alias("cy"))
-        return verify(_pairs(left, right))
-
-    return rest
+    now: key, id, component, major; by: one of its columns; payload: id and what links_of needs. The members of one `by` are
+    dealt into blocks of about `block` of the summed weight, guests (members outside the major component) go to every block
+    of it; small ones share a task, about `group_rows` rows at a time. links_of takes the rows of one block (id, component,
+    guest and the payload) and returns the links of its guests: only those leave the task, not the pairs.
+    """
+    region = now.groupBy(by, "id", "component").agg(F.max(F.col("component") != F.col("major")).alias("guest")).join(payload, "id")
+    blocks = lambda n: F.greatest(F.ceil(F.coalesce(n, F.lit(0)) / block), F.lit(1)).cast("int")
+    sizes = region.groupBy(by).agg(blocks(F.sum(weight)).alias("nh"), blocks(F.sum(F.when(F.col("guest"), weight))).alias("ng"))
+    region = region.join(sizes, by)
+    share = lambda k: F.pmod(F.xxhash64("id"), F.col(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    held = region.withColumn("guest", F.lit(False)).withColumn("h", share("nh")).withColumn("g", every("ng"))
+    guests = region.where("guest").withColumn("g", share("ng")).withColumn("h", every("nh"))
+    groups = max(1, now.count() // group_rows)
+    rows = held.unionByName(guests).drop("nh", "ng").withColumnRenamed(by, "region").withColumn("at", F.pmod(F.xxhash64("region"), F.lit(groups)))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("region")
+        keys = table.column("region").to_numpy()
+        edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        found = [links_of(table.slice(x, y - x)) for x, y in zip(edges, edges[1:])]
+        return pa.concat_tables(found)
+
+    return rows.groupBy("at", "g", "h").applyInArrow(run, "a long, b long").distinct()
 
 
 def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -58,7 +78,7 @@ def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     return common.materialize(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
 
 
-def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rest: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rest: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(id, component) of the members that have links; all links between members of a common bucket count.
 
     members: key (any type) and id, each pair once. verify: takes pairs (a, b), a < b, each once, and returns those that
@@ -79,7 +99,7 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rest: C
         if now.isEmpty():
             break
         if last:
-            found = (rest or bucket_pairs(verify))(now)
+            found = rest(now)
         else:
             ranked = now.where("component = major")
             picks = F.array(*(F.min_by(F.struct(F.col("id").alias("y"), F.col("component").alias("cy")), F.xxhash64("id", F.lit(k))) for k in range(LEADERS)))

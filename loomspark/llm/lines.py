@@ -139,11 +139,15 @@ def _key_rows(edits: int, chars: int):
 
 
 def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chosen lines of each text; a batch has the text and (line number, id) of the lines."""
     for batch in batches:
-        for _, lines in _batches(batch):
-            _, one = np.unique(lines.ids, return_index=True)
-            one = one[~lines.blank[one]]
-            yield pa.RecordBatch.from_arrays([pa.array(common.signed(lines.ids[one])), pa.array([lines.text(k) for k in one.tolist()], pa.string())], ["id", "line"])
+        ids, out = [], []
+        for text, chosen in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            parts = text.split("\n")
+            for at in chosen:
+                ids.append(at["id"])
+                out.append(parts[at["line_no"]])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], ["id", "line"])
 
 
 def _near_rows(edits: int):
@@ -155,6 +159,31 @@ def _near_rows(edits: int):
     return run
 
 
+def _block_links(edits: int):
+    """Links between the guests of a block and its other lines of nearly the same length."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, comps, guest, texts = (table.column(c).to_pylist() for c in ("id", "component", "guest", "line"))
+        by: dict[int, list[int]] = {}
+        for k, text in enumerate(texts):
+            if not guest[k]:
+                by.setdefault(len(text), []).append(k)
+        a, b = [], []
+        for k in (k for k, g in enumerate(guest) if g):
+            for size in range(len(texts[k]) - edits, len(texts[k]) + edits + 1):
+                for x in by.get(size, ()):
+                    if comps[x] != comps[k] and within(texts[k], texts[x], edits):
+                        a.append(min(ids[k], ids[x]))
+                        b.append(max(ids[k], ids[x]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+#: Lines of a bucket that are compared in one task.
+BLOCK = 2048
+
+
 def line_classes(docs: DataFrame, edits: int = EDITS, chars: int = CHARS) -> DataFrame:
     """Classes of equal and near-equal lines.
 
@@ -170,15 +199,20 @@ def line_classes(docs: DataFrame, edits: int = EDITS, chars: int = CHARS) -> Dat
     shared = common.materialize(shared.where("low < high and indexed").select("key"))
     members = common.materialize(common.by_ids(keys, shared, "key").select("key", "id").distinct())
 
+    wanted = lines.join(members.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
+    wanted = common.materialize(wanted.groupBy("at.doc_id").agg(F.collect_list(F.struct("at.line_no", "id")).alias("chosen")))
+    texts = common.by_ids(docs, wanted.select("doc_id"), "doc_id").join(wanted, "doc_id").select("text", "chosen").mapInArrow(_text_rows, "id long, line string")
+    texts = common.materialize(texts.dropDuplicates(["id"]))
+
     def verify(pairs: DataFrame) -> DataFrame:
-        ids = common.materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-        texts = common.by_ids(docs.mapInArrow(_text_rows, "id long, line string"), ids, "id").groupBy("id").agg(F.first("line").alias("line"))
-        texts = common.materialize(texts)
         both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
         both = both.where(F.abs(F.length("x") - F.length("y")) <= edits)
         return both.select("a", "b", "x", "y").mapInArrow(_near_rows(edits), "a long, b long")
 
-    comps = cluster.linked(members, verify)
+    def rest(now: DataFrame) -> DataFrame:
+        return cluster.blockwise(now, "key", texts, F.lit(1), BLOCK, _block_links(edits), 2000)
+
+    comps = cluster.linked(members, verify, rest)
     whole = lines.where("not blank")
     first = whole.groupBy("id", "id2").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
     first = first.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))

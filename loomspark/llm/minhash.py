@@ -108,10 +108,9 @@ def _block_links(least: int, most: int):
     """Links between the guests of a block and its holders, by counting shared shingles over postings; only links leave the task."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
         ids, comp, role = (table.column(c).to_numpy() for c in ("id", "component", "guest"))
         lists = table.column("shingles").combine_chunks()
-        first, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+        first, values = lists.offsets.to_numpy(), lists.values.to_numpy()  # offsets are those of the slice
         size = np.diff(first)
         rows = np.flatnonzero(~role)
         owner = np.repeat(np.arange(len(rows)), size[rows])
@@ -164,20 +163,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = SIMILAR
         return both.where(F.col("n") * most >= F.col("m") * least).select("a", "b")
 
     def rest(now: DataFrame) -> DataFrame:
-        # A region is a major component with what shares its buckets: guests, from other components, are held against
-        # all of it, block by block. Regions of any size are split into blocks of about BLOCK shingles.
-        region = now.groupBy("major", "id", "component").agg(F.max(F.col("component") != F.col("major")).alias("guest"))
-        region = region.join(sets_of(now.select(F.col("id").alias("doc_id"))), "id")
-        blocks = lambda n: F.ceil(F.coalesce(n, F.lit(0)) / BLOCK + F.lit(1e-9)).cast("int")
-        n = F.size("shingles")
-        sizes = region.groupBy("major").agg(blocks(F.sum(n)).alias("nh"), blocks(F.sum(F.when(F.col("guest"), n))).alias("ng"))
-        region = region.join(sizes, "major")
-        share = lambda k: F.pmod(F.xxhash64("id"), F.col(k)).cast("int")
-        every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-        held = region.withColumn("guest", F.lit(False)).withColumn("h", share("nh")).withColumn("g", every("ng"))
-        guests = region.where("guest").withColumn("g", share("ng")).withColumn("h", every("nh"))
-        rows = held.unionByName(guests).select("major", "g", "h", "id", "component", "guest", "shingles")
-        return rows.groupBy("major", "g", "h").applyInArrow(_block_links(least, most), "a long, b long").distinct()
+        # A region is a major component with what shares its buckets.
+        sets = sets_of(now.select(F.col("id").alias("doc_id")))
+        return cluster.blockwise(now, "major", sets, F.size("shingles"), BLOCK, _block_links(least, most), 2000)
 
     comps = cluster.linked(members, verify, rest).withColumnRenamed("id", "rep")
     classes = same.join(comps, "rep", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
