@@ -42,7 +42,7 @@ def endpoints(specs: DataFrame) -> DataFrame:
     df = df.withColumn("op", F.from_json("json", _OPERATION))
     tags = F.when(F.size(F.coalesce("op.tags", F.array().cast("array<string>"))) > 0, F.col("op.tags")).otherwise(F.array(F.lit("General")))
     slug = F.when(F.coalesce("op.operationId", F.lit("")) != "", text.slug("op.operationId")).otherwise(text.slug(F.concat("method", F.lit("-"), text.path_slug("path"))))
-    return df.select("spec_id", F.explode(F.transform(tags, F.trim)).alias("tag"), "path", "method", "path_no", "method_no", slug.alias("slug"), F.coalesce("op.summary", F.lit("")).alias("summary"), "op", "shared", F.coalesce("spec.parameters", "spec.components.parameters").alias("known"))
+    return df.select("spec_id", F.explode(F.transform(tags, lambda t: F.trim(t))).alias("tag"), "path", "method", "path_no", "method_no", slug.alias("slug"), F.coalesce("op.summary", F.lit("")).alias("summary"), "op", "shared", F.coalesce("spec.parameters", "spec.components.parameters").alias("known"))
 
 
 def type_name(schema: Column) -> Column:

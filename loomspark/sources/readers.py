@@ -69,7 +69,7 @@ def repository(spark: SparkSession, path: str, max_files: int = 100, sub_path: s
     content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     df = content.join(F.broadcast(chosen), "path")  # at most max_files names
     name = F.col("name")
-    return _shaped(df.select(F.lit(text_slug(path)).alias("source_id"), F.lit("git").alias("source_type"), F.col("path").alias("url"), classify.repo_section(name).alias("section"), name.rlike(r"(?i)^readme\.mdx?$").alias("is_root"), F.decode("content", F.lit("UTF-8")).alias("markdown"), text.title_from_path(name).alias("title")))
+    return _shaped(df.select(F.lit(text_slug(path)).alias("source_id"), F.lit("git").alias("source_type"), F.col("path").alias("url"), classify.repo_section(name).alias("section"), name.rlike(r"(?i)^readme\.mdx?$").alias("is_root"), F.decode("content", "UTF-8").alias("markdown"), text.title_from_path(name).alias("title")))
 
 
 def text_slug(path: str) -> str:
