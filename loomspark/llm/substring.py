@@ -107,23 +107,28 @@ def _kept_rows(window: int, texts: bool):
 def substring_dedup(docs: DataFrame, window: int = 50, texts: bool = False) -> DataFrame:
     """Removes each word covered by a `window`-word run that also starts in a document with a smaller doc_id.
 
-    docs: doc_id (not null, unique) and text; other columns are ignored, so their names cannot clash. A null or
-    empty text has no words. Rows that repeat a doc_id count as one document of that id each and are judged
+    docs: doc_id (unique; one without id keeps all words) and text; other columns are ignored, so their names cannot clash. A
+    null or empty text has no words. Rows that repeat a doc_id count as one document of that id each and are judged
     alike. Result, a row for each row of docs: doc_id, n_words, n_removed, kept_sha256 and, with texts, kept
     (the words that stay, joined by one space).
     """
     docs = common.spread(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    first = docs.select("doc_id", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"), F.length("text").alias("c"))
+    keyed = docs.where("doc_id is not null")
+    first = keyed.select("doc_id", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"), F.length("text").alias("c"))
     first = common.materialize(first)
     rep = first.groupBy("a", "b", "c").agg(F.min("doc_id").alias("rep"))
     copies = common.materialize(first.join(rep, ["a", "b", "c"]).where("doc_id > rep").select("doc_id").distinct())
-    single = common.by_ids(docs, copies, "doc_id", "left_anti")
+    single = common.by_ids(keyed, copies, "doc_id", "left_anti")
 
     anchors = single.mapInArrow(_anchor_rows(window), "h long, doc_id long, pos int")
+    # Hashes that documents share are written first: what is joined with them is then a plain shuffle, which is split where
+    # a hash is very common, after an aggregation that combines within tasks.
     shared = anchors.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h")
+    shared = common.materialize(shared)
     near = common.materialize(anchors.join(shared, "h", "left_semi").groupBy("doc_id").agg(F.collect_list("pos").alias("at")))
-    windows = common.by_ids(docs, near.select("doc_id"), "doc_id").join(near, "doc_id").select("doc_id", "text", "at").mapInArrow(_window_rows(window), "h1 long, h2 long, doc_id long, pos int")
-    least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"))
+    windows = common.by_ids(keyed, near.select("doc_id"), "doc_id").join(near, "doc_id").select("doc_id", "text", "at").mapInArrow(_window_rows(window), "h1 long, h2 long, doc_id long, pos int")
+    least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
+    least = common.materialize(least)
     hit = windows.join(least, ["h1", "h2"]).where("doc_id > low").groupBy("doc_id").agg(F.collect_set("pos").alias("at"))
     hit = common.materialize(hit)
 
