@@ -79,13 +79,13 @@ class _Lines:
         return self.codes[self.start[k] : self.start[k] + self.length[k]].tobytes().decode("utf-32-le", "surrogatepass")
 
 
-def _batches(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, _Lines]]:
+def _batches(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, _Lines]]:
     """(ids of documents, lines) of runs of rows of about CHUNK_BYTES characters."""
-    ids, texts, low, size = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist(), 0, 0
+    ids, texts, low, size = batch.column(0), batch.column(1).to_pylist(), 0, 0
     for k, text in enumerate(texts):
         size += len(text)
         if size >= common.CHUNK_BYTES or k == len(texts) - 1:
-            yield ids[low : k + 1], _Lines(texts[low : k + 1])
+            yield ids.slice(low, k + 1 - low), _Lines(texts[low : k + 1])
             low, size = k + 1, 0
 
 
@@ -93,8 +93,8 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for ids, lines in _batches(batch):
             second = common.mix(lines.ids ^ common.mix(lines.length.astype(np.uint64), 5), 6)
-            cols = [ids[lines.owner], lines.number.astype(np.int32), common.signed(lines.ids), common.signed(second), lines.length.astype(np.int32), lines.blank]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["doc_id", "line_no", "id", "id2", "n_chars", "blank"])
+            cols = [lines.number.astype(np.int32), common.signed(lines.ids), common.signed(second), lines.length.astype(np.int32), lines.blank]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(lines.owner)), *(pa.array(c) for c in cols)], ["doc_id", "line_no", "id", "id2", "n_chars", "blank"])
 
 
 def segments(length: np.ndarray, parts: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -187,19 +187,20 @@ BLOCK = 2048
 def line_classes(docs: DataFrame, edits: int = EDITS, chars: int = CHARS) -> DataFrame:
     """Classes of equal and near-equal lines.
 
-    docs: doc_id (unique) and text; other columns are ignored. Lines end at a line feed. Lines of at least `chars` code
+    docs: doc_id (unique; a null one comes first) and text; other columns are ignored. Lines end at a line feed. Lines of at least `chars` code
     points within `edits` edits of each other are linked; shorter ones only if equal. Blank lines and null texts (one
     empty line) are in no class but their own, and stay. Result, a row per line: doc_id, line_no (from 0), n_chars,
     class_doc_id and class_line_no (the first line, by doc_id and line_no, that links lead to), kept (whether it is that).
     """
     docs = common.spread(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     lines = common.materialize(docs.mapInArrow(_line_rows, "doc_id long, line_no int, id long, id2 long, n_chars int, blank boolean"))
-    keys = docs.mapInArrow(_key_rows(edits, chars), "key long, id long, indexed boolean")
+    # A line that only a document without id has is compared as a whole only.
+    keys = docs.where("doc_id is not null").mapInArrow(_key_rows(edits, chars), "key long, id long, indexed boolean")
     shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("indexed").alias("indexed"))
     shared = common.materialize(shared.where("low < high and indexed").select("key"))
     members = common.materialize(common.by_ids(keys, shared, "key").select("key", "id").distinct())
 
-    wanted = lines.join(members.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
+    wanted = lines.where("doc_id is not null").join(members.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
     wanted = common.materialize(wanted.groupBy("at.doc_id").agg(F.collect_list(F.struct("at.line_no", "id")).alias("chosen")))
     texts = common.by_ids(docs, wanted.select("doc_id"), "doc_id").join(wanted, "doc_id").select("text", "chosen").mapInArrow(_text_rows, "id long, line string")
     texts = common.materialize(texts.dropDuplicates(["id"]))
@@ -223,7 +224,7 @@ def line_classes(docs: DataFrame, edits: int = EDITS, chars: int = CHARS) -> Dat
     classes = small.join(grouped, "component", "left").select("id", "id2", F.coalesce("least", "at").alias("at"))
     out = whole.join(classes, ["id", "id2"]).select("doc_id", "line_no", "n_chars", "at")
     out = out.unionByName(lines.where("blank").select("doc_id", "line_no", "n_chars", F.struct("doc_id", "line_no").alias("at")))
-    return out.select("doc_id", "line_no", "n_chars", F.col("at.doc_id").alias("class_doc_id"), F.col("at.line_no").alias("class_line_no"), (F.col("at") == F.struct("doc_id", "line_no")).alias("kept"))
+    return out.select("doc_id", "line_no", "n_chars", F.col("at.doc_id").alias("class_doc_id"), F.col("at.line_no").alias("class_line_no"), F.col("at").eqNullSafe(F.struct("doc_id", "line_no")).alias("kept"))
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:

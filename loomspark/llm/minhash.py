@@ -137,7 +137,7 @@ def _block_links(least: int, most: int):
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """Groups of documents whose sets of `width`-word shingles have a Jaccard similarity of `similarity` or more.
 
-    docs: doc_id (unique) and text; other columns are ignored. Words are runs of other than ASCII white space, A-Z
+    docs: doc_id (unique; one without id is only compared as a whole set) and text; other columns are ignored. Words are runs of other than ASCII white space, A-Z
     lower-cased; a text of fewer than `width` words, but not none, is one shingle. A null, empty or blank text has no
     shingle and no link. Result, a row per document: doc_id, n_shingles, component_id (the smallest doc_id that links
     lead to), kept (whether it is that one). Equal sets are one class from the start; only its smallest id is compared.
@@ -146,7 +146,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = SIMILAR
     made = common.materialize(docs.mapInArrow(_sketch_rows(width), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"))
     full = made.where("n_shingles > 0")
     same = common.materialize(full.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep")))
-    reps = same.select(F.col("rep").alias("doc_id"))
+    reps = same.where("rep is not null").select(F.col("rep").alias("doc_id"))
     bands = full.select("doc_id", "bands").join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "bucket"))
     members = bands.select(F.xxhash64("band", "bucket").alias("key"), "id")
     least, most = int(round(100 * similarity)), 100
@@ -169,8 +169,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = SIMILAR
 
     comps = cluster.linked(members, verify, rest).withColumnRenamed("id", "rep")
     classes = same.join(comps, "rep", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    out = made.drop("bands").join(classes, ["s1", "s2", "n_shingles"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    # Equal sets are one class: with a hot one the join is split by its size, as any skewed join.
+    out = made.drop("bands").join(common.materialize(classes), ["s1", "s2", "n_shingles"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op2_minhash_neardup(spark, sf_dir: str) -> DataFrame:

@@ -90,7 +90,7 @@ def windows(df: DataFrame, key: str, size: int, positions: bool) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Finds the windows of ten words of `benchmark` items in documents.
 
-    docs: doc_id (unique) and text; benchmark: item_id (unique) and text; other columns are ignored. Words are runs of
+    docs: doc_id (unique; one without id is never hit) and text; benchmark: item_id (unique) and text; other columns are ignored. Words are runs of
     digits, letters and non-ASCII characters, A-Z lower-cased. An item of fewer than ten words, but not none, is one
     window of that length. Null and empty texts have no words. Result, a row per document: doc_id, n_words, n_hit (words
     inside any occurrence of a window), n_items, items_sha256 (of the item ids, sorted as strings, comma-joined),

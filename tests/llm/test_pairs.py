@@ -217,3 +217,15 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.near_duplicates(none).count() == substring.substring_dedup(none).count() == lines.line_classes(none).count() == packing.pack(none).count() == 0
     assert winnow.decontaminate(none, spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
+def test_null_ids_and_repeated_rows(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    df = spark.createDataFrame([(None, text), (1, text), (2, text + " end"), (2, text + " end"), (None, None)], "doc_id long, text string")
+    near = {(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()}
+    assert near == {(None, 1, False), (1, 1, True), (2, 1, False), (None, None, True)}
+    cut = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in substring.substring_dedup(df).collect())
+    assert cut == [(0, 0, 0), (0, 80, 0), (1, 80, 0), (2, 81, 80), (2, 81, 80)]
+    assert lines.line_classes(df).count() == 5 and packing.pack(df).count() == 5
+    bench = spark.createDataFrame([(5, text)], "item_id long, text string")
+    assert sorted((r.doc_id or 0, r.n_hit) for r in winnow.decontaminate(df, bench).collect()) == [(0, 0), (0, 0), (1, 80), (2, 80), (2, 80)]
