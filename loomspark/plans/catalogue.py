@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomspark.functions import classify, text, url
-from loomspark.operators import attest, bundle, documents, graph, openapi, sections, trust, validate
+from loomspark.operators import attest, bundle, computations, documents, graph, openapi, sections, trust, validate
+from loomspark.parsing import markdown, pages
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -441,6 +442,85 @@ def crawl_bfs(spark, sf_dir):
     return graph.crawl(_edges(spark, sf_dir), seeds, pages.select(F.col("page_id").alias("url")), 20)
 
 
+# ---------------------------------------------------------------- parsing inside Arrow batches
+
+
+@_query()
+def html_to_markdown(spark, sf_dir):
+    return _over_cores(_read(spark, sf_dir, "pages")).select("page_id", markdown.markdown_of(F.col("html")).alias("markdown"))
+
+
+@_query(f"SELECT page_id, {_TITLE} AS title, {_SECTION} AS section, 'Documentation Team' AS author, '{TODAY}' AS last_modified, 1 AS n_headings, 0 AS n_blocks FROM pages")
+def parse_html_struct(spark, sf_dir):
+    df = _over_cores(_read(spark, sf_dir, "pages")).select("page_id", pages.page_of(F.col("html"), F.col("url"), TODAY).alias("p"))
+    return df.select("page_id", "p.title", "p.section", "p.author", "p.last_modified", F.size("p.headings").alias("n_headings"), F.size("p.code_blocks").alias("n_blocks"))
+
+
+@_query()
+def page_main_text(spark, sf_dir):
+    df = _over_cores(_read(spark, sf_dir, "pages")).select("page_id", pages.page_of(F.col("html"), F.col("url"), TODAY).alias("p"))
+    return df.select("page_id", "p.main_text", F.length("p.main_text").alias("n_chars"))
+
+
+@_query("""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS href FROM pages) SELECT DISTINCT page_id, href, 'sidebar' AS context, 8 AS priority FROM l""")
+def page_link_candidates(spark, sf_dir):
+    df = _over_cores(_read(spark, sf_dir, "pages")).select("page_id", F.explode(pages.links_of(F.col("html"), F.col("url"))).alias("l"))
+    return df.select("page_id", "l.href", "l.context", "l.priority")
+
+
+def _fenced(spark, sf_dir):
+    """Documents with front matter and two fenced blocks around their first line."""
+    line = F.regexp_replace(F.substring_index("text", "\n", 1), "[`~]", "")
+    md = F.concat(F.lit("---\ndoc: "), F.col("doc_id").cast("string"), F.lit("\n---\n# T\n\n```text\n"), line, F.lit("\n```\n\n~~~sql\nselect "), F.col("doc_id").cast("string"), F.lit(" as x\n~~~\n"))
+    return _over_cores(_read(spark, sf_dir, "documents").where("text is not null")).select("doc_id", md.alias("md"))
+
+
+_FIRST_LINE = "trim(regexp_replace(string_split(text, chr(10))[1], '[`~]', '', 'g'), ' ' || chr(9) || chr(13))"
+
+
+@_query(f"SELECT doc_id, CASE WHEN length({_FIRST_LINE}) > 10 THEN 2 ELSE 1 END AS n_blocks, 'select ' || doc_id || ' as x' AS last_code FROM documents WHERE text IS NOT NULL")
+def md_code_blocks(spark, sf_dir):
+    df = _fenced(spark, sf_dir).select("doc_id", markdown.code_blocks_of(F.col("md")).alias("b"))
+    return df.select("doc_id", F.size("b").alias("n_blocks"), F.element_at("b", -1)["code"].alias("last_code"))
+
+
+@_query("SELECT doc_id, '{\"doc\": ' || doc_id || '}' AS \"values\", '# T' AS first_line FROM documents WHERE text IS NOT NULL")
+def md_frontmatter(spark, sf_dir):
+    df = _fenced(spark, sf_dir).select("doc_id", markdown.front_matter_of(F.col("md")).alias("f"))
+    return df.select("doc_id", F.col("f.values"), F.substring_index("f.body", "\n", 1).alias("first_line"))
+
+
+@_query("SELECT doc_id, CAST(CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END AS INTEGER) AS block_no, 'select ' || doc_id AS code FROM documents WHERE doc_id % 3 <> 2")
+def first_sql_block(spark, sf_dir):
+    block = lambda language, code: F.struct(F.lit(language).alias("language"), code.alias("code"))
+    d = F.col("doc_id").cast("string")
+    blocks = F.when(F.col("doc_id") % 3 == 0, F.array(block("sql", F.concat(F.lit("select "), d)), block("sql", F.lit("select 0")))).when(F.col("doc_id") % 3 == 1, F.array(block("bash", F.lit("ls")), block("sql", F.concat(F.lit("select "), d)))).otherwise(F.array(block("text", d)))
+    return computations.first_sql_block(_read(spark, sf_dir, "documents").select("doc_id", blocks.alias("blocks")), "doc_id")
+
+
+@_query(f"""SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/openapi.json' AS url FROM pages WHERE page_id % 2 = 0 AND regexp_extract(url, '^(https?://[^/?#]+)', 1) IN (SELECT {_ORIGIN} FROM pages WHERE page_id % 5 = 0)""")
+def spec_discovery(spark, sf_dir):
+    """Every second page speaks of a specification; sites of every fifth page have one."""
+    table = _read(spark, sf_dir, "pages")
+    speaks = table.select("page_id", "url", F.when(F.col("page_id") % 2 == 0, "see our openapi pages").otherwise("").alias("html"))
+    corpus = table.where("page_id % 5 = 0").select(F.concat(url.origin(F.col("url")), F.lit("/openapi.json")).alias("url"), F.lit("{}").alias("json")).distinct()
+    return computations.discover_specs(speaks, corpus).select("page_id", "url")
+
+
+@_query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'url' WHEN 1 THEN 'bundle' WHEN 2 THEN 'relative' ELSE 'scope' END AS kind, CASE doc_id % 4 WHEN 0 THEN 'human' WHEN 1 THEN 'process' WHEN 2 THEN 'producer' ELSE 'unknown' END AS actor FROM documents")
+def field_kinds(spark, sf_dir):
+    k, d = F.col("doc_id") % 4, F.col("doc_id").cast("string")
+    value = F.when(k == 0, F.concat(F.lit("https://x.example/"), d)).when(k == 1, F.concat(F.lit("/a/"), d, F.lit(".md"))).when(k == 2, F.concat(F.lit("./"), d, F.lit(".md"))).otherwise(F.concat(F.lit("scope"), d))
+    actor = F.when(k == 0, F.concat(F.lit("human:"), d)).when(k == 1, F.concat(F.lit("process:"), d)).when(k == 2, F.concat(F.lit("acme/"), d)).otherwise(d)
+    return _read(spark, sf_dir, "documents").select("doc_id", classify.resource_kind(value).alias("kind"), classify.actor_kind(actor).alias("actor"))
+
+
+@_query("SELECT user_id, max(ts) AS verified_at, arg_max(event_type, event_id) FILTER (WHERE true) AS last_type FROM events GROUP BY user_id")
+def latest_verification(spark, sf_dir):
+    """The latest of a concept's verifications; here each user's events, and the type of the one of the highest id."""
+    return _read(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("verified_at"), F.max_by("event_type", "event_id").alias("last_type"))
+
+
 # ---------------------------------------------------------------- API specifications
 
 
