@@ -274,12 +274,15 @@ def extract(source: str, weights: list[float], edge: tuple[float, float, float])
 def main_text(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> DataFrame:
     """The main text of every page, by the model trained on up to `train_pages` of them.
 
-    pages: page_id, url, html; other columns are ignored. Null html is empty; an empty page has the text ''. Result, a
+    pages: page_id, url, html; other columns are ignored. Pages without id are extracted, but not learned from. Null html is empty; an empty page has the text ''. Result, a
     row for each row of pages: page_id, url, text, n_chars (code points).
     """
     pages = common.spread(pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")))
-    labelled = pages.where(F.col("html").rlike("(?i)<(article|main)[ >]")).select("html", F.xxhash64("page_id").alias("o"))
-    weights, edge = train([r.html for r in labelled.orderBy("o", "html").limit(train_pages).collect()])
+    labelled = pages.where(F.col("html").rlike("(?i)<(article|main)[ >]"))
+    # The narrow columns are ranked, then the few pages are fetched: tasks never send whole pages to be thrown away.
+    chosen = common.materialize(labelled.select("page_id", F.xxhash64("page_id").alias("o")).orderBy("o", "page_id").limit(train_pages).select("page_id").distinct())
+    sample = labelled.join(F.broadcast(chosen), "page_id", "left_semi").limit(train_pages).select("page_id", "html").collect()
+    weights, edge = train([r.html for r in sorted(sample, key=lambda r: (r.page_id, r.html))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
