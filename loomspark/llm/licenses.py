@@ -1,8 +1,8 @@
 """License scans, in DataFrame functions only.
 
-Documents that hold none of a template's marking words cannot hold four fifths of its shingles: the words are
-chosen so that the shingles without any of them are too few. The others are cut into overlapping text windows, one
-size for each class of template lengths. MinHash bands over a window's shingles retrieve templates of that class,
+Text that holds none of a template's marking words cannot hold four fifths of its shingles: the words are chosen so
+that the shingles without any of them are too few. The other documents are cut into overlapping text windows, one
+size for each class of template lengths, and those with a marking word stay. MinHash bands over a window's shingles retrieve templates of that class,
 and exact containment of a template's shingles in the window verifies them.
 
 Each band is one coordinate. A window holds a matching text of n shingles whole, and has WINDOW times as many, so
@@ -89,6 +89,8 @@ def scan_licenses(docs: DataFrame, templates: DataFrame) -> DataFrame:
     marks = marking_words(texts)
     # Marking words are matched as parts of the text, whatever stands around them: more pass than need be.
     near = docs.where(F.coalesce(F.col("text"), F.lit("")).rlike("(?i)" + "|".join(sorted(marks)))).select("doc_id", winnow.words_of(F.col("text")).alias("words"))
+    marked = F.transform("words", lambda w, i: F.when(w.isin(*sorted(marks)), i + 1))
+    near = near.withColumn("marked", F.filter(marked, lambda i: i.isNotNull())).where(F.size("marked") > 0)
     near = common.materialize(near.withColumn("shingles", _shingles("words")))
     # Classes of template lengths, each half as long again as the one before: a window of a class holds its templates whole.
     sizes, size = [], SHINGLE
@@ -104,6 +106,8 @@ def scan_licenses(docs: DataFrame, templates: DataFrame) -> DataFrame:
         width = max(1, int(WINDOW * (high - SHINGLE + 1)))
         stride = max(1, width - (high - SHINGLE + 1))
         at = F.sequence(F.lit(1), F.greatest(F.size("shingles") - width + stride, F.lit(1)), F.lit(stride))
+        # What holds for the text holds for a window: one without a marking word has too few of any template's shingles.
+        at = F.filter(at, lambda i: F.exists("marked", lambda m: (m >= i) & (m < i + width + SHINGLE - 1)))  # noqa: B023
         windows = near.where(F.size("words") > 0).select("doc_id", F.explode(F.transform(at, lambda i: F.struct((i - 1).alias("at"), F.array_distinct(F.slice("shingles", i, width)).alias("held")))).alias("w")).select("doc_id", "w.at", "w.held")
         keys = windows.select("doc_id", "at", "held", F.posexplode_outer(_bands("held")).alias("band", "key"))
         marks_of = mine.select("template_id", "license", "shingles", F.posexplode_outer(_bands("shingles")).alias("band", "key"))
