@@ -28,8 +28,10 @@ from loomspark.llm import common
 TRAIN_PAGES, STEPS = 100, 150
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_RAW = re.compile(r"script|style|textarea|title|noscript|template|iframe|xmp")
+_RAW = re.compile(r"script|style|textarea|title|noscript|noframes|template|iframe|xmp")
 _SILENT = {"script", "style", "noscript", "template", "iframe", "textarea", "select", "option", "object", "svg", "math", "canvas", "audio", "video", "head", "title", "xmp"}
+#: Start tags that leave an open head open; any other one ends it, and so does text.
+_IN_HEAD = {"html", "base", "basefont", "bgsound", "link", "meta", "title", "style", "script", "noscript", "noframes", "template"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCK = {
     "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer",
@@ -66,6 +68,8 @@ class Page:
             start = m.start() if m else n
             if m and m[0] == "<":  # a lone sign is text
                 start = m.end()
+            if silent and self.tag[stack[-1]] == "head" and source[at:start].strip():
+                silent -= self._close(stack, {"head"})
             if start > at and not silent:
                 self._add(stack[-1], "", text=source[at:start])
             if not m:
@@ -87,13 +91,15 @@ class Page:
             if not m[2]:
                 continue
             name = m[2].lower()
+            if silent and name not in _IN_HEAD:
+                silent -= self._close(stack, {"head"})
             if name in _ENDS_P:
-                self._close(stack, {"p"})
+                silent -= self._close(stack, {"p"})
             if name in _ENDS:
-                self._close(stack, _ENDS[name])
+                silent -= self._close(stack, _ENDS[name])
             raw = {a.lower(): b or c or d for a, b, c, d in _ATTRIBUTE.findall(m[3])}
             node = self._add(stack[-1], name, raw)
-            if name in _VOID or m[3].endswith("/") and name in ("svg", "path", "use"):
+            if name in _VOID or m[3].endswith("/") and name in ("svg", "path", "use", "math"):
                 continue
             if _RAW.fullmatch(name):
                 end = re.compile(rf"</{name}\s*>", re.I).search(source, at)
@@ -102,14 +108,17 @@ class Page:
             stack.append(node)
             silent += name in _SILENT
 
-    def _close(self, stack: list[int], names: set[str]) -> None:
+    def _close(self, stack: list[int], names: set[str]) -> int:
+        """Ends the nearest open element of these names and what is open in it; the number of silent ones among them."""
         for k in range(len(stack) - 1, 0, -1):
             tag = self.tag[stack[k]]
             if tag in names:
+                silent = sum(self.tag[x] in _SILENT for x in stack[k:])
                 del stack[k:]
-                return
+                return silent
             if tag in _SCOPE:
-                return
+                return 0
+        return 0
 
     def _add(self, parent: int, tag: str, raw: dict | None = None, text: str = "") -> int:
         raw = raw or {}

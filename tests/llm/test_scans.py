@@ -147,6 +147,25 @@ def test_extraction(spark):
     assert got[97].text == got[98].text == "" and len(got) == 43
 
 
+def test_text_after_silent_elements_whose_end_tags_are_left_out(spark):
+    body = "<article><h1>Title</h1><p>Some text, that goes on for a while.</p>{}<p>More text, that goes on for a while.</p></article>"
+    whole = ["Title", "Some text, that goes on for a while.", "More text, that goes on for a while."]
+    pages = [
+        "<html><head><title>T</title><meta charset=utf-8><body>" + body.format(""), "<head><style>p{}</style><link href=x>" + body.format(""), "<!DOCTYPE html><head><noframes><p>no</p></noframes><script>1</script>" + body.format(""),
+        body.format("<select><option>A<option>B</select>"), body.format("<select><optgroup label=x><option>A<optgroup label=y><option>B<option>C</select>"),
+        body.format("<p><canvas>no"), body.format("<p><svg><g>no"), body.format("<p><object data=x>no"), body.format("<ul><li><audio>no<li></ul>"), body.format("<table><tr><td><video>no<td></table>"), body.format("<math/>"),
+    ]
+    for source in pages:
+        page = extraction.Page(source)
+        assert [x for t, x in zip(page.tag, page.text) if not t and x.strip()] == whole, source
+    loose = extraction.Page("<head><title>T</title> \n loose <b>text</b>")
+    assert "".join(loose.text).split() == ["loose", "text"]
+    noise = ["<nav><a href=/>Home</a></nav>", "<aside>Related</aside>", ""]
+    rows = [(i, "u", PAGE.replace("{}", ""), "x") for i in range(20)] + [(100 + i, "u", noise[i % 3] + p, "x") for i, p in enumerate(pages)]
+    got = {r.page_id: r.text for r in extraction.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()}
+    assert all(got[100 + i] == " ".join(whole) for i in range(len(pages))), got
+
+
 def test_neighbours(spark):
     r = np.random.default_rng(1)
     x = r.normal(size=(400, 16)).astype(np.float32)
