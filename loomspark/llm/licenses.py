@@ -61,10 +61,11 @@ def marking_words(texts: list[list[str]]) -> set[str]:
     found: set[str] = set()
     for words in texts:
         spans = [words[i : i + SHINGLE] for i in range(max(1, len(words) - SHINGLE + 1))]
-        need = len(set(map(tuple, spans))) * (1 - CONTAINED)
+        n = len(set(map(tuple, spans)))
         usual = Counter(w for w in words)
         for word in sorted(set(words), key=lambda w: (w not in found, -len(w), usual[w], w)):
-            if len({tuple(s) for s in spans if found.intersection(s)}) > need:
+            # As scan_licenses compares shares: a quotient of integers, exact where it equals CONTAINED.
+            if len({tuple(s) for s in spans if not found.intersection(s)}) / n < CONTAINED:
                 break
             found.add(word)
     return found

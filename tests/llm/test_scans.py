@@ -72,6 +72,35 @@ def test_licenses(spark):
     assert licenses.scan_licenses(docs, templates.where("false")).count() == 0
 
 
+def _brute_licenses(texts, templates, passage=None):
+    """(document, template): the largest share of the template's shingles in a passage, if four fifths or more; no gate and no bands."""
+    word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    shingles = lambda t: [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if (w := word.findall(t.lower())) else []
+    out = {}
+    for d, text in enumerate(texts):
+        held = shingles(text)
+        for i, (_, template) in enumerate(templates):
+            mine = set(shingles(template))
+            size = passage(len(word.findall(template))) if passage else len(held)
+            share = max(len(mine.intersection(held[p : p + size])) / len(mine) for p in range(max(1, len(held) - size + 1)))
+            if share >= 0.8:
+                out[d, i] = share
+    return out
+
+
+def test_license_gate_loses_nothing(spark):
+    """Copies without any marking word; where the number of shingles is a multiple of five, just four fifths may be left."""
+    made = [("X", " ".join(f"{'k' * (n - 4 == j)}t{n}w{j}" for j in range(n))) for n in (9, 14, 19, 24, 29, 34)]
+    templates = [*licenses.TEMPLATES, *made]
+    word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    marks = licenses.marking_words([word.findall(t.lower()) for _, t in templates])
+    texts = [" ".join("zzz" if w in marks else w for w in word.findall(t.lower())) for _, t in templates]
+    texts += [t.replace("compliance", "accordance") for _, t in licenses.TEMPLATES]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.template_id): r.contained for r in licenses.scan_licenses(docs, licenses.template_table(spark, templates)).collect()}
+    assert got == _brute_licenses(texts, templates)
+
+
 def test_license_scan_runs_no_python(spark):
     docs = spark.createDataFrame([(1, "Released under the MIT License.")], "doc_id long, text string")
     plan = licenses.scan_licenses(docs, licenses.template_table(spark))._jdf.queryExecution().toString()
