@@ -5,8 +5,11 @@ that the shingles without any of them are too few. The other documents are cut i
 size for each class of template lengths, and those with a marking word stay. MinHash bands over a window's shingles retrieve templates of that class,
 and exact containment of a template's shingles in the window verifies them.
 
-Each band is one coordinate. A window holds a matching text of n shingles whole, and has WINDOW times as many, so
-that its similarity to the template is at least s = 0.8 / (1.25 * WINDOW + 0.2) = 0.38, and BANDS bands meet with probability
+A match is a passage of WINDOW times the shingles of its class's longest template, wherever it begins: words may be
+inserted up to that span, and every passage lies whole in a window, which is longer than it by the windows' distance.
+Each band is one coordinate. Templates of a class have four fifths of its longest one's shingles at least, and a
+window (2 * WINDOW - 1) times the longest one's, so that the similarity of a window with a match to a template without
+repeated shingles is at least s = 0.8 / (1.25 * (2 * WINDOW - 1) + 0.2) = 0.29, and BANDS bands meet with probability
 1 - (1 - s) ** BANDS: all but 2 of 10 million.
 """
 
@@ -20,8 +23,8 @@ from pyspark.sql import functions as F
 
 from loomspark.llm import common, winnow
 
-#: Words in a shingle, the least share of a template's shingles, coordinates, and a window's length in those of its class.
-SHINGLE, CONTAINED, BANDS, WINDOW = 5, 0.8, 32, 1.5
+#: Words in a shingle, the least share of a template's shingles, coordinates, and the longest span of a match in lengths of its class.
+SHINGLE, CONTAINED, BANDS, WINDOW = 5, 0.8, 44, 1.5
 #: Public notices: (license, text).
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -72,13 +75,15 @@ def marking_words(texts: list[list[str]]) -> set[str]:
 
 
 def scan_licenses(docs: DataFrame, templates: DataFrame) -> DataFrame:
-    """Templates whose five-word shingles are contained, to four fifths or more, in a window of a document.
+    """Templates whose five-word shingles are contained, to four fifths or more, in a passage of a document.
+
+    A passage is a run of WINDOW times as many shingles as the longest template of the class has, at any place.
 
     docs: doc_id and text; templates: template_id, license, text, a table of a few thousand rows at most; other columns are
     ignored. Words are runs of digits, letters and non-ASCII characters, A-Z lower-cased. Null and empty texts match
     nothing, nor does a template without words. Result, a row per document and template found: doc_id, template_id,
-    license, contained (the largest share of its shingles in a window), first_word (where the first such window begins,
-    from 0). A document without a license has no row.
+    license, contained (the largest share of its shingles in a passage), first_word (where the first such passage
+    begins, from 0). A document without a license has no row.
     """
     docs = common.spread(docs.select("doc_id", "text"))
     known = templates.select("template_id", "license", winnow.words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
@@ -104,17 +109,21 @@ def scan_licenses(docs: DataFrame, templates: DataFrame) -> DataFrame:
         if not any(low < len(t) <= high for t in texts):
             continue
         mine = known.where((F.col("n") > low) & (F.col("n") <= high))
-        width = max(1, int(WINDOW * (high - SHINGLE + 1)))
-        stride = max(1, width - (high - SHINGLE + 1))
-        at = F.sequence(F.lit(1), F.greatest(F.size("shingles") - width + stride, F.lit(1)), F.lit(stride))
+        span = max(1, int(WINDOW * (high - SHINGLE + 1)))
+        stride = max(1, span - (high - SHINGLE + 1))
+        width = span + stride  # a passage that begins before the next window lies whole in this one
+        at = F.sequence(F.lit(1), F.greatest(F.size("shingles") - span + 1, F.lit(1)), F.lit(stride))
         # What holds for the text holds for a window: one without a marking word has too few of any template's shingles.
         at = F.filter(at, lambda i: F.exists("marked", lambda m: (m >= i) & (m < i + width + SHINGLE - 1)))  # noqa: B023
-        windows = near.where(F.size("words") > 0).select("doc_id", F.explode(F.transform(at, lambda i: F.struct((i - 1).alias("at"), F.array_distinct(F.slice("shingles", i, width)).alias("held")))).alias("w")).select("doc_id", "w.at", "w.held")
+        windows = near.where(F.size("words") > 0).select("doc_id", F.explode(F.transform(at, lambda i: F.struct((i - 1).alias("at"), F.slice("shingles", i, width).alias("held")))).alias("w")).select("doc_id", "w.at", "w.held")
         keys = windows.select("doc_id", "at", "held", F.posexplode_outer(_bands("held")).alias("band", "key"))
         marks_of = mine.select("template_id", "license", "shingles", F.posexplode_outer(_bands("shingles")).alias("band", "key"))
         met = keys.join(F.broadcast(marks_of), ["band", "key"]).dropDuplicates(["doc_id", "at", "template_id"])
-        share = F.size(F.array_intersect("shingles", "held")) / F.size("shingles")
-        hits = met.select("doc_id", "template_id", "license", "at", share.alias("contained")).where(F.col("contained") >= CONTAINED)
+        # No passage holds more of a template than its window.
+        met = met.where(F.size(F.array_intersect("shingles", "held")) / F.size("shingles") >= CONTAINED)
+        share = lambda i: F.size(F.array_intersect("shingles", F.slice("held", i + 1, span))) / F.size("shingles")  # noqa: B023, E731
+        passages = F.transform(F.sequence(F.lit(0), F.lit(stride - 1)), lambda i: F.struct((F.col("at") + i).alias("at"), share(i).alias("contained")))  # noqa: B023
+        hits = met.select("doc_id", "template_id", "license", F.explode(passages).alias("p")).select("doc_id", "template_id", "license", "p.at", "p.contained").where(F.col("contained") >= CONTAINED)
         found = hits if found is None else found.unionByName(hits)
     out = found.groupBy("doc_id", "template_id", "license").agg(F.max("contained").alias("contained"), F.min("at").cast("int").alias("first_word"))
     return out.select("doc_id", "template_id", "license", "contained", "first_word")

@@ -101,6 +101,23 @@ def test_license_gate_loses_nothing(spark):
     assert got == _brute_licenses(texts, templates)
 
 
+def test_license_notices_with_inserted_words_are_found_at_every_offset(spark):
+    template = licenses.TEMPLATES[4][1].split()
+    span = int(1.5 * (len(template) - 4))  # this template is its class's longest
+    cases = [(k, offset) for k in (0, 4, 6, 10, 13, 20, 40) for offset in range(30)]
+    filler = [f"w{i}" for i in range(200)]
+    texts = [" ".join([*filler[:offset], *template[:16], *filler[100 : 100 + k], *template[16:], *filler[150:]]) for k, offset in cases]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    one = [licenses.TEMPLATES[4]]
+    got = {(r.doc_id, r.template_id): r for r in licenses.scan_licenses(docs, licenses.template_table(spark, one)).collect()}
+    assert {k: r.contained for k, r in got.items()} == _brute_licenses(texts, one, lambda n: span)
+    for d, (k, offset) in enumerate(cases):
+        assert ((d, 0) in got) == (k < 20), (k, offset)
+        if k < 20:
+            # Four fifths fit into a passage that begins this long before the notice, at most.
+            assert 0 <= got[d, 0].first_word <= offset + 4 and offset - got[d, 0].first_word <= span
+
+
 def test_license_scan_runs_no_python(spark):
     docs = spark.createDataFrame([(1, "Released under the MIT License.")], "doc_id long, text string")
     plan = licenses.scan_licenses(docs, licenses.template_table(spark))._jdf.queryExecution().toString()
