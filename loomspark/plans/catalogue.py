@@ -469,9 +469,11 @@ def page_link_candidates(spark, sf_dir):
 
 
 def _fenced(spark, sf_dir):
-    """Documents with front matter and two fenced blocks around their first line."""
-    line = F.regexp_replace(F.substring_index("text", "\n", 1), "[`~]", "")
-    md = F.concat(F.lit("---\ndoc: "), F.col("doc_id").cast("string"), F.lit("\n---\n# T\n\n```text\n"), line, F.lit("\n```\n\n~~~sql\nselect "), F.col("doc_id").cast("string"), F.lit(" as x\n~~~\n"))
+    """Documents with front matter and two fenced blocks, around their first line and behind the other ones."""
+    whole = F.regexp_replace("text", "[`~]", "")
+    line = F.substring_index(whole, "\n", 1)
+    rest = F.substr(whole, F.length(line) + 2)
+    md = F.concat(F.lit("---\ndoc: "), F.col("doc_id").cast("string"), F.lit("\n---\n# T\n\n```text\n"), line, F.lit("\n```\n\n"), rest, F.lit("\n\n~~~sql\nselect "), F.col("doc_id").cast("string"), F.lit(" as x\n~~~\n"))
     return _over_cores(_read(spark, sf_dir, "documents").where("text is not null")).select("doc_id", md.alias("md"))
 
 
@@ -500,9 +502,9 @@ def first_sql_block(spark, sf_dir):
 
 @_query(f"""SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/openapi.json' AS url FROM pages WHERE page_id % 2 = 0 AND regexp_extract(url, '^(https?://[^/?#]+)', 1) IN (SELECT {_ORIGIN} FROM pages WHERE page_id % 5 = 0)""")
 def spec_discovery(spark, sf_dir):
-    """Every second page speaks of a specification; sites of every fifth page have one."""
+    """Every second page speaks of a specification, whatever it holds besides; sites of every fifth page have one."""
     table = _read(spark, sf_dir, "pages")
-    speaks = table.select("page_id", "url", F.when(F.col("page_id") % 2 == 0, "see our openapi pages").otherwise("").alias("html"))
+    speaks = table.select("page_id", "url", F.concat(F.coalesce("html", F.lit("")), F.when(F.col("page_id") % 2 == 0, " see our openapi pages").otherwise("")).alias("html"))
     corpus = table.where("page_id % 5 = 0").select(F.concat(url.origin(F.col("url")), F.lit("/openapi.json")).alias("url"), F.lit("{}").alias("json")).distinct()
     return computations.discover_specs(speaks, corpus).select("page_id", "url")
 

@@ -87,6 +87,18 @@ def plain(v):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_derived_markdown_and_pages_hold_whole_texts(spark, tmp_path):
+    texts = ["one\ntwo\n\nthree", "", "\nx", "only", "a\r\nb `c`\n~~~\nd"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.md for r in catalogue._fenced(spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        first, _, rest = text.replace("`", "").replace("~", "").partition("\n")
+        assert got[i] == f"---\ndoc: {i}\n---\n# T\n\n```text\n{first}\n```\n\n{rest}\n\n~~~sql\nselect {i} as x\n~~~\n"
+    pages = [(5, "https://a.example/x", "<p>the swagger of this site</p>"), (7, "https://a.example/y", "<p>nothing</p>"), (8, "https://a.example/z", None)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert {r.page_id for r in catalogue.spec_discovery(spark, str(tmp_path)).collect()} == {5, 8}
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
 def test_query_matches_sql(spark, name):
     import duckdb
