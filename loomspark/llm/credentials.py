@@ -1,7 +1,7 @@
 """Secret scans: patterns for the plain cases, guess cost for what stands where a credential belongs.
 
 Three patterns give base spans. Beyond them, each value after a credential word is split into the pieces that a
-guesser would use (common words, dates, repeats, keyboard walks, runs of a sequence, else brute force), and
+guesser would use (words, ranked by the documents that hold them, dates, repeats, keyboard walks, runs of a sequence, else brute force), and
 dynamic programming finds the segmentation with the fewest guesses. Values that would take too many are
 secrets, whatever their shape; placeholders and words are not.
 """
@@ -30,6 +30,11 @@ _HINTS = ("password", "passwd", "passphrase", "pwd", "secret", "token", "apikey"
 GUESSES, LEAST = 10.0, 8
 #: Longest piece of a segmentation; longer runs are several pieces.
 PIECE = 64
+#: Words that guessers try after the COMMON ones: those of so many documents at least, and the most frequent so many of
+#: them, which bounds what goes to every task to a few MB.
+LEAST_DOCS, MOST_WORDS = 5, 100_000
+#: Letters in a word, and what no word stands beside: those are parts of codes, paths and keys.
+WORD = r"(?<![\p{L}\p{N}+/=_.-])\p{L}{3,24}(?![\p{L}\p{N}+/=_]|[.-][\p{L}\p{N}])"
 #: Values that guessers try first, most frequent first; a word's rank is its cost.
 COMMON = (
     "password 123456 qwerty admin letmein welcome login secret test example changeme default dragon monkey master "
@@ -49,7 +54,7 @@ def _alphabet(value: str) -> int:
     return max(2, size + (33 if any(not c.isalnum() for c in value) else 0))
 
 
-def guess_cost(value: str, enough: float = math.inf) -> float:
+def guess_cost(value: str, enough: float = math.inf, ranks: dict[str, int] = _RANK) -> float:
     """log10 of the guesses of the cheapest segmentation of `value`, or a bound of at least `enough` below it; 0 for an empty one.
 
     best[j] = min over pieces i..j of best[i] + cost(piece), each piece beyond the first costing a factor of 2 for where it is cut.
@@ -68,8 +73,8 @@ def guess_cost(value: str, enough: float = math.inf) -> float:
         end = min(n, i + PIECE)
         # Brute force takes a character at a time; no new cut within a span.
         best[i + 1] = min(best[i + 1], best[i] + brute)
-        for size in range(3, min(12, n - i) + 1):
-            if rank := _RANK.get(low[i : i + size]):
+        for size in range(3, min(24, n - i) + 1):
+            if rank := ranks.get(low[i : i + size]):
                 offer(i, i + size, math.log10(rank + 1) + (0.0 if value[i : i + size].islower() else cut))
         if m := _DATE.match(value, i):
             offer(i, m.end(), math.log10(366 * 100))
@@ -98,7 +103,7 @@ def guess_cost(value: str, enough: float = math.inf) -> float:
     return best[n]
 
 
-def find(text: str) -> list[tuple[str, int, int]]:
+def find(text: str, ranks: dict[str, int] = _RANK) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all spans of a text, by start, then kind."""
     found: list[tuple[str, int, int]] = []
     low = text.lower()
@@ -108,7 +113,7 @@ def find(text: str) -> list[tuple[str, int, int]]:
         for m in CONTEXT.finditer(text):
             k = next(k for k in (1, 2, 3) if m[k] is not None)
             s, e = m.span(k)
-            if e - s >= LEAST and guess_cost(m[k], GUESSES) >= GUESSES and not any(a < e and s < b for a, b in taken):
+            if e - s >= LEAST and guess_cost(m[k], GUESSES, ranks) >= GUESSES and not any(a < e and s < b for a, b in taken):
                 found.append(("guess", s, e))
     if "AKIA" in text:
         found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text)]
@@ -120,9 +125,31 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def frequent_words(docs: DataFrame) -> DataFrame:
+    """(word, n): lower-cased words of at least LEAST_DOCS documents, the most frequent, MOST_WORDS at most; n documents hold each.
+
+    Words of one n are taken together or not at all, so that no task and no driver sees more than is kept.
+    What stands where a credential belongs counts for no word, so that a secret in many copies is not taken for one.
+    """
+    prose = F.regexp_replace("text", "(?i)" + CONTEXT.pattern, " ")
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(prose), F.lit(WORD), F.lit(0)))).alias("word"))
+    counts = common.materialize(words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS))
+    least, taken = None, 0
+    for n, size in sorted(counts.groupBy("n").count().collect(), reverse=True):
+        if (taken := taken + size) > MOST_WORDS:
+            break
+        least = n
+    return counts.where(F.col("n") >= least if least is not None else F.lit(False))
+
+
+def ranked(words: list[str]) -> dict[str, int]:
+    """Ranks of the COMMON words, then of `words`, most frequent first."""
+    return {w: i + 1 for i, w in enumerate(dict.fromkeys([*COMMON, *words]))}
+
+
+def _span_rows(batches: Iterator[pa.RecordBatch], ranks: dict[str, int]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        spans = [find(x.as_py()) for x in batch.column(1)]
+        spans = [find(x.as_py(), ranks) for x in batch.column(1)]
         base = [[x for x in s if x[0] != "guess"] for s in spans]
         counts = [pa.array([sum(x[0] == kind for x in s) for s in spans], pa.int64()) for kind in KINDS]
         digest = pa.array([hashlib.sha256(_joined(s).encode()).hexdigest() for s in base])
@@ -135,10 +162,11 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     docs: doc_id and text; other columns are ignored. A null text is empty and has none. Result, a row for each row of
     docs: doc_id, n_assign, n_access, n_hex, base_sha256 (of the spans of those three kinds), spans (all spans,
     kind:start:end in code points, end exclusive, by start and kind, comma-joined), n_guess. Spans of different kinds may
-    overlap, but a guessed value never overlaps an assignment.
+    overlap, but a guessed value never overlaps an assignment. The words of guessed values are those of docs itself.
     """
     docs = common.spread(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    return docs.mapInArrow(_span_rows, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long")
+    known = docs.sparkSession.sparkContext.broadcast(ranked([r.word for r in sorted(frequent_words(docs).collect(), key=lambda r: (-r.n, r.word))]))
+    return docs.mapInArrow(lambda batches: _span_rows(batches, known.value), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long")
 
 
 def op1_secret_scans(spark, sf_dir: str) -> DataFrame:

@@ -31,6 +31,22 @@ def test_secrets(spark):
     assert "guess:7:19" in got[3].spans and got[2].n_guess == 0 and got[5].n_guess == 0
 
 
+def test_words_of_the_documents_are_no_secrets(spark):
+    words = "required everything authentication configuration unbekannt größenordnung".split()
+    prose = [f"It is {w}, and {v} too: nothing but {w}." for w in words for v in words]
+    asked = [f"password: {w}" for w in words] + ["secret: Everything", 'token = "authentication required"', "token: authentication-required"]
+    secrets = ["password: qzjxkvwpyb", 'secret="everythinqzjxkvwpyb"', "pwd: zkqjwxvbqpel"] + ["passwd: vjqkzxwbyg"] * 40
+    texts = [*prose, *asked, *secrets]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {"required", "größenordnung"} <= (found := {r.word for r in credentials.frequent_words(docs).collect()}) and "vjqkzxwbyg" not in found
+    got = {r.doc_id: r for r in credentials.scan_secrets(docs).collect()}
+    for i, text in enumerate(texts):
+        if i < len(prose) + len(asked):
+            assert got[i].n_guess == 0, text
+        else:
+            assert got[i].n_guess + got[i].n_assign == 1, text
+
+
 def test_guess_cost_is_the_least_over_segmentations():
     """Brute force over all segmentations of a short value, with the same pieces."""
     for value in ("password1", "aaaa", "qwe2020", "abcd99"):
