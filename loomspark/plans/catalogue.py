@@ -436,10 +436,14 @@ def lineage_closure(spark, sf_dir):
 
 @_query(f"WITH RECURSIVE {_EDGES}, r AS (SELECT CAST(0 AS BIGINT) AS url, 0 AS depth UNION ALL SELECT e.dst, r.depth + 1 FROM r JOIN edges e ON e.src = r.url WHERE r.depth < 20) SELECT url, CAST(depth AS INTEGER) AS depth, url AS ord FROM r WHERE url IN (SELECT page_id FROM pages)")
 def crawl_bfs(spark, sf_dir):
-    """Breadth-first order from the first page over derived links; in a binary tree the place equals the id."""
+    """Breadth-first order from the first page over derived links; in a binary tree the place equals the id.
+
+    Down to the last level that there is: no tree of 64-bit ids has more than MAX_DEPTH. The SQL ends at level 20, which
+    pages with ids from 2 ** 21 - 1 on are below.
+    """
     pages = _read(spark, sf_dir, "pages")
     seeds = pages.agg(F.min("page_id").alias("url")).withColumn("ord", F.lit(0))
-    return graph.crawl(_edges(spark, sf_dir), seeds, pages.select(F.col("page_id").alias("url")), 20)
+    return graph.crawl(_edges(spark, sf_dir), seeds, pages.select(F.col("page_id").alias("url")), graph.MAX_DEPTH)
 
 
 # ---------------------------------------------------------------- parsing inside Arrow batches

@@ -87,6 +87,12 @@ def plain(v):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_crawl_goes_down_to_the_last_level(spark, tmp_path):
+    ids = [2**k - 1 for k in range(24)]
+    spark.createDataFrame([(i,) for i in ids], "page_id long").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    assert [(r.url, r.depth) for r in catalogue.crawl_bfs(spark, str(tmp_path)).orderBy("depth").collect()] == [(i, k) for k, i in enumerate(ids)]
+
+
 def test_derived_markdown_and_pages_hold_whole_texts(spark, tmp_path):
     texts = ["one\ntwo\n\nthree", "", "\nx", "only", "a\r\nb `c`\n~~~\nd"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
