@@ -5,12 +5,14 @@ on. The lengths' histogram has at most CAPACITY bins, whatever the corpus. A lin
 pieces of which lengths make one sequence) is solved by column generation: duals of the restricted program price
 the lengths, a knapsack dynamic program finds the pattern that they make most worth, until none pays. Rounded-down
 patterns and first-fit decreasing for the few pieces left give the plan. Pieces are ranked within their length,
-and the plan says for each range of ranks which sequence and offset it gets: an equi-join and arithmetic.
+in shares whose number follows from the length's count, and the plan says for each range of ranks which sequence and
+offset it gets: ranks and ranges meet by blocks of ranks, in an equi-join, and arithmetic does the rest.
 """
 
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -24,15 +26,20 @@ from pyspark.sql.window import Window
 from loomspark.llm import common
 
 CAPACITY, END = 2048, 1
-#: Piece ranks are counted in this many shares per length, so that a common length is no single group.
-SHARES = 64
+#: Pieces of a length that are ranked in one task, about.
+SHARE = 200_000
 #: The program's lengths are in units of CAPACITY / UNITS; it ends when the bound is this near, or after so many columns.
 UNITS, GAP, COLUMNS = 128, 1e-4, 2000
+#: White space in one run that the fast encoder is trusted with: its pattern steps back through a run, a stack frame a character.
+_LONG_RUN = re.compile(r"\s{20000}")
 _encoders: dict[str, tuple] = {}
 
 
 def _encoder(path: str):
-    """Encodes a text to ids. The ranks file beside the tokenizer holds the same vocabulary and is several times as fast."""
+    """Encodes a text to ids. The ranks file beside the tokenizer holds the same vocabulary and is several times as fast.
+
+    Texts with a special token or very long white space go through the tokenizer itself.
+    """
     if path not in _encoders:
         import base64
 
@@ -47,7 +54,7 @@ def _encoder(path: str):
         fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
         def encode(text: str) -> list[int]:
-            if any(s in text for s in special):  # only the tokenizer itself has special tokens
+            if any(s in text for s in special) or _LONG_RUN.search(text):
                 return slow.encode(text, add_special_tokens=False).ids
             return fast.encode_ordinary(text)
 
@@ -208,34 +215,42 @@ def _slots(plan: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int,
     return rows
 
 
+def _blocks(slots: list[tuple[int, int, int, int, int, int]], width: dict[int, int]) -> list[tuple[int, ...]]:
+    """The slots, each once for every block of ranks that it touches; a length's blocks are of about the mean size of its slots."""
+    return [(n, block, *rest) for n, low, high, *rest in ((s[0], s[1], s[2], *s[1:]) for s in slots) for block in range(low // width[n], (high - 1) // width[n] + 1)]
+
+
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """Packs the tokens of all documents into sequences of at most `capacity`.
 
-    docs: doc_id (unique) and text; other columns are ignored. tokenizer: path of a tokenizer file. A null text counts
-    as empty: its document is the `end` id alone. Result, a row per piece: doc_id, start (the document's ids before it),
-    length, ids_crc32 (of the ids as little-endian unsigned 32-bit), doc_tokens (with the `end` id), sequence_id, offset
-    (there, without gaps from 0). No documents give no pieces.
+    docs: doc_id and text; other columns are ignored. tokenizer: path of a tokenizer file. A null text counts
+    as empty: its document is the `end` id alone. Rows that repeat a doc_id, or have none, are documents of their own, with
+    pieces of that id each. Result, a row per piece: doc_id, start (the document's ids before it), length, ids_crc32 (of
+    the ids as little-endian unsigned 32-bit), doc_tokens (with the `end` id), sequence_id, offset (there, without gaps
+    from 0). No documents give no pieces.
     """
     if tokenizer is None:
         import public_tokenizers
 
         tokenizer = str(public_tokenizers.path("byte_bpe_50k.json"))
     docs = common.spread(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    spark = docs.sparkSession
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
     pieces = common.materialize(docs.mapInArrow(_piece_rows(tokenizer, capacity, end), schema))
-    pieces = pieces.withColumn("share", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SHARES)))
-    counts = common.materialize(pieces.groupBy("length", "share").agg(F.count("*").alias("n")))
-    # At most `capacity` lengths, and for each at most SHARES counts.
-    histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    histogram = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
+    slots = _slots(plan_patterns(histogram, capacity))
+    often = Counter(s[0] for s in slots)
+    width = {n: -(-k // often[n]) for n, k in histogram.items()}
+    lengths = spark.createDataFrame([(n, -(-k // SHARE), width[n]) for n, k in histogram.items()], "length long, shares long, width long")
+    table = spark.createDataFrame(_blocks(slots, width), "length long, block long, low long, high long, k long, sequence long, first long")
+    pieces = pieces.join(F.broadcast(lengths), "length").withColumn("share", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("shares")))
+    counts = common.materialize(pieces.groupBy("length", "share").agg(F.count("*").alias("n")))  # a row for each SHARE pieces, and each length
     before = Window.partitionBy("length").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("length", "share", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    slots = _slots(plan_patterns(histogram, capacity))
-    spark = docs.sparkSession
-    table = spark.createDataFrame(slots or [(0, 0, 0, 1, 0, 0)], "length long, low long, high long, k long, sequence long, first long")
-    inside = Window.partitionBy("length", "share").orderBy("doc_id", "start")
+    inside = Window.partitionBy("length", "share").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
     ranked = pieces.withColumn("r", F.row_number().over(inside)).join(F.broadcast(counts), ["length", "share"])
-    ranked = ranked.withColumn("rank", F.col("before") + F.col("r") - 1)
-    placed = ranked.join(F.broadcast(table), ["length"]).where("rank >= low and rank < high")
+    ranked = ranked.withColumn("rank", F.col("before") + F.col("r") - 1).withColumn("block", F.floor(F.col("rank") / F.col("width")))
+    placed = ranked.join(F.broadcast(table), ["length", "block"]).where("rank >= low and rank < high")
     n = F.col("rank") - F.col("low")
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("sequence") + F.floor(n / F.col("k")).cast("long")).alias("sequence_id"), (F.col("first") + (n % F.col("k")) * F.col("length")).alias("offset"))
 

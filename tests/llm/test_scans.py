@@ -256,6 +256,39 @@ def test_few_neighbours(spark):
     assert neighbours.nearest(table.where("false"), table.where("false")).count() == 0
 
 
+def test_probes_come_in_order_and_once():
+    for width in (2, 6, 12):
+        taken = neighbours._sequence(width, 200)
+        assert not taken[0].any() and len({tuple(x) for x in taken}) == len(taken) == min(200, 3**width)
+        assert not (taken[:, :width] & taken[:, :width - 1 : -1]).any()  # never both steps of a direction
+    s = neighbours.Setting(6, 1.5, 50, 2)
+    unit = neighbours._unit(np.random.default_rng(0).normal(size=(30, 16)))
+    buckets, cells = neighbours._probed(unit, s, 3)
+    own, cell = neighbours._codes(np.floor(neighbours._hashed(unit, s, 3)).astype(np.int64), 16, s, 3)
+    assert (buckets[:, 0] == own).all() and (cells[:, 0] == cell).all()
+
+
+def test_settings_compare_a_smaller_share_of_more_rows():
+    """Random vectors, the hardest case: the share of rows that must be compared falls as the table grows."""
+    r, shares = np.random.default_rng(2), []
+    for n in (500, 5000, 50000):
+        x = neighbours._unit(r.normal(size=(n, 64)))
+        asked = x[:40]
+        near = [x[np.argsort(-(x @ q))[1:6]] for q in asked]
+        setting, found, compared = neighbours.settings(asked, near, x[-500:])
+        assert found >= neighbours.FOUND
+        shares.append(compared)
+    assert shares[0] > shares[1] > shares[2]
+
+
+def test_neighbours_of_a_hot_vector_and_odd_ids(spark):
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(300)] + [(None, [1.0, 2.0, 3.0]), (400, [-1.0, -2.0, -3.0]), (401, [1.0, 2.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(table, table.where("vec_id % 50 = 0")).toPandas()
+    assert got[got.query_id == 0].sort_values("rank").vec_id.tolist() == [1, 2, 3, 4, 5] and got[got.query_id == 100].sort_values("rank").vec_id.tolist() == [0, 1, 2, 3, 4]
+    assert got[got.query_id == 400].sort_values("rank").vec_id.tolist() == [0, 1, 2, 3, 4] and len(got) == 35
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 def test_pipeline(spark):
     """Each stage on its own input: what it drops is what its operator finds, and the packing holds every kept document."""
