@@ -26,9 +26,12 @@ from loomspark.llm import common
 
 #: Labelled pages that the model is trained on, at most, and steps of the training.
 TRAIN_PAGES, STEPS = 100, 150
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<", re.S)
+#: A start tag: name, attributes. A quote is one only after an equals sign; no part is ever read twice.
+_START = re.compile(r"""<([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+))?+|=)*+)>""")
+_PLAIN = re.compile(r"<([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_NAME = re.compile(r"</([a-zA-Z][^\s/>]*+)")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_RAW = re.compile(r"script|style|textarea|title|noscript|noframes|template|iframe|xmp")
+_RAW = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I) for name in ("script", "style", "textarea", "title", "noscript", "noframes", "template", "iframe", "xmp")}
 _SILENT = {"script", "style", "noscript", "template", "iframe", "textarea", "select", "option", "object", "svg", "math", "canvas", "audio", "video", "head", "title", "xmp"}
 #: Start tags that leave an open head open; any other one ends it, and so does text.
 _IN_HEAD = {"html", "base", "basefont", "bgsound", "link", "meta", "title", "style", "script", "noscript", "noframes", "template"}
@@ -42,6 +45,9 @@ _BLOCK = {
 _ENDS_P = _BLOCK - {"br", "button", "select", "label", "td", "th", "tr", "tbody", "thead", "tfoot", "body", "html"}
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = {"ul", "ol", "dl", "table", "select", "div", "article", "section", "main", "aside", "body", "html", "nav", "header", "footer", "form", "blockquote"}
+#: What an end tag of a block does not reach beyond, and the parts of tables, which do.
+_CELLS = {"table", "td", "th", "object"}
+_TABLE = {"table", "tbody", "thead", "tfoot", "tr", "td", "th", "object", "body", "html"}
 _GOOD, _BAD = ("article", "content", "story", "post", "entry", "text", "main", "body"), (
     "ad", "ads", "advert", "advertisement", "banner", "sponsor", "sponsored", "promo", "comment", "comments", "disqus", "replies", "reply", "menu", "nav", "navbar",
     "navigation", "breadcrumb", "breadcrumbs", "sidebar", "widget", "related", "share", "social", "footer", "header", "masthead", "cookie", "cookies", "consent",
@@ -61,64 +67,102 @@ class Page:
 
     def __init__(self, source: str):
         self.parent, self.tag, self.words, self.role, self.text, self.hidden = [-1], ["#root"], [()], [""], [""], [False]
-        stack, at, n = [0], 0, len(source)
-        silent = 0
+        #: Open elements, the depths of those of each name, of the scopes and the cells among them, and how many are silent.
+        self.stack, self.depths, self.scopes, self.cells, self.silent = [0], {}, [0], [0], 0
+        at, n, last, start_tag, once = 0, len(source), source.rfind(">"), _START, set()
         while at < n:
-            m = _TOKEN.search(source, at)
-            start = m.start() if m else n
-            if m and m[0] == "<":  # a lone sign is text
-                start = m.end()
-            if silent and self.tag[stack[-1]] == "head" and source[at:start].strip():
-                silent -= self._close(stack, {"head"})
-            if start > at and not silent:
-                self._add(stack[-1], "", text=source[at:start])
-            if not m:
+            sign = source.find("<", at)
+            while 0 <= sign < last and not (source[sign + 1].isalpha() or source[sign + 1] in "/!?"):  # a lone sign is text
+                sign = source.find("<", sign + 1)
+            if sign < 0 or sign > last and not source.startswith("<!--", sign):  # no tag that opens here ends
+                sign = n
+            if sign > at:
+                self._say(source[at:sign])
+            if sign == n:
                 break
-            at = m.end()
-            if m[0] == "<":
+            mark = source[sign + 1]
+            if mark in "!?":
+                end = source.find("-->", sign + 2) if source.startswith("<!--", sign) else source.find(">", sign)
+                at = n if end < 0 else end + (3 if source.startswith("<!--", sign) else 1)
                 continue
-            if m[1]:
-                name = m[1].lower()
-                if name in ("p", "br") and all(self.tag[k] != name for k in stack):
-                    self._add(stack[-1], "br")
-                    continue
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[k]] == name:
-                        silent -= sum(self.tag[x] in _SILENT for x in stack[k:])
-                        del stack[k:]
-                        break
+            if mark == "/":
+                at = source.find(">", sign) + 1
+                if m := _NAME.match(source, sign):
+                    self._end(m[1].lower())
                 continue
-            if not m[2]:
+            m = start_tag.match(source, sign)
+            if not m and start_tag is _START:  # a quote hides the last ends of tags: from here on none does
+                start_tag = _PLAIN
+                m = start_tag.match(source, sign)
+            if not m:  # a letter that no tag begins with
+                self._say(source[sign])
+                at = sign + 1
                 continue
-            name = m[2].lower()
-            if silent and name not in _IN_HEAD:
-                silent -= self._close(stack, {"head"})
+            at, name = m.end(), m[1].lower()
+            if name in ("html", "head", "body"):
+                if name in once or name == "head" and "body" in once:
+                    continue
+                once.add(name)
+            if self.silent and name not in _IN_HEAD:
+                self._close(("head",))
             if name in _ENDS_P:
-                silent -= self._close(stack, {"p"})
+                self._close(("p",))
             if name in _ENDS:
-                silent -= self._close(stack, _ENDS[name])
-            raw = {a.lower(): b or c or d for a, b, c, d in _ATTRIBUTE.findall(m[3])}
-            node = self._add(stack[-1], name, raw)
-            if name in _VOID or m[3].endswith("/") and name in ("svg", "path", "use", "math"):
-                continue
-            if _RAW.fullmatch(name):
-                end = re.compile(rf"</{name}\s*>", re.I).search(source, at)
-                at = end.end() if end else n
+                self._close(_ENDS[name])
+            raw = {a.lower(): b or c or d for a, b, c, d in _ATTRIBUTE.findall(m[2])} if m[2] else {}
+            node = self._add(self.stack[-1], name, raw)
+            if name in _VOID or m[2].endswith("/") and name in ("svg", "path", "use", "math"):
                 continue
-            stack.append(node)
-            silent += name in _SILENT
-
-    def _close(self, stack: list[int], names: set[str]) -> int:
-        """Ends the nearest open element of these names and what is open in it; the number of silent ones among them."""
-        for k in range(len(stack) - 1, 0, -1):
-            tag = self.tag[stack[k]]
-            if tag in names:
-                silent = sum(self.tag[x] in _SILENT for x in stack[k:])
-                del stack[k:]
-                return silent
-            if tag in _SCOPE:
-                return 0
-        return 0
+            if name in _RAW:
+                end = _RAW[name].search(source, at)
+                if end:
+                    at = end.end()
+                elif name in ("script", "style"):
+                    break
+                continue  # the others are left out alone, without an end tag
+            self._open(node)
+
+    def _say(self, text: str) -> None:
+        if self.silent and self.tag[self.stack[-1]] == "head" and text.strip():
+            self._close(("head",))
+        if not self.silent:
+            self._add(self.stack[-1], "", text=text)
+
+    def _open(self, node: int) -> None:
+        name, depth = self.tag[node], len(self.stack)
+        self.stack.append(node)
+        self.depths.setdefault(name, []).append(depth)
+        if name in _SCOPE:
+            self.scopes.append(depth)
+        if name in _CELLS:
+            self.cells.append(depth)
+        self.silent += name in _SILENT
+
+    def _pop_to(self, depth: int) -> None:
+        """Ends the element at this depth and what is open in it."""
+        while len(self.stack) > depth:
+            name = self.tag[self.stack.pop()]
+            self.depths[name].pop()
+            if name in _SCOPE:
+                self.scopes.pop()
+            if name in _CELLS:
+                self.cells.pop()
+            self.silent -= name in _SILENT
+
+    def _close(self, names) -> None:
+        """Ends the nearest open element of these names, if no scope lies between."""
+        depth = max((self.depths[x][-1] for x in names if self.depths.get(x)), default=-1)
+        if depth > 0 and depth >= self.scopes[-1]:
+            self._pop_to(depth)
+
+    def _end(self, name: str) -> None:
+        """An end tag: of a block up to the next cell, of another element up to the next scope."""
+        depth = self.depths[name][-1] if self.depths.get(name) else -1
+        wall = 0 if name in _TABLE else self.cells[-1] if name in _BLOCK and name not in ("p", "li") else self.scopes[-1]
+        if depth > 0 and depth >= wall:
+            self._pop_to(depth)
+        elif name in ("p", "br"):
+            self._add(self.stack[-1], "br")
 
     def _add(self, parent: int, tag: str, raw: dict | None = None, text: str = "") -> int:
         raw = raw or {}
@@ -304,3 +348,13 @@ def main_text(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> DataFrame:
 def op8_html_extraction(spark, sf_dir: str) -> DataFrame:
     """The main text of every row of `pages`."""
     return main_text(common.read(spark, sf_dir, "pages"))
+
+
+#: The same rows by plain SQL, for pages of one article that holds no unwanted part and no characters beyond those references.
+ORACLE = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?is)<article[^>]*>(.*?)</article>', 1) AS t FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(t, '(?i)</?(a|abbr|b|cite|code|em|i|mark|q|s|small|span|strong|sub|sup|u)( [^>]*)?>', '', 'g'), '<[^>]*>', ' ', 'g') AS t FROM a),
+c AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g') AS t FROM b),
+d AS (SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM c)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM d
+"""

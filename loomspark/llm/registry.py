@@ -19,5 +19,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_minhash_neardup": minhash.ORACLE,
     "op6_benchmark_decontamination": winnow.ORACLE,
+    "op8_html_extraction": extraction.ORACLE,
     "op9_substring_dedup": substring.ORACLE,
 }

@@ -228,6 +228,42 @@ def test_text_after_silent_elements_whose_end_tags_are_left_out(spark):
     assert all(got[100 + i] == " ".join(whole) for i in range(len(pages))), got
 
 
+def test_broken_markup_is_read_once():
+    """A megabyte of what never ends, or is nested deep, takes seconds; quotes and misplaced end tags hide no text."""
+    import time
+
+    began = time.time()
+    for source in ("<a " * 350_000, '<a b="x>y" ' * 90_000 + 'b=">"', "<b>" * 100_000 + "x" + "</i>" * 100_000, "<p><select>" + "<b>" * 50_000 + "<hr>" * 50_000, "<" * 500_000, "<!--" * 200_000 + ">", "<a b='" * 100_000 + ">"):
+        extraction.Page(source)
+    assert time.time() - began < 30
+    shown = lambda source: "".join(extraction.Page(source).text).split()
+    for source, words in (
+        ("<p title=it's>one it's <b>two</b>", "one it's two"), ("a < b and c > d<i> e</i>", "a < b and c > d e"), ("x<!-->y", "xy"), ("<a href='x>y'>t</a>", "t"), ("<title>T <p>k", "T k"), ("one <div two", "one <div two"),
+        ("<head><body>x<head>y<body>z", "xyz"), ("x<script>no", "x"), ("x<script>no</script >y", "xy"), ("x<script>no</scripts></SCRIPT\n>y", "xy"),
+    ):
+        assert shown(source) == words.split(), source
+    page = extraction.Page("<b><article>one</b>two<table><td>three</article>four</table></article>five")
+    inside = lambda k: k > 0 and (page.tag[k] == "article" or inside(page.parent[k]))
+    assert [page.text[k] for k in range(len(page.tag)) if page.text[k] and inside(k)] == ["one", "two", "three", "four"]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_extraction_against_sql(spark):
+    import duckdb
+
+    want = duckdb.sql(extraction.ORACLE.replace("FROM pages", f"FROM '{SF}/pages.parquet'")).fetchall()
+    got = [tuple(r) for r in extraction.op8_html_extraction(spark, SF).collect()]
+    assert sorted(got) == sorted(want) and len(got) > 0
+
+
+def test_extraction_of_no_pages_and_odd_ids(spark):
+    schema = "page_id long, url string, html string, n_chars string"
+    assert extraction.main_text(spark.createDataFrame([], schema)).count() == 0
+    rows = [(None, "u", PAGE.replace("{}", ""), "x")] * 2 + [(1, None, PAGE.replace("{}", "<p>" + "long " * 200_000 + "</p>"), "x")]
+    got = extraction.main_text(spark.createDataFrame(rows, schema)).collect()
+    assert len(got) == 3 and [r.n_chars for r in got if r.page_id is None] == [86, 86] and max(r.n_chars for r in got) == 86 + 1_000_000
+
+
 def test_neighbours(spark):
     r = np.random.default_rng(1)
     x = r.normal(size=(400, 16)).astype(np.float32)
