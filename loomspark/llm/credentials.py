@@ -1,9 +1,10 @@
 """Secret scans: patterns for the plain cases, guess cost for what stands where a credential belongs.
 
 Three patterns give base spans. Beyond them, each value after a credential word is split into the pieces that a
-guesser would use (words, ranked by the documents that hold them, dates, repeats, keyboard walks, runs of a sequence, else brute force), and
-dynamic programming finds the segmentation with the fewest guesses. Values that would take too many are
-secrets, whatever their shape; placeholders and words are not.
+guesser would use (words, ranked by the documents that hold them, also reversed or with signs for letters, dates,
+repeats, keyboard walks, runs of a sequence, else brute force), and dynamic programming finds the segmentation with
+the fewest guesses. Values that would take too many are secrets, whatever their shape; words are not, nor are
+references to a value that stands elsewhere (`${NAME}`, `<name>`, `os.environ`).
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ _HINTS = ("password", "passwd", "passphrase", "pwd", "secret", "token", "apikey"
 #: log10 of the guesses from which a value counts as a secret, and its least length.
 GUESSES, LEAST = 10.0, 8
 #: Longest piece of a segmentation; longer runs are several pieces.
-PIECE = 64
+PIECE, _TWICE = 64, math.log10(2)
 #: Words that guessers try after the COMMON ones: those of so many documents at least, and the most frequent so many of
 #: them, which bounds what goes to every task to a few MB.
 LEAST_DOCS, MOST_WORDS = 5, 100_000
@@ -43,8 +44,15 @@ COMMON = (
     "your my the this that here placeholder sample demo dummy foo bar xxx todo undefined empty redacted hidden"
 ).split()
 _RANK = {w: i + 1 for i, w in enumerate(COMMON)}
-_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
-_NEAR = {(a, b) for row in _ROWS for x, y in zip(row, row[1:]) for a, b in ((x, y), (y, x))}
+#: Rows of a keyboard, a key's upper and lower sign, each row half a key to the right of the one above.
+_ROWS = ("1!2@3#4$5%6^7&8*9(0)-_=+", "qQwWeErRtTyYuUiIoOpP[{]}", "aAsSdDfFgGhHjJkKlL;:'\"", "zZxXcCvVbBnNmM,<.>/?")
+_KEYS = {sign: (r, i // 2) for r, row in enumerate(_ROWS) for i, sign in enumerate(row)}
+#: Steps to a neighbouring key: along the row, to the row below and to the row above.
+_STEPS = {(0, 1), (0, -1), (1, 0), (1, -1), (-1, 0), (-1, 1)}
+#: Signs that stand for letters; 1 stands for two of them.
+_SIGNS = [str.maketrans("@4831!0$57+", f"aabe{one}iosstt") for one in "il"]
+#: A value that is no value but says where one comes from, or that one is to be put in.
+REFERENCE = re.compile(r"""\$\{|\$\(|\$[A-Za-z_]\w*$|\{\{|\{%|<[^<>]*>?$|%\w+%$|\[[^\[\]]*\]$|[*.xX#_-]+$|(?:os\.(?:environ|getenv)|(?:process|import\.meta)\.env|System\.getenv|getenv|env|secrets|config|settings|vault)\b[.\[(:]""", re.A)
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d")
 
 
@@ -54,52 +62,78 @@ def _alphabet(value: str) -> int:
     return max(2, size + (33 if any(not c.isalnum() for c in value) else 0))
 
 
-def guess_cost(value: str, enough: float = math.inf, ranks: dict[str, int] = _RANK) -> float:
-    """log10 of the guesses of the cheapest segmentation of `value`, or a bound of at least `enough` below it; 0 for an empty one.
-
-    best[j] = min over pieces i..j of best[i] + cost(piece), each piece beyond the first costing a factor of 2 for where it is cut.
-    """
+def pieces(value: str, ranks: dict[str, int]) -> Iterator[tuple[int, int, float]]:
+    """(start, end, log10 of the guesses) of all pieces that are no brute force, by start; none is longer than PIECE."""
     n, low = len(value), value.lower()
     brute = math.log10(_alphabet(value)) if n else 0.0
-    best = [0.0] + [math.inf] * n
-    cut = math.log10(2)
-
-    def offer(i: int, j: int, cost: float) -> None:
-        best[j] = min(best[j], best[i] + cost + (cut if i else 0.0))
-
+    plain = [low, *{low.translate(t) for t in _SIGNS if low.translate(t) != low}]
+    lowered = [c == d for c, d in zip(value, low)]
     for i in range(n):
-        if i >= PIECE and (least := min(best[i : i + PIECE])) >= enough:
-            return least  # every segmentation has a cut in this span
         end = min(n, i + PIECE)
-        # Brute force takes a character at a time; no new cut within a span.
-        best[i + 1] = min(best[i + 1], best[i] + brute)
         for size in range(3, min(24, n - i) + 1):
-            if rank := ranks.get(low[i : i + size]):
-                offer(i, i + size, math.log10(rank + 1) + (0.0 if value[i : i + size].islower() else cut))
+            odd = not all(lowered[i : i + size])
+            for text in plain:
+                swaps = sum(a != b for a, b in zip(low[i : i + size], text[i : i + size]))
+                if text is not low and not swaps:
+                    continue
+                word = text[i : i + size]
+                if rank := ranks.get(word):
+                    yield i, i + size, math.log10(rank + 1) + (odd + swaps) * _TWICE
+                if (rank := ranks.get(word[::-1])) and word != word[::-1]:
+                    yield i, i + size, math.log10(rank + 1) + (1 + odd + swaps) * _TWICE
         if m := _DATE.match(value, i):
-            offer(i, m.end(), math.log10(366 * 100))
+            yield i, m.end(), math.log10(366 * 100)
         j = i + 1
         while j < end and low[j] == low[i]:
             j += 1
         if j - i >= 3:
-            offer(i, j, brute + math.log10(j - i))
+            yield i, j, brute + math.log10(j - i)
         for size in range(2, 9):
             j = i + size
             while j + size <= end and low[j : j + size] == low[i : i + size]:
                 j += size
             if j - i >= 2 * size:
-                offer(i, j, size * brute + math.log10((j - i) / size))
-        j = i + 1
-        while j < end and (low[j - 1], low[j]) in _NEAR:
-            j += 1
-        if j - i >= 3:
-            offer(i, j, math.log10(47 * (j - i)) + (j - i - 1) * 0.1)
+                yield i, j, size * brute + math.log10((j - i) / size)
+        j, turns, before = i + 1, 0, None
+        while j < end and (step := _step(value[j - 1], value[j])) in _STEPS:
+            turns += step != before
+            j, before = j + 1, step
+        if j - i >= 3:  # where it begins, how long it is, and each turn
+            yield i, j, math.log10(47 * (j - i)) + turns * math.log10(len(_STEPS))
         j = i + 1
         step = ord(low[j]) - ord(low[i]) if j < n else 0
         while step in (1, -1) and j < end and ord(low[j]) - ord(low[j - 1]) == step:
             j += 1
         if j - i >= 3:
-            offer(i, j, math.log10(36 * (j - i)))
+            yield i, j, math.log10(36 * (j - i))
+
+
+def _step(a: str, b: str) -> tuple[int, int] | None:
+    x, y = _KEYS.get(a), _KEYS.get(b)
+    return (y[0] - x[0], y[1] - x[1]) if x and y else None
+
+
+def guess_cost(value: str, enough: float = math.inf, ranks: dict[str, int] = _RANK) -> float:
+    """log10 of the guesses of the cheapest segmentation of `value`, or a bound of at least `enough` below it; 0 for an empty one.
+
+    best[j] = min over pieces i..j of best[i] + cost(piece), each piece beyond the first costing a factor of 2 for where
+    it is cut. Characters between pieces cost a guess of the value's alphabet each.
+    """
+    n = len(value)
+    brute = math.log10(_alphabet(value)) if n else 0.0
+    best, done = [0.0] + [math.inf] * n, 0
+    if len(value.lower()) != n:  # letters whose lower case is two: places would not match
+        return n * brute
+    for i, j, cost in pieces(value, ranks):
+        while done < i:  # best[i] is final once all pieces that begin before it have been offered
+            best[done + 1] = min(best[done + 1], best[done] + brute)
+            done += 1
+            if done >= PIECE and (least := min(best[done - PIECE + 1 : done + 1])) >= enough:
+                return least  # every segmentation has a cut in this span
+        best[j] = min(best[j], best[i] + cost + (_TWICE if i else 0.0))
+    while done < n:
+        best[done + 1] = min(best[done + 1], best[done] + brute)
+        done += 1
     return best[n]
 
 
@@ -113,7 +147,7 @@ def find(text: str, ranks: dict[str, int] = _RANK) -> list[tuple[str, int, int]]
         for m in CONTEXT.finditer(text):
             k = next(k for k in (1, 2, 3) if m[k] is not None)
             s, e = m.span(k)
-            if e - s >= LEAST and guess_cost(m[k], GUESSES, ranks) >= GUESSES and not any(a < e and s < b for a, b in taken):
+            if e - s >= LEAST and not REFERENCE.match(m[k]) and guess_cost(m[k], GUESSES, ranks) >= GUESSES and not any(a < e and s < b for a, b in taken):
                 found.append(("guess", s, e))
     if "AKIA" in text:
         found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text)]

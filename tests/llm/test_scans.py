@@ -48,21 +48,46 @@ def test_words_of_the_documents_are_no_secrets(spark):
 
 
 def test_guess_cost_is_the_least_over_segmentations():
-    """Brute force over all segmentations of a short value, with the same pieces."""
-    for value in ("password1", "aaaa", "qwe2020", "abcd99"):
-        n = len(value)
-        alone = {}
-        for i in range(n):
-            for j in range(i + 1, n + 1):
-                alone[i, j] = credentials.guess_cost(value[i:j])
-        best = [0.0] + [float("inf")] * n
-        for j in range(1, n + 1):
-            best[j] = min(best[i] + alone[i, j] for i in range(j))
-        assert credentials.guess_cost(value) <= alone[0, n] + 1e-9
-        assert credentials.guess_cost(value) > 0
+    """Every segmentation of a short value is listed, with the costs of the module's pieces; none is left out and none is cheaper."""
+    import math
+
+    for value in ("password1", "aaaa", "qwe2020", "abcd99", "xpassword", "dr0wss@p7", "12012020ab", "zaq1zaq1", "Q", "loveLOVE"):
+        n, brute = len(value), math.log10(credentials._alphabet(value))
+        found = list(credentials.pieces(value, credentials._RANK))
+        costs = []
+
+        def walk(at, total):
+            if at == n:
+                costs.append(total)
+                return
+            walk(at + 1, total + brute)
+            for i, j, cost in found:
+                if i == at:
+                    walk(j, total + cost + (math.log10(2) if i else 0.0))
+
+        walk(0, 0.0)
+        assert math.isclose(credentials.guess_cost(value), min(costs)), value
     assert credentials.guess_cost("") == 0
     assert credentials.guess_cost("password") < credentials.guess_cost("passwort") < credentials.guess_cost("pq!7wZrt")
-    assert credentials.guess_cost("a" * 5000, 10) >= 10
+    assert credentials.guess_cost("a" * 5000, 10) >= 10 and credentials.guess_cost("qz8K" * 50000, 10) >= 10
+
+
+def test_pieces_of_all_kinds():
+    cost = credentials.guess_cost
+    for easy in ("P@ssw0rd1", "drowssap", "zaq12wsx", "!QAZ@WSX", "qwertyuiop", "2020-01-31", "31.12.1999", "abcabcabcabc", "abcdefghij", "m0nk3ym0nk3y"):
+        assert cost(easy) < credentials.GUESSES, easy
+    for hard in ("pq!7wZrt", "aB3$kq92!zzQ", "zkqjwxvbqpel"):
+        assert cost(hard) >= credentials.GUESSES, hard
+    for text in ("password: ${DB_PASSWORD}", "secret = os.environ['X_SECRET']", "token: <your-token-here>", "pwd: $PASSWORD_FROM_ENV", "api_key={{ secret_api_key }}", "pwd: xxxxxxxxxxxx", "pwd: process.env.PW", "passwd: [redacted-value]", "pwd: %PASSWORD%"):
+        assert not [x for x in credentials.find(text) if x[0] == "guess"], text
+    assert credentials.find("pwd='zkqj$wxvb'") == [("guess", 5, 14)]
+
+
+def test_secrets_of_no_documents_and_odd_ids(spark):
+    schema = "doc_id long, text string, n_assign string"
+    assert credentials.scan_secrets(spark.createDataFrame([], schema)).count() == 0
+    got = credentials.scan_secrets(spark.createDataFrame([(None, "pwd='zkqj$wxvb'", "x"), (None, None, "x"), (1, "pwd='zkqj$wxvb'", None), (1, "a", None)], schema)).collect()
+    assert sorted((r.doc_id or 0, r.n_guess) for r in got) == [(0, 0), (0, 1), (1, 0), (1, 1)]
 
 
 def test_licenses(spark):
