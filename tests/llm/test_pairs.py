@@ -145,6 +145,28 @@ def test_lines(spark):
     assert got == want
 
 
+def test_edit_distance_of_long_lines():
+    import time
+
+    r = random.Random(8)
+    a = "".join(r.choice("abcdef") for _ in range(1_000_000))
+    began = time.time()
+    assert lines.within(a, a[:500_000] + a[500_001:] + "x", 2) and not lines.within(a, a[:300] + "zz" + a[300:900_000] + "z" + a[900_002:], 2)
+    assert not lines.within(a, a[1:] + "".join(reversed(a[:1])), 0) and lines.within("x" * 100_000, "x" * 100_002, 2)
+    assert time.time() - began < 20
+
+
+def test_lines_of_repeated_ids(spark):
+    """Rows of one doc_id with other texts are told apart; equal rows are judged alike."""
+    long = "a line of some forty characters, no less"
+    rows = [(1, f"{long}\none"), (1, f"two\n{long}\nthree"), (1, f"two\n{long}\nthree"), (2, f"{long}!\none"), (2, "x"), (None, "y\none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lines.line_classes(docs)
+    want = [(None, 0, True), (None, 1, True), (1, 0, True), (1, 0, True), (1, 0, True), (1, 1, False), (1, 1, False), (1, 1, False), (1, 2, True), (1, 2, True), (2, 0, False), (2, 0, True), (2, 1, False)]
+    order = lambda x: (x[0] or 0, *x[1:])
+    assert sorted(((r.doc_id, r.line_no, r.kept) for r in got.collect()), key=order) == sorted(want, key=order)
+
+
 def test_decontamination(spark, docs, texts):
     word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
     items = {7: " ".join((texts[8] or "").split()[35:60]), 10: "one", 2: None, 3: "", 4: "..!", 5: "W1 w2", 11: (texts[0] or "")[:200]}
