@@ -1,8 +1,9 @@
 """A corpus pipeline of five of the training-data operators.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the
-columns of `documents`. Rows with a null or repeated doc_id, null texts and extra columns follow the operators'
-own rules; an empty table gives an empty result at every stage.
+columns of `documents`. Null texts, extra columns and rows with a null doc_id follow the operators' own rules; what a
+stage decides for a repeated doc_id holds for all its rows, but for the line stage, which tells them by their texts. An
+empty table gives an empty result at every stage.
 """
 
 from __future__ import annotations
@@ -24,12 +25,16 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the lines whose class has an earlier line; n_chars is that of what is left."""
+    """Every document, without the lines whose class has an earlier line; n_chars is that of what is left.
+
+    Rows that repeat a doc_id are told apart by their texts. Documents without id stay whole.
+    """
     classes = lines.line_classes(docs)
-    gone = common.materialize(classes.where("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")))
-    touched = gone.select("doc_id")
-    cut = common.by_ids(docs, touched, "doc_id").join(gone, "doc_id").select(*COLUMNS, "gone")
-    rest = common.by_ids(docs, touched, "doc_id", "left_anti")
+    gone = common.materialize(classes.where("not kept and doc_id is not null").groupBy("doc_id", "doc_hash").agg(F.collect_set("line_no").alias("gone")))
+    docs = docs.select(*COLUMNS)
+    touched = common.by_ids(docs, gone.select("doc_id").distinct(), "doc_id").withColumn("doc_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    cut = touched.join(gone, ["doc_id", "doc_hash"]).select(*COLUMNS, "gone")
+    rest = common.by_ids(docs, gone.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(touched.join(gone, ["doc_id", "doc_hash"], "left_anti").select(*COLUMNS))
 
     def rebuild(batches):
         for batch in batches:
@@ -40,7 +45,7 @@ def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             cols = {c: batch.column(c) for c in COLUMNS} | {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
             yield pa.RecordBatch.from_arrays([cols[c] for c in COLUMNS], list(COLUMNS))
 
-    return cut.mapInArrow(rebuild, docs.select(*COLUMNS).schema).unionByName(rest.select(*COLUMNS))
+    return cut.mapInArrow(rebuild, docs.schema).unionByName(rest)
 
 
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
