@@ -18,6 +18,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op2_minhash_neardup": minhash.ORACLE,
+    "op3_license_scans": licenses.ORACLE,
     "op6_benchmark_decontamination": winnow.ORACLE,
     "op8_html_extraction": extraction.ORACLE,
     "op9_substring_dedup": substring.ORACLE,

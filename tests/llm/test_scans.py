@@ -95,22 +95,30 @@ def test_licenses(spark):
     filler = lambda n: " ".join(r.choice(["lorem", "ipsum", "dolor", "licence", "the", "license"]) for _ in range(n))
     mit = licenses.TEMPLATES[1][1]
     cut = mit.split()
-    texts = [filler(90) + " " + mit.upper() + " " + filler(30), filler(33) + "\nReleased under the MIT License.\n" + filler(3), "Licensed under CC BY-NC 4.0.", " ".join(cut[: len(cut) // 2]), None, "", filler(400), " ".join([*cut[:20], "changed", *cut[21:]]), "Licensed under the Apache License, Version 2.0. " * 2]
+    whole = max((t for _, t in licenses.TEMPLATES), key=len)
+    texts = [filler(20) + " " + whole + " " + filler(20), filler(90) + " " + mit.upper() + " " + filler(30), filler(33) + "\nReleased under the MIT License.\n" + filler(3), "Licensed under CC BY-NC 4.0.", " ".join(cut[: len(cut) // 2]), None, "", filler(400), " ".join([*cut[:20], "changed", *cut[21:]]), "Licensed under the Apache License, Version 2.0. " * 2]
     templates = licenses.template_table(spark)
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, license string")
-    got = {(x.doc_id, x.template_id) for x in licenses.scan_licenses(docs, templates).collect()}
-    word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
-    shingles = lambda t: [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if (w := word.findall((t or "").lower())) else []
-    want = set()
-    for d, t in enumerate(texts):
-        held = shingles(t)
-        for i, (_, template) in enumerate(licenses.TEMPLATES):
-            mine = set(shingles(template))
-            n = len(word.findall(template.lower())) - 4
-            if any(len(mine & set(held[p : p + max(1, n)])) >= 0.8 * len(mine) for p in range(max(1, len(held)))) and held:
-                want.add((d, i))
-    assert want <= got and {d for d, _ in got} == {d for d, _ in want}
-    assert licenses.scan_licenses(docs, templates.where("false")).count() == 0
+    got = {(x.doc_id, x.template_id): x.contained for x in licenses.scan_licenses(docs, templates).collect()}
+    assert got == _brute_licenses([t or "" for t in texts], licenses.TEMPLATES, _class_span)
+    assert licenses.scan_licenses(docs, templates.where("false")).count() == 0 == licenses.scan_licenses(docs.where("false"), templates).count()
+
+
+def _class_span(n):
+    """The longest passage for a template of n words: half as long again as the longest of its class."""
+    size = licenses.SHINGLE
+    while size < n:
+        size = max(size + 1, int(size * 1.25))
+    return max(1, int(1.5 * (size - 4)))
+
+
+def test_licenses_of_odd_ids_and_long_texts(spark):
+    """Two texts without id are two documents; equal rows are one; a notice far inside a long text is found."""
+    mit = licenses.TEMPLATES[1][1]
+    rows = [(None, mit), (None, "x " + mit), (1, mit), (1, mit), (2, "word " * 200_000 + mit)]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), licenses.template_table(spark, licenses.TEMPLATES[:2])).collect()
+    assert sorted(r.doc_id or 0 for r in got) == [0, 0, 1, 2] and {r.contained for r in got} == {1.0}
+    assert 199_000 < max(r.first_word for r in got) <= 200_000
 
 
 def _brute_licenses(texts, templates, passage=None):
@@ -122,7 +130,7 @@ def _brute_licenses(texts, templates, passage=None):
         held = shingles(text)
         for i, (_, template) in enumerate(templates):
             mine = set(shingles(template))
-            size = passage(len(word.findall(template))) if passage else len(held)
+            size = passage(len(word.findall(template.lower()))) if passage else len(held)
             share = max(len(mine.intersection(held[p : p + size])) / len(mine) for p in range(max(1, len(held) - size + 1)))
             if share >= 0.8:
                 out[d, i] = share
