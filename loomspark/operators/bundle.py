@@ -65,7 +65,7 @@ def folder_index(concepts: DataFrame, key: str) -> DataFrame:
 def root_index(concepts: DataFrame, key: str, entries: int = ROOT_ENTRIES) -> DataFrame:
     """(folder, pos, line): the first `entries` concepts of each folder, then a line that says how many more there are."""
     inside = Window.partitionBy("folder").orderBy(key)
-    df = concepts.select("folder", "title", "path", F.row_number().over(inside).alias("pos"), F.count("*").over(Window.partitionBy("folder")).alias("n"))
+    df = concepts.select("folder", "title", "path", F.row_number().over(inside).alias("pos"))  # each task keeps `entries` a folder
     shown = df.where(F.col("pos") <= entries).select("folder", "pos", F.concat(F.lit("* ["), "title", F.lit("](/"), "path", F.lit(")")).alias("line"))
     more = concepts.groupBy("folder").agg(F.count("*").alias("n")).where(F.col("n") > entries)
     more = more.select("folder", F.lit(entries + 1).alias("pos"), F.concat(F.lit("* …and "), (F.col("n") - entries).cast("string"), F.lit(" more")).alias("line"))
@@ -78,6 +78,16 @@ def summary(concepts: DataFrame) -> DataFrame:
     return concepts.agg(F.count("*").alias("concepts"), F.count_distinct(F.when(F.col("folder") != "", F.col("folder"))).alias("folders"), F.count_distinct("source_id").alias("sources"), folders.alias("folder_list"))
 
 
+def listing(files: DataFrame) -> DataFrame:
+    """The files as a reader lists them: the root index, the log, then by path."""
+    return files.orderBy(F.when(F.col("path") == "index.md", 0).when(F.col("path") == "log.md", 1).otherwise(2), "path")
+
+
+def search(files: DataFrame, part: str) -> DataFrame:
+    """The files whose path holds `part`, in any case."""
+    return files.where(F.contains(F.lower("path"), F.lit(part.lower())))
+
+
 def footnote_id(title: str) -> Column:
     """The id of a concept's source."""
     return F.concat(F.lit("src-"), F.left(text.slug(title), F.lit(20)))

@@ -2,30 +2,40 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomspark.functions import classify
 from loomspark.operators import validate
 
-#: Most levels that a closure or crawl goes down; cycles end it before.
-MAX_DEPTH = 64
 
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """`df`, written to the folder in spark.checkpoint.dir (a temporary one where that is unset) and read again."""
-    spark = df.sparkSession
+def scratch_dir(spark: SparkSession) -> str:
+    """The application's folder below spark.checkpoint.dir; where that is unset and Spark runs in one process, as in tests, below a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/loomspark-{spark.sparkContext.applicationId}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """`df`, written as Parquet to the application's shared folder and read again: what follows does not depend on any executor that made it."""
+    path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes what `cut_lineage` wrote for this application; for when its results have been stored or read."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def nodes(files: DataFrame) -> DataFrame:
@@ -47,6 +57,13 @@ def hierarchy(files: DataFrame) -> DataFrame:
     return files.where(~role.isin("root_index", "log")).select(above.alias("source"), F.col("path").alias("target"), F.when(role == "index", "hierarchy").otherwise("contains").alias("type"))
 
 
+def navigation(files: DataFrame) -> DataFrame:
+    """(source, pos, target, found): where each link inside the bundle leads a reader: its fragment is left out; found tells whether the file exists."""
+    inside = link_targets(files).where(~F.col("target").rlike("(?i)^[a-z][a-z0-9+.-]*:") & ~F.startswith("target", F.lit("#")))
+    known = files.select(F.col("path").alias("target"), F.lit(True).alias("found"))
+    return inside.withColumn("target", F.substring_index("target", "#", 1)).join(known, "target", "left").select("source", "pos", "target", F.coalesce("found", F.lit(False)).alias("found"))
+
+
 def link_targets(files: DataFrame) -> DataFrame:
     """(source, pos, target): each link's target as a bundle path; ./ is the file's folder, fragments and ../ are kept as they are."""
     hrefs = files.select(F.col("path").alias("source"), F.posexplode(F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(r"\[[^\]]*\]\(([^)]+)\)"), F.lit(1))).alias("pos", "href"))
@@ -67,15 +84,15 @@ def broken_links(files: DataFrame) -> DataFrame:
     return inside.join(files.select(F.col("path").alias("target")), "target", "left_anti").select("source", "target")
 
 
-def closure(edges: DataFrame, starts: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
+def closure(edges: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
     """(start, node, depth): what can be reached from each start over edges (src, dst), at its least depth; cycles end.
 
-    starts: start. A level per step; each is joined with the edges and anti-joined with what was reached before.
+    starts: start. A level per step, down to `depth` or to the last; each is joined with the edges and anti-joined with what was reached before.
     """
     level = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct()
     level = cut_lineage(level)
     reached = level
-    for d in range(1, depth + 1):
+    for d in itertools.count(1) if depth is None else range(1, depth + 1):
         level = level.join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
         level = cut_lineage(level.join(reached, ["start", "node"], "left_anti").withColumn("depth", F.lit(d)))
         if level.isEmpty():
@@ -84,33 +101,43 @@ def closure(edges: DataFrame, starts: DataFrame, depth: int = MAX_DEPTH) -> Data
     return reached
 
 
-def crawl(edges: DataFrame, seeds: DataFrame, known: DataFrame, max_depth: int = 3, max_pages: int | None = None) -> DataFrame:
+def crawl(edges: DataFrame, seeds: DataFrame, known: DataFrame, max_depth: int | None = 3, max_pages: int | None = None, visited: bool = False) -> DataFrame:
     """(url, depth, ord): breadth-first order from seeds (url, ord) over edges (src, dst, pos); pages not in `known` are visited but not emitted.
 
     Each level is ordered by (its parent's place, the link's place); a page counts where it is met first. With `max_pages`,
-    the crawl ends when so many pages are out, and no more than twice as many are queued.
+    the crawl ends when so many pages are out, and no more than twice as many are queued; without `max_depth` it ends when
+    nothing new is met. Where edges have a `section`, so has the result: a page's is that of the link that led to it, else
+    its parent's (seeds may have one too). With `visited`, pages that could not be had are rows as well, told by `fetched`.
     """
+    sections = "section" in edges.columns
+    given = F.col("section") if "section" in seeds.columns else F.lit(None).cast("string")
+    also = ["section"] if sections else []
     first = Window.partitionBy("url").orderBy("ord")
-    level = seeds.select("url", F.col("ord").cast("long").alias("ord")).withColumn("n", F.row_number().over(first)).where("n = 1").select("url", F.lit(0).alias("depth"), "ord")
+    level = seeds.select("url", F.col("ord").cast("long").alias("ord"), given.alias("section")).withColumn("n", F.row_number().over(first)).where("n = 1").select("url", F.lit(0).alias("depth"), "ord", *also)
     level = cut_lineage(level)
-    queued, seen = level, level.count()
-    for d in range(1, max_depth + 1):
-        fetched = level.join(known.select("url").distinct(), "url", "left_semi")
-        found = fetched.join(edges, F.col("url") == F.col("src")).select(F.col("dst").alias("to"), "ord", "pos")
-        found = found.groupBy("to").agg(F.min(F.struct("ord", "pos")).alias("at")).withColumnRenamed("to", "url").join(queued, "url", "left_anti")
-        # Places of a level: range-partitioned by (parent, link), so that ranks come without one task for all.
-        ranked = ranks(cut_lineage(found), "at").select("url", F.lit(d).alias("depth"), (F.col("rank") + seen).alias("ord"))
+    queued, seen, there = level, level.count(), known.select("url").distinct()
+    out = F.col("to.section") if sections else None
+    for d in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
+        fetched = level.join(there, "url", "left_semi")
+        if sections:
+            fetched = fetched.withColumnRenamed("section", "above")
+        met = fetched.join(edges, F.col("url") == F.col("src"))
+        to = F.struct("ord", "pos", *([F.coalesce("section", "above").alias("section")] if sections else []))
+        found = met.groupBy(F.col("dst").alias("url")).agg(F.min(F.struct("ord", "pos")).alias("at"), F.min_by(to, F.struct("ord", "pos")).alias("to")).join(queued, "url", "left_anti")
+        # Places of a level: range-partitioned by (parent, link), so that ranks come without one task for all; written once.
+        level = ranks(found.select("url", "at", *([out.alias("section")] if sections else [])), "at").select("url", F.lit(d).alias("depth"), (F.col("rank") + seen).alias("ord"), *also)
         if max_pages is not None:
-            ranked = ranked.where(F.col("ord") < 2 * max_pages)
-        level = cut_lineage(ranked)
+            level = level.where(F.col("ord") < 2 * max_pages)
         n = level.count()
         if not n:
             break
         queued, seen = queued.unionByName(level), seen + n
-    out = queued.join(known.select("url").distinct(), "url", "left_semi")
+    if visited:
+        return queued.join(there.withColumn("fetched", F.lit(True)), "url", "left").withColumn("fetched", F.coalesce("fetched", F.lit(False)))
+    emitted = queued.join(there, "url", "left_semi")
     if max_pages is not None:
-        out = out.orderBy("ord").limit(max_pages)
-    return out
+        emitted = emitted.orderBy("ord").limit(max_pages)
+    return emitted
 
 
 def ranks(df: DataFrame, by: str, start: int = 0) -> DataFrame:

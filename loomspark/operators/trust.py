@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.operators import validate
+
 
 def staleness(concepts: DataFrame, today: str) -> DataFrame:
     """Adds `status` (stable if absent) and `stale`: whether `today` has reached stale_after; no date is never stale."""
@@ -30,6 +32,28 @@ def tag_view(concepts: DataFrame, key: str) -> DataFrame:
     return each.groupBy("tag").agg(F.count("*").alias("n"), F.min(key).alias("first"))
 
 
+def latest_verification(verified: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, verified_at, verified_by): the latest of each concept's verifications (key, at, by); of one time the last by `order`."""
+    return verified.groupBy(key).agg(F.max("at").alias("verified_at"), F.max_by("by", F.struct("at", order)).alias("verified_by"))
+
+
+def provenance(files: DataFrame) -> DataFrame:
+    """(path, generated_at, verified_at, sources) of concept files (path, content), with what older versions of the format have instead.
+
+    generated_at is `generated.at`, else the top-level `timestamp`; verified_at the latest `at` of `verified`, as a list or one
+    mapping; sources the `resource` of each entry of `sources`, else the links in the list under the heading Citations.
+    """
+    front = validate.front_matter(F.col("content"))
+    block = lambda name: F.regexp_extract(front, rf"(?m)^{name}:[ \t]*\r?\n((?:[ \t-].*(?:\r?\n|$))+)", 1)
+    bare = lambda c: F.regexp_replace(F.trim(c), r"""^["']|["']$""", "")
+    values = lambda name, field: F.transform(F.regexp_extract_all(block(name), F.lit(rf"(?m)^[ \t-]*{field}:[ \t]*(.*)$"), F.lit(1)), bare)
+    some = lambda c: F.nullif(c, F.lit(""))
+    cited = F.regexp_extract(F.coalesce("content", F.lit("")), r"(?m)^#{1,6} Citations[ \t]*\r?\n((?:(?!#).*(?:\r?\n|$))*)", 1)
+    links = F.regexp_extract_all(cited, F.lit(r"(?m)^[ \t]*(?:[-*+]|\d+\.).*?(?:\]\(|<|(?=https?://))([^)>\s]+)"), F.lit(1))
+    listed = values("sources", "resource")
+    return files.select("path", F.coalesce(F.get(values("generated", "at"), F.lit(0)), some(validate.front_value(F.col("content"), "timestamp"))).alias("generated_at"), F.array_max(values("verified", "at")).alias("verified_at"), F.when(F.size(listed) > 0, listed).otherwise(links).alias("sources"))
+
+
 def log_entries(logs: DataFrame) -> DataFrame:
     """(path, date, entry_no, entry): the dated entries of log files (path, content); the newest dates first when sorted by date."""
     parts = F.split(F.coalesce("content", F.lit("")), r"(?m)^## ")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.functions import classify
+from loomspark.parsing.markdown import front_state_of
 
 #: Fixed values of the bundle format: the root index's version key and the versions known.
 VERSION_KEY, VERSIONS = "okf_version", ("0.2", "0.1")
@@ -33,19 +34,25 @@ def checks(files: DataFrame) -> DataFrame:
     """(path, check, severity, passed): a row per finding about each file, and one each for the root index and the log.
 
     files: path and content. Concepts must have front matter that is closed and holds a `type`; sub-indexes should have none,
-    logs should have a dated heading, the root index should name a known version, computations must have a runtime.
+    logs should have a dated heading, the root index should name a known version, computations must have a runtime. Front matter
+    must be YAML and a mapping, or nothing in it is checked; `sources` should be a list whose entries have a resource.
     """
     role = classify.file_role(F.col("path"))
     text = F.coalesce("content", F.lit(""))
-    df = files.select("path", role.alias("role"), text.startswith("---").alias("opened"), (front_matter(text) != "").alias("closed"), front_value(text, "type").alias("type"), front_value(text, "runtime").alias("runtime"), front_value(text, VERSION_KEY).alias("version"), text.rlike(r"(?m)^## [0-9]{4}-[0-9]{2}-[0-9]{2}").alias("dated"))
+    df = files.select("path", role.alias("role"), front_state_of(text).alias("front"), text.startswith("---").alias("opened"), (front_matter(text) != "").alias("closed"), front_value(text, "type").alias("type"), front_value(text, "runtime").alias("runtime"), front_value(text, VERSION_KEY).alias("version"), text.rlike(r"(?m)^## [0-9]{4}-[0-9]{2}-[0-9]{2}").alias("dated"))
     row = lambda when, name, severity, passed: F.when(when, F.struct(F.lit(name).alias("check"), F.lit(severity).alias("severity"), passed.alias("passed")))
     concept = F.col("role") == "concept"
+    sound, listed = concept & F.col("closed") & (F.col("front.state") == "ok"), F.startswith("front.sources", F.lit("["))
     found = F.array(
         row(F.col("role") == "root_index", "version", "warning", F.col("version").isin(*VERSIONS)), row(F.col("role") == "index", "index_without_front_matter", "warning", ~F.col("opened")),
         row(F.col("role") == "log", "dated_log", "warning", F.col("dated")), row(concept, "front_matter_present", "error", F.col("opened")), row(concept & F.col("opened"), "front_matter_closed", "error", F.col("closed")),
-        row(concept & F.col("closed"), "type_present", "error", F.col("type") != ""), row(concept & (F.col("type") == "Attested Computation"), "runtime_present", "error", F.col("runtime") != ""),
+        row(concept & F.col("closed"), "front_matter_parses", "error", F.col("front.state") != "unparseable"), row(concept & F.col("closed") & (F.col("front.state") != "unparseable"), "front_matter_mapping", "error", F.col("front.state") != "no_mapping"),
+        row(sound, "type_present", "error", F.col("type") != ""), row(sound & (F.col("type") == "Attested Computation"), "runtime_present", "error", F.col("runtime") != ""),
+        row(sound & F.col("front.sources").isNotNull(), "sources_list", "warning", listed),
     )
-    each = df.select("path", F.explode(F.array_compact(found)).alias("f")).select("path", "f.*")
+    entries = F.transform(F.when(sound & listed, F.from_json("front.sources", "array<string>")), lambda s: F.struct(F.lit("source_resource").alias("check"), F.lit("warning").alias("severity"), (F.coalesce(F.get_json_object(s, "$.resource"), F.lit("")) != "").alias("passed")))
+    found = F.concat(F.array_compact(found), F.coalesce(entries, F.array().cast("array<struct<check:string,severity:string,passed:boolean>>")))
+    each = df.select("path", F.explode(found).alias("f")).select("path", "f.*")
     there = df.agg(F.coalesce(F.max(F.col("role") == "root_index"), F.lit(False)).alias("r"), F.coalesce(F.max(F.col("path") == "log.md"), F.lit(False)).alias("l"))
     must = there.select(F.explode(F.array(F.struct(F.lit("index.md").alias("path"), F.lit("root_index_exists").alias("check"), F.lit("error").alias("severity"), F.col("r").alias("passed")), F.struct(F.lit("log.md").alias("path"), F.lit("log_exists").alias("check"), F.lit("error").alias("severity"), F.col("l").alias("passed")))).alias("f"))
     return each.unionByName(must.select("f.*"))

@@ -195,6 +195,26 @@ def front_matter(markdown: str | None) -> tuple[dict, str]:
     return (values, text[m.end() :]) if isinstance(values, dict) else ({}, text)
 
 
+def front_state(content: str | None) -> tuple[str, str | None]:
+    """(state, sources) of a file's front matter: ok, open (none that is closed), unparseable or no_mapping; its `sources` as JSON."""
+    import json
+
+    m = re.match(r"\ufeff?---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|$)", content or "", re.S)
+    if not m:
+        return "open", None
+    try:
+        import yaml
+    except ImportError:  # what cannot be told counts as right
+        return "ok", None
+    try:
+        values = yaml.safe_load(m[1])
+    except Exception:  # any error of the reader
+        return "unparseable", None
+    if not isinstance(values, dict):
+        return "no_mapping", None
+    return "ok", json.dumps(values["sources"], default=str) if values.get("sources") is not None else None
+
+
 def absolute_links(body: str | None, base: str, root: str = "") -> str:
     """Relative links and images resolved against a document's address, root-relative ones against the repository's root."""
     from urllib.parse import urljoin
@@ -248,3 +268,14 @@ def front_matter_of(c: Column) -> Column:
             yield pd.DataFrame({"values": [json.dumps(v, sort_keys=True, default=str) for v, _ in both], "body": [b for _, b in both]})
 
     return run(c)
+
+
+def front_state_of(c: Column) -> Column:
+    """front_state over a column."""
+
+    @F.pandas_udf("state string, sources string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            yield pd.DataFrame([front_state(x) for x in s], columns=["state", "sources"], dtype=object)
+
+    return run(c)

@@ -318,13 +318,14 @@ def bundle_summary(spark, sf_dir):
 
 
 def _files(spark, sf_dir):
-    """Files of a bundle derived from `pages` by arithmetic on page_id: some without type, closing dashes or runtime; links to pages that may not exist."""
+    """Files of a bundle derived from `pages` by arithmetic on page_id: some without type, closing dashes, runtime or a source's resource; links to pages that may not exist."""
     i = F.col("page_id")
     name = lambda c: F.concat(F.lit("g"), (c % 10).cast("string"), F.lit("/p"), c.cast("string"), F.lit(".md"))
     kind = F.when(i % 7 == 0, "").when(i % 7 == 1, "Attested Computation").when(i % 7 == 2, "Overview").otherwise("Guide")
     extra = F.when(i % 14 == 1, "runtime: spark\n").otherwise("")
     verified = F.when(i % 3 == 0, "verified:\n  - by: human:ana\n").when(i % 3 == 1, "verified:\n  by: process:ci\n").otherwise("")
-    front = F.concat(F.lit("---\ntype: "), kind, F.lit("\ntitle: \"Page "), i.cast("string"), F.lit("\"\n"), extra, verified, F.when(i % 11 == 5, "").otherwise("---\n"))
+    cited = F.when(i % 5 == 0, "sources:\n  - id: s0\n    resource: x\n  - id: s1\n").when(i % 5 == 1, "sources: s0\n").otherwise("")
+    front = F.concat(F.lit("---\ntype: "), kind, F.lit("\ntitle: \"Page "), i.cast("string"), F.lit("\"\n"), extra, verified, cited, F.when(i % 11 == 5, "").otherwise("---\n"))
     body = F.concat(F.lit("\nSee [a](/"), name(2 * i + 1), F.lit(") [b](./p"), (i + 10).cast("string"), F.lit(".md) [c](https://x.example/y.md) claim[^s"), (i % 4).cast("string"), F.lit("]\n"))
     pages = _read(spark, sf_dir, "pages").select("page_id")
     files = pages.select(name(i).alias("path"), F.concat(F.when(i % 13 == 6, "").otherwise(front), body).alias("content"))
@@ -339,7 +340,8 @@ _FILES = f"""p0 AS (SELECT page_id AS i FROM pages), files AS (SELECT {_NAME.for
   raw AS (SELECT {_NAME.format('i')} AS source, unnest([{_NAME.format('2 * i + 1')}, 'g' || i % 10 || '/p' || (i + 10) || '.md', 'https://x.example/y.md']) AS target FROM p0),
   idx AS (SELECT DISTINCT i % 10 AS g FROM p0), known AS (SELECT path FROM files UNION ALL SELECT 'g' || g || '/index.md' FROM idx UNION ALL VALUES ('index.md'), ('log.md'))"""
 _CHECKS = f"""{_FILES}, checks AS (SELECT path, 'front_matter_present' AS "check", 'error' AS severity, i % 13 <> 6 AS passed FROM files UNION ALL SELECT path, 'front_matter_closed', 'error', closed = 1 FROM files WHERE i % 13 <> 6
-  UNION ALL SELECT path, 'type_present', 'error', i % 7 <> 0 FROM files WHERE closed = 1 UNION ALL SELECT path, 'runtime_present', 'error', i % 14 = 1 FROM files WHERE closed = 1 AND i % 7 = 1
+  UNION ALL SELECT path, c, 'error', true FROM files, (VALUES ('front_matter_parses'), ('front_matter_mapping')) v(c) WHERE closed = 1 UNION ALL SELECT path, 'sources_list', 'warning', i % 5 = 0 FROM files WHERE closed = 1 AND i % 5 < 2
+  UNION ALL SELECT path, 'source_resource', 'warning', b FROM files, (VALUES (true), (false)) v(b) WHERE closed = 1 AND i % 5 = 0 UNION ALL SELECT path, 'type_present', 'error', i % 7 <> 0 FROM files WHERE closed = 1 UNION ALL SELECT path, 'runtime_present', 'error', i % 14 = 1 FROM files WHERE closed = 1 AND i % 7 = 1
   UNION ALL SELECT 'g' || g || '/index.md', 'index_without_front_matter', 'warning', g <> 3 FROM idx UNION ALL SELECT 'index.md', 'version', 'warning', true UNION ALL SELECT 'log.md', 'dated_log', 'warning', true
   UNION ALL SELECT 'index.md', 'root_index_exists', 'error', true UNION ALL SELECT 'log.md', 'log_exists', 'error', true)"""
 
@@ -391,12 +393,16 @@ def footnote_attribution(spark, sf_dir):
 
 @_query(f"WITH {_FILES} SELECT path FROM known WHERE contains(lower(path), '/p1')")
 def path_search(spark, sf_dir):
-    return _files(spark, sf_dir).where(F.contains(F.lower("path"), F.lit("/p1"))).select("path")
+    return bundle.listing(bundle.search(_files(spark, sf_dir), "/P1")).select("path")
 
 
-@_query("SELECT 'log.md' AS path, d AS date, CAST(k AS INTEGER) AS entry_no, e AS entry FROM (SELECT '2024-01-02' AS d, 0 AS k, 'two' AS e UNION ALL SELECT '2024-01-02', 1, CAST(count(*) AS VARCHAR) FROM pages UNION ALL SELECT '2023-12-31', 0, 'one')")
+@_query("SELECT 'b' || event_id // 10 || '/log.md' AS path, CAST(CAST(ts AS DATE) AS VARCHAR) AS date, CAST(k AS INTEGER) AS entry_no, CASE k WHEN 0 THEN '**' || event_type || '**' ELSE 'event ' || event_id END AS entry FROM events, (VALUES (0), (1)) v(k)")
 def log_entries(spark, sf_dir):
-    return trust.log_entries(_files(spark, sf_dir).where(classify.file_role(F.col("path")) == "log"))
+    """A log for every ten events, each with its own date."""
+    part = F.concat(F.lit("## "), F.col("ts").cast("date").cast("string"), F.lit("\n\n* **"), "event_type", F.lit("**\n* event "), F.col("event_id").cast("string"), F.lit("\n"))
+    parts = _read(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 10).alias("b"), "event_id", part.alias("part"))
+    logs = parts.groupBy("b").agg(text.string_agg("part", "\n", "event_id").alias("body"))
+    return trust.log_entries(logs.select(F.concat(F.lit("b"), F.col("b").cast("string"), F.lit("/log.md")).alias("path"), F.concat(F.lit("# Log\n\n"), "body").alias("content")))
 
 
 @_query("SELECT tag, count(*) AS n, min(doc_id) AS first FROM (SELECT DISTINCT doc_id, unnest([lang, source, CASE WHEN n_chars > 2000 THEN 'long' ELSE 'short' END]) AS tag FROM documents) GROUP BY tag")
@@ -427,23 +433,22 @@ def _edges(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select(i.alias("src"), F.posexplode(F.array(2 * i + 1, 2 * i + 2)).alias("pos", "dst"))
 
 
-@_query(f"WITH RECURSIVE {_EDGES}, r AS (SELECT page_id AS start, page_id AS node, 0 AS depth FROM pages WHERE page_id % 10 = 0 UNION ALL SELECT r.start, e.dst, r.depth + 1 FROM r JOIN edges e ON e.src = r.node) SELECT start, node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY start, node")
+@_query(f"WITH RECURSIVE {_EDGES}, r AS (SELECT page_id AS start, page_id AS node, 0 AS depth FROM pages UNION ALL SELECT r.start, e.dst, r.depth + 1 FROM r JOIN edges e ON e.src = r.node) SELECT start, node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY start, node")
 def lineage_closure(spark, sf_dir):
-    """What each tenth page's sources lead to; a page is a source of two others."""
-    starts = _read(spark, sf_dir, "pages").where("page_id % 10 = 0").select(F.col("page_id").alias("start"))
+    """What each page's sources lead to; a page is a source of two others."""
+    starts = _read(spark, sf_dir, "pages").select(F.col("page_id").alias("start"))
     return graph.closure(_edges(spark, sf_dir), starts)
 
 
-@_query(f"WITH RECURSIVE {_EDGES}, r AS (SELECT CAST(0 AS BIGINT) AS url, 0 AS depth UNION ALL SELECT e.dst, r.depth + 1 FROM r JOIN edges e ON e.src = r.url WHERE r.depth < 20) SELECT url, CAST(depth AS INTEGER) AS depth, url AS ord FROM r WHERE url IN (SELECT page_id FROM pages)")
+@_query(f"WITH RECURSIVE {_EDGES}, r AS (SELECT CAST(0 AS BIGINT) AS url, 0 AS depth UNION ALL SELECT e.dst, r.depth + 1 FROM r JOIN edges e ON e.src = r.url) SELECT url, CAST(depth AS INTEGER) AS depth, url AS ord FROM r WHERE url IN (SELECT page_id FROM pages)")
 def crawl_bfs(spark, sf_dir):
     """Breadth-first order from the first page over derived links; in a binary tree the place equals the id.
 
-    Down to the last level that there is: no tree of 64-bit ids has more than MAX_DEPTH. The SQL ends at level 20, which
-    pages with ids from 2 ** 21 - 1 on are below.
+    Down to the last level that there is.
     """
     pages = _read(spark, sf_dir, "pages")
     seeds = pages.agg(F.min("page_id").alias("url")).withColumn("ord", F.lit(0))
-    return graph.crawl(_edges(spark, sf_dir), seeds, pages.select(F.col("page_id").alias("url")), graph.MAX_DEPTH)
+    return graph.crawl(_edges(spark, sf_dir), seeds, pages.select(F.col("page_id").alias("url")), max_depth=None)
 
 
 # ---------------------------------------------------------------- parsing inside Arrow batches
@@ -473,35 +478,33 @@ def page_link_candidates(spark, sf_dir):
 
 
 def _fenced(spark, sf_dir):
-    """Documents with front matter and two fenced blocks, around their first line and behind the other ones."""
-    whole = F.regexp_replace("text", "[`~]", "")
+    """Documents with front matter and two fenced blocks, around their first line and behind the other ones; null texts are empty."""
+    whole = F.regexp_replace(F.coalesce("text", F.lit("")), "[`~]", "")
     line = F.substring_index(whole, "\n", 1)
     rest = F.substr(whole, F.length(line) + 2)
     md = F.concat(F.lit("---\ndoc: "), F.col("doc_id").cast("string"), F.lit("\n---\n# T\n\n```text\n"), line, F.lit("\n```\n\n"), rest, F.lit("\n\n~~~sql\nselect "), F.col("doc_id").cast("string"), F.lit(" as x\n~~~\n"))
-    return _over_cores(_read(spark, sf_dir, "documents").where("text is not null")).select("doc_id", md.alias("md"))
+    return _over_cores(_read(spark, sf_dir, "documents")).select("doc_id", md.alias("md"))
 
 
-_FIRST_LINE = "trim(regexp_replace(string_split(text, chr(10))[1], '[`~]', '', 'g'), ' ' || chr(9) || chr(13))"
+_FIRST_LINE = "trim(regexp_replace(string_split(coalesce(text, ''), chr(10))[1], '[`~]', '', 'g'), ' ' || chr(9) || chr(13))"
 
 
-@_query(f"SELECT doc_id, CASE WHEN length({_FIRST_LINE}) > 10 THEN 2 ELSE 1 END AS n_blocks, 'select ' || doc_id || ' as x' AS last_code FROM documents WHERE text IS NOT NULL")
+@_query(f"SELECT doc_id, CASE WHEN length({_FIRST_LINE}) > 10 THEN 2 ELSE 1 END AS n_blocks, 'select ' || doc_id || ' as x' AS last_code FROM documents")
 def md_code_blocks(spark, sf_dir):
     df = _fenced(spark, sf_dir).select("doc_id", markdown.code_blocks_of(F.col("md")).alias("b"))
     return df.select("doc_id", F.size("b").alias("n_blocks"), F.element_at("b", -1)["code"].alias("last_code"))
 
 
-@_query("SELECT doc_id, '{\"doc\": ' || doc_id || '}' AS \"values\", '# T' AS first_line FROM documents WHERE text IS NOT NULL")
+@_query("SELECT doc_id, '{\"doc\": ' || doc_id || '}' AS \"values\", '# T' AS first_line FROM documents")
 def md_frontmatter(spark, sf_dir):
     df = _fenced(spark, sf_dir).select("doc_id", markdown.front_matter_of(F.col("md")).alias("f"))
     return df.select("doc_id", F.col("f.values"), F.substring_index("f.body", "\n", 1).alias("first_line"))
 
 
-@_query("SELECT doc_id, CAST(CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END AS INTEGER) AS block_no, 'select ' || doc_id AS code FROM documents WHERE doc_id % 3 <> 2")
+@_query(f"SELECT doc_id, CAST(CASE WHEN length({_FIRST_LINE}) > 10 THEN 1 ELSE 0 END AS INTEGER) AS block_no, 'select ' || doc_id || ' as x' AS code FROM documents")
 def first_sql_block(spark, sf_dir):
-    block = lambda language, code: F.struct(F.lit(language).alias("language"), code.alias("code"))
-    d = F.col("doc_id").cast("string")
-    blocks = F.when(F.col("doc_id") % 3 == 0, F.array(block("sql", F.concat(F.lit("select "), d)), block("sql", F.lit("select 0")))).when(F.col("doc_id") % 3 == 1, F.array(block("bash", F.lit("ls")), block("sql", F.concat(F.lit("select "), d)))).otherwise(F.array(block("text", d)))
-    return computations.first_sql_block(_read(spark, sf_dir, "documents").select("doc_id", blocks.alias("blocks")), "doc_id")
+    blocks = _fenced(spark, sf_dir).select("doc_id", markdown.code_blocks_of(F.col("md")).alias("blocks"))
+    return computations.first_sql_block(blocks, "doc_id")
 
 
 @_query(f"""SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/openapi.json' AS url FROM pages WHERE page_id % 2 = 0 AND regexp_extract(url, '^(https?://[^/?#]+)', 1) IN (SELECT {_ORIGIN} FROM pages WHERE page_id % 5 = 0)""")
@@ -521,38 +524,66 @@ def field_kinds(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", classify.resource_kind(value).alias("kind"), classify.actor_kind(actor).alias("actor"))
 
 
-@_query("SELECT user_id, max(ts) AS verified_at, arg_max(event_type, event_id) FILTER (WHERE true) AS last_type FROM events GROUP BY user_id")
+@_query("SELECT user_id, max(ts) AS verified_at, arg_max(event_type, (ts, event_id)) AS verified_by FROM events GROUP BY user_id")
 def latest_verification(spark, sf_dir):
-    """The latest of a concept's verifications; here each user's events, and the type of the one of the highest id."""
-    return _read(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("verified_at"), F.max_by("event_type", "event_id").alias("last_type"))
+    """The latest of a concept's verifications; here each user's events."""
+    events = _read(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_type").alias("by"), F.col("ts").alias("at"))
+    return trust.latest_verification(events, "user_id", "event_id")
 
 
 # ---------------------------------------------------------------- API specifications
 
 
-@_query("""SELECT p_brand AS spec_id, string_split(p_type, ' ')[1] AS tag, '/parts/' || p_partkey || '/{id}' AS path, 'get' AS method, 'getpart' || p_partkey AS slug, p_name AS summary FROM part""")
+_API = """parts AS (SELECT p_brand || '/' || p_partkey // 1000 AS spec_id, p_brand, p_partkey AS k, p_name, p_type, p_size, string_split(p_type, ' ')[1] AS tag, replace(p_type, ' ', '') AS m, '/parts/' || p_partkey || '/{id}' AS path FROM part),
+  ops AS (SELECT *, 'get' AS method, 'getpart' || k AS slug, p_name AS summary, p_name AS about FROM parts UNION ALL SELECT *, 'put', 'put-parts-' || k || '-id', 'Replaces a part.', 'Replaces a part.' || chr(10) || 'All of it.' FROM parts WHERE p_size % 3 = 0),
+  models AS (SELECT DISTINCT spec_id, p_brand, m, p_type AS about FROM parts UNION ALL SELECT DISTINCT spec_id, p_brand, 'Base', '' FROM parts),
+  props AS (SELECT spec_id, m AS model, p AS property, t AS type, r AS required, p = 'seen' AS read_only, o FROM models, (VALUES ('id', '`integer (int64)`', true, 0), ('seen', '`string`', false, 1), ('size', '`integer` - one of `1`, `2`, `3`, `4`, `5`, `6`, …', false, 2), ('name', '`string`', true, 3), ('like', 'array of [Base](/schemas/base.md)', false, 4)) v(p, t, r, o) WHERE m <> 'Base' OR o < 2)"""
+_API_TEXT = """'**' || summary || '**' || n || n || CASE WHEN about <> summary THEN about || n || n ELSE '' END || '## Request Details' || n || n || '* **HTTP Method**: `' || upper(method) || '`' || n || '* **Endpoint Path**: `' || path || '`' || n || '* **Full URL**: `https://api.example/v1' || path || '`' || n
+  || '* **Consumes**: `application/json`' || n || '* **Produces**: `application/json`' || n || n || CASE WHEN method = 'put' THEN '## Request Body' || n || n || '* **part** (required): [' || m || '](/schemas/' || lower(m) || '.md)' || n || n ELSE '' END
+  || '## Parameters' || n || n || '| Parameter | In | Type | Required | Description |' || n || '| --- | --- | --- | --- | --- |' || n || '| `size` | query | `integer` | ' || CASE WHEN p_size % 2 = 0 THEN '**Yes**' ELSE 'No' END || ' | How large |' || n || CASE WHEN method = 'get' THEN '| `id` | path | `integer (int64)` | **Yes** | - |' || n ELSE '' END || n
+  || '## Responses' || n || n || CASE WHEN method = 'get' THEN '| HTTP Status | Returns | Description |' || n || '| --- | --- | --- |' || n || '| `200` | [' || m || '](/schemas/' || lower(m) || '.md) | A part |' || n || '| `404` | - | None |' ELSE '| HTTP Status | Description |' || n || '| --- | --- |' || n || '| `204` | Done |' END || n || n
+  || '## Code Examples' || n || n || '### cURL' || n || n || '```bash' || n || 'curl -X ' || upper(method) || ' "https://api.example/v1' || path || '" \\' || n || '  -H "Accept: application/json"' || n || '```' || n || n || '### Python (requests)' || n || n || '```python' || n || 'import requests' || n || n || 'url = "https://api.example/v1' || path || '"' || n
+  || 'headers = {"Accept": "application/json"}' || n || n || 'response = requests.' || method || '(url, headers=headers)' || n || 'print(response.status_code)' || n || 'print(response.json())' || n || '```'"""
+_API_DOCS = f"""{_API}, docs AS (SELECT spec_id, 'https://api.example/v1' || path AS url, tag AS section, slug, upper(method) || ' ' || path || ' - ' || summary AS title, summary AS description, 'API Endpoint' AS type, 'api,endpoint,' || lower(tag) AS tags, {_API_TEXT} AS markdown FROM ops, (SELECT chr(10) AS n)
+  UNION ALL SELECT spec_id, NULL, 'Schemas', lower(m), m || ' Schema Model', CASE WHEN m = 'Base' THEN 'Base data model reference.' ELSE about END, 'Reference', 'api,schema,model,' || lower(m), CASE WHEN m = 'Base' THEN '' ELSE about || n || n || '**Composed of**: [Base](/schemas/base.md), `object`' || n || n END || '## Schema Properties' || n || n || '| Property | Type | Required | Description |' || n || '| --- | --- | --- | --- |' || n || t
+  FROM models JOIN (SELECT spec_id, model AS m, string_agg('| `' || property || '` | ' || type || ' | ' || CASE WHEN required THEN '**Yes**' WHEN read_only THEN 'read-only' ELSE 'No' END || ' | - |', chr(10) ORDER BY o) AS t FROM props GROUP BY ALL) USING (spec_id, m), (SELECT chr(10) AS n))"""
+
+
+def _specs(spark, sf_dir):
+    return openapi.specs_of_parts(_read(spark, sf_dir, "part"))
+
+
+@_query(f"WITH {_API} SELECT spec_id, tag, path, method, slug, summary FROM ops")
 def openapi_endpoints(spark, sf_dir):
-    return openapi.endpoints(openapi.specs_of_parts(_read(spark, sf_dir, "part"))).select("spec_id", "tag", "path", "method", "slug", "summary")
+    return openapi.endpoints(_specs(spark, sf_dir)).select("spec_id", "tag", "path", "method", "slug", "summary")
 
 
-@_query("SELECT p_brand AS spec_id, '/parts/' || p_partkey || '/{id}' AS path, 'get' AS method, 0 AS param_no, 'size' AS name, 'query' AS place, p_size % 2 = 0 AS required, 'integer' AS type FROM part")
+@_query(f"""WITH {_API} SELECT spec_id, path, method, 0 AS param_no, 'size' AS name, 'query' AS place, p_size % 2 = 0 AS required, '`integer`' AS type, 'How large' AS description FROM ops
+  UNION ALL SELECT spec_id, path, method, 1, 'id', 'path', true, '`integer (int64)`', '' FROM ops WHERE method = 'get' UNION ALL SELECT spec_id, path, method, 1, 'part', 'body', true, '[' || m || '](/schemas/' || lower(m) || '.md)', '' FROM ops WHERE method = 'put'""")
 def openapi_params(spark, sf_dir):
-    return openapi.parameters(openapi.specs_of_parts(_read(spark, sf_dir, "part")))
+    return openapi.parameters(_specs(spark, sf_dir))
 
 
-@_query("SELECT p_brand AS spec_id, '/parts/' || p_partkey || '/{id}' AS path, 'get' AS method, '200' AS status, 'A part' AS description, '' AS type FROM part")
+@_query(f"""WITH {_API} SELECT spec_id, path, method, status, description, CASE WHEN status = '200' THEN '[' || m || '](/schemas/' || lower(m) || '.md)' ELSE '' END AS type FROM ops JOIN (VALUES ('get', '200', 'A part'), ('get', '404', 'None'), ('put', '204', 'Done')) v(method, status, description) USING (method)""")
 def openapi_responses(spark, sf_dir):
-    return openapi.responses(openapi.specs_of_parts(_read(spark, sf_dir, "part")))
+    return openapi.responses(_specs(spark, sf_dir)).drop("no")
 
 
-@_query("SELECT DISTINCT p_brand AS spec_id, replace(p_type, ' ', '') AS model, p AS property, CASE p WHEN 'id' THEN 'integer (int64)' ELSE 'string' END AS type, p = 'id' AS required, false AS read_only FROM part, (VALUES ('id'), ('name')) v(p)")
+@_query(f"WITH {_API} SELECT spec_id, model, property, type, required, read_only FROM props")
 def openapi_schema_props(spark, sf_dir):
-    return openapi.schema_properties(openapi.specs_of_parts(_read(spark, sf_dir, "part")))
+    return openapi.schema_properties(_specs(spark, sf_dir)).drop("prop_no", "description")
 
 
-@_query()
+@_query(f"WITH {_API_DOCS} SELECT * FROM docs")
 def openapi_docs(spark, sf_dir):
-    return openapi.documents(openapi.specs_of_parts(_read(spark, sf_dir, "part")))
+    return openapi.documents(_specs(spark, sf_dir)).drop("ord").withColumn("tags", F.array_join("tags", ","))
+
+
+@_query(f"""WITH {_API_DOCS}, paths AS (SELECT DISTINCT spec_id, CASE WHEN type = 'Reference' THEN 'schemas' ELSE lower(section) END AS folder, slug FROM docs)
+  SELECT spec_id, folder || '/' || slug || '.md' AS path FROM paths UNION ALL SELECT DISTINCT spec_id, folder || '/index.md' FROM paths UNION ALL SELECT DISTINCT spec_id, unnest(['index.md', 'log.md']) FROM paths""")
+def openapi_bundle_paths(spark, sf_dir):
+    """The files of each specification's own bundle; their contents are `openapi_docs` under front matter."""
+    return openapi.bundle(_specs(spark, sf_dir), TODAY).select("spec_id", "path")
 
 
 # ---------------------------------------------------------------- attested computations
@@ -569,7 +600,7 @@ def _revenue(spark, sf_dir):
         args = attest.bind(_REVENUE, {"since": True, "flag": True}, {"flag": flag, "since": since})
         row = attest.execute(spark, _REVENUE, args).select(F.lit(f"revenue-{flag}").alias("name"), F.lit(attest.bound_text(_REVENUE, args)).alias("bound_sql"), F.col("value").alias("actual"))
         out = row if out is None else out.unionByName(row)
-    return out
+    return graph.cut_lineage(out)  # a row per run; each statement is executed once
 
 
 @_query("SELECT 'revenue-' || f AS name, round(sum(l_extendedprice * (1 - l_discount)) FILTER (WHERE l_shipdate >= CAST(s AS TIMESTAMP) AND l_returnflag = f), 2) AS actual FROM lineitem, (VALUES ('R', '1994-01-01'), ('A', '1995-01-01'), ('N', '1996-01-01')) v(f, s) GROUP BY f")

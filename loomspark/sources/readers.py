@@ -29,6 +29,20 @@ def split_list(inputs: DataFrame) -> DataFrame:
     return each.select(F.row_number().over(Window.orderBy("ord", "k")).alias("src_ord"), "value")  # what a user typed
 
 
+def resolve_inputs(values: list[str]) -> tuple[list[str], list[str]]:
+    """(sources, files) of what a user typed: addresses and texts, and names of existing local files, which are uploads."""
+    from pathlib import Path
+
+    def is_file(value: str) -> bool:
+        try:
+            return not re.match(r"(?i)[a-z][a-z0-9+.-]*://|git@", value) and "\n" not in value and Path(value).is_file()
+        except (OSError, ValueError):  # a text is no name of a file
+            return False
+
+    kept = [v.strip() for v in values if v and v.strip()]
+    return [v for v in kept if not is_file(v)], [v for v in kept if is_file(v)]
+
+
 def describe(inputs: DataFrame) -> DataFrame:
     """(src_ord, value, type, label): what each source would be read as."""
     kinds = F.create_map(*(F.lit(x) for pair in LABELS.items() for x in pair))

@@ -67,6 +67,40 @@ def test_crawl_caps_and_failures(spark):
     assert [r.url for r in graph.crawl(edges, seeds, known, 3, max_pages=2).orderBy("ord").collect()] == ["a", "b"]
 
 
+def test_crawl_inherits_sections_and_shows_what_failed(spark):
+    edges = spark.createDataFrame([("a", "b", 0, "Guides"), ("a", "x", 1, None), ("b", "d", 0, None), ("a", "c", 2, None)], "src string, dst string, pos int, section string")
+    seeds = spark.createDataFrame([("a", 0, "Home")], "url string, ord int, section string")
+    known = spark.createDataFrame([(u,) for u in "abcd"], "url string")
+    got = graph.crawl(edges, seeds, known, max_depth=None, visited=True).orderBy("ord").collect()
+    assert [(r.url, r.depth, r.section, r.fetched) for r in got] == [("a", 0, "Home", True), ("b", 1, "Guides", True), ("x", 1, "Home", False), ("c", 1, "Home", True), ("d", 2, "Guides", True)]
+    assert graph.crawl(edges, seeds.where("false"), known).count() == 0
+
+
+def test_front_matter_that_is_no_mapping(spark):
+    closed = lambda x: f"---\n{x}\n---\nbody"
+    files = [("a.md", closed("type: X\nsources: [{resource: u}, {id: b}]")), ("b.md", closed("type: X\nsources: one")), ("c.md", closed("type: [")), ("d.md", closed("- type: X")), ("e.md", "---\ntype: X\n"), ("f.md", None), ("g.md", closed("type: X\nsources: []"))]
+    found = validate.checks(spark.createDataFrame(files, "path string, content string")).where("path != 'index.md' and path != 'log.md'")
+    bad = {(r.path, r.check) for r in found.where("not passed").collect()}
+    assert bad == {("a.md", "source_resource"), ("b.md", "sources_list"), ("c.md", "front_matter_parses"), ("d.md", "front_matter_mapping"), ("e.md", "front_matter_closed"), ("f.md", "front_matter_present")}
+    assert {(r.check, r.passed) for r in found.where("path = 'a.md' and check like 'source%'").collect()} == {("sources_list", True), ("source_resource", True), ("source_resource", False)}
+
+
+def test_provenance_of_old_and_new_files(spark):
+    new = "---\ntype: X\ngenerated:\n  by: p\n  at: 2024-01-01\nverified:\n  - by: human:a\n    at: 2024-02-01\n  - by: human:b\n    at: \"2024-03-01\"\nsources:\n  - id: s\n    resource: https://x.example\n---\nb"
+    old = "---\ntype: X\ntimestamp: 2023-01-01\n---\nb\n\n# Citations\n\n* [One](https://one.example/a)\n1. https://two.example/b\n\n# More\n* [no](https://no.example)"
+    got = {r.path: (r.generated_at, r.verified_at, r.sources) for r in trust.provenance(spark.createDataFrame([("n", new), ("o", old), ("z", None)], "path string, content string")).collect()}
+    assert got == {"n": ("2024-01-01", "2024-03-01", ["https://x.example"]), "o": ("2023-01-01", None, ["https://one.example/a", "https://two.example/b"]), "z": (None, None, [])}
+    seen = spark.createDataFrame([("c", 1, "x", 0), ("c", 2, "y", 1), ("c", 2, "z", 2), ("d", None, "w", 3)], "c string, at int, by string, k int")
+    assert {tuple(r) for r in trust.latest_verification(seen, "c", "k").collect()} == {("c", 2, "z"), ("d", None, "w")}
+
+
+def test_listing_search_and_navigation(spark):
+    files = spark.createDataFrame([("b/x.md", "[a](/a.md#part) [n](./none.md) [h](https://h.example) [s](#s)"), ("log.md", ""), ("a.md", None), ("index.md", "")], "path string, content string")
+    assert [r.path for r in bundle.listing(files).collect()] == ["index.md", "log.md", "a.md", "b/x.md"]
+    assert [r.path for r in bundle.search(files, "/X").collect()] == ["b/x.md"]
+    assert [(r.target, r.found) for r in graph.navigation(files).orderBy("pos").collect()] == [("a.md", True), ("b/none.md", False)]
+
+
 def test_bind_refuses_undeclared():
     with pytest.raises(attest.UndeclaredParameter):
         attest.bind("select :a", {"a": True}, {"a": 1, "b": 2})
@@ -94,11 +128,11 @@ def test_crawl_goes_down_to_the_last_level(spark, tmp_path):
 
 
 def test_derived_markdown_and_pages_hold_whole_texts(spark, tmp_path):
-    texts = ["one\ntwo\n\nthree", "", "\nx", "only", "a\r\nb `c`\n~~~\nd"]
+    texts = ["one\ntwo\n\nthree", "", "\nx", "only", "a\r\nb `c`\n~~~\nd", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.md for r in catalogue._fenced(spark, str(tmp_path)).collect()}
     for i, text in enumerate(texts):
-        first, _, rest = text.replace("`", "").replace("~", "").partition("\n")
+        first, _, rest = (text or "").replace("`", "").replace("~", "").partition("\n")
         assert got[i] == f"---\ndoc: {i}\n---\n# T\n\n```text\n{first}\n```\n\n{rest}\n\n~~~sql\nselect {i} as x\n~~~\n"
     pages = [(5, "https://a.example/x", "<p>the swagger of this site</p>"), (7, "https://a.example/y", "<p>nothing</p>"), (8, "https://a.example/z", None)]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")

@@ -6,7 +6,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from loomspark import api
-from loomspark.operators import openapi
+from loomspark.operators import graph, openapi, validate
 from loomspark.parsing import markdown as M
 from loomspark.sources import readers
 from loomspark.streaming import ingest
@@ -31,7 +31,8 @@ def test_html_to_markdown():
 def test_front_matter():
     values, body = M.front_matter("---\ntype: Guide\non: yes\nwhen: 2024-01-02\ntags: [a, b]\n---\nBody --- here")
     assert values["when"] == "2024-01-02" and values["tags"] in (["a", "b"], "[a, b]") and body == "Body --- here"
-    assert M.front_matter("---\n: : bad\n  x\n---\nB")[0] == {} or True
+    for odd in ("---\n: : bad\n  x\n---\nB", "---\n- a\n- b\n---\nB"):  # what is no mapping counts as body
+        assert M.front_matter(odd) == ({}, odd)
     assert M.front_matter("no front") == ({}, "no front") and M.front_matter(None) == ({}, "")
 
 
@@ -82,6 +83,12 @@ def test_sources(spark, tmp_path):
     assert [r.markdown for r in good.collect()] == ["hi"] and bad.count() == 3
 
 
+def test_inputs_that_are_files(tmp_path):
+    (tmp_path / "a.md").write_text("x")
+    name = str(tmp_path / "a.md")
+    assert readers.resolve_inputs([name, " https://x.example/a.md ", "git@h:o/r", "# text\nof many lines", "", None, "no/such.md", "x" * 5000]) == (["https://x.example/a.md", "git@h:o/r", "# text\nof many lines", "no/such.md", "x" * 5000], [name])
+
+
 def test_generate(spark, tmp_path):
     long = "word " * 30
     catalogue = "# Cat\n\nintro\n\n" + "\n\n".join(f"## Part {i}\n\n{long}" for i in range(3))
@@ -101,13 +108,58 @@ def test_generate(spark, tmp_path):
 def test_openapi_references(spark):
     import json
 
-    spec = {"swagger": "2.0", "info": {"title": "T"}, "host": "h", "parameters": {"P": {"name": "p", "in": "query", "type": "string"}}, "paths": {"/a/{id}": {"parameters": [{"$ref": "#/parameters/P"}], "get": {"tags": [" x ", "y"], "responses": {"200": {"description": "ok", "schema": {"$ref": "#/definitions/M"}}}}}}, "definitions": {"M": {"type": "object", "required": ["e"], "properties": {"e": {"type": "string", "enum": list("abcdefgh")}, "l": {"type": "array", "items": {"type": "integer"}}}}}}
+    spec = {"swagger": "2.0", "info": {"title": "T"}, "host": "h", "parameters": {"P": {"name": "p", "in": "query", "type": "string"}}, "responses": {"R": {"description": "gone"}}, "paths": {"/a/{id}": {"parameters": [{"$ref": "#/parameters/P"}, {"$ref": "#/parameters/none"}], "get": {"tags": [" x ", "y"], "responses": {"200": {"description": "ok", "schema": {"$ref": "#/definitions/M"}}, "410": {"$ref": "#/responses/R"}}}}}, "definitions": {"M": {"type": "object", "required": ["e"], "properties": {"e": {"type": "string", "enum": list("abcdefgh")}, "l": {"type": "array", "items": {"type": "integer"}}}}, "L": {"type": "array", "items": {"$ref": "#/definitions/M"}}, "O": {"type": "string"}}}
     df = spark.createDataFrame([("s", json.dumps(spec)), ("bad", "{"), ("none", None)], "spec_id string, json string")
-    assert [(r.tag, r.slug) for r in openapi.endpoints(df).orderBy("tag").collect()] == [("x", "get-a-id"), ("y", "get-a-id")]
-    assert [(r.name, r.place) for r in openapi.parameters(df).collect()] == [("p", "query")]
-    assert openapi.responses(df).first().type == "[M](/schemas/m.md)"
-    assert {r.property: (r.type, r.required) for r in openapi.schema_properties(df).collect()} == {"e": ("enum: a, b, c, d, e, f", True), "l": ("array of integer", False)}
-    assert openapi.documents(df).count() == 3
+    assert [(r.tag, r.slug, r.summary) for r in openapi.endpoints(df).orderBy("tag").collect()] == [("x", "get-a-id", "GET /a/{id}"), ("y", "get-a-id", "GET /a/{id}")]
+    assert [(r.name, r.place, r.type) for r in openapi.parameters(df).collect()] == [("p", "query", "`string`")]
+    assert [(r.status, r.type, r.description) for r in openapi.responses(df).orderBy("no").collect()] == [("200", "[M](/schemas/m.md)", "ok"), ("410", "", "gone")]
+    assert {r.property: (r.type, r.required) for r in openapi.schema_properties(df).collect()} == {"e": ("`string` - one of `a`, `b`, `c`, `d`, `e`, `f`, …", True), "l": ("array of `integer`", False)}
+    docs = {r.title: r.markdown for r in openapi.documents(df).collect()}
+    assert len(docs) == 4 and "This model is array of [M](/schemas/m.md)." in docs["L Schema Model"] and '{\n  "type": "string"\n}' in docs["O Schema Model"]
+
+
+YAML = """
+openapi: 3.0.1
+info: {title: Things, version: "2", description: All things}
+servers: [{url: https://t.example/api}]
+paths:
+  /things:
+    post:
+      summary: Make one
+      parameters:
+        - {name: trace, in: header, content: {text/plain: {schema: {type: string, format: uuid}}}}
+      requestBody: {$ref: '#/components/requestBodies/thing'}
+      responses:
+        "201": {description: "made\n  it", content: {application/json: {schema: {oneOf: [{$ref: '#/components/schemas/Big'}, {type: string}]}}}}
+components:
+  requestBodies:
+    thing: {required: true, description: a thing, content: {application/json: {schema: {$ref: '#/components/schemas/Big'}}}}
+  schemas:
+    Base: {required: [id], properties: {id: {type: integer}, name: {type: string, readOnly: true}}}
+    Big:
+      description: A big one
+      allOf: [{$ref: '#/components/schemas/Base'}, {required: [size], properties: {size: {type: number, description: "how\nbig"}}}]
+      properties: {name: {type: array, items: {type: string}}}
+"""
+
+
+def test_openapi_of_yaml_with_compositions(spark):
+    files = spark.createDataFrame([("https://t.example/spec", YAML), ("no", "a: b"), ("odd", "openapi: [unclosed"), ("x", "# openapi"), ("null", None)], "spec_id string, text string")
+    specs = openapi.of_text(files)
+    assert [r.spec_id for r in specs.collect()] == ["https://t.example/spec"]
+    assert [(r.name, r.place, r.required, r.type, r.description) for r in openapi.parameters(specs).orderBy("param_no").collect()] == [("trace", "header", False, "`string (uuid)`", ""), ("body", "body", True, "[Big](/schemas/big.md)", "a thing")]
+    assert openapi.responses(specs).first().type == "[Big](/schemas/big.md) \\| `string`" and openapi.responses(specs).first().description == "made it"
+    big = [(r.property, r.type, r.required) for r in openapi.schema_properties(specs).where("model = 'Big'").orderBy("prop_no").collect()]
+    assert big == [("id", "`integer`", True), ("name", "array of `string`", False), ("size", "`number`", True)]
+    docs = {r.title: r for r in openapi.documents(specs).collect()}
+    assert docs["POST /things - Make one"].url == "https://t.example/api/things" and "* **body** (required): [Big](/schemas/big.md) - a thing\n" in docs["POST /things - Make one"].markdown
+    assert docs["Big Schema Model"].markdown.startswith("A big one\n\n**Composed of**: [Base](/schemas/base.md), `object`\n\n## Schema Properties\n\n| Property")
+    files = {r.path: r.content for r in openapi.bundle(specs, "2024-05-01").collect()}
+    assert set(files) == {"general/post-things.md", "schemas/base.md", "schemas/big.md", "general/index.md", "schemas/index.md", "index.md", "log.md"}
+    assert "* [POST /things](/general/post-things.md) - Make one" in files["index.md"] and files["index.md"].index("GENERAL Section") < files["index.md"].index("SCHEMAS Section") and "1 endpoints in 2 sections" in files["log.md"]
+    made = spark.createDataFrame(list(files.items()), "path string, content string")
+    assert validate.report(validate.checks(made)).first().valid and graph.broken_links(made).count() == 0
+    assert openapi.documents(specs.where("false")).count() == 0 == openapi.bundle(specs.where("false"), "2024-05-01").count()
 
 
 def test_stream(spark, tmp_path):
