@@ -241,7 +241,7 @@ def md_headings(spark, sf_dir):
 
 @_query(f"WITH {_HEADS} SELECT doc_id, CAST(min(level) AS INTEGER) AS split_level FROM (SELECT doc_id, level FROM hd WHERE heading <> '' GROUP BY doc_id, level HAVING count(*) >= 3) GROUP BY doc_id")
 def split_level(spark, sf_dir):
-    return sections.split_level(sections.headings(documents.md_docs(_over_cores(_read(spark, sf_dir, "documents"))), "doc_id", "markdown"), "doc_id")
+    return sections.split_level(documents.md_docs(_over_cores(_read(spark, sf_dir, "documents"))), "doc_id", "markdown")
 
 
 _SPLIT = f"""{_MD}, parts AS (SELECT doc_id, i, regexp_replace(x, '^\\s+|\\s+$', '', 'g') AS body FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i, len(string_split(coalesce(text, ''), chr(10))) AS n FROM documents) WHERE n >= 3),
