@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspark.operators import graph
+
 #: A side of a join is broadcast only if it was counted and has no more rows than this.
 BROADCAST_ROWS = 1_000_000
 #: Rows in a batch that goes to Python, and bytes of text that are hashed at once.
@@ -23,27 +23,21 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """`df` over at least as many partitions as there are cores, for inputs of one small file; Arrow batches are kept small."""
+    """`df` over at least as many partitions as there are cores, for inputs of one small file.
+
+    Arrow batches are kept small, for long texts: Spark reads that setting when a plan runs, so it stays for the session,
+    unless the session has chosen another than Spark's own.
+    """
     spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Writes `df` as Parquet in the shared folder and reads it again: what follows does not depend on any executor that made it."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return graph.cut_lineage(df)
 
 
 def by_ids(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi", limit: int = BROADCAST_ROWS) -> DataFrame:

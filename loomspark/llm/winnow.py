@@ -87,6 +87,22 @@ def windows(df: DataFrame, key: str, size: int, positions: bool) -> DataFrame:
     return df.select(key, F.explode_outer(F.array_distinct("w")).alias("w")).where("w is not null")
 
 
+#: Short items whose windows are looked up inside the rows, at most; more are joined with all windows.
+IN_PLACE = 10_000
+
+
+def short_windows(split: DataFrame, sizes: list[int], short: DataFrame) -> DataFrame:
+    """(doc_id, pos, size, w): the windows of all `sizes` of documents (doc_id, words), in one pass; where `short` (w, size) has few
+    windows, those of the documents that it lacks are left out before anything is exploded."""
+    df = _hashed(split).select("doc_id", "g1")
+    for n in sizes:
+        df = with_grams(df, n, f"w{n}")
+    known = [r.w for r in short.select("w").distinct().limit(IN_PLACE + 1).collect()]
+    of = lambda n: F.transform(f"w{n}", lambda w, i: F.struct(i.alias("pos"), F.lit(n).alias("size"), w.alias("w")))
+    kept = (lambda a: F.filter(a, lambda x: x["w"].isin(known))) if len(known) <= IN_PLACE else (lambda a: a)
+    return df.select("doc_id", F.explode_outer(F.concat(*(kept(of(n)) for n in sizes))).alias("x")).where("x is not null").select("doc_id", "x.*")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Finds the windows of ten words of `benchmark` items in documents.
 
@@ -108,9 +124,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     near = common.by_ids(docs, found, "doc_id").select("doc_id", words_of(F.col("text")).alias("words"))
     hits = windows(near, "doc_id", WINDOW, True).join(side(windows(items, "item_id", WINDOW, False)), "w")
     hits = hits.select("doc_id", "pos", "size", "item_id")
-    for row in items.where(F.size("words") < WINDOW).select(F.size("words").alias("n")).distinct().collect():  # at most nine
-        short = items.where(F.size("words") == row.n)
-        found = windows(split, "doc_id", row.n, True).join(side(windows(short, "item_id", row.n, False)), "w")
+    sizes = sorted(r.n for r in items.where(F.size("words") < WINDOW).select(F.size("words").alias("n")).distinct().collect())  # at most nine
+    if sizes:
+        short = None
+        for n in sizes:
+            own = windows(items.where(F.size("words") == n), "item_id", n, False).withColumn("size", F.lit(n))
+            short = own if short is None else short.unionByName(own)
+        short = common.materialize(short)
+        found = short_windows(split, sizes, short).join(side(short), ["w", "size"])
         hits = hits.unionByName(found.select("doc_id", "pos", "size", "item_id"))
 
     spans = F.array_sort(F.collect_set(F.struct("pos", "size")))
