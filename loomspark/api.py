@@ -1,14 +1,15 @@
-"""The engine's verbs: describe, generate, validate, graph, export."""
+"""The engine's verbs: ingest, generate, validate, graph, export."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions import classify, text
 from loomspark.operators import bundle, documents, graph, sections, validate
+from loomspark.operators import computations as computing
 from loomspark.parsing import markdown as M
 from loomspark.sources import readers
 
@@ -39,41 +40,93 @@ class Bundle:
         return readers.write_zip(self.files, target)
 
 
-def generate(docs: DataFrame, as_of: str, split: bool = True) -> Bundle:
-    """A bundle of documents (doc_ord and the document shape of `readers`).
+def ingest(spark: SparkSession, inputs: list[str], max_files: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, sources, errors) of what a user names, in that order: folders (checked-out repositories), files and tables of pages.
 
-    HTML becomes markdown, front matter is read, catalogues are split into a concept per section, the first document that
-    is or may be the root becomes the overview, paths are reserved in order, links between concepts are rewritten.
+    A folder of Parquet files is a table of page_id, url, html; specifications become a document per endpoint and model;
+    a source that cannot be read is a row of errors (source, type, error). documents: doc_ord and the document shape;
+    sources: ord, source_id, source_type, input, documents. Raises ValueError if nothing gave a document.
     """
-    df = docs.withColumn("raw", F.coalesce("markdown", M.markdown_of(F.col("html"))))
-    df = df.withColumn("fm", M.front_matter_of(F.col("raw"))).withColumn("body", F.col("fm.body"))
-    said = lambda key: F.get_json_object("fm.values", f"$.{key}")
-    heading = F.trim(F.regexp_extract("body", r"(?m)^ {0,3}#\s+(.*?)\s*#*\s*$", 1))
-    title = F.coalesce(F.nullif("title", F.lit("")), said("title"), F.nullif(text.strip_markdown(heading), F.lit("")), documents.page_title(F.coalesce("html", F.lit(""))), text.title_from_path("url"))
-    df = df.withColumn("title", F.when(title == "", text.title_from_path("url")).otherwise(title)).withColumn("description", F.coalesce(said("description"), text.first_sentence("body")))
-    df = df.withColumn("type", F.coalesce(said("type"), classify.concept_type(F.col("title")))).withColumn("section", F.coalesce(F.nullif("section", F.lit("")), F.lit("General")))
-    df = graph.cut_lineage(df.select("doc_ord", "source_id", "url", "section", "is_root", "slug_hint", "title", "description", "type", "body"))
-    whole = df.withColumn("sec_ord", F.lit(0)).withColumn("wants_root", F.coalesce("is_root", F.col("doc_ord") == 0))
+    import os
+
+    docs, errors = None, []
+    for n, value in enumerate(inputs):
+        local = value.removeprefix("file://")
+        kind = "webpage" if value.rstrip("/").endswith(".parquet") else "git" if os.path.isdir(local) else "openapi" if value.lower().endswith((".json", ".yaml", ".yml")) else "upload"
+        try:
+            if kind == "webpage":
+                got = readers.pages(spark.read.parquet(value))
+            elif kind == "git":
+                got = readers.repository(spark, value, max_files)
+            elif kind == "openapi":
+                got = readers.specifications(spark, value)
+            else:
+                got, bad = readers.uploads(spark, value)
+                errors += [(r.source, kind, r.error) for r in bad.collect()]  # of one input
+            got = graph.cut_lineage(got.withColumn("src_ord", F.lit(n)).withColumn("input", F.lit(value)))
+            if got.isEmpty():
+                raise ValueError("no document found")
+        except Exception as e:  # one unreadable source must not end the others
+            errors.append((value, kind, str(e).splitlines()[0][:300]))
+            continue
+        docs = got if docs is None else docs.unionByName(got)
+    failed = spark.createDataFrame(errors, "source string, type string, error string")
+    if docs is None:
+        raise ValueError(f"no source gave a document: {errors}")
+    docs = graph.ranks(docs.withColumn("at", F.struct("src_ord", F.coalesce(~F.col("is_root"), F.lit(True)), "section", "url", "slug_hint")), "at").withColumnRenamed("rank", "doc_ord").drop("at")
+    docs = graph.cut_lineage(docs)
+    sources = docs.groupBy("src_ord").agg(F.min("source_id").alias("source_id"), F.min("source_type").alias("source_type"), F.min("input").alias("input"), F.count("*").alias("documents")).withColumnRenamed("src_ord", "ord")
+    return docs, readers.unique_ids(sources, "ord"), failed
+
+
+def generate(docs: DataFrame, as_of: str, split: bool = True, computations: bool = True, actor: str = "process:loomspark") -> Bundle:
+    """A bundle of documents: doc_ord, source_id, url, html or markdown, and what else `documents.parse_documents` takes.
+
+    Documents are parsed, catalogues are split into a concept per section under an overview, the first document that is or may
+    be the root becomes the overview, paths are reserved in order, links between concepts are rewritten. A concept's first
+    SQL block becomes a computation of its own. The root index lists the sources, where there are several.
+    """
+    df = graph.cut_lineage(documents.parse_documents(docs, "doc_ord", as_of))
+    whole = df.withColumn("sec_ord", F.lit(0)).withColumn("wants_root", F.coalesce("is_root", F.col("doc_ord") == 0)).withColumn("forced", F.lit(None).cast("string"))
+    overviews = None
     if split:
-        parts = graph.cut_lineage(sections.split_sections(df.select("doc_ord", "body"), "doc_ord", "body"))
-        own = sections.section_concepts(parts, df, "doc_ord").join(parts.select("doc_ord", "sec_ord", "body", classify.concept_type(F.col("title")).alias("type")), ["doc_ord", "sec_ord"])
-        own = own.join(df.select("doc_ord", "source_id"), "doc_ord").withColumn("forced", F.col("folder")).withColumn("slug_hint", F.col("slug")).withColumn("wants_root", F.lit(False))
-        whole = whole.join(parts.select("doc_ord").distinct(), "doc_ord", "left_anti")
-        whole = whole.unionByName(own.drop("folder", "slug"), allowMissingColumns=True)
-    else:
-        whole = whole.withColumn("forced", F.lit(None).cast("string"))
-    whole = graph.cut_lineage(whole.withColumn("at", F.struct("doc_ord", "sec_ord")))
-    ranked = graph.cut_lineage(graph.ranks(whole, "at").withColumnRenamed("rank", "ord"))
-    ranked = bundle.elect_root(ranked, "ord")
+        parts = graph.cut_lineage(sections.split_sections(df.where("splittable").select("doc_ord", "body"), "doc_ord", "body"))
+        own = sections.section_concepts(parts, df, "doc_ord").join(parts.select("doc_ord", "sec_ord", "body"), ["doc_ord", "sec_ord"])
+        own = own.join(df.select("doc_ord", "source_id", "source_type", "tags", "author", "site", "last_modified"), "doc_ord").withColumn("type", classify.concept_type(F.col("title")))
+        own = own.withColumn("forced", F.col("folder")).withColumn("slug_hint", F.col("slug")).withColumn("wants_root", F.lit(False))
+        split_docs = parts.where("sec_ord = 0").select("doc_ord", F.col("body").alias("preamble")).join(df, "doc_ord")
+        said = F.regexp_replace("preamble", r"^ {0,3}#\s+[^\n]*\n*", "")
+        overviews = split_docs.select(text.slug("title").alias("folder"), F.struct("title", F.coalesce(F.nullif(said, F.lit("")), "description").alias("body"), F.col("url").alias("resource")).alias("o"), "doc_ord")
+        overviews = graph.cut_lineage(overviews.groupBy("folder").agg(F.max_by("o", "doc_ord").alias("o")).select("folder", "o.*"))
+        whole = whole.join(split_docs.select("doc_ord"), "doc_ord", "left_anti").unionByName(own.drop("folder", "slug"), allowMissingColumns=True)
+    whole = whole.drop("is_root", "splittable").withColumn("at", F.struct("doc_ord", "sec_ord"))
+    ranked = graph.cut_lineage(bundle.elect_root(graph.ranks(whole, "at").withColumnRenamed("rank", "ord"), "ord").drop("at"))
     last = F.regexp_replace(F.element_at(F.split(F.regexp_replace("url", r"[?#].*$|/$", ""), "/"), -1), r"(?i)\.(html?|mdx?|markdown)$", "")
     by_url = F.when(F.col("url").rlike("(?i)^https?://[^/]+/[^?#]"), text.slug(last))
     slug = F.when(F.col("is_root"), "overview").otherwise(F.coalesce(text.truncate_slug(F.when(F.coalesce("slug_hint", F.lit("")) != "", text.slug("slug_hint"))), F.lit("")))
     ranked = ranked.withColumn("slug", F.when(slug != "", slug).otherwise(F.coalesce(by_url, text.truncate_slug(text.slug("title")))))
     ranked = ranked.withColumn("folder", F.coalesce("forced", classify.folder(F.col("section"), F.col("slug"), F.col("is_root"))))
-    concepts = graph.cut_lineage(documents.resolve_paths(ranked.drop("at"), "ord"))
+    found = None
+    keys = ranked.select("ord", "folder", "slug", "source_id")
+    if computations:
+        blocks = ranked.select("ord", "source_id", "title", "url", M.code_blocks_of(F.col("body")).alias("blocks"))
+        first = computing.first_sql_block(blocks, "ord").join(ranked.select("ord", "source_id", "title", "url"), "ord")
+        found = graph.cut_lineage(computing.computation_files(first, "ord", as_of).join(first.select("ord", "source_id"), "ord"))
+        n = ranked.agg(F.coalesce(F.max("ord") + 1, F.lit(0)).alias("n"))  # computations choose their paths after all concepts
+        keys = keys.unionByName(found.crossJoin(F.broadcast(n)).select((F.col("ord") + F.col("n")).alias("ord"), "folder", "slug", "source_id"))
+    paths = graph.cut_lineage(documents.resolve_paths(keys, "ord").select("ord", "path"))
+    concepts = ranked.join(paths, "ord")
+    if computations:
+        found = found.crossJoin(F.broadcast(n)).withColumn("late", F.col("ord") + F.col("n")).join(paths.withColumnRenamed("ord", "late"), "late").select(F.col("ord").alias("key"), "path", "title", "content")
+        found = graph.cut_lineage(found)
+        tip = F.concat(F.lit("> [!TIP]\n> This guide includes a sanctioned executable computation: ["), F.regexp_replace("title", "^Computation: ", ""), F.lit(" Computation](/"), "path", F.lit(")\n\n"))
+        concepts = concepts.join(found.select(F.col("key").alias("ord"), tip.alias("tip")), "ord", "left")
+    concepts = graph.cut_lineage(concepts)
     links = bundle.rewrite_links(bundle.extract_links(concepts, "ord", "body"), bundle.url_dictionary(concepts, "ord"), "ord").where("target is not null")
     swaps = links.groupBy("ord").agg(F.map_from_entries(F.collect_set(F.struct("href", "target"))).alias("to"))
     linked = concepts.join(swaps, "ord", "left")
     swapped = F.aggregate(F.map_entries("to"), F.col("body"), lambda b, e: F.replace(b, F.concat(F.lit("]("), e["key"], F.lit(")")), F.concat(F.lit("]("), e["value"], F.lit(")"))))
-    linked = linked.withColumn("body", F.when(F.col("to").isNull(), F.col("body")).otherwise(swapped)).drop("to")
-    return Bundle(linked, graph.cut_lineage(bundle.bundle_files(linked, "ord", as_of)))
+    linked = graph.cut_lineage(linked.withColumn("body", F.when(F.col("to").isNull(), F.col("body")).otherwise(swapped)).drop("to"))
+    labels = F.create_map(*(F.lit(x) for pair in readers.LABELS.items() for x in pair))
+    sources = df.groupBy("source_id").agg(F.min("doc_ord").alias("ord"), F.min_by("url", "doc_ord").alias("url"), F.coalesce(labels[F.min("source_type")], F.lit("Source")).alias("label"), F.count("*").alias("n")).withColumnRenamed("source_id", "name")
+    return Bundle(linked, graph.cut_lineage(bundle.bundle_files(linked, "ord", as_of, actor, overviews, found, sources)))

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomspark.functions import classify, text, url
+from loomspark.functions.classify import TAG_WORDS
+from loomspark.operators import graph
+from loomspark.parsing import markdown as M
+from loomspark.parsing import pages
 
-#: Words that become tags where a title has them as a word or a description anywhere.
-TAG_WORDS = ("bigquery", "dataform", "sql", "migration", "export", "load", "transform", "elt", "etl", "pipeline", "storage", "dataset", "table")
 
 
 def page_title(html: Column) -> Column:
@@ -30,7 +32,7 @@ def page_description(html: Column) -> Column:
     return F.when(meta != "", text.decode_entities(meta)).otherwise(said)
 
 
-def page_concepts(pages: DataFrame) -> DataFrame:
+def page_concepts(table: DataFrame) -> DataFrame:
     """(page_id, url, title, section, source_id, slug, folder) of each page; a null html or url gives the defaults.
 
     Section and folder come from the URL; the slug is that of the path's last part without its ending, else of the title.
@@ -39,7 +41,7 @@ def page_concepts(pages: DataFrame) -> DataFrame:
     section = F.coalesce(url.url_section(F.col("url")), F.lit("General"))
     parts = url.path_parts(F.col("url"))
     last = F.when(F.size(parts) > 0, F.regexp_replace(F.element_at(F.when(F.size(parts) > 0, parts), -1), r"(?i)\.(html?|mdx?|markdown)$", ""))
-    df = pages.select("page_id", "url", title.alias("title"), section.alias("section"), url.source_id(F.col("url")).alias("source_id"), last.alias("last"))
+    df = table.select("page_id", "url", title.alias("title"), section.alias("section"), url.source_id(F.col("url")).alias("source_id"), last.alias("last"))
     df = df.withColumn("slug", F.when(F.col("last").isNotNull(), text.slug("last")).otherwise(text.truncate_slug(text.slug("title")))).drop("last")
     return df.withColumn("folder", classify.folder(F.col("section"), F.col("slug")))
 
@@ -52,49 +54,79 @@ def tags(title: Column, description: Column, section: Column) -> Column:
     return F.array_distinct(F.concat(F.array(F.regexp_replace(F.lower(section), "[^a-z0-9]+", "-")), found))
 
 
-def reserve_paths(concepts: DataFrame, key: str) -> DataFrame:
-    """Adds `path`, free of collisions: the first concept of a (folder, slug), by `key`, has the plain name, the next ones
-    the name with their source's, from the second of a source on with a number.
-
-    Where a suffixed name equals another concept's name, later ones move on (`resolve_paths`). `index` and `log` are
-    reserved for the bundle's own files: concepts of that name count as colliding.
-    """
-    first = Window.partitionBy("folder", "slug").orderBy(key)
-    taken = F.col("slug").isin("index", "log").cast("int")
-    df = concepts.withColumn("n", F.row_number().over(first) + taken)
-    again = Window.partitionBy("folder", "slug", "source_id", F.col("n") > 1).orderBy(key)
-    df = df.withColumn("m", F.row_number().over(again))
-    name = F.when(F.col("n") == 1, F.col("slug")).when(F.col("m") == 1, F.concat_ws("-", "slug", "source_id")).otherwise(F.concat_ws("-", "slug", "source_id", F.col("m").cast("string")))
-    where = F.concat(F.when(F.col("folder") == "", "").otherwise(F.concat("folder", F.lit("/"))), name, F.lit(".md"))
-    return df.withColumn("path", where).drop("n", "m")
-
-
 def resolve_paths(concepts: DataFrame, key: str) -> DataFrame:
-    """As `reserve_paths`, and exact where a suffixed name is itself another concept's: such folders are folded in order.
+    """Adds `path`, free of collisions, as if the concepts chose one after the other, by `key`.
+
+    A concept takes the first free one of: its plain name, the name with its source's, the same with 2, 3, ... at the end.
+    `index` and `log` are reserved for the bundle's own files. concepts: key (unique), folder, slug, source_id.
 
-    Only folders with a repeated path are grouped; a fold is needed as each name depends on all names before it.
+    All choose at once, and of those that meet on a path all but the first move on, until none meet: as everyone prefers
+    earlier names and every path earlier concepts, this ends where the choice in order does. The n-th concept of one folder,
+    name and source cannot have an earlier than its n-th choice, so it begins there and keeps its distance from the ones
+    before it. Only narrow rows take part.
+    """
+    group = ["folder", "slug", "source_id"]
+    own = concepts.select(key, *(F.coalesce(c, F.lit("")).alias(c) for c in group))
+    state = graph.grouped_ranks(own, group, key, "turn").withColumn("turn", F.col("turn") + F.col("slug").isin("index", "log").cast("int"))
+    name = F.when(F.col("turn") == 0, F.col("slug")).when(F.col("turn") == 1, F.concat_ws("-", "slug", "source_id")).otherwise(F.concat_ws("-", "slug", "source_id", F.col("turn").cast("string")))
+    path = F.concat(F.when(F.col("folder") == "", "").otherwise(F.concat("folder", F.lit("/"))), name, F.lit(".md"))
+    state = graph.cut_lineage(state)
+    while True:
+        placed = state.withColumn("path", path)
+        met = graph.cut_lineage(placed.groupBy("path").agg(F.min(key).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+        if met.isEmpty():
+            break
+        losers = placed.join(met, "path").where(F.col(key) != F.col("first")).select(key, F.lit(1).alias("moves"))
+        moved = state.join(losers, key, "left").withColumn("turn", F.col("turn") + F.coalesce("moves", F.lit(0))).drop("moves")
+        touched = moved.join(losers, key, "left_semi").select(*group).distinct()
+        inside = Window.partitionBy(*group).orderBy(key)
+        again = moved.join(touched, group, "left_semi").withColumn("at", F.row_number().over(inside))
+        again = again.withColumn("turn", F.max(F.col("turn") - F.col("at")).over(inside) + F.col("at")).drop("at")
+        state = graph.cut_lineage(moved.join(touched, group, "left_anti").unionByName(again))
+    return concepts.join(placed.select(key, "path"), key)
+
+
+#: What a document may say about itself beside its text, and the types.
+SAID = {"html": "string", "markdown": "string", "section": "string", "is_root": "boolean", "title": "string", "description": "string", "type": "string", "tags": "array<string>", "author": "string", "site": "string", "last_modified": "string", "slug_hint": "string", "source_type": "string", "splittable": "boolean", "link_root": "string", "absolute_links": "boolean"}
+#: Characters of a description.
+DESCRIPTION = 400
+
+
+def parse_documents(docs: DataFrame, key: str, as_of: str) -> DataFrame:
+    """(key, source_id, source_type, url, section, is_root, slug_hint, splittable, title, description, type, tags, author, site, last_modified, body).
+
+    docs: key, source_id, url, html or markdown and any of SAID. What the source says of a document counts before what its
+    front matter says, this before what is found in its text. Relative links of markdown become absolute, unless
+    `absolute_links` is false. Of a document without any date, `as_of` is the date. A first heading that repeats the title goes.
     """
-    placed = reserve_paths(concepts, key)
-    clash = placed.groupBy("folder", "path").agg(F.count("*").alias("n")).where("n > 1").select("folder").distinct()
-    fine = placed.join(clash, "folder", "left_anti")
-
-    def fold(rows):
-        taken, out = {"index", "log"}, []
-        for slug, source in zip(rows["slug"], rows["source_id"]):
-            name, n = slug, 1
-            while name in taken:
-                name = f"{slug}-{source}" if n == 1 else f"{slug}-{source}-{n}"
-                n += 1
-            taken.add(name)
-            out.append(name)
-        prefix = rows["folder"].map(lambda f: f"{f}/" if f else "")
-        return rows.assign(path=prefix + rows["slug"].__class__(out, index=rows.index) + ".md")
-
-    def ordered(rows):
-        return fold(rows.sort_values(key, kind="stable"))
-
-    again = placed.join(clash, "folder", "left_semi").groupBy("folder").applyInPandas(ordered, placed.schema)
-    return fine.unionByName(again)
+    for name, kind in SAID.items():
+        if name not in docs.columns:
+            docs = docs.withColumn(name, F.lit(None).cast(kind))
+    some = lambda c: F.nullif(F.trim(F.coalesce(c, F.lit(""))), F.lit(""))
+    df = docs.withColumn("is_md", F.col("markdown").isNotNull()).withColumn("fm", M.front_matter_of(F.col("markdown"))).withColumn("p", pages.page_of(F.col("html"), F.col("url"), as_of))
+    df = df.withColumn("body", F.when(F.col("is_md"), M.absolute_links_of(F.col("fm.body"), F.when(F.coalesce("absolute_links", F.lit(True)), F.col("url")), F.col("link_root"))).otherwise(M.markdown_of(F.col("html"))))
+    df = graph.cut_lineage(df.drop("html", "markdown"))
+    values = F.col("fm.values")
+    said = lambda *keys: F.when(F.col("is_md"), F.coalesce(*(some(F.get_json_object(values, f"$.{k}")) for k in keys)))
+    page = lambda field: F.when(~F.col("is_md"), some(F.col(f"p.{field}")))
+    heading = some(text.strip_markdown(F.regexp_extract("body", r"(?m)^ {0,3}#\s+(.*?)\s*#*\s*$", 1)))
+    of_path = text.title_from_path("url")
+    title = F.coalesce(some(F.col("title")), some(text.strip_markdown(said("title"))), page("title"), heading, of_path)
+    listed = F.coalesce(F.get_json_object(values, "$.tags"), F.get_json_object(values, "$.keywords"))
+    listed = F.when(F.startswith(listed, F.lit("[")), F.from_json(listed, "array<string>")).otherwise(F.split(listed, ","))
+    none = F.array().cast("array<string>")
+    df = df.withColumn("title", title).withColumn("section", F.coalesce(some(F.col("section")), said("section"), page("section"), F.lit("General")))
+    tags = F.concat(F.when(F.col("is_md"), F.concat(F.coalesce(listed, none), F.array(F.regexp_replace(F.lower("section"), "[^a-z0-9]+", "-")))).otherwise(F.coalesce("p.tags", none)), F.coalesce("tags", none))
+    tags = F.array_distinct(F.filter(F.transform(tags, lambda t: F.lower(F.trim(t))), lambda t: F.coalesce(t, F.lit("")) != ""))
+    about = F.coalesce(some(F.col("description")), some(F.left(text.strip_markdown(F.coalesce(said("description", "summary"), F.when(F.col("is_md"), text.first_paragraph("body")))), F.lit(DESCRIPTION))), page("description"), F.concat("title", F.lit(" documentation.")))
+    body = F.trim(F.regexp_replace("body", r"^\s+|\s+$", ""))
+    first = F.regexp_extract(body, r"^ {0,3}#\s+(.*?)\s*(?:\n|$)", 1)
+    body = F.when(F.col("is_md") & (first != "") & (text.strip_markdown(first) == F.col("title")), F.regexp_replace(body, r"^[^\n]*\n*\s*", "")).otherwise(body)
+    return df.select(
+        key, "source_id", "source_type", "url", "section", "is_root", "slug_hint", F.coalesce("splittable", F.lit(True)).alias("splittable"), "title", about.alias("description"),
+        F.coalesce(some(F.col("type")), said("type"), classify.concept_type(F.col("title"))).alias("type"), tags.alias("tags"), F.coalesce(some(F.col("author")), said("author"), page("author"), F.lit("Documentation Team")).alias("author"),
+        F.coalesce(some(F.col("site")), said("site_name"), page("site")).alias("site"), F.substring_index(F.coalesce(some(F.col("last_modified")), said("last_modified", "date"), page("last_modified"), F.lit(as_of)), "T", 1).alias("last_modified"), body.alias("body"),
+    )
 
 
 def md_docs(documents: DataFrame) -> DataFrame:

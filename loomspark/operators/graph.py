@@ -148,3 +148,16 @@ def ranks(df: DataFrame, by: str, start: int = 0) -> DataFrame:
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")  # a row per partition
     inside = F.row_number().over(Window.partitionBy("part").orderBy(by))
     return parts.withColumn("inside", inside).join(F.broadcast(before), "part").withColumn("rank", F.col("before") + F.col("inside") - 1 + start).drop("part", "before", "inside")
+
+
+def grouped_ranks(df: DataFrame, groups: list[str], by: str, name: str) -> DataFrame:
+    """Adds `name`: the place (from 0) of each row in its group by `by`, groups of any size: a group that lies in several sorted
+    range partitions is counted in each of them."""
+    parts = df.repartitionByRange(*groups, by).withColumn("part", F.spark_partition_id())
+    parts = cut_lineage(parts)
+    counts = parts.groupBy("part", *groups).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*groups).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row per partition of a group
+    before = counts.withColumn("before", before).where("before is not null").drop("n")
+    inside = F.row_number().over(Window.partitionBy("part", *groups).orderBy(by))
+    out = parts.withColumn("inside", inside).join(before, ["part", *groups], "left")
+    return out.withColumn(name, (F.col("inside") - 1 + F.coalesce("before", F.lit(0))).cast("long")).drop("part", "inside", "before")

@@ -245,6 +245,17 @@ def markdown_of(c: Column) -> Column:
     return run(c)
 
 
+def absolute_links_of(body: Column, base: Column, root: Column) -> Column:
+    """absolute_links over columns."""
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for bodies, bases, roots in batches:
+            yield pd.Series([absolute_links(b, x or "", r or "") for b, x, r in zip(bodies, bases, roots)], dtype=object)
+
+    return run(body, base, root)
+
+
 def code_blocks_of(c: Column) -> Column:
     """code_blocks over a column."""
 

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomspark.operators.documents import TAG_WORDS
+from loomspark.functions.classify import TAG_WORDS
 from loomspark.parsing import markdown as M
 
 _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}

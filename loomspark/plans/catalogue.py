@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomspark import api
 from loomspark.functions import classify, text, url
 from loomspark.operators import attest, bundle, computations, documents, graph, openapi, sections, trust, validate
 from loomspark.parsing import markdown, pages
+from loomspark.sources import readers
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -78,7 +80,7 @@ _CONCEPTS = f"""c0 AS (SELECT page_id, url, {_TITLE} AS title, {_SECTION} AS sec
 
 def _concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _over_cores(_read(spark, sf_dir, "pages"))
-    return documents.reserve_paths(documents.page_concepts(pages), "page_id")
+    return graph.cut_lineage(documents.resolve_paths(documents.page_concepts(pages), "page_id"))
 
 
 # ---------------------------------------------------------------- pages and URLs
@@ -314,6 +316,27 @@ def bundle_summary(spark, sf_dir):
     return bundle.summary(_concepts(spark, sf_dir))
 
 
+def _generated(spark, sf_dir):
+    """The files of a bundle made of all pages, from html to front matter and indexes."""
+    table = _over_cores(_read(spark, sf_dir, "pages"))
+    return api.generate(readers.pages(table, "doc_ord"), TODAY).files
+
+
+_MADE = f"""{_CONCEPTS.replace('c1 AS (SELECT *, ' + _FOLDER + ' AS folder FROM c0)', "c1 AS (SELECT * REPLACE (CASE WHEN page_id = (SELECT min(page_id) FROM pages) THEN 'overview' ELSE slug END AS slug), CASE WHEN page_id = (SELECT min(page_id) FROM pages) THEN '' ELSE " + _FOLDER + " END AS folder FROM c0)")},
+  made AS (SELECT path, 'concept' AS role FROM concepts UNION ALL SELECT DISTINCT folder || '/index.md', 'index' FROM concepts WHERE folder <> '' UNION ALL VALUES ('index.md', 'root_index'), ('log.md', 'log'))"""
+
+
+@_query(f"WITH {_MADE} SELECT path, role FROM made")
+def generated_bundle(spark, sf_dir):
+    return _generated(spark, sf_dir).select("path", classify.file_role(F.col("path")).alias("role"))
+
+
+@_query(f"WITH {_MADE} SELECT true AS valid, 0 AS errors, 0 AS warnings, sum(CASE role WHEN 'concept' THEN 7 WHEN 'index' THEN 1 ELSE 2 END) AS n_checks FROM made")
+def generated_checks(spark, sf_dir):
+    """A generated bundle passes every check: seven of each concept, one of each folder's index, two each of root index and log."""
+    return validate.report(validate.checks(_generated(spark, sf_dir)))
+
+
 # ---------------------------------------------------------------- files: validation, graph, trust
 
 

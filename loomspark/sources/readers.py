@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomspark.functions import classify, text, url
+from loomspark.operators import graph, openapi
 
 #: The document shape that every source is brought into.
-DOCUMENT = "source_id string, source_type string, url string, section string, is_root boolean, html string, markdown string, title string, author string, last_modified string, slug_hint string"
+DOCUMENT = "source_id string, source_type string, url string, section string, is_root boolean, html string, markdown string, title string, author string, last_modified string, slug_hint string, description string, type string, tags array<string>, splittable boolean, absolute_links boolean, link_root string, site string"
 UPLOADS = ("md", "mdx", "markdown", "txt", "docx", "pdf")
 MAX_UPLOAD = 25 * 1024 * 1024
 LABELS = {"webpage": "Web page", "openapi": "API specification", "git": "Git repository", "markdown": "Markdown", "upload": "Uploaded document"}
@@ -55,24 +56,24 @@ def unique_ids(docs: DataFrame, key: str) -> DataFrame:
     return docs.withColumn("n", n).withColumn("source_id", F.when(F.col("n") == 1, F.col("source_id")).otherwise(F.concat_ws("-", "source_id", F.col("n").cast("string")))).drop("n")
 
 
-def pages(table: DataFrame) -> DataFrame:
-    """A table of page_id, url, html as documents; the first page is the root."""
+def pages(table: DataFrame, key: str | None = None) -> DataFrame:
+    """A table of page_id, url, html as documents; the first page is the root. With `key`, page_id stays as a column of that name."""
     first = table.agg(F.min("page_id").alias("first"))
     df = table.join(F.broadcast(first))  # one row
-    return _shaped(df.select(url.source_id(F.col("url")).alias("source_id"), F.lit("webpage").alias("source_type"), "url", url.url_section(F.col("url")).alias("section"), (F.col("page_id") == F.col("first")).alias("is_root"), "html"))
+    return _shaped(df.select(url.source_id(F.col("url")).alias("source_id"), F.lit("webpage").alias("source_type"), "url", url.url_section(F.col("url")).alias("section"), (F.col("page_id") == F.col("first")).alias("is_root"), "html", *([F.col("page_id").alias(key)] if key else [])))
 
 
 def markdown_files(spark: SparkSession, path: str) -> DataFrame:
     """Markdown files below a folder, a document each."""
-    files = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(path).withColumn("url", F.input_file_name())
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("url"))
     files = files.where(F.col("url").rlike(r"(?i)\.(md|mdx|markdown)$"))
-    return _shaped(files.select(text.slug(text.title_from_path("url")).alias("source_id"), F.lit("markdown").alias("source_type"), "url", url.markdown_section(F.col("url")).alias("section"), F.col("url").rlike(r"(?i)readme\.md$").alias("is_root"), F.col("value").alias("markdown"), text.title_from_path("url").alias("title")))
+    return _shaped(files.select(text.slug(text.title_from_path("url")).alias("source_id"), F.lit("markdown").alias("source_type"), "url", url.markdown_section(F.regexp_replace("url", "^file:/+", "https://local/")).alias("section"), F.col("url").rlike(r"(?i)readme\.md$").alias("is_root"), F.col("value").alias("markdown"), text.title_from_path("url").alias("title")))
 
 
 def repository(spark: SparkSession, path: str, max_files: int = 100, sub_path: str = "") -> DataFrame:
     """Documents of a checked-out repository: the first `max_files` ingestible files by rank; file names are ranked before any content is read.
 
-    Files outside `sub_path` are left out, unless nothing is inside.
+    Files outside `sub_path` are left out, unless nothing is inside. Specifications become a document per endpoint and model.
     """
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
     names = listing.withColumn("name", F.regexp_replace("path", "^.*?" + re.escape(path.removeprefix("file://").strip("/")) + "/", "")).where(classify.is_ingestible(F.col("name")))
@@ -81,9 +82,26 @@ def repository(spark: SparkSession, path: str, max_files: int = 100, sub_path: s
         inside = names
     chosen = inside.orderBy(classify.repo_rank(F.col("name")), "name").limit(max_files)
     content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    df = content.join(F.broadcast(chosen), "path")  # at most max_files names
+    df = graph.cut_lineage(content.join(F.broadcast(chosen), "path"))  # at most max_files names
     name = F.col("name")
-    return _shaped(df.select(F.lit(text_slug(path)).alias("source_id"), F.lit("git").alias("source_type"), F.col("path").alias("url"), classify.repo_section(name).alias("section"), name.rlike(r"(?i)^readme\.mdx?$").alias("is_root"), F.decode("content", "UTF-8").alias("markdown"), text.title_from_path(name).alias("title")))
+    spec = name.rlike(classify.SPEC_PATH)
+    apis = _api_documents(df.where(spec).select(F.col("path").alias("spec_id"), F.decode("content", "UTF-8").alias("text"))).withColumn("source_id", F.lit(text_slug(path))).withColumn("source_type", F.lit("git"))
+    df = df.where(~spec)
+    return apis.unionByName(_shaped(df.select(F.lit(text_slug(path)).alias("source_id"), F.lit("git").alias("source_type"), F.col("path").alias("url"), classify.repo_section(name).alias("section"), name.rlike(r"(?i)^readme\.mdx?$").alias("is_root"), F.decode("content", "UTF-8").alias("markdown"))))
+
+
+def specifications(spark: SparkSession, path: str) -> DataFrame:
+    """API specifications, JSON or YAML, as documents: one per endpoint and tag, then one per model. Files that are none give no row."""
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("spec_id"), F.col("value").alias("text"))
+    return _api_documents(files.where(F.col("spec_id").rlike(r"(?i)\.(json|ya?ml)$")))
+
+
+def _api_documents(files: DataFrame) -> DataFrame:
+    specs = graph.cut_lineage(openapi.of_text(files))
+    head = openapi.heads(specs).select("spec_id", "api", "contact")
+    df = openapi.documents(specs).join(head, "spec_id")
+    author = F.coalesce(F.col("contact")["name"], F.lit("API Provider"))
+    return _shaped(df.select(text.slug("api").alias("source_id"), F.lit("openapi").alias("source_type"), F.coalesce("url", "spec_id").alias("url"), "section", F.lit(False).alias("is_root"), "markdown", "title", author.alias("author"), F.col("slug").alias("slug_hint"), "description", "type", "tags", F.lit(False).alias("splittable"), F.lit(False).alias("absolute_links"), F.col("api").alias("site")))
 
 
 def text_slug(path: str) -> str:

