@@ -69,7 +69,7 @@ def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
 
 def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
-    if len(_powers.get(base, ())) < n:
+    if base not in _powers or len(_powers[base]) < n:
         size = max(n, 1 << 16)
         p = np.full(size, np.uint64(base), dtype=np.uint64)
         p[0] = 1

@@ -167,6 +167,31 @@ def test_lines_of_repeated_ids(spark):
     assert sorted(((r.doc_id, r.line_no, r.kept) for r in got.collect()), key=order) == sorted(want, key=order)
 
 
+def test_long_texts_and_short_items(spark, monkeypatch):
+    """A passage far inside a long text; items of one to nine words, looked up in place or joined."""
+    r = random.Random(2)
+    words = [f"w{i}" for i in range(400)]
+    long = [r.choice(words) for _ in range(60_000)]
+    items = {n: " ".join(long[30_000 + 50 * n : 30_000 + 51 * n]) for n in range(1, 10)} | {20: " ".join(long[-12:])}
+    docs = spark.createDataFrame([(1, " ".join(long)), (2, "nothing of it"), (3, items[9])], "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    want = {}
+    for d, text in ((1, long), (2, ["nothing", "of", "it"]), (3, items[9].split())):
+        hit, found = set(), set()
+        for i, item in items.items():
+            own = item.split()
+            windows = {tuple(own[k : k + 10]) for k in range(max(1, len(own) - 9))}
+            n = min(10, len(own))
+            for at in range(len(text) - n + 1):
+                if text[at] in item and tuple(text[at : at + n]) in windows:
+                    hit.update(range(at, at + n))
+                    found.add(i)
+        want[d] = (len(text), len(hit), len(found))
+    for most in (winnow.IN_PLACE, 2):
+        monkeypatch.setattr(winnow, "IN_PLACE", most)
+        assert {x.doc_id: (x.n_words, x.n_hit, x.n_items) for x in winnow.decontaminate(docs, bench).collect()} == want
+
+
 def test_decontamination(spark, docs, texts):
     word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
     items = {7: " ".join((texts[8] or "").split()[35:60]), 10: "one", 2: None, 3: "", 4: "..!", 5: "W1 w2", 11: (texts[0] or "")[:200]}

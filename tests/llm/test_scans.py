@@ -197,6 +197,51 @@ def test_statistics_of_odd_texts():
     assert x.shape == (6, quality.N_FEATURES) and np.isfinite(x).all() and not x[:2].any()
 
 
+def test_statistics_against_plain_counts():
+    """Every statistic of odd texts, counted with Python's own strings, one text at a time."""
+    import math
+    from collections import Counter
+
+    texts = ["", "One two two\nOne two two\n\nthree!", "é É ñ, 1 2 33. (a) [b] @c #d", "x", " \n ", "a b a b a b\na b", "no end\n", "ab\x00\x7f\u2028 cd", "long " * 3000, "LINE\r\nLINE\r\nline"]
+    kinds = quality._KINDS
+
+    def plain(text):
+        raw = text.encode()
+        words = re.findall(rb"[^ \t\n\r\x0b\x0c]+", raw)
+        words = [w.translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")) for w in words]
+        pairs, lines = list(zip(words, words[1:])), [x for x in raw.split(b"\n") if x]
+        counts = [sum(b in k for b in raw) for k in kinds]
+        counts.append(len(raw) - sum(counts))
+        share = lambda a, b: a / b if b else 0.0
+        most = lambda x: max(Counter(x).values(), default=0)
+        letters = counts[0] + counts[1] + counts[14]
+        return [*(share(c, len(raw)) for c in counts), math.log1p(len(raw)), math.log1p(len(words)), share(len(raw), len(words)), share(len(set(words)), len(words)), share(most(words), len(words)), share(len(set(pairs)), len(pairs)), share(most(pairs), len(pairs)), math.log1p(len(lines)), share(len(words), len(lines)), share(len(set(lines)), len(lines)), share(most(lines), len(lines)), share(counts[1], letters)]
+
+    assert np.allclose(quality.statistics(pa.array(texts)), [plain(t) for t in texts])
+
+
+def test_trees_of_all_rows_against_a_walk():
+    r = np.random.default_rng(3)
+    x = r.normal(size=(500, 6))
+    trees = quality.fit(x, (x[:, 1] * x[:, 4] > 0).astype(float))
+    for row, score in zip(x, trees.score(x)):
+        total = trees.base
+        for feature, threshold, leaf in zip(trees.feature, trees.threshold, trees.leaf):
+            k = 0
+            while k < len(feature):
+                k = 2 * k + 1 + int(row[feature[k]] > threshold[k])
+            total += leaf[k - len(feature)]
+        assert np.isclose(score, 1 / (1 + np.exp(-total)))
+
+
+def test_quality_of_clashing_columns_and_no_documents(spark):
+    schema = "doc_id long, text string, score string, quality string, held_out string, label string"
+    docs = spark.createDataFrame([(1, "some words", "x", "1", "x", "y"), (1, None, None, None, None, None), (None, "", "x", "x", "x", "x")], schema)
+    labels = spark.createDataFrame([(1, 1, "x"), (1, 0, None), (None, 1, "x"), (2, None, "x")], "doc_id long, quality int, text string")
+    assert quality.score_quality(docs, labels).count() == 3
+    assert quality.score_quality(docs.where("false"), labels).count() == 0
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 def test_quality_is_learned(spark):
     sf = "/root/testdata/sf0.01"
@@ -358,6 +403,25 @@ def test_neighbours_of_a_hot_vector_and_odd_ids(spark):
     assert got[got.query_id == 400].sort_values("rank").vec_id.tolist() == [0, 1, 2, 3, 4] and len(got) == 35
 
 
+def test_stages_of_no_documents_and_odd_rows(spark):
+    """An empty table stays empty; null ids, null texts, repeated ids and clashing columns pass all stages."""
+    import corpus_pipeline as p
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, line_no string, id string, kept string"
+    line = "a line of text that is long enough to count as one"
+    rows = [(1, f"{line}\nfirst", "en", "s", 1, "x", "x", "x"), (1, f"other\n{line}", "en", "s", 1, None, None, None), (2, None, None, None, None, "x", "x", "x"), (None, f"{line}\nlast", "en", "s", 1, "x", "x", "x"), (3, "", "en", "s", 0, "x", "x", "x")]
+    docs = spark.createDataFrame(rows, schema)
+    for frame, n in ((docs, 5), (docs.where("false"), 0)):
+        cut = p.line_filter(spark, frame, SF)
+        assert cut.columns == list(p.COLUMNS) and cut.count() == n
+        for stage in (p.near_duplicate_filter, p.decontaminate) if os.path.isdir(SF) else (p.near_duplicate_filter,):
+            assert stage(spark, frame, SF).columns == list(p.COLUMNS)
+        assert (p.pack(spark, frame, SF).count() > 0) == (n > 0)
+    # The document without id comes first and stays whole; of two texts of one id each loses its own line.
+    kept = sorted((r.doc_id or 0, r.text) for r in p.line_filter(spark, docs, SF).collect() if r.text)
+    assert kept == [(0, f"{line}\nlast"), (1, "first"), (1, "other")]
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 def test_pipeline(spark):
     """Each stage on its own input: what it drops is what its operator finds, and the packing holds every kept document."""
