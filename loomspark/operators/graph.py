@@ -124,10 +124,9 @@ def crawl(edges: DataFrame, seeds: DataFrame, known: DataFrame, max_depth: int |
         met = fetched.join(edges, F.col("url") == F.col("src"))
         to = F.struct("ord", "pos", *([F.coalesce("section", "above").alias("section")] if sections else []))
         found = met.groupBy(F.col("dst").alias("url")).agg(F.min(F.struct("ord", "pos")).alias("at"), F.min_by(to, F.struct("ord", "pos")).alias("to")).join(queued, "url", "left_anti")
-        # Places of a level: range-partitioned by (parent, link), so that ranks come without one task for all; written once.
+        # Places of a level: range-partitioned by (parent, link), so that ranks come without one task for all.
         level = ranks(found.select("url", "at", *([out.alias("section")] if sections else [])), "at").select("url", F.lit(d).alias("depth"), (F.col("rank") + seen).alias("ord"), *also)
-        if max_pages is not None:
-            level = level.where(F.col("ord") < 2 * max_pages)
+        level = cut_lineage(level if max_pages is None else level.where(F.col("ord") < 2 * max_pages))
         n = level.count()
         if not n:
             break
