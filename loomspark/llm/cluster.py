@@ -43,23 +43,24 @@ def components(links: DataFrame) -> DataFrame:
     return ends.unionByName(links.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def blockwise(now: DataFrame, by: str, payload: DataFrame, weight: Column, block: int, links_of: Callable[[pa.Table], pa.Table], group_rows: int) -> DataFrame:
+def blockwise(now: DataFrame, by: str, payload: DataFrame, weight: Column, block: int, links_of: Callable[[pa.Table], pa.Table]) -> DataFrame:
     """Links (a, b) of members outside their bucket's major component with any other of the same `by`, found inside tasks.
 
     now: key, id, component, major; by: one of its columns; payload: id and what links_of needs. The members of one `by` are
     dealt into blocks of about `block` of the summed weight, guests (members outside the major component) go to every block
-    of it; small ones share a task, about `group_rows` rows at a time. links_of takes the rows of one block (id, component,
+    of it; small ones share a task, of about `block` of the summed weight as well. links_of takes the rows of one block (id, component,
     guest and the payload) and returns the links of its guests: only those leave the task, not the pairs.
     """
     region = now.groupBy(by, "id", "component").agg(F.max(F.col("component") != F.col("major")).alias("guest")).join(payload, "id")
     blocks = lambda n: F.greatest(F.ceil(F.coalesce(n, F.lit(0)) / block), F.lit(1)).cast("int")
-    sizes = region.groupBy(by).agg(blocks(F.sum(weight)).alias("nh"), blocks(F.sum(F.when(F.col("guest"), weight))).alias("ng"))
-    region = region.join(sizes, by)
+    sizes = region.groupBy(by).agg(F.sum(weight).alias("weight"), blocks(F.sum(weight)).alias("nh"), blocks(F.sum(F.when(F.col("guest"), weight))).alias("ng"))
+    sizes = common.materialize(sizes)  # a row per region
+    groups = max(1, int((sizes.agg(F.sum("weight")).first()[0] or 0) // block))
+    region = region.join(sizes.drop("weight"), by)
     share = lambda k: F.pmod(F.xxhash64("id"), F.col(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
     held = region.withColumn("guest", F.lit(False)).withColumn("h", share("nh")).withColumn("g", every("ng"))
     guests = region.where("guest").withColumn("g", share("ng")).withColumn("h", every("nh"))
-    groups = max(1, now.count() // group_rows)
     rows = held.unionByName(guests).drop("nh", "ng").withColumnRenamed(by, "region").withColumn("at", F.pmod(F.xxhash64("region"), F.lit(groups)))
 
     def run(table: pa.Table) -> pa.Table:

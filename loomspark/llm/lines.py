@@ -266,7 +266,7 @@ def line_classes(docs: DataFrame, edits: int = EDITS, chars: int = CHARS) -> Dat
         return both.select("a", "b", "x", "y").mapInArrow(_near_rows(edits), "a long, b long")
 
     def rest(now: DataFrame) -> DataFrame:
-        return cluster.blockwise(now, "key", texts, F.lit(1), BLOCK, _block_links(edits), 2000)
+        return cluster.blockwise(now, "key", texts, F.lit(1), BLOCK, _block_links(edits))
 
     comps = cluster.linked(members, verify, rest)
     near = common.materialize(comps.where("component != id").select("component").distinct())

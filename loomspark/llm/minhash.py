@@ -165,7 +165,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = SIMILAR
     def rest(now: DataFrame) -> DataFrame:
         # A region is a major component with what shares its buckets.
         sets = sets_of(now.select(F.col("id").alias("doc_id")))
-        return cluster.blockwise(now, "major", sets, F.size("shingles"), BLOCK, _block_links(least, most), 2000)
+        return cluster.blockwise(now, "major", sets, F.size("shingles"), BLOCK, _block_links(least, most))
 
     comps = cluster.linked(members, verify, rest).withColumnRenamed("id", "rep")
     classes = same.join(comps, "rep", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
