@@ -148,7 +148,7 @@ def html_to_markdown(source: str | None) -> str:
     """A page's article (else its main element, else its body) as markdown; runs of blank lines and empty headings go."""
     source = source or ""
     for tag in ("article", "main", "body"):
-        m = re.search(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", source)
+        m = re.search(rf"(?is)<{tag}\b[^>]*>(.*?)(?:</{tag}\s*>|\Z)", source)
         if m and (tag == "body" or len(re.sub(r"<[^>]*>", "", m[1]).strip()) > 100):
             source = m[1]
             break

@@ -477,7 +477,22 @@ def crawl_bfs(spark, sf_dir):
 # ---------------------------------------------------------------- parsing inside Arrow batches
 
 
-@_query()
+def _replaced(x: str, *pairs: tuple[str, str]) -> str:
+    for old, new in pairs:
+        x = f"replace({x}, '{old}', {new})"
+    return x
+
+
+#: The article of a page, or, where it holds a hundred characters at most, the body without what a reader does not want.
+_ARTICLE = "regexp_extract(html, '(?s)<article>(.*?)</article>', 1)"
+_BODY = _replaced("regexp_replace(regexp_extract(html, '(?s)<body>(.*?)(?:</body>|$)', 1), '(?s)<nav>.*?</nav>|<footer>.*?</footer>|<!--.*?-->', '', 'g')", ('<div class="ad">', "'<p>'"), ("<article>", "'<p>'"), ("</div>", "''"), ("</article>", "''"))
+_CONTENT = f"CASE WHEN length(trim(regexp_replace({_ARTICLE}, '<[^>]*>', '', 'g'))) > 100 THEN {_ARTICLE} ELSE {_BODY} END"
+_REFERENCES = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '&quot;?', '\"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g')"
+_BREAK = "chr(10) || chr(10)"
+_MARKED = _replaced(f"regexp_replace(regexp_replace({_CONTENT}, '([\\\\`*_\\[\\]])', '\\\\\\1', 'g'), '\\s+', ' ', 'g')", ("<h1>", f"{_BREAK} || '# '"), ("</h1>", _BREAK), ("<p>", _BREAK), ("</p>", _BREAK), ("<b>", "'**'"), ("<br>", "'  ' || chr(10)"))
+
+
+@_query(f"SELECT page_id, trim(regexp_replace(regexp_replace({_REFERENCES.format(_MARKED)}, '[ \\t]+(\\n|$)', '\\1', 'g'), '\\n{{3,}}', {_BREAK}, 'g'), ' ' || chr(9) || chr(10)) AS markdown FROM pages")
 def html_to_markdown(spark, sf_dir):
     return _over_cores(_read(spark, sf_dir, "pages")).select("page_id", markdown.markdown_of(F.col("html")).alias("markdown"))
 
@@ -488,7 +503,10 @@ def parse_html_struct(spark, sf_dir):
     return df.select("page_id", "p.title", "p.section", "p.author", "p.last_modified", F.size("p.headings").alias("n_headings"), F.size("p.code_blocks").alias("n_blocks"))
 
 
-@_query()
+_SAID = "trim(regexp_replace(" + _REFERENCES.format(f"regexp_replace({_CONTENT}, '<[^>]*>', '', 'g')") + ", '\\s+', ' ', 'g'))"
+
+
+@_query(f"SELECT page_id, {_SAID} AS main_text, CAST(length({_SAID}) AS INTEGER) AS n_chars FROM pages")
 def page_main_text(spark, sf_dir):
     df = _over_cores(_read(spark, sf_dir, "pages")).select("page_id", pages.page_of(F.col("html"), F.col("url"), TODAY).alias("p"))
     return df.select("page_id", "p.main_text", F.length("p.main_text").alias("n_chars"))
