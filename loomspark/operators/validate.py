@@ -44,7 +44,7 @@ def checks(files: DataFrame) -> DataFrame:
     concept = F.col("role") == "concept"
     sound, listed = concept & F.col("closed") & (F.col("front.state") == "ok"), F.startswith("front.sources", F.lit("["))
     found = F.array(
-        row(F.col("role") == "root_index", "version", "warning", F.col("version").isin(*VERSIONS)), row(F.col("role") == "index", "index_without_front_matter", "warning", ~F.col("opened")),
+        row(F.col("role") == "root_index", "version", "warning", F.col("version").isin(*VERSIONS)), row((F.col("role") == "root_index") & F.col("opened"), "root_index_parses", "error", F.col("front.state") != "unparseable"), row(F.col("role") == "index", "index_without_front_matter", "warning", ~F.col("opened")),
         row(F.col("role") == "log", "dated_log", "warning", F.col("dated")), row(concept, "front_matter_present", "error", F.col("opened")), row(concept & F.col("opened"), "front_matter_closed", "error", F.col("closed")),
         row(concept & F.col("closed"), "front_matter_parses", "error", F.col("front.state") != "unparseable"), row(concept & F.col("closed") & (F.col("front.state") != "unparseable"), "front_matter_mapping", "error", F.col("front.state") != "no_mapping"),
         row(sound, "type_present", "error", F.col("type") != ""), row(sound & (F.col("type") == "Attested Computation"), "runtime_present", "error", F.col("runtime") != ""),

@@ -63,6 +63,26 @@ def pages(table: DataFrame, key: str | None = None) -> DataFrame:
     return _shaped(df.select(url.source_id(F.col("url")).alias("source_id"), F.lit("webpage").alias("source_type"), "url", url.url_section(F.col("url")).alias("section"), (F.col("page_id") == F.col("first")).alias("is_root"), "html", *([F.col("page_id").alias(key)] if key else [])))
 
 
+def crawled(results: DataFrame) -> DataFrame:
+    """Documents of crawl results (start_url, pages of url, html, section), the shape that older bundles were made of.
+
+    The root is the page of the start address, else the first one; a page's section counts if it has one.
+    """
+    plain = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), "/$", "")
+    at = F.coalesce(F.nullif(F.array_position(F.transform("pages", lambda p: plain(p["url"])), plain(F.col("start_url"))), F.lit(0)), F.lit(1))
+    each = results.select((at - 1).alias("root"), F.posexplode("pages").alias("pos", "p"))
+    return _shaped(each.select(url.source_id(F.col("p.url")).alias("source_id"), F.lit("webpage").alias("source_type"), "p.url", F.coalesce(F.nullif("p.section", F.lit("")), url.url_section(F.col("p.url"))).alias("section"), (F.col("pos") == F.col("root")).alias("is_root"), "p.html"))
+
+
+def seeds(inputs: DataFrame) -> DataFrame:
+    """(url, ord): the valid addresses of inputs (ord, value), normalised, in order, each once. Raises ValueError if there is none."""
+    each = split_list(inputs).select(url.normalize_url(F.col("value")).alias("url"), "src_ord").where("url is not null")
+    found = each.groupBy("url").agg(F.min("src_ord").alias("ord"))
+    if found.isEmpty():
+        raise ValueError("no valid address to start from")
+    return found
+
+
 def markdown_files(spark: SparkSession, path: str) -> DataFrame:
     """Markdown files below a folder, a document each."""
     files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("url"))

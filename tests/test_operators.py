@@ -125,6 +125,8 @@ def test_front_matter_that_is_no_mapping(spark):
     found = validate.checks(spark.createDataFrame(files, "path string, content string")).where("path != 'index.md' and path != 'log.md'")
     bad = {(r.path, r.check) for r in found.where("not passed").collect()}
     assert bad == {("a.md", "source_resource"), ("b.md", "sources_list"), ("c.md", "front_matter_parses"), ("d.md", "front_matter_mapping"), ("e.md", "front_matter_closed"), ("f.md", "front_matter_present")}
+    root = validate.checks(spark.createDataFrame([("index.md", "---\nx: [\n---\n")], "path string, content string"))
+    assert {r.check for r in root.where("path = 'index.md' and not passed").collect()} == {"version", "root_index_parses"}
     assert {(r.check, r.passed) for r in found.where("path = 'a.md' and check like 'source%'").collect()} == {("sources_list", True), ("source_resource", True), ("source_resource", False)}
 
 

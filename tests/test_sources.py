@@ -92,6 +92,18 @@ def test_markdown_files_are_read_whole(spark, tmp_path):
     assert got["a.md"] == ("# A\n\ntwo lines", "how to", False) and got["README.md"][0] == "# R\nx" and got["README.md"][2] and len(got) == 2
 
 
+def test_seeds_and_crawl_results(spark):
+    import pytest
+
+    inputs = spark.createDataFrame([(0, "https://a.example/x/, nope"), (1, "https://a.example/x#f\nhttps://b.example")], "ord int, value string")
+    assert [(r.url, r.ord) for r in readers.seeds(inputs).orderBy("ord").collect()] == [("https://a.example/x", 1), ("https://b.example/", 4)]
+    with pytest.raises(ValueError):
+        readers.seeds(inputs.where("false"))
+    pages = [("https://a.example/d/x", "<p>1", None), ("https://a.example/d/y/", "<p>2", "Given")]
+    results = spark.createDataFrame([("https://a.example/d/y", pages), ("https://none.example", pages[:1])], "start_url string, pages array<struct<url:string,html:string,section:string>>")
+    assert sorted((r.html, r.section, r.is_root) for r in readers.crawled(results).collect()) == [("<p>1", "d", False), ("<p>1", "d", True), ("<p>2", "Given", True)]
+
+
 def test_inputs_that_are_files(tmp_path):
     (tmp_path / "a.md").write_text("x")
     name = str(tmp_path / "a.md")
