@@ -109,28 +109,28 @@ def crawl(edges: DataFrame, seeds: DataFrame, known: DataFrame, max_depth: int |
     nothing new is met. Where edges have a `section`, so has the result: a page's is that of the link that led to it, else
     its parent's (seeds may have one too). With `visited`, pages that could not be had are rows as well, told by `fetched`.
     """
-    sections = "section" in edges.columns
+    sections = ["section"] if "section" in edges.columns else []
     given = F.col("section") if "section" in seeds.columns else F.lit(None).cast("string")
-    also = ["section"] if sections else []
-    first = Window.partitionBy("url").orderBy("ord")
-    level = seeds.select("url", F.col("ord").cast("long").alias("ord"), given.alias("section")).withColumn("n", F.row_number().over(first)).where("n = 1").select("url", F.lit(0).alias("depth"), "ord", *also)
-    level = cut_lineage(level)
+    # A page's place among those of its depth is its path: the places of the links that led to it, the seed's first.
+    first = F.min(F.struct(F.array(F.col("ord").cast("long")).alias("path"), given.alias("section"))).alias("at")
+    level = cut_lineage(seeds.groupBy("url").agg(first).select("url", F.lit(0).alias("depth"), "at.path", *(F.col(f"at.{c}").alias(c) for c in sections)))
     queued, seen, there = level, level.count(), known.select("url").distinct()
-    out = F.col("to.section") if sections else None
     for d in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
         fetched = level.join(there, "url", "left_semi")
         if sections:
             fetched = fetched.withColumnRenamed("section", "above")
-        met = fetched.join(edges, F.col("url") == F.col("src"))
-        to = F.struct("ord", "pos", *([F.coalesce("section", "above").alias("section")] if sections else []))
-        found = met.groupBy(F.col("dst").alias("url")).agg(F.min(F.struct("ord", "pos")).alias("at"), F.min_by(to, F.struct("ord", "pos")).alias("to")).join(queued, "url", "left_anti")
-        # Places of a level: range-partitioned by (parent, link), so that ranks come without one task for all.
-        level = ranks(found.select("url", "at", *([out.alias("section")] if sections else [])), "at").select("url", F.lit(d).alias("depth"), (F.col("rank") + seen).alias("ord"), *also)
-        level = cut_lineage(level if max_pages is None else level.where(F.col("ord") < 2 * max_pages))
+        path = F.concat("path", F.array(F.col("pos").cast("long"))).alias("path")
+        met = fetched.join(edges, F.col("url") == F.col("src")).select(F.col("dst").alias("to"), F.struct(path, *(F.coalesce(c, "above").alias(c) for c in sections)).alias("at"))
+        found = met.groupBy(F.col("to").alias("url")).agg(F.min("at").alias("at")).join(queued, "url", "left_anti")
+        found = found.select("url", F.lit(d).alias("depth"), "at.path", *(F.col(f"at.{c}").alias(c) for c in sections))
+        if max_pages is not None:
+            found = found.orderBy("path").limit(max(0, 2 * max_pages - seen))
+        level = cut_lineage(found)  # the one write of a level
         n = level.count()
         if not n:
             break
         queued, seen = queued.unionByName(level), seen + n
+    queued = ranks(queued.withColumn("at", F.struct("depth", "path")).drop("path"), "at").drop("at").withColumnRenamed("rank", "ord").select("url", "depth", "ord", *sections)
     if visited:
         return queued.join(there.withColumn("fetched", F.lit(True)), "url", "left").withColumn("fetched", F.coalesce("fetched", F.lit(False)))
     emitted = queued.join(there, "url", "left_semi")
