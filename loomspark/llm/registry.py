@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomspark.llm import credentials, extraction, licenses, lines, middle, minhash, neighbours, packing, quality, substring, winnow
+from loomspark.llm import chat, credentials, extraction, licenses, lines, middle, minhash, neighbours, packing, quality, substring, winnow
 
 QUERIES = {
     "op1_secret_scans": credentials.op1_secret_scans,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_html_extraction": extraction.op8_html_extraction,
     "op9_substring_dedup": substring.op9_substring_dedup,
     "op10_packing": packing.op10_packing,
+    "op11_chat_formatting": chat.op11_chat_formatting,
     "op13_fill_in_middle": middle.op13_fill_in_middle,
 }
 ORACLE_SQL = {
@@ -23,5 +24,6 @@ ORACLE_SQL = {
     "op6_benchmark_decontamination": winnow.ORACLE,
     "op8_html_extraction": extraction.ORACLE,
     "op9_substring_dedup": substring.ORACLE,
+    "op11_chat_formatting": chat.ORACLE,
     "op13_fill_in_middle": middle.ORACLE,
 }
