@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomspark.llm import chat, credentials, extraction, licenses, lines, middle, minhash, neighbours, packing, quality, substring, winnow
+from loomspark.llm import chat, credentials, extraction, licenses, lines, middle, minhash, neighbours, packing, phrases, quality, substring, winnow
 
 QUERIES = {
     "op1_secret_scans": credentials.op1_secret_scans,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_substring_dedup": substring.op9_substring_dedup,
     "op10_packing": packing.op10_packing,
     "op11_chat_formatting": chat.op11_chat_formatting,
+    "op12_phrase_mining": phrases.op12_phrase_mining,
     "op13_fill_in_middle": middle.op13_fill_in_middle,
 }
 ORACLE_SQL = {
@@ -25,5 +26,6 @@ ORACLE_SQL = {
     "op8_html_extraction": extraction.ORACLE,
     "op9_substring_dedup": substring.ORACLE,
     "op11_chat_formatting": chat.ORACLE,
+    "op12_phrase_mining": phrases.ORACLE,
     "op13_fill_in_middle": middle.ORACLE,
 }
