@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomspark.functions import text
-from loomspark.operators import graph
+from loomspark.operators import graph, pointers
 
 METHODS = ("get", "post", "put", "delete", "patch", "options", "head")
 #: How deep compositions are written out, and how many values of an enumeration.
@@ -87,10 +87,14 @@ def components(specs: DataFrame) -> DataFrame:
     return parse(specs).select("spec_id", F.explode(F.concat(*two, *three)).alias("c")).select("spec_id", "c.*")
 
 
-def resolved(rows: DataFrame, parts: DataFrame) -> DataFrame:
-    """`json` of rows (spec_id, json, ...), replaced where it is a reference to a component; other references stay as they are."""
+def targets(specs: DataFrame) -> DataFrame:
+    """(spec_id, ref, found): the JSON that each reference of a specification leads to in the end; those that lead nowhere have no row."""
+    return pointers.targets(specs.select("spec_id", "json")).where("state = 'found'").select("spec_id", "ref", F.col("json").alias("found"))
+
+
+def resolved(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """`json` of rows (spec_id, json, ...), replaced where it is a reference with a target; other references stay as they are."""
     ref = F.get_json_object("json", "$['$ref']")
-    known = parts.select("spec_id", F.col("pointer").alias("ref"), F.col("json").alias("found"))
     return rows.withColumn("ref", ref).join(known, ["spec_id", "ref"], "left").withColumn("json", F.coalesce("found", "json")).drop("ref", "found")
 
 
@@ -156,7 +160,7 @@ def type_text(schemas: pd.Series) -> pd.Series:
     def one(value: str) -> str:
         try:
             return describe(json.loads(value))
-        except ValueError:
+        except (ValueError, RecursionError, TypeError):  # no schema, or one that nests without end
             return "`object`"
 
     return schemas.map(one, na_action="ignore").astype(object).where(lambda s: s.notna(), None)
@@ -164,8 +168,15 @@ def type_text(schemas: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StringType())
 def pretty(schemas: pd.Series) -> pd.Series:
-    """JSON with an indent of two."""
-    return schemas.map(lambda v: json.dumps(json.loads(v), indent=2, ensure_ascii=False), na_action="ignore").astype(object).where(lambda s: s.notna(), None)
+    """JSON with an indent of two; what is no JSON (a bare string, or one that nests without end) as it is."""
+
+    def one(value: str) -> str:
+        try:
+            return json.dumps(json.loads(value), indent=2, ensure_ascii=False)
+        except (ValueError, RecursionError):
+            return value
+
+    return schemas.map(one, na_action="ignore").astype(object).where(lambda s: s.notna(), None)
 
 
 def _in_line(c: str) -> Column:
@@ -175,15 +186,15 @@ def _in_line(c: str) -> Column:
 def parameters(specs: DataFrame) -> DataFrame:
     """(spec_id, path, method, param_no, name, place, required, type, description): the path's parameters, then the operation's, then
     a version 3 request body as one of the place `body`; references are resolved, those that lead nowhere left out."""
-    return _parameters(operations(specs), components(specs))
+    return _parameters(operations(specs), targets(specs))
 
 
-def _parameters(ops: DataFrame, parts: DataFrame) -> DataFrame:
+def _parameters(ops: DataFrame, known: DataFrame) -> DataFrame:
     empty = F.array().cast("array<string>")
     own = F.concat(F.coalesce("shared", empty), F.coalesce("op.parameters", empty))
     df = ops.select("spec_id", "path", "method", F.posexplode(own).alias("param_no", "json")).withColumn("place", F.lit(None).cast("string"))
     asked = ops.where("op.requestBody is not null").select("spec_id", "path", "method", F.size(own).alias("param_no"), F.col("op.requestBody").alias("json"), F.lit("body").alias("place"))
-    df = resolved(df.unionByName(asked), parts).withColumn("p", F.from_json("json", _PARAM))
+    df = resolved(df.unionByName(asked), known).withColumn("p", F.from_json("json", _PARAM))
     first = F.get(F.map_values("p.content"), F.lit(0))
     schema = F.coalesce("p.schema", F.get_json_object(first, "$.schema"))
     place = F.coalesce("place", F.col("p")["in"])
@@ -195,12 +206,12 @@ def _parameters(ops: DataFrame, parts: DataFrame) -> DataFrame:
 
 def responses(specs: DataFrame) -> DataFrame:
     """(spec_id, path, method, no, status, description, type): type is '' without a schema; of media types, JSON counts."""
-    return _responses(operations(specs), components(specs))
+    return _responses(operations(specs), targets(specs))
 
 
-def _responses(ops: DataFrame, parts: DataFrame) -> DataFrame:
+def _responses(ops: DataFrame, known: DataFrame) -> DataFrame:
     df = ops.select("spec_id", "path", "method", F.posexplode("op.responses").alias("no", "status", "json"))
-    df = resolved(df, parts).withColumn("r", F.from_json("json", "description string, schema string, content map<string,string>"))
+    df = resolved(df, known).withColumn("r", F.from_json("json", "description string, schema string, content map<string,string>"))
     schema = F.coalesce("r.schema", F.get_json_object(F.col("r.content")["application/json"], "$.schema"))
     return df.select("spec_id", "path", "method", "no", "status", F.coalesce(F.nullif(_in_line("r.description"), F.lit("")), F.lit("Response")).alias("description"), F.coalesce(type_text(schema), F.lit("")).alias("type"))
 
@@ -220,13 +231,13 @@ def _models(parts: DataFrame) -> DataFrame:
 def schema_properties(specs: DataFrame) -> DataFrame:
     """(spec_id, model, property, prop_no, type, required, read_only, description): a model's own properties and, one level deep, those
     of the parts that it is composed of; of one name the later counts, in the place of the first."""
-    return _properties(components(specs))
+    return _properties(components(specs), targets(specs))
 
 
-def _properties(parts: DataFrame) -> DataFrame:
+def _properties(parts: DataFrame, known: DataFrame) -> DataFrame:
     each = _models(parts)
     own = each.select("spec_id", "model", F.size(F.coalesce("parts", F.array().cast("array<string>"))).alias("branch"), "json")
-    branches = resolved(each.select("spec_id", "model", F.posexplode("parts").alias("branch", "json")), parts)
+    branches = resolved(each.select("spec_id", "model", F.posexplode("parts").alias("branch", "json")), known)
     both = own.unionByName(branches).withColumn("m", F.from_json("json", _MODEL))
     listed = both.select("spec_id", "model", "branch", F.posexplode("m.properties").alias("no", "property", "json")).withColumn("at", F.struct("branch", "no"))
     merged = listed.groupBy("spec_id", "model", "property").agg(F.min("at").alias("at"), F.max_by("json", "at").alias("json"))
@@ -242,23 +253,23 @@ def documents(specs: DataFrame) -> DataFrame:
     base address gives its documents no url.
     """
     head = graph.cut_lineage(heads(specs))
-    ops, parts = graph.cut_lineage(operations(specs)), graph.cut_lineage(components(specs))
-    return _endpoint_documents(head, ops, parts).unionByName(_model_documents(parts))
+    ops, parts, known = graph.cut_lineage(operations(specs)), graph.cut_lineage(components(specs)), graph.cut_lineage(targets(specs))
+    return _endpoint_documents(head, ops, known).unionByName(_model_documents(parts, known))
 
 
 def _rows(df: DataFrame, keys: list[str], row: Column, order: str, name: str) -> DataFrame:
     return df.withColumn("row", row).groupBy(*keys).agg(text.string_agg("row", "", order).alias(name))
 
 
-def _endpoint_documents(head: DataFrame, ops: DataFrame, parts: DataFrame) -> DataFrame:
+def _endpoint_documents(head: DataFrame, ops: DataFrame, known: DataFrame) -> DataFrame:
     keys = ["spec_id", "path", "method"]
-    params = _parameters(ops, parts)
+    params = _parameters(ops, known)
     body = F.col("place").isin("body", "formData")
     bodies = _rows(params.where(body), keys, F.concat(F.lit("* **"), "name", F.when(F.col("required"), "** (required): ").otherwise("**: "), "type", F.when(F.col("description") != "", F.concat(F.lit(" - "), "description")).otherwise(""), F.lit("\n")), "param_no", "bodies")
     needed = F.when(F.col("required"), "**Yes**").otherwise("No")
     dash = F.coalesce(F.nullif("description", F.lit("")), F.lit("-"))
     others = _rows(params.where(~body | F.col("place").isNull()), keys, F.concat(F.lit("| `"), "name", F.lit("` | "), F.coalesce("place", F.lit("")), F.lit(" | "), "type", F.lit(" | "), needed, F.lit(" | "), dash, F.lit(" |\n")), "param_no", "others")
-    answers = _responses(ops, parts)
+    answers = _responses(ops, known)
     typed = answers.groupBy(*keys).agg(F.max(F.col("type") != "").alias("typed"))
     told = F.concat(F.lit("| `"), "status", F.lit("` | "), F.when(F.col("typed"), F.concat(F.coalesce(F.nullif("type", F.lit("")), F.lit("-")), F.lit(" | "))).otherwise(""), dash, F.lit(" |\n"))
     answers = _rows(answers.join(typed, keys), keys, told, "no", "answers").join(typed, keys)
@@ -281,11 +292,11 @@ def _endpoint_documents(head: DataFrame, ops: DataFrame, parts: DataFrame) -> Da
     return df.select("spec_id", F.to_json(place).alias("ord"), F.when(F.col("base") != "", F.concat("base", "path")).alias("url"), F.col("tag").alias("section"), "slug", title.alias("title"), F.col("summary").alias("description"), F.lit("API Endpoint").alias("type"), tags.alias("tags"), markdown.alias("markdown"))
 
 
-def _model_documents(parts: DataFrame) -> DataFrame:
+def _model_documents(parts: DataFrame, known: DataFrame) -> DataFrame:
     keys = ["spec_id", "model"]
     needed = F.when(F.col("required"), "**Yes**").when(F.col("read_only"), "read-only").otherwise("No")
     dash = F.coalesce(F.nullif("description", F.lit("")), F.lit("-"))
-    table = _rows(_properties(parts), keys, F.concat(F.lit("| `"), "property", F.lit("` | "), "type", F.lit(" | "), needed, F.lit(" | "), dash, F.lit(" |\n")), "prop_no", "props")
+    table = _rows(_properties(parts, known), keys, F.concat(F.lit("| `"), "property", F.lit("` | "), "type", F.lit(" | "), needed, F.lit(" | "), dash, F.lit(" |\n")), "prop_no", "props")
     each = _models(parts)
     made = each.select(*keys, F.posexplode("parts").alias("k", "part")).withColumn("part", type_text("part")).groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "part"))), lambda x: x["part"]), "\u0001").alias("of"))  # a model's own parts
     df = each.join(table, keys, "left").join(made, keys, "left")
