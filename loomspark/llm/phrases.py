@@ -32,9 +32,9 @@ from loomspark.operators import graph
 #: Words per broadcast vocabulary, phrases per trie, tries per pass, and the span of a code's low symbol.
 VOCABULARY, SHARD, GROUP, LOW = 1 << 21, 1 << 18, 4, 1 << 11
 #: Distinct words and positions that a task gathers before it sends on what it counted.
-HELD_WORDS, HELD_KEYS = 1 << 18, 1 << 22
-#: Codes in a row of the encoded texts, at least.
-STRETCH = 1 << 13
+HELD_WORDS, HELD_KEYS = 1 << 18, 1 << 21
+#: Codes in a row of the encoded texts, at least, codes whose states move at once, and rows that a task sends on at once.
+STRETCH, STATES, SENT = 1 << 13, 1 << 19, 1 << 16
 #: Bytes between words of a piece, and bytes between pieces.
 BLANKS, STOPS = b" \t", b".,;:!?\n\x0b\x0c\r"
 
@@ -110,9 +110,11 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, word, n): counts of a task's words; under a null word, of all words."""
     held: Counter = Counter()
 
-    def rows() -> pa.RecordBatch:
+    def rows() -> Iterator[pa.RecordBatch]:
         keys = list(held)
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([held[k] for k in keys], pa.int64())], ["lang", "word", "n"])
+        for k in range(0, len(keys), SENT):
+            part = keys[k : k + SENT]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.string()), pa.array([x[1] for x in part], pa.string()), pa.array([held[x] for x in part], pa.int64())], ["lang", "word", "n"])
 
     for batch in batches:
         for lang, texts in _by_language(batch):
@@ -128,10 +130,9 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     held.update((lang, word(i)) for i in range(len(start)))
                 held[lang, None] += len(start)
                 if len(held) > HELD_WORDS:
-                    yield rows()
+                    yield from rows()
                     held.clear()
-    if held:
-        yield rows()
+    yield from rows()
 
 
 def vocabulary(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
@@ -324,12 +325,11 @@ def _passes(length: int, tries, whole: bool, extend: bool):
         sums = [np.zeros(len(t[1]), dtype=np.int64) for _, t in known]
         held, size = [], 0
 
-        def keys() -> pa.RecordBatch:
+        def keys() -> Iterator[pa.RecordBatch]:
             key, n = np.unique(np.concatenate(held), return_counts=True)
-            return _rows(key >> _CODE_BITS, (key & ((1 << _CODE_BITS) - 1)).astype(np.int32), n)
+            yield from _rows(key >> _CODE_BITS, (key & ((1 << _CODE_BITS) - 1)).astype(np.int32), n)
 
-        for batch in batches:
-            codes = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.int32)
+        for codes in _joined(batches):
             ranks = np.where(codes > 0, codes, -1).astype(np.int64) if tries is None else np.full(len(codes), -1, dtype=np.int64)  # of the phrase at each position
             for (low, trie), total in zip(known, sums):
                 at, states = walk(codes, length, trie)
@@ -342,20 +342,35 @@ def _passes(length: int, tries, whole: bool, extend: bool):
             held.append(ranks[at] << _CODE_BITS | codes[at + length])
             size += len(at)
             if size >= HELD_KEYS:
-                yield keys()
+                yield from keys()
                 held, size = [], 0
         if size:
-            yield keys()
+            yield from keys()
         for (low, trie), total in zip(known, sums):
             at = np.flatnonzero(total)
-            if len(at):
-                yield _rows(trie[2][at].astype(np.int64) + low, np.zeros(len(at), dtype=np.int32), total[at])
+            yield from _rows(trie[2][at].astype(np.int64) + low, np.zeros(len(at), dtype=np.int32), total[at])
 
     return run
 
 
-def _rows(rank: np.ndarray, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(rank.astype(np.int64)), pa.array(code), pa.array(n.astype(np.int64))], ["rank", "code", "n"])
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Codes of rows in a row, about STATES at a time; each row ends with a 0, so that no phrase is made or lost."""
+    held, size = [], 0
+    for batch in batches:
+        for value in batch.column(0):
+            held.append(value.as_py())
+            size += len(held[-1]) // 4
+            if size >= STATES:
+                yield np.frombuffer(b"".join(held), dtype=np.int32)
+                held, size = [], 0
+    if size:
+        yield np.frombuffer(b"".join(held), dtype=np.int32)
+
+
+def _rows(rank: np.ndarray, code: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(rank), SENT):
+        part = slice(k, k + SENT)
+        yield pa.RecordBatch.from_arrays([pa.array(rank[part].astype(np.int64)), pa.array(code[part]), pa.array(n[part].astype(np.int64))], ["rank", "code", "n"])
 
 
 def _tries_of(level: DataFrame, length: int, low: int) -> list:

@@ -80,9 +80,8 @@ def test_limits_made_small_change_nothing(spark, monkeypatch):
     rows = texts(2, 300)
     df = spark.createDataFrame(rows, "lang string, text string")
     want = by_hand(rows, 5)
-    for name, value in (("VOCABULARY", 7), ("SHARD", 9), ("GROUP", 2), ("STRETCH", 16), ("HELD_WORDS", 5), ("HELD_KEYS", 50)):
+    for name, value in (("VOCABULARY", 7), ("SHARD", 9), ("GROUP", 2)):  # those that the driver reads
         monkeypatch.setattr(phrases, name, value)
-    monkeypatch.setattr(phrases.common, "CHUNK_BYTES", 100)
     assert got(phrases.mine_phrases(df, longest=3, least=40)) == by_hand(rows, 40, 3)
     monkeypatch.undo()
     assert got(phrases.mine_phrases(df, least=5)) == want
@@ -116,7 +115,7 @@ def test_stretches_of_a_text_do_not_matter(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array([lang or "und" for lang, _ in rows]), pa.array([t for _, t in rows])], ["lang", "text"])
     whole = {k: n for b in phrases._word_counts(iter([batch])) for k, n in zip(zip(b.column(0).to_pylist(), b.column(1).to_pylist()), b.column(2).to_pylist())}
     runs = [np.frombuffer(b"".join(b.column(0).to_pylist()), dtype=np.uint64) for b in phrases._word_runs(iter([batch]))]
-    for name, value in (("STRETCH", 16), ("HELD_WORDS", 5)):
+    for name, value in (("STRETCH", 16), ("HELD_WORDS", 5), ("SENT", 3), ("STATES", 20)):
         monkeypatch.setattr(phrases, name, value)
     monkeypatch.setattr(phrases.common, "CHUNK_BYTES", 50)
     parts = Counter()
