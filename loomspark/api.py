@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions import classify, text
-from loomspark.operators import bundle, documents, graph, sections, validate
+from loomspark.operators import bundle, documents, front, graph, sections, validate
 from loomspark.operators import computations as computing
 from loomspark.parsing import markdown as M
 from loomspark.sources import readers
@@ -21,14 +22,19 @@ class Bundle:
     concepts: DataFrame
     files: DataFrame
 
+    @cached_property
+    def parsed(self) -> DataFrame:
+        """The files with their front matter, which is read once."""
+        return graph.cut_lineage(front.parsed(self.files))
+
     def checks(self) -> DataFrame:
-        return validate.checks(self.files)
+        return validate.checks(self.parsed)
 
     def report(self) -> DataFrame:
         return validate.report(self.checks())
 
     def nodes(self) -> DataFrame:
-        return graph.nodes(self.files)
+        return graph.nodes(self.parsed)
 
     def edges(self) -> DataFrame:
         return graph.cross_links(self.files).unionByName(graph.hierarchy(self.files))

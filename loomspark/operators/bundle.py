@@ -95,7 +95,7 @@ def footnote_id(title: str) -> Column:
 
 #: Tags of a concept that has none (fixed values of the format's producer).
 DEFAULT_TAGS = ("documentation", "cloud")
-_OPTIONAL = {"tags": "array<string>", "author": "string", "last_modified": "string", "tip": "string"}
+_OPTIONAL = {"tags": "array<string>", "author": "string", "last_modified": "string", "tip": "string", "extra": "string"}
 
 
 def _quote(c: Column) -> Column:
@@ -104,7 +104,7 @@ def _quote(c: Column) -> Column:
 
 
 def concept_files(concepts: DataFrame, as_of: str, actor: str) -> DataFrame:
-    """(path, content) of concepts: front matter, heading, body, footnote of its source; a `tip` stands before the body."""
+    """(path, content) of concepts: front matter, heading, body, footnote of its source; a `tip` stands before the body, `extra` lines below the front matter's own."""
     for name, kind in _OPTIONAL.items():
         if name not in concepts.columns:
             concepts = concepts.withColumn(name, F.lit(None).cast(kind))
@@ -115,7 +115,7 @@ def concept_files(concepts: DataFrame, as_of: str, actor: str) -> DataFrame:
     front = F.concat(
         F.lit("---\ntype: "), F.coalesce("type", F.lit("Guide")), F.lit("\ntitle: "), _quote(F.col("title")), F.lit("\ndescription: "), _quote(about), F.lit("\nresource: "), _quote(F.col("url")), F.lit("\ntags: ["), F.array_join(F.transform(tags, _quote), ", "),
         F.lit(f"]\nstatus: stable\ngenerated:\n  by: {actor}\n  at: {as_of}\nverified:\n  by: process:crawler\n  at: {as_of}\nsources:\n  - id: "), sid, F.lit("\n    resource: "), _quote(F.col("url")), F.lit("\n    title: "), _quote(F.col("title")), F.lit("\n    author: "), _quote(author),
-        F.lit("\n    last_modified: "), _quote(F.coalesce("last_modified", F.lit(as_of))), F.lit("\n---\n\n# "), "title", F.lit("\n\n"),
+        F.lit("\n    last_modified: "), _quote(F.coalesce("last_modified", F.lit(as_of))), F.lit("\n"), F.coalesce("extra", F.lit("")), F.lit("---\n\n# "), "title", F.lit("\n\n"),
     )
     note = F.concat(F.lit("\n\n---\n\n[^"), sid, F.lit("]: ["), "title", F.lit("]("), F.coalesce("url", F.lit("")), F.lit(") - "), author, F.lit("\n"))
     return concepts.select("path", F.concat(front, F.coalesce("tip", F.lit("")), F.coalesce("body", F.lit("")), note).alias("content"))
@@ -131,7 +131,7 @@ def headline(concepts: DataFrame, key: str) -> DataFrame:
 def bundle_files(concepts: DataFrame, key: str, as_of: str, actor: str = "process:loomspark", overviews: DataFrame | None = None, computations: DataFrame | None = None, sources: DataFrame | None = None) -> DataFrame:
     """(path, content) of a bundle: concepts with front matter and a footnote, folder indexes, the root index and the log.
 
-    concepts: key, path, folder, title, url, description, type, body and any of tags, author, last_modified, tip. overviews:
+    concepts: key, path, folder, title, url, description, type, body and any of tags, author, last_modified, tip, extra. overviews:
     folder, title, body, resource: what a folder's index says instead of the usual words. computations: key, path, title,
     content: files of the folder `computations`. sources: ord, name, url, label, n. `as_of` is the date of the log and of
     `generated`. The root index lists the first ROOT_ENTRIES concepts of a folder and says how many more there are.

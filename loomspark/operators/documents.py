@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from loomspark.functions import classify, text, url
 from loomspark.functions.classify import TAG_WORDS
-from loomspark.operators import graph
+from loomspark.operators import front, graph
 from loomspark.parsing import markdown as M
 from loomspark.parsing import pages
 
@@ -93,17 +93,18 @@ DESCRIPTION = 400
 
 
 def parse_documents(docs: DataFrame, key: str, as_of: str) -> DataFrame:
-    """(key, source_id, source_type, url, section, is_root, slug_hint, splittable, title, description, type, tags, author, site, last_modified, body).
+    """(key, source_id, source_type, url, section, is_root, slug_hint, splittable, title, description, type, tags, author, site, last_modified, body, extra).
 
     docs: key, source_id, url, html or markdown and any of SAID. What the source says of a document counts before what its
     front matter says, this before what is found in its text. Relative links of markdown become absolute, unless
     `absolute_links` is false. Of a document without any date, `as_of` is the date. A first heading that repeats the title goes.
+    `extra` has the lines of the front matter's keys that a bundle does not write itself.
     """
     for name, kind in SAID.items():
         if name not in docs.columns:
             docs = docs.withColumn(name, F.lit(None).cast(kind))
     some = lambda c: F.nullif(F.trim(F.coalesce(c, F.lit(""))), F.lit(""))
-    df = docs.withColumn("is_md", F.col("markdown").isNotNull()).withColumn("fm", M.front_matter_of(F.col("markdown"))).withColumn("p", pages.page_of(F.col("html"), F.col("url"), as_of))
+    df = docs.withColumn("is_md", F.col("markdown").isNotNull()).withColumn("fm", front.read(F.col("markdown"))).withColumn("p", pages.page_of(F.col("html"), F.col("url"), as_of))
     df = df.withColumn("body", F.when(F.col("is_md"), M.absolute_links_of(F.col("fm.body"), F.when(F.coalesce("absolute_links", F.lit(True)), F.col("url")), F.col("link_root"))).otherwise(M.markdown_of(F.col("html"))))
     df = graph.cut_lineage(df.drop("html", "markdown"))
     values = F.col("fm.values")
@@ -126,6 +127,7 @@ def parse_documents(docs: DataFrame, key: str, as_of: str) -> DataFrame:
         key, "source_id", "source_type", "url", "section", "is_root", "slug_hint", F.coalesce("splittable", F.lit(True)).alias("splittable"), "title", about.alias("description"),
         F.coalesce(some(F.col("type")), said("type"), classify.concept_type(F.col("title"))).alias("type"), tags.alias("tags"), F.coalesce(some(F.col("author")), said("author"), page("author"), F.lit("Documentation Team")).alias("author"),
         F.coalesce(some(F.col("site")), said("site_name"), page("site")).alias("site"), F.substring_index(F.coalesce(some(F.col("last_modified")), said("last_modified", "date"), page("last_modified"), F.lit(as_of)), "T", 1).alias("last_modified"), body.alias("body"),
+        F.when(F.col("is_md"), front.extensions(F.try_parse_json(values))).alias("extra"),
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomspark.functions import classify
-from loomspark.operators import validate
+from loomspark.operators import front
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -41,9 +41,9 @@ def clear_scratch(spark: SparkSession) -> None:
 def nodes(files: DataFrame) -> DataFrame:
     """(id, label, type, folder) of each file but root index and log, and the root node."""
     role = classify.file_role(F.col("path"))
-    content = F.coalesce("content", F.lit(""))
-    label = F.coalesce(F.nullif(validate.front_value(content, "title"), F.lit("")), F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.md$", ""))
-    kind = F.when(role == "index", "Index").otherwise(F.coalesce(F.nullif(validate.front_value(content, "type"), F.lit("")), F.lit("Concept")))
+    files = front.parsed(files)
+    label = F.coalesce(F.nullif(front.value("title"), F.lit("")), F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.md$", ""))
+    kind = F.when(role == "index", "Index").otherwise(F.coalesce(F.nullif(front.value("type"), F.lit("")), F.lit("Concept")))
     folder = F.when(F.contains("path", F.lit("/")), F.substring_index("path", "/", 1)).otherwise("root")
     out = files.where(~role.isin("root_index", "log")).select(F.col("path").alias("id"), label.alias("label"), kind.alias("type"), folder.alias("folder"))
     root = files.sparkSession.range(1).select(F.lit("index.md").alias("id"), F.lit("Root Index").alias("label"), F.lit("Index").alias("type"), F.lit("root").alias("folder"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.operators import validate
+from loomspark.functions import classify
+from loomspark.operators import front, validate
 
 
 def staleness(concepts: DataFrame, today: str) -> DataFrame:
@@ -43,15 +44,21 @@ def provenance(files: DataFrame) -> DataFrame:
     generated_at is `generated.at`, else the top-level `timestamp`; verified_at the latest `at` of `verified`, as a list or one
     mapping; sources the `resource` of each entry of `sources`, else the links in the list under the heading Citations.
     """
-    front = validate.front_matter(F.col("content"))
-    block = lambda name: F.regexp_extract(front, rf"(?m)^{name}:[ \t]*\r?\n((?:[ \t-].*(?:\r?\n|$))+)", 1)
-    bare = lambda c: F.regexp_replace(F.trim(c), r"""^["']|["']$""", "")
-    values = lambda name, field: F.transform(F.regexp_extract_all(block(name), F.lit(rf"(?m)^[ \t-]*{field}:[ \t]*(.*)$"), F.lit(1)), bare)
-    some = lambda c: F.nullif(c, F.lit(""))
     cited = F.regexp_extract(F.coalesce("content", F.lit("")), r"(?m)^#{1,6} Citations[ \t]*\r?\n((?:(?!#).*(?:\r?\n|$))*)", 1)
     links = F.regexp_extract_all(cited, F.lit(r"(?m)^[ \t]*(?:[-*+]|\d+\.).*?(?:\]\(|<|(?=https?://))([^)>\s]+)"), F.lit(1))
-    listed = values("sources", "resource")
-    return files.select("path", F.coalesce(F.get(values("generated", "at"), F.lit(0)), some(validate.front_value(F.col("content"), "timestamp"))).alias("generated_at"), F.array_max(values("verified", "at")).alias("verified_at"), F.when(F.size(listed) > 0, listed).otherwise(links).alias("sources"))
+    some = lambda key: F.nullif(front.value(key), F.lit(""))
+    listed = front.fields("sources", "resource")
+    return front.parsed(files).select(
+        "path", F.coalesce(some("generated.at"), some("timestamp")).alias("generated_at"), F.array_max(front.fields("verified", "at")).alias("verified_at"),
+        F.when(F.size(listed) > 0, listed).otherwise(links).alias("sources"),
+    )
+
+
+def lifecycle(files: DataFrame, today: str) -> DataFrame:
+    """(path, status, stale_after, stale, tier) of concept files, as their front matter says: stable and never stale where it says nothing."""
+    some = lambda key: F.nullif(front.value(key), F.lit(""))
+    said = front.parsed(files).select("path", some("status").alias("status"), some("stale_after").alias("stale_after"), classify.trust_tier(validate.verified_by()).alias("tier"))
+    return staleness(said, today).select("path", "status", "stale_after", "stale", "tier")
 
 
 def log_entries(logs: DataFrame) -> DataFrame:

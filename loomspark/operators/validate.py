@@ -6,55 +6,56 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.functions import classify
-from loomspark.parsing.markdown import front_state_of
+from loomspark.operators import front
 
 #: Fixed values of the bundle format: the root index's version key and the versions known.
 VERSION_KEY, VERSIONS = "okf_version", ("0.2", "0.1")
-_FRONT = r"^\x{FEFF}?---[ \t]*\r?\n([\s\S]*?)\r?\n---[ \t]*(?:\r?\n|$)"
+_FOUND = "array<struct<check:string,severity:string,passed:boolean>>"
 
 
-def front_matter(content: Column) -> Column:
-    """The text between the first line of dashes and the next; '' if there is none."""
-    return F.regexp_extract(F.coalesce(content, F.lit("")), _FRONT, 1)
+def verified_by(values: str = "front.values") -> Column:
+    """Actors of the front matter's `verified`, given as a list or as a single mapping; '' for an entry that names none."""
+    return F.transform(front.entries("verified", values), lambda e: F.coalesce(F.try_variant_get(e, "$.by", "string"), F.lit("")))
 
 
-def front_value(content: Column, key: str) -> Column:
-    """A top-level scalar of the front matter, quotes removed; '' if absent."""
-    raw = F.trim(F.regexp_extract(front_matter(content), rf"(?m)^{key}:[ \t]*(.*)$", 1))
-    return F.regexp_replace(raw, r"""^(["'])(.*)\1$""", "$2")
-
-
-def verified_by(content: Column) -> Column:
-    """Actors of the front matter's `verified`, given as a list or as a single mapping."""
-    block = F.regexp_extract(front_matter(content), r"(?m)^verified:[ \t]*\r?\n((?:[ \t-].*(?:\r?\n|$))+)", 1)
-    return F.transform(F.regexp_extract_all(block, F.lit(r"(?m)^[ \t-]*by:[ \t]*(.*)$"), F.lit(1)), lambda x: F.regexp_replace(F.trim(x), r"""^["']|["']$""", ""))
+def _finding(when: Column, name: str, severity: str, passed: Column) -> Column:
+    return F.when(when, F.struct(F.lit(name).alias("check"), F.lit(severity).alias("severity"), passed.alias("passed")))
 
 
 def checks(files: DataFrame) -> DataFrame:
     """(path, check, severity, passed): a row per finding about each file, and one each for the root index and the log.
 
-    files: path and content. Concepts must have front matter that is closed and holds a `type`; sub-indexes should have none,
-    logs should have a dated heading, the root index should name a known version, computations must have a runtime. Front matter
-    must be YAML and a mapping, or nothing in it is checked; `sources` should be a list whose entries have a resource.
+    files: path and content, or these with `front` (see front.parsed). Concepts must have front matter that is closed and holds a
+    `type`, which is text; sub-indexes should have none, logs should have a dated heading, the root index should name a known
+    version, computations must have a runtime. Front matter must be YAML and a mapping, or nothing in it is checked; `sources`
+    should be a list whose entries have a resource.
     """
-    role = classify.file_role(F.col("path"))
-    text = F.coalesce("content", F.lit(""))
-    df = files.select("path", role.alias("role"), front_state_of(text).alias("front"), text.startswith("---").alias("opened"), (front_matter(text) != "").alias("closed"), front_value(text, "type").alias("type"), front_value(text, "runtime").alias("runtime"), front_value(text, VERSION_KEY).alias("version"), text.rlike(r"(?m)^## [0-9]{4}-[0-9]{2}-[0-9]{2}").alias("dated"))
-    row = lambda when, name, severity, passed: F.when(when, F.struct(F.lit(name).alias("check"), F.lit(severity).alias("severity"), passed.alias("passed")))
-    concept = F.col("role") == "concept"
-    sound, listed = concept & F.col("closed") & (F.col("front.state") == "ok"), F.startswith("front.sources", F.lit("["))
+    text, state = F.coalesce("content", F.lit("")), F.col("front.state")
+    role, kind = F.col("role"), front.value("type")
+    df = front.parsed(files).withColumn("role", classify.file_role(F.col("path")))
+    opened, closed = state != "absent", ~state.isin("absent", "open")
+    concept, top = role == "concept", role == "root_index"
+    sound, listed = concept & (state == "ok"), front.is_list("sources")
     found = F.array(
-        row(F.col("role") == "root_index", "version", "warning", F.col("version").isin(*VERSIONS)), row((F.col("role") == "root_index") & F.col("opened"), "root_index_parses", "error", F.col("front.state") != "unparseable"), row(F.col("role") == "index", "index_without_front_matter", "warning", ~F.col("opened")),
-        row(F.col("role") == "log", "dated_log", "warning", F.col("dated")), row(concept, "front_matter_present", "error", F.col("opened")), row(concept & F.col("opened"), "front_matter_closed", "error", F.col("closed")),
-        row(concept & F.col("closed"), "front_matter_parses", "error", F.col("front.state") != "unparseable"), row(concept & F.col("closed") & (F.col("front.state") != "unparseable"), "front_matter_mapping", "error", F.col("front.state") != "no_mapping"),
-        row(sound, "type_present", "error", F.col("type") != ""), row(sound & (F.col("type") == "Attested Computation"), "runtime_present", "error", F.col("runtime") != ""),
-        row(sound & F.col("front.sources").isNotNull(), "sources_list", "warning", listed),
-    )
-    entries = F.transform(F.when(sound & listed, F.from_json("front.sources", "array<string>")), lambda s: F.struct(F.lit("source_resource").alias("check"), F.lit("warning").alias("severity"), (F.coalesce(F.get_json_object(s, "$.resource"), F.lit("")) != "").alias("passed")))
-    found = F.concat(F.array_compact(found), F.coalesce(entries, F.array().cast("array<struct<check:string,severity:string,passed:boolean>>")))
+        _finding(top, "version", "warning", front.value(VERSION_KEY).isin(*VERSIONS)),
+        _finding(top & opened, "root_index_parses", "error", state != "unparseable"),
+        _finding(role == "index", "index_without_front_matter", "warning", ~opened),
+        _finding(role == "log", "dated_log", "warning", text.rlike(r"(?m)^## [0-9]{4}-[0-9]{2}-[0-9]{2}")),
+        _finding(concept, "front_matter_present", "error", opened),
+        _finding(concept & opened, "front_matter_closed", "error", closed),
+        _finding(concept & closed, "front_matter_parses", "error", state != "unparseable"),
+        _finding(concept & closed & (state != "unparseable"), "front_matter_mapping", "error", state != "no_mapping"),
+        _finding(sound, "type_present", "error", front.is_text("type") & (kind != "")),
+        _finding(sound & (kind == "Attested Computation"), "runtime_present", "error", front.value("runtime") != ""),
+        _finding(sound & front.given("sources"), "sources_list", "warning", listed),
+    )
+    named = lambda e: F.coalesce(F.try_variant_get(e, "$.resource", "string"), F.lit("")) != ""
+    cited = F.transform(front.entries("sources"), lambda e: F.struct(F.lit("source_resource").alias("check"), F.lit("warning").alias("severity"), named(e).alias("passed")))
+    found = F.concat(F.array_compact(found), F.when(sound & listed, cited).otherwise(F.array().cast(_FOUND)))
     each = df.select("path", F.explode(found).alias("f")).select("path", "f.*")
-    there = df.agg(F.coalesce(F.max(F.col("role") == "root_index"), F.lit(False)).alias("r"), F.coalesce(F.max(F.col("path") == "log.md"), F.lit(False)).alias("l"))
-    must = there.select(F.explode(F.array(F.struct(F.lit("index.md").alias("path"), F.lit("root_index_exists").alias("check"), F.lit("error").alias("severity"), F.col("r").alias("passed")), F.struct(F.lit("log.md").alias("path"), F.lit("log_exists").alias("check"), F.lit("error").alias("severity"), F.col("l").alias("passed")))).alias("f"))
+    there = files.select("path").agg(F.coalesce(F.max(F.col("path") == "index.md"), F.lit(False)).alias("r"), F.coalesce(F.max(F.col("path") == "log.md"), F.lit(False)).alias("l"))
+    exists = lambda path, name, passed: F.struct(F.lit(path).alias("path"), F.lit(name).alias("check"), F.lit("error").alias("severity"), F.col(passed).alias("passed"))
+    must = there.select(F.explode(F.array(exists("index.md", "root_index_exists", "r"), exists("log.md", "log_exists", "l"))).alias("f"))
     return each.unionByName(must.select("f.*"))
 
 
@@ -66,7 +67,7 @@ def report(found: DataFrame) -> DataFrame:
 
 def type_histogram(files: DataFrame) -> DataFrame:
     """(type, n) of the concepts that have one."""
-    df = files.where(classify.file_role(F.col("path")) == "concept").select(front_value(F.col("content"), "type").alias("type"))
+    df = front.parsed(files.where(classify.file_role(F.col("path")) == "concept")).select(front.value("type").alias("type"))
     return df.where("type != ''").groupBy("type").agg(F.count("*").alias("n"))
 
 

@@ -1,4 +1,4 @@
-"""HTML to markdown, front matter and fenced code, as functions over one text; columns get them by Arrow batches."""
+"""HTML to markdown and fenced code, as functions over one text; columns get them by Arrow batches."""
 
 from __future__ import annotations
 
@@ -173,48 +173,6 @@ def code_blocks(markdown: str | None) -> list[dict]:
     return found
 
 
-def front_matter(markdown: str | None) -> tuple[dict, str]:
-    """(values, body): the YAML between leading lines of dashes; malformed front matter counts as body. Scalars stay text or JSON types."""
-    text = (markdown or "").removeprefix("﻿")
-    m = re.match(r"---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|$)", text, re.S)
-    if not m:
-        return {}, text
-    try:
-        import yaml
-
-        class Loader(yaml.SafeLoader):
-            """YAML 1.2 scalars: only true and false are booleans, dates stay text."""
-
-        Loader.yaml_implicit_resolvers = {k: [(t, r) for t, r in v if t not in ("tag:yaml.org,2002:bool", "tag:yaml.org,2002:timestamp")] for k, v in yaml.SafeLoader.yaml_implicit_resolvers.items()}
-        Loader.add_implicit_resolver("tag:yaml.org,2002:bool", re.compile("^(?:true|false|True|False)$"), list("tfTF"))
-        values = yaml.load(m[1], Loader)  # noqa: S506 a SafeLoader
-    except ImportError:
-        values = {k: v.strip().strip("\"'") for k, v in re.findall(r"(?m)^([\w-]+):[ \t]*(.*)$", m[1])}
-    except Exception:
-        return {}, text
-    return (values, text[m.end() :]) if isinstance(values, dict) else ({}, text)
-
-
-def front_state(content: str | None) -> tuple[str, str | None]:
-    """(state, sources) of a file's front matter: ok, open (none that is closed), unparseable or no_mapping; its `sources` as JSON."""
-    import json
-
-    m = re.match(r"\ufeff?---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|$)", content or "", re.S)
-    if not m:
-        return "open", None
-    try:
-        import yaml
-    except ImportError:  # what cannot be told counts as right
-        return "ok", None
-    try:
-        values = yaml.safe_load(m[1])
-    except Exception:  # any error of the reader
-        return "unparseable", None
-    if not isinstance(values, dict):
-        return "no_mapping", None
-    return "ok", json.dumps(values["sources"], default=str) if values.get("sources") is not None else None
-
-
 def absolute_links(body: str | None, base: str, root: str = "") -> str:
     """Relative links and images resolved against a document's address, root-relative ones against the repository's root."""
     from urllib.parse import urljoin
@@ -265,28 +223,3 @@ def code_blocks_of(c: Column) -> Column:
             yield s.map(code_blocks, na_action=None)
 
     return run(c)
-
-
-def front_matter_of(c: Column) -> Column:
-    """struct<values: JSON string, body> over a column; unknown keys are kept in the JSON."""
-
-    @F.pandas_udf("values string, body string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        import json
-
-        for s in batches:
-            both = [front_matter(x) for x in s]
-            yield pd.DataFrame({"values": [json.dumps(v, sort_keys=True, default=str) for v, _ in both], "body": [b for _, b in both]})
-
-    return run(c)
-
-
-def front_state_of(c: Column) -> Column:
-    """front_state over a column."""
-
-    @F.pandas_udf("state string, sources string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in batches:
-            yield pd.DataFrame([front_state(x) for x in s], columns=["state", "sources"], dtype=object)
-
-    return run(c)

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from loomspark import api
 from loomspark.functions import classify, text, url
-from loomspark.operators import attest, bundle, computations, documents, graph, openapi, sections, trust, validate
+from loomspark.operators import attest, bundle, computations, documents, front, graph, openapi, sections, trust, validate
 from loomspark.parsing import markdown, pages
 from loomspark.sources import readers
 
@@ -387,7 +387,7 @@ def type_histogram(spark, sf_dir):
 @_query(f"WITH {_FILES} SELECT tier, count(*) AS n FROM (SELECT CASE WHEN closed = 0 OR i % 3 = 2 THEN 'unverified' WHEN i % 3 = 0 THEN 'humanReviewed' ELSE 'machineConfirmed' END AS tier FROM files) GROUP BY tier")
 def trust_summary(spark, sf_dir):
     concepts = _files(spark, sf_dir).where(classify.file_role(F.col("path")) == "concept")
-    return validate.trust_summary(concepts.select(validate.verified_by(F.col("content")).alias("verified_by")))
+    return validate.trust_summary(front.parsed(concepts).select(validate.verified_by().alias("verified_by")))
 
 
 @_query(f"""WITH {_FILES} SELECT path AS id, CASE WHEN closed = 1 THEN 'Page ' || i ELSE 'p' || i END AS label, CASE WHEN closed = 0 OR i % 7 = 0 THEN 'Concept' WHEN i % 7 = 1 THEN 'Attested Computation' WHEN i % 7 = 2 THEN 'Overview' ELSE 'Guide' END AS type, 'g' || i % 10 AS folder FROM files
@@ -538,7 +538,7 @@ def md_code_blocks(spark, sf_dir):
 
 @_query("SELECT doc_id, '{\"doc\": ' || doc_id || '}' AS \"values\", '# T' AS first_line FROM documents")
 def md_frontmatter(spark, sf_dir):
-    df = _fenced(spark, sf_dir).select("doc_id", markdown.front_matter_of(F.col("md")).alias("f"))
+    df = _fenced(spark, sf_dir).select("doc_id", front.read(F.col("md")).alias("f"))
     return df.select("doc_id", F.col("f.values"), F.substring_index("f.body", "\n", 1).alias("first_line"))
 
 

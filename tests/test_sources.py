@@ -6,7 +6,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from loomspark import api
-from loomspark.operators import graph, openapi, validate
+from loomspark.operators import front, graph, openapi, validate
 from loomspark.parsing import markdown as M
 from loomspark.sources import readers
 from loomspark.streaming import ingest
@@ -28,14 +28,6 @@ def test_html_to_markdown():
     assert "menu" not in got and M.html_to_markdown(None) == "" and "\n\n\n" not in got
 
 
-def test_front_matter():
-    values, body = M.front_matter("---\ntype: Guide\non: yes\nwhen: 2024-01-02\ntags: [a, b]\n---\nBody --- here")
-    assert values["when"] == "2024-01-02" and values["tags"] in (["a", "b"], "[a, b]") and body == "Body --- here"
-    for odd in ("---\n: : bad\n  x\n---\nB", "---\n- a\n- b\n---\nB"):  # what is no mapping counts as body
-        assert M.front_matter(odd) == ({}, odd)
-    assert M.front_matter("no front") == ({}, "no front") and M.front_matter(None) == ({}, "")
-
-
 def test_code_blocks():
     got = M.code_blocks("```python\nimport os, sys\n```\n\n~~~\nselect a from b\n~~~\n\n```\nshort\n```\n  ```js\n  let abcdefgh = 1\n  ```\n")
     assert [(b["id"], b["language"], b["is_executable"]) for b in got] == [("code-1", "python", True), ("code-2", "sql", True), ("code-3", "js", False)]
@@ -49,7 +41,7 @@ def test_absolute_links():
 
 def test_columns(spark):
     df = spark.createDataFrame([(PAGE, "---\nk: v\n---\nb"), (None, None)], "html string, md string")
-    got = df.select(M.markdown_of(F.col("html")).alias("m"), M.front_matter_of(F.col("md")).alias("f"), M.code_blocks_of(M.markdown_of(F.col("html"))).alias("c")).collect()
+    got = df.select(M.markdown_of(F.col("html")).alias("m"), front.read(F.col("md")).alias("f"), M.code_blocks_of(M.markdown_of(F.col("html"))).alias("c")).collect()
     assert got[0].m.startswith("# Title") and got[0].f.body == "b" and got[0].c[0].language == "sql"
     assert got[1].m == "" and got[1].f["values"] == "{}" and got[1].c == []
 
