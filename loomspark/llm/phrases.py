@@ -34,7 +34,7 @@ VOCABULARY, SHARD, GROUP, LOW = 1 << 21, 1 << 18, 4, 1 << 11
 #: Distinct words and positions that a task gathers before it sends on what it counted.
 HELD_WORDS, HELD_KEYS = 1 << 18, 1 << 21
 #: Codes in a row of the encoded texts, at least, codes whose states move at once, and rows that a task sends on at once.
-STRETCH, STATES, SENT = 1 << 13, 1 << 19, 1 << 16
+STRETCH, STATES, SENT = 1 << 11, 1 << 19, 1 << 16
 #: Bytes between words of a piece, and bytes between pieces.
 BLANKS, STOPS = b" \t", b".,;:!?\n\x0b\x0c\r"
 
@@ -196,21 +196,23 @@ def encode(docs: DataFrame, words: DataFrame) -> DataFrame:
     further passes look up what is still 0.
     """
     size = words.agg(F.max("code")).first()[0] or 0
-    rows = docs.mapInArrow(_word_runs, "h1 binary, h2 binary, codes binary")
+    rows = docs
     for low in range(0, max(size, 1), VOCABULARY):
         part = words.where((F.col("code") > low) & (F.col("code") <= low + VOCABULARY)).select("h1", "h2", "code").toArrow()
         h1, h2, code = (part.column(c).to_numpy() for c in ("h1", "h2", "code"))
         order = np.argsort(h1.view(np.uint64), kind="stable")
         known = docs.sparkSession.sparkContext.broadcast((h1.view(np.uint64)[order], h2.view(np.uint64)[order], code.astype(np.int32)[order]))
         last = low + VOCABULARY >= size
-        rows = common.materialize(rows.mapInArrow(_look_up(known, last), "codes binary" if last else "h1 binary, h2 binary, codes binary"))
+        rows = common.materialize(rows.mapInArrow(_look_up(known, not low, last), "codes binary" if last else "h1 binary, h2 binary, codes binary"))
     return rows
 
 
-def _look_up(known, last: bool):
+def _look_up(known, first: bool, last: bool):
+    """Codes of a part of the vocabulary, put into runs; the first pass makes the runs of the texts, in the same worker."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two, code = known.value
-        for batch in batches:
+        for batch in _word_runs(batches) if first else batches:
             out = []
             for h1, h2, codes in zip(*(batch.column(k) for k in range(3))):
                 a, b = (np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in (h1, h2))
