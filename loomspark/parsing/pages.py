@@ -1,229 +1,100 @@
-"""A page as one struct: title, description, breadcrumbs, section, tags, code blocks, headings, markdown; and its links by priority.
-
-Pages are read with the standard library's parser into a small tree, once per page inside an Arrow batch.
-"""
+"""Pages as rows of nodes: a tokeniser numbers elements and texts in order; what they mean is left to joins and windows."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from loomspark.functions.classify import TAG_WORDS
-from loomspark.parsing import markdown as M
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
 _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
-#: Content containers, in order; words of classes and tags that are no content (fixed values).
-CONTAINERS = (("class", "devsite-article-body"), ("tag", "article"), ("tag", "main"), ("itemprop", "articleBody"), ("class", "markdown-body"), ("class", "theme-doc-markdown"), ("class", "content"), ("id", "content"), ("class", "documentation"), ("tag", "body"))
-CLUTTER_TAGS = {"script", "style", "noscript", "iframe", "svg", "nav", "header", "footer", "button"}
-CLUTTER_CLASSES = {"devsite-hats-survey", "devsite-feedback", "devsite-thumb-rating", "devsite-nav", "devsite-toc", "devsite-banner", "breadcrumbs", "breadcrumb", "button", "feedback", "survey", "cookie-notice", "modal"}
-BODY_CLASSES = {"devsite-article-body", "markdown-body", "theme-doc-markdown", "content"}
-GROUP_CLASSES = {"devsite-nav-section", "devsite-expandable-nav", "menu__list-item", "nav-group"}
-ITEM_CLASSES = {"devsite-expandable-nav", "devsite-nav-section", "devsite-nav-item"}
-SIDE_CLASSES = {"sidebar", "table-of-contents", "toc", "docs-sidebar", "menu__list"}
-STRUCT = "title string, description string, breadcrumbs array<string>, section string, tags array<string>, site string, author string, last_modified string, headings array<struct<level:int,text:string>>, code_blocks array<struct<id:string,language:string,code:string,is_executable:boolean>>, main_text string"
-LINK = "array<struct<href:string,text:string,context:string,section:string,priority:int>>"
-
-
-class Node:
-    """An element, or a text (without a tag)."""
-
-    __slots__ = ("tag", "attrs", "children", "parent", "text")
-
-    def __init__(self, tag: str, attrs: dict, parent: Node | None, text: str = ""):
-        self.tag, self.attrs, self.parent, self.text, self.children = tag, attrs, parent, text, []
-        if parent is not None:
-            parent.children.append(self)
-
-    @property
-    def classes(self) -> set[str]:
-        return set(self.attrs.get("class", "").split())
-
-    def walk(self) -> Iterator[Node]:
-        stack = [self]
-        while stack:
-            node = stack.pop()
-            yield node
-            stack += reversed(node.children)
-
-    def find(self, test: Callable[[Node], bool]) -> list[Node]:
-        return [n for n in self.walk() if n is not self and n.tag and test(n)]
-
-    def said(self, skip: Callable[[Node], bool] | None = None) -> str:
-        if skip is None:
-            return "".join(n.text for n in self.walk())
-        out, stack = [], [self]
-        while stack:
-            node = stack.pop()
-            if node.tag and node is not self and skip(node):
-                continue
-            out.append(node.text)
-            stack += reversed(node.children)
-        return "".join(out)
-
-
-class _Tree(HTMLParser):
+#: Elements around which a link's section is looked for.
+BLOCKS = ("li", "div", "section")
+#: Columns of a node beside its page's key.
+COLUMNS = "node int, parent int, last int, block int, tag string, classes array<string>, attrs map<string,string>, text string, texts array<string>, t0 int, t1 int"
+_TYPES = [
+    ("node", pa.int32()), ("parent", pa.int32()), ("last", pa.int32()), ("block", pa.int32()), ("tag", pa.string()), ("classes", pa.list_(pa.string())), ("attrs", pa.map_(pa.string(), pa.string())),
+    ("text", pa.string()), ("texts", pa.list_(pa.string())), ("t0", pa.int32()), ("t1", pa.int32()),
+]
+#: Characters of pages that make a batch of nodes.
+_BATCH = 1 << 20
+
+
+class _Tokens(HTMLParser):
+    """One page's nodes, as lists. An unclosed element ends with what holds it, a p or li before the next of its kind."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("#root", {}, None)
-
-    def handle_starttag(self, tag: str, attrs) -> None:
-        if tag in ("p", "li") and self.at.tag == tag:
-            self.at = self.at.parent
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
+        self.rows: list[list] = [[0, None, 0, None, "#page", [], [], None, None, 0, 0]]
+        self.texts: list[str] = []
+        self.open: list[int] = [0]
+        self.held: Counter = Counter()
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag in ("p", "li") and self.rows[self.open[-1]][4] == tag:
+            self._close()
+        given = {k: v or "" for k, v in attrs}
+        node, parent = len(self.rows), self.open[-1]
+        block = parent if self.rows[parent][4] in BLOCKS else self.rows[parent][3]
+        at = len(self.texts)
+        self.rows.append([node, parent, node, block, tag, given.get("class", "").split(), list(given.items()), None, None, at, at])
         if tag not in _VOID:
-            self.at = node
+            self.open.append(node)
+            self.held[tag] += 1
 
     def handle_endtag(self, tag: str) -> None:
-        node = self.at
-        while node is not self.root and node.tag != tag:
-            node = node.parent
-        if node is not self.root:
-            self.at = node.parent
+        if self.held[tag]:
+            while self._close() != tag:
+                pass
 
     def handle_data(self, data: str) -> None:
-        Node("", {}, self.at, data)
+        node, at = len(self.rows), len(self.texts)
+        self.texts.append(data)
+        self.rows.append([node, self.open[-1], node, None, None, None, None, data, None, at, at + 1])
+
+    def _close(self) -> str:
+        row = self.rows[self.open.pop()]
+        row[2], row[10] = len(self.rows) - 1, len(self.texts)
+        self.held[row[4]] -= 1
+        return row[4]
 
 
-def tree(source: str | None) -> Node:
-    """The page's tree; unclosed elements end with what holds them."""
-    parser = _Tree()
+def tokens(source: str | None) -> list[list]:
+    """Rows of COLUMNS: node 0 is the page, with all its texts in order; `last` is the last node inside one, t0 to t1 its texts,
+    `block` the nearest li, div or section around it."""
+    parser = _Tokens()
     parser.feed(source or "")
     parser.close()
-    return parser.root
-
-
-def _clutter(n: Node) -> bool:
-    return n.tag in CLUTTER_TAGS or bool(n.classes & CLUTTER_CLASSES) or n.attrs.get("role") == "button" or n.attrs.get("aria-hidden") == "true"
-
-
-def page(source: str | None, url: str | None, as_of: str) -> dict:
-    """All fields of STRUCT. `as_of` is the date of pages that give none."""
-    root = tree(source)
-    elements = [n for n in root.walk() if n.tag]
-    meta = {n.attrs.get("name") or n.attrs.get("property"): n.attrs.get("content", "") for n in reversed(elements) if n.tag == "meta"}
-    first = lambda test: next((n for n in elements if test(n)), None)
-    heading, named = first(lambda n: n.tag == "h1"), first(lambda n: n.tag == "title")
-    title = heading.said().strip() if heading else ""
-    if not title:
-        title = re.sub(r"\s*\|.*$", "", meta.get("og:title") or (named.said().strip() if named else "")).strip()
-    description = meta.get("description") or meta.get("og:description") or ""
-    if not description:
-        for holder in (n for n in elements if n.tag in ("article", "main", "body")):
-            if paragraphs := holder.find(lambda n: n.tag == "p"):
-                said = paragraphs[0].said().strip()
-                description = said.split(".")[0] + "." if len(said) > 20 else ""
-                break
-    description = " ".join(description.split())
-    crumbs = [t for n in elements if n.classes & {"devsite-breadcrumb-item", "breadcrumb", "breadcrumbs__link"} or n.tag == "li" and n.parent is not None and (n.parent.classes & {"breadcrumbs"} or n.parent.attrs.get("aria-label") == "Breadcrumb") if (t := n.said().strip()) and t not in ("/", ">")]
-    section = crumbs[-2] if len(crumbs) > 1 else ""
-    if not section and (n := first(lambda n: n.classes & {"devsite-nav-heading", "devsite-nav-title-no-path"})):
-        section = n.said().strip()
-    if not section and (m := re.match(r"(?i)https?://[^/?#]+([^?#]*)", url or "")):
-        parts = [p for p in m[1].split("/") if p]
-        section = re.sub("[-_]", " ", parts[-2]) if len(parts) >= 2 else ""
-    section = section or "General"
-    dashed = lambda t: re.sub("[^a-z0-9]+", "-", t.lower())
-    words = re.split(r"[\s,–—\(\):;]+", title.lower())
-    tags = [k.strip().lower() for k in meta.get("keywords", "").split(",") if k.strip()] + [dashed(b) for b in crumbs if 2 < len(b) < 30] + [dashed(section)] + [w for w in TAG_WORDS if w in words or w in description.lower()]
-    site = meta.get("og:site_name") or meta.get("application-name") or ""
-    dated = first(lambda n: n.tag == "time" and n.attrs.get("datetime"))
-    modified = meta.get("last-modified") or meta.get("article:modified_time") or (dated.attrs["datetime"] if dated else as_of)
-    content = None
-    for kind, value in CONTAINERS:
-        found = [n for n in elements if (n.tag == value if kind == "tag" else value in n.classes if kind == "class" else n.attrs.get(kind) == value)]
-        if found and len("".join(n.said() for n in found).strip()) > 100:
-            content = found[0]
-            break
-    content = content or first(lambda n: n.tag == "body") or root
-    blocks, heads, stack = [], [], [content]
-    k = 0
-    while stack:
-        n = stack.pop()
-        if n is not content and n.tag and _clutter(n):
-            continue
-        if n.tag in ("pre", "code-snippet", "devsite-code"):
-            k += 1
-            code = n.said().strip()
-            css = n.attrs.get("class", "") + " " + " ".join(c.attrs.get("class", "") for c in n.children if c.tag == "code")
-            if len(code) > 10:
-                lang = M.language(code, css) or "text"
-                blocks.append({"id": f"snippet-{k}", "language": lang, "code": code, "is_executable": lang in ("sql", "python", "bash", "sh")})
-        if n.tag in ("h1", "h2", "h3", "h4") and (said := n.said().strip()):
-            heads.append({"level": int(n.tag[1]), "text": said})
-        stack += reversed(n.children)
-    return {
-        "title": title, "description": description, "breadcrumbs": crumbs, "section": section, "tags": list(dict.fromkeys(tags)), "site": site, "author": meta.get("author") or meta.get("article:author") or site or "Documentation Team",
-        "last_modified": modified.split("T")[0], "headings": heads, "code_blocks": blocks, "main_text": " ".join(content.said(_clutter).split()),
-    }
-
-
-def links(source: str | None, url: str | None) -> list[dict]:
-    """Anchors of four passes, first pass first: article bodies (1), nav groups around the page or on set topics (2), other nav (5), sidebars (8).
-
-    An href counts in the first pass that has it; hrefs are as the page has them.
-    """
-    root = tree(source)
-    elements = [n for n in root.walk() if n.tag]
-    path = re.sub(r"^(?i:https?)://[^/?#]+|[?#].*$", "", url or "") or "/"
-    found: dict[str, dict] = {}
-
-    def add(holder: Node, context: str, priority: int, section_of: Callable[[Node], str]) -> None:
-        for a in holder.find(lambda n: n.tag == "a" and n.attrs.get("href")):
-            found.setdefault(a.attrs["href"], {"href": a.attrs["href"], "text": " ".join(a.said().split()), "context": context, "section": section_of(a).strip(), "priority": priority})
-
-    def heading_before(a: Node) -> str:
-        mine = a.parent.children
-        return next((n.said() for n in reversed(mine[: mine.index(a)]) if n.tag in ("h1", "h2", "h3", "h4")), "") or "Overview"
-
-    def near(a: Node) -> str:
-        holder = a.parent
-        while holder is not None and holder.tag not in ("li", "div", "section"):
-            holder = holder.parent
-        inside = holder.find(lambda n: n.tag in ("span", "h2", "h3", "h4")) if holder else []
-        return inside[0].said() if inside else ""
-
-    def title_in(n: Node, test: Callable[[Node], bool]) -> str:
-        inside = n.find(test)
-        return inside[0].said() if inside else ""
-
-    for n in elements:
-        if n.tag in ("article", "main") or n.classes & BODY_CLASSES:
-            add(n, "body", 1, heading_before)
-    for n in (n for n in elements if n.classes & GROUP_CLASSES):
-        here = any(path in a.attrs.get("href", "") for a in n.find(lambda x: x.tag == "a"))
-        if here or re.search("migrate|load|transform|export|api|quickstart", n.said(), re.I):
-            title = title_in(n, lambda x: x.tag == "span" or bool(x.classes & {"devsite-nav-title", "menu__link--sublist"}))
-            add(n, "active-section-nav", 2, lambda a, t=title: t)
-    for n in (n for n in elements if n.classes & ITEM_CLASSES):
-        title = title_in(n, lambda x: "devsite-nav-title" in x.classes)
-        add(n, "nav-item", 5, lambda a, t=title: t)
-    for n in (n for n in elements if n.tag in ("nav", "aside") or n.classes & SIDE_CLASSES):
-        add(n, "sidebar", 8, near)
-    return sorted(found.values(), key=lambda x: x["priority"])
-
-
-def page_of(html: Column, url: Column, as_of: str) -> Column:
-    """page() over columns, as a struct."""
-
-    @F.pandas_udf(STRUCT)
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for sources, urls in batches:
-            yield pd.DataFrame([page(s, u, as_of) for s, u in zip(sources, urls)], columns=[c.split(" ")[0] for c in re.split(r", (?![^<]*>)", STRUCT)])
-
-    return run(html, url)
-
-
-def links_of(html: Column, url: Column) -> Column:
-    """links() over columns."""
-
-    @F.pandas_udf(LINK)
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for sources, urls in batches:
-            yield pd.Series([links(s, u) for s, u in zip(sources, urls)])
-
-    return run(html, url)
+    while parser.open:
+        parser._close()
+    parser.rows[0][8] = parser.texts
+    return parser.rows
+
+
+def nodes(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """(key, COLUMNS) of pages (key, html); a null html is a page without nodes but itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [n for n, _ in _TYPES]
+
+        def batch_of(keys: list, rows: list, kind: pa.DataType) -> pa.RecordBatch:
+            columns = zip(*rows)
+            return pa.RecordBatch.from_arrays([pa.array(keys, kind), *(pa.array(c, t) for c, (_, t) in zip(columns, _TYPES))], [key, *names])
+
+        for batch in batches:
+            keys, rows, size = [], [], 0
+            for k, html in zip(batch.column(0).to_pylist(), batch.column(1)):
+                html = html.as_py()
+                made = tokens(html)
+                keys += [k] * len(made)
+                rows += made
+                size += len(html or "")
+                if size > _BATCH:
+                    yield batch_of(keys, rows, batch.schema.field(0).type)
+                    keys, rows, size = [], [], 0
+            if rows:
+                yield batch_of(keys, rows, batch.schema.field(0).type)
+
+    return pages.select(key, "html").mapInArrow(run, f"{key} {pages.schema[key].dataType.simpleString()}, {COLUMNS}")

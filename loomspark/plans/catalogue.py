@@ -12,8 +12,8 @@ from pyspark.sql.window import Window
 
 from loomspark import api
 from loomspark.functions import classify, text, url
-from loomspark.operators import attest, bundle, computations, documents, front, graph, openapi, sections, trust, validate
-from loomspark.parsing import markdown, pages
+from loomspark.operators import attest, bundle, computations, documents, front, graph, openapi, sections, structure, trust, validate
+from loomspark.parsing import markdown
 from loomspark.sources import readers
 
 QUERIES: dict = {}
@@ -499,8 +499,8 @@ def html_to_markdown(spark, sf_dir):
 
 @_query(f"SELECT page_id, {_TITLE} AS title, {_SECTION} AS section, 'Documentation Team' AS author, '{TODAY}' AS last_modified, 1 AS n_headings, 0 AS n_blocks FROM pages")
 def parse_html_struct(spark, sf_dir):
-    df = _over_cores(_read(spark, sf_dir, "pages")).select("page_id", pages.page_of(F.col("html"), F.col("url"), TODAY).alias("p"))
-    return df.select("page_id", "p.title", "p.section", "p.author", "p.last_modified", F.size("p.headings").alias("n_headings"), F.size("p.code_blocks").alias("n_blocks"))
+    df = structure.parse_pages(_read(spark, sf_dir, "pages"), TODAY)
+    return df.select("page_id", "title", "section", "author", "last_modified", F.size("headings").alias("n_headings"), F.size("code_blocks").alias("n_blocks"))
 
 
 _SAID = "trim(regexp_replace(" + _REFERENCES.format(f"regexp_replace({_CONTENT}, '<[^>]*>', '', 'g')") + ", '\\s+', ' ', 'g'))"
@@ -508,14 +508,12 @@ _SAID = "trim(regexp_replace(" + _REFERENCES.format(f"regexp_replace({_CONTENT},
 
 @_query(f"SELECT page_id, {_SAID} AS main_text, CAST(length({_SAID}) AS INTEGER) AS n_chars FROM pages")
 def page_main_text(spark, sf_dir):
-    df = _over_cores(_read(spark, sf_dir, "pages")).select("page_id", pages.page_of(F.col("html"), F.col("url"), TODAY).alias("p"))
-    return df.select("page_id", "p.main_text", F.length("p.main_text").alias("n_chars"))
+    return structure.parse_pages(_read(spark, sf_dir, "pages"), TODAY).select("page_id", "main_text", F.length("main_text").alias("n_chars"))
 
 
 @_query("""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS href FROM pages) SELECT DISTINCT page_id, href, 'sidebar' AS context, 8 AS priority FROM l""")
 def page_link_candidates(spark, sf_dir):
-    df = _over_cores(_read(spark, sf_dir, "pages")).select("page_id", F.explode(pages.links_of(F.col("html"), F.col("url"))).alias("l"))
-    return df.select("page_id", "l.href", "l.context", "l.priority")
+    return structure.page_links(_read(spark, sf_dir, "pages")).select("page_id", "href", "context", "priority")
 
 
 def _fenced(spark, sf_dir):
