@@ -40,7 +40,7 @@ def materialize(df: DataFrame) -> DataFrame:
     return graph.cut_lineage(df)
 
 
-def by_ids(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi", limit: int = BROADCAST_ROWS) -> DataFrame:
+def by_ids(df: DataFrame, ids: DataFrame, key: str | list[str], how: str = "left_semi", limit: int = BROADCAST_ROWS) -> DataFrame:
     """`df` semi- or anti-joined with a table of ids: by broadcast if that was counted to be small, else by shuffle."""
     small = ids.limit(limit + 1).count() <= limit
     return df.join(F.broadcast(ids) if small else ids, key, how)

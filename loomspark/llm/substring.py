@@ -40,14 +40,15 @@ def _anchor_rows(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for row, end, words in common.chunks(batch.column(1), False):
+            ids, texts = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for row, end, words in common.chunks(batch.column(2), False):
                 hashes = common.rolled(words.hashes, width)
                 of = np.repeat(np.arange(row, end), np.diff(words.first))[: len(hashes)]
                 at = np.arange(len(hashes)) - words.first[of - row]
                 n = words.first[of - row + 1] - words.first[of - row]
                 keep = chosen[at % period] & (at + width <= n) & (n >= window)
-                yield pa.RecordBatch.from_arrays([pa.array(common.signed(hashes[keep])), pa.array(ids[of[keep]]), pa.array(at[keep].astype(np.int32))], ["h", "doc_id", "pos"])
+                rows = of[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(common.signed(hashes[keep])), pa.array(ids[rows]), pa.array(texts[rows]), pa.array(at[keep].astype(np.int32))], ["h", "doc_id", "t", "pos"])
 
     return run
 
@@ -57,8 +58,8 @@ def _window_rows(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, anchors = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
-            for row, end, words in common.chunks(batch.column(1), False):
+            (ids, texts), anchors = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)), batch.column(3)
+            for row, end, words in common.chunks(batch.column(2), False):
                 one, two = common.rolled(words.hashes, window), common.rolled(common.mix(words.hashes, 7), window)
                 for k in range(row, end):
                     low, high = words.first[k - row], words.first[k - row + 1]
@@ -70,18 +71,18 @@ def _window_rows(window: int):
                     np.add.at(edges, np.clip(at - period + 1, 0, starts), 1)
                     np.add.at(edges, np.clip(at + 1, 0, starts), -1)
                     pos = np.flatnonzero(np.cumsum(edges[:-1]) > 0)
-                    yield pa.RecordBatch.from_arrays([pa.array(common.signed(one[low + pos])), pa.array(common.signed(two[low + pos])), pa.array(np.full(len(pos), ids[k])), pa.array(pos.astype(np.int32))], ["h1", "h2", "doc_id", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(common.signed(one[low + pos])), pa.array(common.signed(two[low + pos])), pa.array(np.full(len(pos), ids[k])), pa.array(np.full(len(pos), texts[k])), pa.array(pos.astype(np.int32))], ["h1", "h2", "doc_id", "t", "pos"])
 
     return run
 
 
 def _kept_rows(window: int, texts: bool):
-    """Words that stay; a batch has the id, the text and, where windows repeat, their starts."""
+    """Words that stay; a batch has the id, the text's hash, the text and, where windows repeat, their starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            covered = batch.column(2) if batch.num_columns > 2 else None
-            offsets, data = common.buffers(batch.column(1))
+            covered = batch.column(3) if batch.num_columns > 3 else None
+            offsets, data = common.buffers(batch.column(2))
             raw = data.tobytes()
             total, removed, digest, kept = [], [], [], []
             for k in range(batch.num_rows):
@@ -98,8 +99,8 @@ def _kept_rows(window: int, texts: bool):
                 removed.append(n - len(words))
                 digest.append(hashlib.sha256(text).hexdigest())
                 kept.append(text.decode())
-            out = [batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())]
-            yield pa.RecordBatch.from_arrays([*out, *([pa.array(kept, pa.string())] if texts else [])], ["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept"] if texts else [])])
+            out = [batch.column(0), batch.column(1), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())]
+            yield pa.RecordBatch.from_arrays([*out, *([pa.array(kept, pa.string())] if texts else [])], ["doc_id", "t", "n_words", "n_removed", "kept_sha256", *(["kept"] if texts else [])])
 
     return run
 
@@ -107,43 +108,45 @@ def _kept_rows(window: int, texts: bool):
 def substring_dedup(docs: DataFrame, window: int = 50, texts: bool = False) -> DataFrame:
     """Removes each word covered by a `window`-word run that also starts in a document with a smaller doc_id.
 
-    docs: doc_id (unique; one without id keeps all words) and text; other columns are ignored, so their names cannot clash. A
-    null or empty text has no words. Rows that repeat a doc_id count as one document of that id each and are judged
-    alike. Result, a row for each row of docs: doc_id, n_words, n_removed, kept_sha256 and, with texts, kept
-    (the words that stay, joined by one space).
+    docs: doc_id (one without id keeps all words) and text; other columns are ignored, so their names cannot clash. A
+    null or empty text has no words. Rows that repeat a doc_id are told apart by a hash of their texts: each is a document of that id,
+    judged by its own windows. Result, a row for each row of docs: doc_id, n_words, n_removed, kept_sha256 and, with
+    texts, kept (the words that stay, joined by one space).
     """
-    docs = common.spread(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    text = F.coalesce("text", F.lit(""))
+    docs = common.spread(docs.select("doc_id", F.xxhash64(text).alias("t"), text.alias("text")))
+    row = ["doc_id", "t"]
     keyed = docs.where("doc_id is not null")
-    first = keyed.select("doc_id", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"), F.length("text").alias("c"))
+    first = keyed.select(*row, F.xxhash64(F.lit(1), "text").alias("b"), F.length("text").alias("c"))
     first = common.materialize(first)
-    rep = first.groupBy("a", "b", "c").agg(F.min("doc_id").alias("rep"))
-    copies = common.materialize(first.join(rep, ["a", "b", "c"]).where("doc_id > rep").select("doc_id").distinct())
-    single = common.by_ids(keyed, copies, "doc_id", "left_anti")
+    rep = first.groupBy("t", "b", "c").agg(F.min("doc_id").alias("rep"))
+    copies = common.materialize(first.join(rep, ["t", "b", "c"]).where("doc_id > rep").select(*row).distinct())
+    single = common.by_ids(keyed, copies, row, "left_anti")
 
-    anchors = single.mapInArrow(_anchor_rows(window), "h long, doc_id long, pos int")
+    anchors = single.mapInArrow(_anchor_rows(window), "h long, doc_id long, t long, pos int")
     # Hashes that documents share are written first: what is joined with them is then a plain shuffle, which is split where
     # a hash is very common, after an aggregation that combines within tasks.
     shared = anchors.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h")
     shared = common.materialize(shared)
-    near = common.materialize(anchors.join(shared, "h", "left_semi").groupBy("doc_id").agg(F.collect_list("pos").alias("at")))
-    windows = common.by_ids(keyed, near.select("doc_id"), "doc_id").join(near, "doc_id").select("doc_id", "text", "at").mapInArrow(_window_rows(window), "h1 long, h2 long, doc_id long, pos int")
+    near = common.materialize(anchors.join(shared, "h", "left_semi").groupBy(*row).agg(F.collect_list("pos").alias("at")))
+    windows = common.by_ids(keyed, near.select(*row), row).join(near, row).select(*row, "text", "at").mapInArrow(_window_rows(window), "h1 long, h2 long, doc_id long, t long, pos int")
     least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
     least = common.materialize(least)
-    hit = windows.join(least, ["h1", "h2"]).where("doc_id > low").groupBy("doc_id").agg(F.collect_set("pos").alias("at"))
+    hit = windows.join(least, ["h1", "h2"]).where("doc_id > low").groupBy(*row).agg(F.collect_set("pos").alias("at"))
     hit = common.materialize(hit)
 
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts
-    cut = common.by_ids(docs, hit.select("doc_id"), "doc_id").join(hit, "doc_id").select("doc_id", "text", "at").mapInArrow(_kept_rows(window, texts), schema)
-    rest = common.by_ids(docs, hit.select("doc_id"), "doc_id", "left_anti").select("doc_id", "text").mapInArrow(_kept_rows(window, texts), schema)
+    schema = "doc_id long, t long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts
+    cut = common.by_ids(docs, hit.select(*row), row).join(hit, row).select(*row, "text", "at").mapInArrow(_kept_rows(window, texts), schema)
+    rest = common.by_ids(docs, hit.select(*row), row, "left_anti").select(*row, "text").mapInArrow(_kept_rows(window, texts), schema)
     # A copy of a text that a smaller document has loses all words, if it has a window at all.
     gone = (F.col("copied").isNotNull() & (F.col("n_words") >= window)).alias("gone")
-    marked = copies.select("doc_id", F.lit(True).alias("copied"))
+    marked = copies.select(*row, F.lit(True).alias("copied"))
     small = copies.limit(common.BROADCAST_ROWS + 1).count() <= common.BROADCAST_ROWS
-    whole = rest.join(F.broadcast(marked) if small else marked, "doc_id", "left").withColumn("gone", gone).drop("copied")
+    whole = rest.join(F.broadcast(marked) if small else marked, row, "left").withColumn("gone", gone).drop("copied")
     whole = whole.withColumn("n_removed", F.when(F.col("gone"), F.col("n_words")).otherwise(F.col("n_removed"))).withColumn("kept_sha256", F.when(F.col("gone"), F.sha2(F.lit(""), 256)).otherwise(F.col("kept_sha256")))
     if texts:
         whole = whole.withColumn("kept", F.when(F.col("gone"), F.lit("")).otherwise(F.col("kept")))
-    return cut.unionByName(whole.drop("gone"))
+    return cut.unionByName(whole.drop("gone")).drop("t")
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:

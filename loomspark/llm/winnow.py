@@ -72,19 +72,19 @@ def _hashed(df: DataFrame) -> DataFrame:
     return df.withColumn("g1", F.transform("words", lambda w: F.xxhash64(w)))
 
 
-def fingerprints(df: DataFrame, key: str) -> DataFrame:
+def fingerprints(df: DataFrame, *key: str) -> DataFrame:
     """(key, f): the distinct winnowed fingerprints of the texts with a window of WINDOW words at least."""
-    df = _hashed(df).select(key, "g1")
-    df = with_minima(with_grams(df, GRAM, "gram").select(key, "gram"), "gram", SLIDE, "f")
-    return df.select(key, F.explode_outer(F.array_distinct("f")).alias("f")).where("f is not null")
+    df = _hashed(df).select(*key, "g1")
+    df = with_minima(with_grams(df, GRAM, "gram").select(*key, "gram"), "gram", SLIDE, "f")
+    return df.select(*key, F.explode_outer(F.array_distinct("f")).alias("f")).where("f is not null")
 
 
-def windows(df: DataFrame, key: str, size: int, positions: bool) -> DataFrame:
+def windows(df: DataFrame, *key: str, size: int, positions: bool) -> DataFrame:
     """(key, pos, size, w): a hash of each run of `size` words."""
-    df = with_grams(_hashed(df).select(key, "g1"), size, "w").select(key, "w")
+    df = with_grams(_hashed(df).select(*key, "g1"), size, "w").select(*key, "w")
     if positions:
-        return df.select(key, F.posexplode_outer("w").alias("pos", "w")).withColumn("size", F.lit(size)).where("w is not null")
-    return df.select(key, F.explode_outer(F.array_distinct("w")).alias("w")).where("w is not null")
+        return df.select(*key, F.posexplode_outer("w").alias("pos", "w")).withColumn("size", F.lit(size)).where("w is not null")
+    return df.select(*key, F.explode_outer(F.array_distinct("w")).alias("w")).where("w is not null")
 
 
 #: Short items whose windows are looked up inside the rows, at most; more are joined with all windows.
@@ -92,55 +92,61 @@ IN_PLACE = 10_000
 
 
 def short_windows(split: DataFrame, sizes: list[int], short: DataFrame) -> DataFrame:
-    """(doc_id, pos, size, w): the windows of all `sizes` of documents (doc_id, words), in one pass; where `short` (w, size) has few
+    """(doc_id, t, pos, size, w): the windows of all `sizes` of documents (doc_id, t, words), in one pass; where `short` (w, size) has few
     windows, those of the documents that it lacks are left out before anything is exploded."""
-    df = _hashed(split).select("doc_id", "g1")
+    df = _hashed(split).select("doc_id", "t", "g1")
     for n in sizes:
         df = with_grams(df, n, f"w{n}")
     known = [r.w for r in short.select("w").distinct().limit(IN_PLACE + 1).collect()]
     of = lambda n: F.transform(f"w{n}", lambda w, i: F.struct(i.alias("pos"), F.lit(n).alias("size"), w.alias("w")))
     kept = (lambda a: F.filter(a, lambda x: x["w"].isin(known))) if len(known) <= IN_PLACE else (lambda a: a)
-    return df.select("doc_id", F.explode_outer(F.concat(*(kept(of(n)) for n in sizes))).alias("x")).where("x is not null").select("doc_id", "x.*")
+    return df.select("doc_id", "t", F.explode_outer(F.concat(*(kept(of(n)) for n in sizes))).alias("x")).where("x is not null").select("doc_id", "t", "x.*")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Finds the windows of ten words of `benchmark` items in documents.
 
-    docs: doc_id (unique; one without id is never hit) and text; benchmark: item_id (unique) and text; other columns are ignored. Words are runs of
-    digits, letters and non-ASCII characters, A-Z lower-cased. An item of fewer than ten words, but not none, is one
-    window of that length. Null and empty texts have no words. Result, a row per document: doc_id, n_words, n_hit (words
-    inside any occurrence of a window), n_items, items_sha256 (of the item ids, sorted as strings, comma-joined),
-    contaminated. Either table may be empty.
+    docs: doc_id (one without id is never hit) and text; benchmark: item_id and text; other columns are ignored. Words are runs
+    of digits, letters and non-ASCII characters, A-Z lower-cased. An item of fewer than ten words, but not none, is one
+    window of that length; an item_id with several texts has the windows of all. Null and empty texts have no words. Rows that
+    repeat a doc_id are told apart by a hash of their texts, each with its own hits. Result, a row per row of docs: doc_id, n_words,
+    n_hit (words inside any occurrence of a window), n_items, items_sha256 (of the item ids, sorted as strings,
+    comma-joined), contaminated. Either table may be empty.
     """
-    docs = common.spread(docs.select("doc_id", "text"))
-    split = docs.select("doc_id", words_of(F.col("text")).alias("words"))
+    docs = common.spread(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), "text"))
+    row = ["doc_id", "t"]
+    split = docs.select(*row, words_of(F.col("text")).alias("words"))
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("words"))
     items = common.materialize(items.where(F.size("words") > 0))
     small = items.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0] <= common.BROADCAST_ROWS
     side = F.broadcast if small else lambda df: df
 
     marks = fingerprints(items, "item_id").select("f").distinct()
-    found = common.materialize(fingerprints(split, "doc_id").join(side(marks), "f", "left_semi").select("doc_id").distinct())
-    near = common.by_ids(docs, found, "doc_id").select("doc_id", words_of(F.col("text")).alias("words"))
-    hits = windows(near, "doc_id", WINDOW, True).join(side(windows(items, "item_id", WINDOW, False)), "w")
-    hits = hits.select("doc_id", "pos", "size", "item_id")
+    found = common.materialize(fingerprints(split, *row).join(side(marks), "f", "left_semi").select(*row).distinct())
+    near = common.by_ids(docs, found, row).select(*row, words_of(F.col("text")).alias("words"))
+    # Windows are matched once, however many items share one; items are joined with what a document's hits have in common.
+    known = windows(items, "item_id", size=WINDOW, positions=False).withColumn("size", F.lit(WINDOW))
+    hits = windows(near, *row, size=WINDOW, positions=True).join(side(known.select("w").distinct()), "w", "left_semi")
+    hits = hits.select(*row, "pos", "size", "w")
     sizes = sorted(r.n for r in items.where(F.size("words") < WINDOW).select(F.size("words").alias("n")).distinct().collect())  # at most nine
     if sizes:
         short = None
         for n in sizes:
-            own = windows(items.where(F.size("words") == n), "item_id", n, False).withColumn("size", F.lit(n))
+            own = windows(items.where(F.size("words") == n), "item_id", size=n, positions=False).withColumn("size", F.lit(n))
             short = own if short is None else short.unionByName(own)
         short = common.materialize(short)
-        found = short_windows(split, sizes, short).join(side(short), ["w", "size"])
-        hits = hits.unionByName(found.select("doc_id", "pos", "size", "item_id"))
+        found = short_windows(split, sizes, short).join(side(short.select("w", "size").distinct()), ["w", "size"], "left_semi")
+        hits = hits.unionByName(found.select(*row, "pos", "size", "w"))
+        known = known.unionByName(short)
+    hits = common.materialize(hits)
 
-    spans = F.array_sort(F.collect_set(F.struct("pos", "size")))
-    each = hits.groupBy("doc_id").agg(spans.alias("spans"), F.sort_array(F.collect_set("item_id")).alias("items"))
+    each = hits.groupBy(*row).agg(F.array_sort(F.collect_set(F.struct("pos", "size"))).alias("spans"))
+    named = hits.select(*row, "w", "size").distinct().join(side(known), ["w", "size"]).groupBy(*row).agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     # Spans in order of start: each adds the words beyond the furthest end so far.
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     covered = F.aggregate("spans", zero, lambda a, s: F.struct(F.greatest(a["end"], s["pos"] + s["size"]).alias("end"), (a["n"] + F.greatest(F.lit(0), s["pos"] + s["size"] - F.greatest(a["end"], s["pos"]))).alias("n")), lambda a: a["n"])
-    each = each.select("doc_id", covered.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
-    out = split.select("doc_id", F.size("words").cast("long").alias("n_words")).join(each, "doc_id", "left")
+    each = each.join(named, row).select(*row, covered.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    out = split.select(*row, F.size("words").cast("long").alias("n_words")).join(each, row, "left")
     none = F.sha2(F.lit(""), 256)
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items_sha256", none).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
 
