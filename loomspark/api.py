@@ -12,7 +12,7 @@ from loomspark.functions import classify, text
 from loomspark.operators import bundle, documents, front, graph, sections, validate
 from loomspark.operators import computations as computing
 from loomspark.parsing import markdown as M
-from loomspark.sources import readers
+from loomspark.sources import readers, sinks
 
 
 @dataclass
@@ -40,10 +40,12 @@ class Bundle:
         return graph.cross_links(self.files).unionByName(graph.hierarchy(self.files))
 
     def save(self, folder: str) -> DataFrame:
-        return readers.write_files(self.files, folder)
+        """Writes the files below a shared folder, all of them or none; returns (path, bytes)."""
+        return sinks.write_files(self.files, folder)
 
     def zip(self, target: str) -> int:
-        return readers.write_zip(self.files, target)
+        """Writes the files as one archive in a shared folder; returns how many it holds."""
+        return sinks.write_zip(self.files, target)
 
 
 def ingest(spark: SparkSession, inputs: list[str], max_files: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -229,36 +229,3 @@ def pdf_to_markdown(data: bytes) -> str:
     median = heights[len(heights) // 2] if heights else 0
     mark = lambda s: "# " if s > 1.45 * median else "## " if s > 1.18 * median else ""
     return "\n\n".join(mark(s) + " ".join(t.split()) for _, s, t in lines if t.strip())
-
-
-# ---------------------------------------------------------------- sinks
-
-
-def write_files(files: DataFrame, folder: str) -> DataFrame:
-    """Writes each (path, content) below a folder that all executors share; returns (path, bytes). Paths that leave it are refused."""
-    bad = files.where(F.col("path").rlike(r"(^|/)\.\.(/|$)") | F.startswith("path", F.lit("/")))
-    if not bad.isEmpty():
-        raise ValueError("a path leaves the bundle's folder")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pathlib import Path
-
-        for pdf in batches:
-            sizes = []
-            for path, content in zip(pdf["path"], pdf["content"]):
-                at = Path(folder, path)
-                at.parent.mkdir(parents=True, exist_ok=True)
-                sizes.append(at.write_bytes((content or "").encode()))
-            yield pd.DataFrame({"path": pdf["path"], "bytes": sizes})
-
-    return files.select("path", "content").mapInPandas(run, "path string, bytes long")
-
-
-def write_zip(files: DataFrame, target: str) -> int:
-    """Writes a bundle as one archive, row by row on the driver: an archive is one file. Returns how many files it holds."""
-    n = 0
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED, compresslevel=9) as z:
-        for row in files.orderBy("path").toLocalIterator():
-            z.writestr(row.path, row.content or "")
-            n += 1
-    return n
