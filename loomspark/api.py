@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 from functools import cached_property
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from loomspark.functions import classify, text
 from loomspark.operators import bundle, documents, front, graph, sections, validate
 from loomspark.operators import computations as computing
 from loomspark.parsing import markdown as M
-from loomspark.sources import readers, sinks
+from loomspark.sources import readers, registry, sinks
 
 
 @dataclass
@@ -48,43 +50,47 @@ class Bundle:
         return sinks.write_zip(self.files, target)
 
 
-def ingest(spark: SparkSession, inputs: list[str], max_files: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, sources, errors) of what a user names, in that order: folders (checked-out repositories), files and tables of pages.
+def ingest(spark: SparkSession, inputs: list[str], max_files: int = 100, options: registry.Options | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, sources, errors) of what a user names, in that order: folders (checked-out repositories), files, tables of pages, addresses and texts.
 
-    A folder of Parquet files is a table of page_id, url, html; specifications become a document per endpoint and model;
-    a source that cannot be read is a row of errors (source, type, error). documents: doc_ord and the document shape;
-    sources: ord, source_id, source_type, input, documents. Raises ValueError if nothing gave a document.
+    A folder of Parquet files is a table of page_id, url, html; addresses and texts go to the reader of their type (see
+    sources.registry): web pages are crawled, repositories listed and read, specifications become a document per endpoint and
+    model. What cannot be read is a row of errors (source, type, error). documents: doc_ord and the document shape; sources:
+    ord, source_id, source_type, input, documents. Raises ValueError if nothing gave a document.
     """
-    import os
-
-    docs, errors = None, []
-    for n, value in enumerate(inputs):
-        local = value.removeprefix("file://")
-        kind = "webpage" if value.rstrip("/").endswith(".parquet") else "git" if os.path.isdir(local) else "openapi" if value.lower().endswith((".json", ".yaml", ".yml")) else "upload"
-        try:
-            if kind == "webpage":
-                got = readers.pages(spark.read.parquet(value))
-            elif kind == "git":
-                got = readers.repository(spark, value, max_files)
-            elif kind == "openapi":
-                got = readers.specifications(spark, value)
-            else:
-                got, bad = readers.uploads(spark, value)
-                errors += [(r.source, kind, r.error) for r in bad.collect()]  # of one input
-            got = graph.cut_lineage(got.withColumn("src_ord", F.lit(n)).withColumn("input", F.lit(value)))
-            if got.isEmpty():
-                raise ValueError("no document found")
-        except Exception as e:  # one unreadable source must not end the others
-            errors.append((value, kind, str(e).splitlines()[0][:300]))
+    options = options or registry.Options(max_files=max_files)
+    kinds = [readers.local_kind(value) for value in inputs]
+    parts, failed = [], []
+    for n, (value, kind) in enumerate(zip(inputs, kinds)):
+        if kind is None:
             continue
-        docs = got if docs is None else docs.unionByName(got)
-    failed = spark.createDataFrame(errors, "source string, type string, error string")
-    if docs is None:
-        raise ValueError(f"no source gave a document: {errors}")
+        try:
+            got, bad = readers.local(spark, value, kind, options.max_files)
+            parts.append(graph.cut_lineage(got.withColumn("src_ord", F.lit(n))))
+        except (AnalysisException, ValueError) as e:  # a path that is not there, or a table without the columns of pages
+            bad = spark.createDataFrame([(value, str(e).splitlines()[0][:300])], "source string, error string")
+        failed.append(bad.select(F.lit(n).alias("src_ord"), "source", "error"))
+    named = [(n, v) for n, (v, k) in enumerate(zip(inputs, kinds)) if k is None]
+    if named:
+        rows = registry.typed(spark, [v for _, v in named]).join(spark.createDataFrame([(i, n) for i, (n, _) in enumerate(named)], "src_ord int, at int"), "src_ord")
+        got, bad = registry.read(spark, rows.select(F.col("at").alias("src_ord"), "value", "type"), options)
+        parts.append(got)
+        failed.append(bad.select("src_ord", F.lit(None).cast("string").alias("source"), "error"))
+    asked = spark.createDataFrame(list(enumerate(inputs)), "src_ord int, input string").withColumn("type", F.coalesce(*(F.when(F.col("src_ord") == n, F.lit(k)) for n, k in enumerate(kinds) if k), classify.source_type(F.col("input"))))
+    docs = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
+    errors = functools.reduce(DataFrame.unionByName, failed).join(asked, "src_ord").select("src_ord", F.coalesce("source", "input").alias("source"), "type", "error")
+    if docs is not None:
+        docs = graph.cut_lineage(docs.join(F.broadcast(asked.select("src_ord", "input")), "src_ord"))  # what a user typed
+        said = errors.select("src_ord").unionByName(docs.select("src_ord")).distinct()
+        none = asked.join(said, "src_ord", "left_anti").select("src_ord", F.col("input").alias("source"), "type", F.lit("no document found").alias("error"))
+        errors = errors.unionByName(none)
+    errors = graph.cut_lineage(errors.drop("src_ord"))
+    if docs is None or docs.isEmpty():
+        raise ValueError(f"no source gave a document: {[tuple(r) for r in errors.limit(20).collect()]}")
     docs = graph.ranks(docs.withColumn("at", F.struct("src_ord", F.coalesce(~F.col("is_root"), F.lit(True)), "section", "url", "slug_hint")), "at").withColumnRenamed("rank", "doc_ord").drop("at")
     docs = graph.cut_lineage(docs)
     sources = docs.groupBy("src_ord").agg(F.min("source_id").alias("source_id"), F.min("source_type").alias("source_type"), F.min("input").alias("input"), F.count("*").alias("documents")).withColumnRenamed("src_ord", "ord")
-    return docs, readers.unique_ids(sources, "ord"), failed
+    return docs, readers.unique_ids(sources, "ord"), errors
 
 
 def generate(docs: DataFrame, as_of: str, split: bool = True, computations: bool = True, actor: str = "process:loomspark") -> Bundle:

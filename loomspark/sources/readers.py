@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -44,6 +44,30 @@ def resolve_inputs(values: list[str]) -> tuple[list[str], list[str]]:
     return [v for v in kept if not is_file(v)], [v for v in kept if is_file(v)]
 
 
+def local_kind(value: str) -> str | None:
+    """What a path is read as: a table of pages, a checked-out repository, a specification or an upload; none for addresses and texts."""
+    from pathlib import Path
+
+    if re.match(r"(?i)(?!file:)[a-z][a-z0-9+.-]*://|git@", value) and not value.rstrip("/").endswith(".parquet") or "\n" in value:
+        return None
+    if value.rstrip("/").endswith(".parquet"):
+        return "webpage"
+    try:
+        at = Path(value.removeprefix("file://"))
+        known = at.is_dir() or at.is_file() or value.startswith(("file:", "/", "./", "../"))
+        return None if not known else "git" if at.is_dir() else "openapi" if value.lower().endswith((".json", ".yaml", ".yml")) else "upload"
+    except (OSError, ValueError):  # a text is no name of a file
+        return None
+
+
+def local(spark: SparkSession, value: str, kind: str, max_files: int) -> tuple[DataFrame, DataFrame]:
+    """(documents, errors (source, error)) of a path of a kind."""
+    none = spark.createDataFrame([], "source string, error string")
+    if kind == "upload":
+        return uploads(spark, value)
+    return (pages(spark.read.parquet(value)) if kind == "webpage" else repository(spark, value, max_files) if kind == "git" else specifications(spark, value)), none
+
+
 def describe(inputs: DataFrame) -> DataFrame:
     """(src_ord, value, type, label): what each source would be read as."""
     kinds = F.create_map(*(F.lit(x) for pair in LABELS.items() for x in pair))
@@ -103,11 +127,18 @@ def repository(spark: SparkSession, path: str, max_files: int = 100, sub_path: s
     chosen = inside.orderBy(classify.repo_rank(F.col("name")), "name").limit(max_files)
     content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     df = graph.cut_lineage(content.join(F.broadcast(chosen), "path"))  # at most max_files names
+    return repository_documents(df, text_slug(path))
+
+
+def repository_documents(files: DataFrame, source_id: str) -> DataFrame:
+    """Documents of a repository's files (path, name, content): markdown as it is, specifications by endpoint and model."""
     name = F.col("name")
     spec = name.rlike(classify.SPEC_PATH)
-    apis = _api_documents(df.where(spec).select(F.col("path").alias("spec_id"), F.decode("content", "UTF-8").alias("text"))).withColumn("source_id", F.lit(text_slug(path))).withColumn("source_type", F.lit("git"))
-    df = df.where(~spec)
-    return apis.unionByName(_shaped(df.select(F.lit(text_slug(path)).alias("source_id"), F.lit("git").alias("source_type"), F.col("path").alias("url"), classify.repo_section(name).alias("section"), name.rlike(r"(?i)^readme\.mdx?$").alias("is_root"), F.decode("content", "UTF-8").alias("markdown"))))
+    apis = _api_documents(files.where(spec).select(F.col("path").alias("spec_id"), F.decode("content", "UTF-8").alias("text"))).withColumn("source_id", F.lit(source_id)).withColumn("source_type", F.lit("git"))
+    own = files.where(~spec).select(
+        F.lit(source_id).alias("source_id"), F.lit("git").alias("source_type"), F.col("path").alias("url"), classify.repo_section(name).alias("section"), name.rlike(r"(?i)^readme\.mdx?$").alias("is_root"), F.decode("content", "UTF-8").alias("markdown"),
+    )
+    return apis.unionByName(_shaped(own))
 
 
 def specifications(spark: SparkSession, path: str) -> DataFrame:
@@ -116,12 +147,13 @@ def specifications(spark: SparkSession, path: str) -> DataFrame:
     return _api_documents(files.where(F.col("spec_id").rlike(r"(?i)\.(json|ya?ml)$")))
 
 
-def _api_documents(files: DataFrame) -> DataFrame:
+def _api_documents(files: DataFrame, keep: bool = False) -> DataFrame:
+    """Documents of specifications (spec_id, text); with `keep`, spec_id stays as a column."""
     specs = graph.cut_lineage(openapi.of_text(files))
     head = openapi.heads(specs).select("spec_id", "api", "contact")
     df = openapi.documents(specs).join(head, "spec_id")
     author = F.coalesce(F.col("contact")["name"], F.lit("API Provider"))
-    return _shaped(df.select(text.slug("api").alias("source_id"), F.lit("openapi").alias("source_type"), F.coalesce("url", "spec_id").alias("url"), "section", F.lit(False).alias("is_root"), "markdown", "title", author.alias("author"), F.col("slug").alias("slug_hint"), "description", "type", "tags", F.lit(False).alias("splittable"), F.lit(False).alias("absolute_links"), F.col("api").alias("site")))
+    return _shaped(df.select(text.slug("api").alias("source_id"), F.lit("openapi").alias("source_type"), F.coalesce("url", "spec_id").alias("url"), "section", F.lit(False).alias("is_root"), "markdown", "title", author.alias("author"), F.col("slug").alias("slug_hint"), "description", "type", "tags", F.lit(False).alias("splittable"), F.lit(False).alias("absolute_links"), F.col("api").alias("site"), *(["spec_id"] if keep else [])))
 
 
 def text_slug(path: str) -> str:
@@ -129,18 +161,24 @@ def text_slug(path: str) -> str:
     return re.sub(r"[^a-z0-9]+", "-", path.rstrip("/").rsplit("/", 1)[-1].lower()).strip("-") or "source"
 
 
-def uploads(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(documents, errors) of uploaded files: markdown and text as they are, docx and pdf converted; others, large and empty ones are errors."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
+def converted(ext: Column, content: Column) -> Column:
+    """struct<markdown, error> of files' bytes by their endings; null bytes are an error."""
 
     @F.pandas_udf("markdown string, error string")
-    def convert(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for exts, data in batches:
             yield pd.DataFrame([_convert(e, d) for e, d in zip(exts, data)], columns=["markdown", "error"])
 
+    return run(ext, content)
+
+
+def uploads(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(documents, errors) of uploaded files: markdown and text as they are, docx and pdf converted; others, large and empty ones are errors."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
+
     fits = (F.col("length") <= MAX_UPLOAD) & ext.isin(*UPLOADS)
-    df = files.where(fits).select("path", convert(ext, F.col("content")).alias("c"))
+    df = files.where(fits).select("path", converted(ext, F.col("content")).alias("c"))
     refused = files.where(~fits).select(F.col("path").alias("source"), F.when(F.col("length") > MAX_UPLOAD, "file is too large").otherwise("file type is not supported").alias("error"))
     good = df.where("c.error is null").select(text.slug(text.title_from_path("path")).alias("source_id"), F.lit("upload").alias("source_type"), F.concat(F.lit("upload://"), F.element_at(F.split("path", "/"), -1)).alias("url"), F.lit("Guides").alias("section"), F.lit(None).cast("boolean").alias("is_root"), F.col("c.markdown").alias("markdown"), text.title_from_path("path").alias("title"))
     return _shaped(good), refused.unionByName(df.where("c.error is not null").select(F.col("path").alias("source"), F.col("c.error").alias("error")))
