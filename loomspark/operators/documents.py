@@ -69,19 +69,18 @@ def resolve_paths(concepts: DataFrame, key: str) -> DataFrame:
     state = graph.grouped_ranks(own, group, key, "turn").withColumn("turn", F.col("turn") + F.col("slug").isin("index", "log").cast("int"))
     name = F.when(F.col("turn") == 0, F.col("slug")).when(F.col("turn") == 1, F.concat_ws("-", "slug", "source_id")).otherwise(F.concat_ws("-", "slug", "source_id", F.col("turn").cast("string")))
     path = F.concat(F.when(F.col("folder") == "", "").otherwise(F.concat("folder", F.lit("/"))), name, F.lit(".md"))
-    state = graph.cut_lineage(state)
     while True:
         placed = state.withColumn("path", path)
-        met = graph.cut_lineage(placed.groupBy("path").agg(F.min(key).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
-        if met.isEmpty():
+        # One write a round: whether a concept lost its path to an earlier one.
+        placed = graph.cut_lineage(placed.withColumn("lost", F.col(key) != F.min(key).over(Window.partitionBy("path"))))
+        touched = placed.where("lost").select(*group).distinct()
+        if touched.isEmpty():
             break
-        losers = placed.join(met, "path").where(F.col(key) != F.col("first")).select(key, F.lit(1).alias("moves"))
-        moved = state.join(losers, key, "left").withColumn("turn", F.col("turn") + F.coalesce("moves", F.lit(0))).drop("moves")
-        touched = moved.join(losers, key, "left_semi").select(*group).distinct()
+        moved = placed.withColumn("turn", F.col("turn") + F.col("lost").cast("int")).select(key, *group, "turn")
         inside = Window.partitionBy(*group).orderBy(key)
         again = moved.join(touched, group, "left_semi").withColumn("at", F.row_number().over(inside))
         again = again.withColumn("turn", F.max(F.col("turn") - F.col("at")).over(inside) + F.col("at")).drop("at")
-        state = graph.cut_lineage(moved.join(touched, group, "left_anti").unionByName(again))
+        state = moved.join(touched, group, "left_anti").unionByName(again)
     return concepts.join(placed.select(key, "path"), key)
 
 
