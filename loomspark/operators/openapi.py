@@ -252,6 +252,7 @@ def documents(specs: DataFrame) -> DataFrame:
     specs: spec_id and json. ord is the place in the specification: of endpoints before models. A specification without a
     base address gives its documents no url.
     """
+    specs = graph.cut_lineage(specs.select("spec_id", "json"))
     head = graph.cut_lineage(heads(specs))
     ops, parts, known = graph.cut_lineage(operations(specs)), graph.cut_lineage(components(specs)), graph.cut_lineage(targets(specs))
     return _endpoint_documents(head, ops, known).unionByName(_model_documents(parts, known))
