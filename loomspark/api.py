@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.errors import AnalysisException
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions import classify, text
-from loomspark.operators import bundle, documents, front, graph, sections, validate
+from loomspark.operators import bundle, documents, front, graph, progress, sections, validate
 from loomspark.operators import computations as computing
 from loomspark.parsing import markdown as M
 from loomspark.sources import readers, registry, sinks
@@ -19,10 +19,11 @@ from loomspark.sources import readers, registry, sinks
 
 @dataclass
 class Bundle:
-    """A bundle's concepts and files."""
+    """A bundle's concepts and files, and what was counted while they were made."""
 
     concepts: DataFrame
     files: DataFrame
+    run: progress.Run = field(default_factory=progress.Run)
 
     @cached_property
     def parsed(self) -> DataFrame:
@@ -30,7 +31,9 @@ class Bundle:
         return graph.cut_lineage(front.parsed(self.files))
 
     def checks(self) -> DataFrame:
-        return validate.checks(self.parsed)
+        """The findings, written; how many checks failed is in the run's events."""
+        failed = lambda severity: F.count_if(~F.col("passed") & (F.col("severity") == severity))
+        return self.run.written(validate.checks(self.parsed), "checked", errors=failed("error"), warnings=failed("warning"))
 
     def report(self) -> DataFrame:
         return validate.report(self.checks())
@@ -50,15 +53,15 @@ class Bundle:
         return sinks.write_zip(self.files, target)
 
 
-def ingest(spark: SparkSession, inputs: list[str], max_files: int = 100, options: registry.Options | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def ingest(spark: SparkSession, inputs: list[str], max_files: int = 100, options: registry.Options | None = None, run: progress.Run | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, sources, errors) of what a user names, in that order: folders (checked-out repositories), files, tables of pages, addresses and texts.
 
     A folder of Parquet files is a table of page_id, url, html; addresses and texts go to the reader of their type (see
     sources.registry): web pages are crawled, repositories listed and read, specifications become a document per endpoint and
     model. What cannot be read is a row of errors (source, type, error). documents: doc_ord and the document shape; sources:
-    ord, source_id, source_type, input, documents. Raises ValueError if nothing gave a document.
+    ord, source_id, source_type, input, documents. Raises ValueError if nothing gave a document. `run` gets the counts.
     """
-    options = options or registry.Options(max_files=max_files)
+    options, run = options or registry.Options(max_files=max_files), run or progress.Run()
     kinds = [readers.local_kind(value) for value in inputs]
     parts, failed = [], []
     for n, (value, kind) in enumerate(zip(inputs, kinds)):
@@ -80,12 +83,13 @@ def ingest(spark: SparkSession, inputs: list[str], max_files: int = 100, options
     docs = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
     errors = functools.reduce(DataFrame.unionByName, failed).join(asked, "src_ord").select("src_ord", F.coalesce("source", "input").alias("source"), "type", "error")
     if docs is not None:
-        docs = graph.cut_lineage(docs.join(F.broadcast(asked.select("src_ord", "input")), "src_ord"))  # what a user typed
+        per_source = {f"source_{n}": F.count_if(F.col("src_ord") == n) for n in range(len(inputs))}  # what a user typed
+        docs = run.written(docs.join(F.broadcast(asked.select("src_ord", "input")), "src_ord"), "documents_read", **per_source)
         said = errors.select("src_ord").unionByName(docs.select("src_ord")).distinct()
         none = asked.join(said, "src_ord", "left_anti").select("src_ord", F.col("input").alias("source"), "type", F.lit("no document found").alias("error"))
         errors = errors.unionByName(none)
-    errors = graph.cut_lineage(errors.drop("src_ord"))
-    if docs is None or docs.isEmpty():
+    errors = run.written(errors.drop("src_ord"), "sources_failed")
+    if docs is None or not run.count("documents_read"):
         raise ValueError(f"no source gave a document: {[tuple(r) for r in errors.limit(20).collect()]}")
     docs = graph.ranks(docs.withColumn("at", F.struct("src_ord", F.coalesce(~F.col("is_root"), F.lit(True)), "section", "url", "slug_hint")), "at").withColumnRenamed("rank", "doc_ord").drop("at")
     docs = graph.cut_lineage(docs)
@@ -93,14 +97,15 @@ def ingest(spark: SparkSession, inputs: list[str], max_files: int = 100, options
     return docs, readers.unique_ids(sources, "ord"), errors
 
 
-def generate(docs: DataFrame, as_of: str, split: bool = True, computations: bool = True, actor: str = "process:loomspark") -> Bundle:
+def generate(docs: DataFrame, as_of: str, split: bool = True, computations: bool = True, actor: str = "process:loomspark", run: progress.Run | None = None) -> Bundle:
     """A bundle of documents: doc_ord, source_id, url, html or markdown, and what else `documents.parse_documents` takes.
 
     Documents are parsed, catalogues are split into a concept per section under an overview, the first document that is or may
     be the root becomes the overview, paths are reserved in order, links between concepts are rewritten. A concept's first
     SQL block becomes a computation of its own. The root index lists the sources, where there are several.
     """
-    df = graph.cut_lineage(documents.parse_documents(docs, "doc_ord", as_of))
+    run = run or progress.Run()
+    df = run.written(documents.parse_documents(docs, "doc_ord", as_of), "documents_parsed", characters=F.sum(F.length("body")))
     whole = df.withColumn("sec_ord", F.lit(0)).withColumn("wants_root", F.coalesce("is_root", F.col("doc_ord") == 0)).withColumn("forced", F.lit(None).cast("string"))
     overviews = None
     if split:
@@ -139,8 +144,13 @@ def generate(docs: DataFrame, as_of: str, split: bool = True, computations: bool
     links = bundle.rewrite_links(bundle.extract_links(concepts, "ord", "body"), bundle.url_dictionary(concepts, "ord"), "ord").where("target is not null")
     swaps = links.groupBy("ord").agg(F.map_from_entries(F.collect_set(F.struct("href", "target"))).alias("to"))
     linked = concepts.join(swaps, "ord", "left")
-    swapped = F.aggregate(F.map_entries("to"), F.col("body"), lambda b, e: F.replace(b, F.concat(F.lit("]("), e["key"], F.lit(")")), F.concat(F.lit("]("), e["value"], F.lit(")"))))
-    linked = graph.cut_lineage(linked.withColumn("body", F.when(F.col("to").isNull(), F.col("body")).otherwise(swapped)).drop("to"))
+    # A body is split where links begin, and each link looked up once.
+    href = lambda p: F.substring_index(p, ")", 1)
+    swap = lambda p: F.concat(F.coalesce(F.try_element_at("to", href(p)), href(p)), F.substr(p, F.length(href(p)) + 1))
+    swapped = F.array_join(F.transform(F.split("body", r"\]\("), lambda p, i: F.when((i > 0) & F.contains(p, F.lit(")")), swap(p)).otherwise(p)), "](")
+    made = linked.withColumn("n_links", F.coalesce(F.size("to"), F.lit(0))).withColumn("body", F.when(F.col("to").isNull(), F.col("body")).otherwise(swapped)).drop("to")
+    linked = run.written(made, "concepts_made", targets_linked=F.sum("n_links")).drop("n_links")
     labels = F.create_map(*(F.lit(x) for pair in readers.LABELS.items() for x in pair))
     sources = df.groupBy("source_id").agg(F.min("doc_ord").alias("ord"), F.min_by("url", "doc_ord").alias("url"), F.coalesce(labels[F.min("source_type")], F.lit("Source")).alias("label"), F.count("*").alias("n")).withColumnRenamed("source_id", "name")
-    return Bundle(linked, graph.cut_lineage(bundle.bundle_files(linked, "ord", as_of, actor, overviews, found, sources)))
+    files = run.written(bundle.bundle_files(linked, "ord", as_of, actor, overviews, found, sources), "files_made", characters=F.sum(F.length("content")))
+    return Bundle(linked, files, run)
