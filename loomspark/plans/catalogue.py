@@ -337,6 +337,21 @@ def generated_checks(spark, sf_dir):
     return validate.report(validate.checks(_generated(spark, sf_dir)))
 
 
+@_query(f"""WITH {_MADE} SELECT path AS id, title AS label, CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE 'root' END AS folder FROM concepts
+  UNION ALL SELECT DISTINCT folder || '/index.md', 'index', folder FROM concepts WHERE folder <> '' UNION ALL VALUES ('index.md', 'Root Index', 'root')""")
+def generated_nodes(spark, sf_dir):
+    """The graph's nodes of a generated bundle, labelled by what the front matter of its files says."""
+    return graph.nodes(_generated(spark, sf_dir)).select("id", "label", "folder")
+
+
+@_query(f"""WITH {_MADE} SELECT path, 'stable' AS status, 'machineConfirmed' AS tier, '{TODAY}' AS generated_at, '{TODAY}' AS verified_at, url AS sources FROM concepts""")
+def generated_provenance(spark, sf_dir):
+    """Where each concept of a generated bundle comes from, and how far it can be trusted."""
+    files = graph.cut_lineage(front.parsed(_generated(spark, sf_dir).where(classify.file_role(F.col("path")) == "concept")))
+    made = trust.provenance(files).withColumn("sources", F.array_join("sources", " "))
+    return trust.lifecycle(files, TODAY).select("path", "status", "tier").join(made, "path")
+
+
 # ---------------------------------------------------------------- files: validation, graph, trust
 
 
