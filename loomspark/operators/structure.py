@@ -17,9 +17,15 @@ from loomspark.operators import graph
 from loomspark.parsing import pages as tokenising
 
 #: Content containers, in order; words of classes and tags that are no content (fixed values).
-CONTAINERS = (("class", "devsite-article-body"), ("tag", "article"), ("tag", "main"), ("itemprop", "articleBody"), ("class", "markdown-body"), ("class", "theme-doc-markdown"), ("class", "content"), ("id", "content"), ("class", "documentation"), ("tag", "body"))
+CONTAINERS = (
+    ("class", "devsite-article-body"), ("tag", "article"), ("tag", "main"), ("itemprop", "articleBody"), ("class", "markdown-body"),
+    ("class", "theme-doc-markdown"), ("class", "content"), ("id", "content"), ("class", "documentation"), ("tag", "body"),
+)
 CLUTTER_TAGS = ("script", "style", "noscript", "iframe", "svg", "nav", "header", "footer", "button")
-CLUTTER_CLASSES = ("devsite-hats-survey", "devsite-feedback", "devsite-thumb-rating", "devsite-nav", "devsite-toc", "devsite-banner", "breadcrumbs", "breadcrumb", "button", "feedback", "survey", "cookie-notice", "modal")
+CLUTTER_CLASSES = (
+    "devsite-hats-survey", "devsite-feedback", "devsite-thumb-rating", "devsite-nav", "devsite-toc", "devsite-banner",
+    "breadcrumbs", "breadcrumb", "button", "feedback", "survey", "cookie-notice", "modal",
+)
 BODY_CLASSES = ("devsite-article-body", "markdown-body", "theme-doc-markdown", "content")
 GROUP_CLASSES = ("devsite-nav-section", "devsite-expandable-nav", "menu__list-item", "nav-group")
 ITEM_CLASSES = ("devsite-expandable-nav", "devsite-nav-section", "devsite-nav-item")
@@ -107,11 +113,21 @@ def _content_parts(nodes: DataFrame, elements: DataFrame, texts: DataFrame, key:
     df = df.withColumn("clean", ~_Page(key).within(clutter & (F.col("node") > F.col("c_node"))))
     # Texts of clutter stay as empty places, so that an element's texts are found by the same numbers.
     base = F.min("t0")
-    kept = df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("tag").isNull(), F.struct("node", F.when(F.col("clean"), F.col("text")).otherwise("").alias("text"))))), lambda x: x["text"]).alias("texts"), base.alias("base"))
+    kept = df.groupBy(key).agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.when(F.col("tag").isNull(), F.struct("node", F.when(F.col("clean"), F.col("text")).otherwise("").alias("text"))))),
+            lambda x: x["text"],
+        ).alias("texts"),
+        base.alias("base"),
+    )
     kept = graph.cut_lineage(kept)
     code = _is("pre", "code-snippet", "devsite-code")
     css = F.concat_ws(" ", "classes")
-    inner = df.where(_is("code")).groupBy(key, F.col("parent").alias("node")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", css.alias("css")))), lambda x: x["css"]), " ").alias("inner"))
+    inner = (
+        df.where(_is("code"))
+        .groupBy(key, F.col("parent").alias("node"))
+        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", css.alias("css")))), lambda x: x["css"]), " ").alias("inner"))
+    )
     parts = df.where(F.col("clean") & (code | _is(*HEADINGS))).select(key, "node", "tag", "t0", "t1", css.alias("css")).join(inner, [key, "node"], "left")
     numbered = parts.join(kept.select(key, "base"), key).withColumn("t0", F.col("t0") - F.col("base")).withColumn("t1", F.col("t1") - F.col("base"))
     numbered = said(numbered, kept, key).withColumn("said", _bare(F.col("said"))).withColumn("no", F.sum(F.when(code, 1)).over(Window.partitionBy(key).orderBy("node")))
@@ -148,7 +164,15 @@ def parse_pages(pages: DataFrame, as_of: str, key: str = "page_id") -> DataFrame
     label = F.coalesce(F.nullif(_attr("name"), F.lit("")), _attr("property"))
     metas = [first(meta & (label == n), F.coalesce(_attr("content"), F.lit(""))).alias(f"m{i}") for i, n in enumerate(names)]
     crumbs = F.transform(F.array_sort(F.collect_list(F.when(F.col("crumb") & ~F.col("said").isin("", "/", ">"), F.struct("node", "said")))), lambda x: x["said"])
-    facts = named.groupBy(key).agg(first(_is("h1")).alias("h1"), first(_is("title")).alias("named"), first(F.col("told")).alias("paragraph"), first(F.col("group")).alias("group"), first(_is("time") & (_attr("datetime") != ""), _attr("datetime")).alias("time"), crumbs.alias("crumbs"), *metas)
+    facts = named.groupBy(key).agg(
+        first(_is("h1")).alias("h1"),
+        first(_is("title")).alias("named"),
+        first(F.col("told")).alias("paragraph"),
+        first(F.col("group")).alias("group"),
+        first(_is("time") & (_attr("datetime") != ""), _attr("datetime")).alias("time"),
+        crumbs.alias("crumbs"),
+        *metas,
+    )
 
     df = pages.select(key, "url").join(facts, key, "left").join(_content_parts(nodes, elements, texts, key), key, "left")
     some = lambda c: F.nullif(c, F.lit(""))

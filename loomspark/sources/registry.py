@@ -80,7 +80,14 @@ def uploads(spark: SparkSession, inputs: DataFrame, options: Options) -> tuple[D
     """Documents of the online editor, exported and converted."""
     got = _fetched(inputs, U.google_doc_export(F.col("value")), options)
     got = got.withColumn("c", readers.converted(F.lit("docx"), F.col("body"))).withColumn("error", F.coalesce("error", "c.error"))
-    docs = got.where("error is null").select("src_ord", text.slug(F.concat(F.lit("document-"), F.left(F.regexp_extract("value", "/d/([A-Za-z0-9_-]+)", 1), F.lit(8)))).alias("source_id"), F.lit("upload").alias("source_type"), F.col("value").alias("url"), F.lit("Guides").alias("section"), F.col("c.markdown").alias("markdown"))
+    docs = got.where("error is null").select(
+        "src_ord",
+        text.slug(F.concat(F.lit("document-"), F.left(F.regexp_extract("value", "/d/([A-Za-z0-9_-]+)", 1), F.lit(8)))).alias("source_id"),
+        F.lit("upload").alias("source_type"),
+        F.col("value").alias("url"),
+        F.lit("Guides").alias("section"),
+        F.col("c.markdown").alias("markdown"),
+    )
     return _no_documents(spark).unionByName(docs, allowMissingColumns=True), _errors(got.where("error is not null"))
 
 
@@ -93,7 +100,11 @@ def pages(spark: SparkSession, inputs: DataFrame, options: Options) -> tuple[Dat
     wanted = graph.cut_lineage(computations.spec_candidates(seeds.where("html is not null")))
     others = http.fetch(wanted.select(F.col("candidate").alias("url")).join(first, "url", "left_anti"), options.client)
     corpus = openapi.of_text(first.unionByName(others.withColumn("html", F.decode("body", "UTF-8"))).where("error is null").select(F.col("url").alias("spec_id"), F.col("html").alias("text")))
-    named = graph.cut_lineage(computations.discover_specs(seeds, graph.cut_lineage(corpus.select(F.col("spec_id").alias("url"), "json"))).select(F.col("page_id").alias("src_ord"), F.col("url").alias("spec_id"), F.col("json").alias("text"), F.lit(None).cast("string").alias("error")))
+    named = graph.cut_lineage(
+        computations.discover_specs(seeds, graph.cut_lineage(corpus.select(F.col("spec_id").alias("url"), "json"))).select(
+            F.col("page_id").alias("src_ord"), F.col("url").alias("spec_id"), F.col("json").alias("text"), F.lit(None).cast("string").alias("error")
+        )
+    )
     docs, errors = _documents_of_specs(named, named)
     errors = errors.unionByName(_errors(lost))
     for row in seeds.join(named.select(F.col("src_ord").alias("page_id")), "page_id", "left_anti").orderBy("page_id").collect():  # what a user typed
@@ -121,12 +132,19 @@ def repositories(spark: SparkSession, inputs: DataFrame, options: Options) -> tu
         inside = names.where(F.startswith("name", F.lit(repo.sub_path.strip("/") + "/"))) if repo.sub_path else names
         names = names if repo.sub_path and inside.isEmpty() else inside
         quoted = F.replace(F.replace(F.url_encode("name"), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/"))
-        whole = F.concat(F.lit(f"{raw}/{repo.full_name}/"), "ref", F.lit("/"), quoted) if raw else F.concat(F.lit(f"{api}/projects/{repo.full_name.replace('/', '%2F')}/repository/files/"), F.replace(quoted, F.lit("/"), F.lit("%2F")), F.lit("/raw?ref="), "ref")
+        whole = (
+            F.concat(F.lit(f"{raw}/{repo.full_name}/"), "ref", F.lit("/"), quoted)
+            if raw
+            else F.concat(F.lit(f"{api}/projects/{repo.full_name.replace('/', '%2F')}/repository/files/"), F.replace(quoted, F.lit("/"), F.lit("%2F")), F.lit("/raw?ref="), "ref")
+        )
         chosen = graph.cut_lineage(names.orderBy(classify.repo_rank(F.col("name")), "name").limit(options.max_files).withColumn("url", whole))
         header = (("PRIVATE-TOKEN", options.token) if repo.host == "gitlab" else ("Authorization", f"Bearer {options.token}"),) if options.token else ()
         got = graph.cut_lineage(http.fetch(chosen, options.client._replace(accept="text/plain, */*", headers=header)).join(chosen, "url"))
         errors = errors.unionByName(got.where("error is not null").select(F.lit(row.src_ord).alias("src_ord"), F.concat("name", F.lit(": "), "error").alias("error")))
-        made = readers.repository_documents(got.where("error is null").select(F.concat(F.lit(f"{repo.web_url}/blob/"), "ref", F.lit("/"), "name").alias("path"), "name", F.col("body").alias("content")), readers.text_slug(repo.repo))
+        made = readers.repository_documents(
+            got.where("error is null").select(F.concat(F.lit(f"{repo.web_url}/blob/"), "ref", F.lit("/"), "name").alias("path"), "name", F.col("body").alias("content")),
+            readers.text_slug(repo.repo),
+        )
         docs = docs.unionByName(made.withColumn("src_ord", F.lit(row.src_ord)))
     return docs, errors
 
