@@ -48,8 +48,8 @@ def page_concepts(table: DataFrame) -> DataFrame:
 def tags(title: Column, description: Column, section: Column) -> Column:
     """The section's slug, then the fixed words that the title has as a word or the description anywhere; each once."""
     words = F.split(F.lower(title), r"[\s,–—\(\):;]+")
-    fixed = F.array(*(F.lit(w) for w in TAG_WORDS))
-    found = F.filter(fixed, lambda w: F.array_contains(words, w) | F.contains(F.lower(description), w))
+    # No loop over the words: the optimizer copies what it finds once, as in a loop's body, and title and description would be read from the page for each word.
+    found = F.array_compact(F.array(*(F.when(F.array_contains(words, w) | F.contains(F.lower(description), F.lit(w)), F.lit(w)) for w in TAG_WORDS)))
     return F.array_distinct(F.concat(F.array(F.regexp_replace(F.lower(section), "[^a-z0-9]+", "-")), found))
 
 

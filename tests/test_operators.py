@@ -197,3 +197,29 @@ def test_query_matches_sql(spark, name):
     assert sorted(df.columns) == sorted(columns)
     got = sorted(tuple(map(plain, r)) for r in df.select(*[F.col(f"`{c}`") for c in columns]).collect())
     assert got == sorted(tuple(map(plain, r)) for r in said.fetchall())
+
+
+def test_python_gets_texts_in_small_batches(spark):
+    """However many texts a partition has, a worker holds about a megabyte of them."""
+    from loomspark.functions import batches
+    from loomspark.parsing import markdown
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    df = spark.range(0, 2000, 1, 1).select("id", F.repeat(F.lit("0123456789"), 1000).alias("md"))
+    df.select(markdown.code_blocks_of(F.col("md")))
+
+    @F.pandas_udf("long")
+    def size(texts):
+        return texts.str.len().sum() + texts.str.len() * 0
+
+    assert df.select(size("md").alias("n")).agg(F.max("n")).first()[0] < 2 * batches.BYTES
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "3m")
+    sections.split_level(df, "id", "md")
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "3m"  # what a session has chosen stays
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+
+
+def test_a_page_is_read_once_for_its_tags(spark):
+    """The expressions over the page are made once, not once for each word that a tag may be."""
+    plan = catalogue.page_tags(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<h1[^>]*>") <= 2 and "lambdafunction" not in plan.split("(?is)<h1")[0].rsplit("\n", 1)[-1]
