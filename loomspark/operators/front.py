@@ -8,34 +8,45 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.functions import batches
 from loomspark.parsing import front as reading
 
 #: Keys that a bundle's producer writes itself, in the order of the file; all others are carried on as they are.
 WRITTEN = ("type", "title", "description", "resource", "tags", "status", "generated", "verified", "sources")
+#: reading.BLOCK, as Java has it.
+_BLOCK = r"(?s)\A\x{FEFF}{0,2}---[ \t]*\r?\n(.*?)(?:(?<=\n)|\r?\n)---[ \t]*(?:\r?\n|\z)"
 #: The parsed column: state (absent, open, unparseable, no_mapping, ok), values, body.
 FRONT = "front"
 
 
 def read(content: Column) -> Column:
-    """struct<state, values: JSON text of an object, body> of texts; null counts as empty."""
+    """struct<state, values: JSON text of an object, body> of texts; null counts as empty. Only the front matter itself goes to Python."""
 
-    @F.pandas_udf("state string, values string, body string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in batches:
-            yield pd.DataFrame([reading.read(x) for x in s], columns=["state", "values", "body"], dtype=object)
+    @F.pandas_udf("state string, values string, used int")
+    def run(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in series:
+            found = [(reading.read(x), len(x)) for x in s]
+            yield pd.DataFrame([(state, values, n - len(body)) for (state, values, body), n in found], columns=["state", "values", "used"], dtype=object)
 
-    return run(content)
+    batches.small()
+    text = F.coalesce(content, F.lit(""))
+    # What has no closing line tells by its first signs whether it has an opening one.
+    head = F.coalesce(F.nullif(F.regexp_extract(text, _BLOCK, 0), F.lit("")), F.left(text, F.lit(4)))
+    found = run(F.when(F.startswith(text, F.lit("---")) | F.startswith(text, F.lit("\ufeff")), head).otherwise(""))
+    return F.struct(found["state"].alias("state"), found["values"].alias("values"), F.substring(text, found["used"] + 1, F.lit(1 << 30)).alias("body"))
 
 
 def parsed(files: DataFrame) -> DataFrame:
     """Adds `front` (state, values as VARIANT, body) to files (path, content), unless they have it already."""
     if FRONT in files.columns:
         return files
-    df = files.withColumn("_read", read(F.coalesce("content", F.lit("")))).withColumn("_values", F.try_parse_json("_read.values"))
+    # A generator keeps the optimizer from copying what makes a text into each of its uses.
+    df = files.withColumn("_text", F.explode_outer(F.array("content")))
+    df = df.withColumn("_read", read(F.col("_text"))).withColumn("_values", F.try_parse_json("_read.values"))
     # Values that are too large for a VARIANT count as none.
     state = F.when(F.col("_values").isNull(), F.lit(reading.UNPARSEABLE)).otherwise(F.col("_read.state"))
     made = F.struct(state.alias("state"), F.coalesce("_values", F.parse_json(F.lit("{}"))).alias("values"), F.col("_read.body").alias("body"))
-    return df.withColumn(FRONT, made).drop("_read", "_values")
+    return df.withColumn(FRONT, made).drop("_text", "_read", "_values")
 
 
 def _path(key: str) -> str:

@@ -60,6 +60,16 @@ def test_no_file_ends_a_job(spark):
         assert trust.provenance(source).count() == trust.lifecycle(source, "2024-01-01").count() == len(ODD)
 
 
+def test_bodies_stay_out_of_python(spark):
+    """Texts are read as by the reader of one text, yet a worker sees what stands between the dashes only."""
+    texts = [t for t, _, _ in ODD.values()] + ["\ufeff\ufeff---\na: 1\n---\nb", "---\na: 1\n---  ", "---\na: 1\n--- \r\n\n---\n", "---\n---", "----\na: 1\n---\n", "---\na: 1\n---x\n---\nb", "---\na: 1---\n", "---\na: '\u2028'\n---\u2028", "--", "---"]
+    body = "word " * 400_000
+    texts += ["---\na: 1\n---\n" + body, body]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", front.read(F.col("t")).alias("f"))
+    assert {r.i: tuple(r.f) for r in df.collect()} == {i: reading.read(t) for i, t in enumerate(texts)}
+    assert "run(CASE WHEN" in (plan := df._jdf.queryExecution().analyzed().toString()) and "regexp_extract" in plan
+
+
 def test_a_type_that_is_no_text(spark):
     df = spark.createDataFrame([("a.md", "---\ntype: 7\n---\n"), ("b.md", "---\ntype: ' '\n---\n"), ("c.md", "---\ntype: [x]\n---\n"), ("d.md", "---\ntype: Attested Computation\nruntime: 3\n---\n")], "path string, content string")
     assert {(r.path, r.passed) for r in validate.checks(df).where("check = 'type_present'").collect()} == {("a.md", False), ("b.md", False), ("c.md", False), ("d.md", True)}
