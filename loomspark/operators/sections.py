@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.functions import text
+from loomspark.functions import batches, text
 
 MIN_SECTIONS, MAX_SECTIONS, MIN_PROSE = 3, 50, 100
 _HEADING = r"^ {0,3}(#{1,6})\s+(.*?)\s*#*\s*$"
@@ -41,6 +41,7 @@ def _outlined(docs: DataFrame, column: str) -> DataFrame:
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(outline, na_action=None)
 
+    batches.small(docs.sparkSession)
     body = F.coalesce(column, F.lit(""))
     df = _once(docs.withColumn("at", run(body)), "lines", F.split(body, "\r?\n"))
     raw = F.transform("at", lambda k: F.struct(k.alias("line_no"), F.get("lines", k).alias("raw")))
