@@ -265,16 +265,19 @@ def _rows(df: DataFrame, keys: list[str], row: Column, order: str, name: str) ->
 def _endpoint_documents(head: DataFrame, ops: DataFrame, known: DataFrame) -> DataFrame:
     keys = ["spec_id", "path", "method"]
     params = _parameters(ops, known)
-    body = F.col("place").isin("body", "formData")
-    bodies = _rows(params.where(body), keys, F.concat(F.lit("* **"), "name", F.when(F.col("required"), "** (required): ").otherwise("**: "), "type", F.when(F.col("description") != "", F.concat(F.lit(" - "), "description")).otherwise(""), F.lit("\n")), "param_no", "bodies")
+    body = F.coalesce(F.col("place").isin("body", "formData"), F.lit(False))
     needed = F.when(F.col("required"), "**Yes**").otherwise("No")
     dash = F.coalesce(F.nullif("description", F.lit("")), F.lit("-"))
-    others = _rows(params.where(~body | F.col("place").isNull()), keys, F.concat(F.lit("| `"), "name", F.lit("` | "), F.coalesce("place", F.lit("")), F.lit(" | "), "type", F.lit(" | "), needed, F.lit(" | "), dash, F.lit(" |\n")), "param_no", "others")
-    answers = _responses(ops, known)
-    typed = answers.groupBy(*keys).agg(F.max(F.col("type") != "").alias("typed"))
-    told = F.concat(F.lit("| `"), "status", F.lit("` | "), F.when(F.col("typed"), F.concat(F.coalesce(F.nullif("type", F.lit("")), F.lit("-")), F.lit(" | "))).otherwise(""), dash, F.lit(" |\n"))
-    answers = _rows(answers.join(typed, keys), keys, told, "no", "answers").join(typed, keys)
-    df = _endpoints(ops).join(head, "spec_id").join(bodies, keys, "left").join(others, keys, "left").join(answers, keys, "left")
+    in_body = F.concat(F.lit("* **"), "name", F.when(F.col("required"), "** (required): ").otherwise("**: "), "type", F.when(F.col("description") != "", F.concat(F.lit(" - "), "description")).otherwise(""), F.lit("\n"))
+    other = F.concat(F.lit("| `"), "name", F.lit("` | "), F.coalesce("place", F.lit("")), F.lit(" | "), "type", F.lit(" | "), needed, F.lit(" | "), dash, F.lit(" |\n"))
+    # Both kinds of parameters, and both forms of the answers, are gathered in one pass over their rows.
+    params = params.select(*keys, "param_no", F.when(body, in_body).alias("b"), F.when(~body, other).alias("o"))
+    params = params.groupBy(*keys).agg(text.string_agg("b", "", "param_no").alias("bodies"), text.string_agg("o", "", "param_no").alias("others"))
+    told = lambda *kind: F.concat(F.lit("| `"), "status", F.lit("` | "), *kind, dash, F.lit(" |\n"))
+    answers = _responses(ops, known).withColumn("t", told(F.coalesce(F.nullif("type", F.lit("")), F.lit("-")), F.lit(" | "))).withColumn("u", told())
+    answers = answers.groupBy(*keys).agg(F.max(F.col("type") != "").alias("typed"), text.string_agg("t", "", "no").alias("t"), text.string_agg("u", "", "no").alias("u"))
+    answers = answers.select(*keys, "typed", F.when(F.col("typed"), F.col("t")).otherwise(F.col("u")).alias("answers"))
+    df = _endpoints(ops).join(head, "spec_id").join(params, keys, "left").join(answers, keys, "left")
     method = F.upper("method")
     where = F.concat(F.when(F.col("base") == "", "https://api.example.com").otherwise(F.col("base")), "path")
     part = lambda column, *before: F.when(F.col(column).isNotNull(), F.concat(*(F.lit(b) if isinstance(b, str) else b for b in before), column, F.lit("\n"))).otherwise("")

@@ -104,3 +104,13 @@ def test_query_matches_sql(spark, name):
     made, want = references.QUERIES[name](spark, SF), con.sql(references.ORACLE_SQL[name])
     assert made.columns == want.columns
     assert sorted((tuple(r) for r in made.collect()), key=str) == sorted(want.fetchall(), key=str)
+
+
+def test_endpoints_are_described_in_one_pass(spark):
+    """Types of parameters and of answers are made once each, for all tables of an endpoint."""
+    from loomspark.operators import openapi
+
+    specs = openapi.specs_of_parts(spark.read.parquet("/root/testdata/sf0.001/part.parquet"))
+    head, ops, known = openapi.heads(specs), openapi.operations(specs), spark.createDataFrame([], "spec_id string, ref string, found string")
+    plan = openapi._endpoint_documents(head, ops, known)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("type_text(") == 2
