@@ -145,27 +145,30 @@ def scan_licenses(docs: DataFrame, templates: DataFrame) -> DataFrame:
     while not sizes or sizes[-1] < longest:
         sizes.append(size)
         size = max(size + 1, int(size * 1.25))
-    found, document = None, ["doc_id", "doc_hash"]
+    # All classes share one plan: a row of a document and class carries the class's lengths.
+    classes = []
     for low, high in pairwise([0, *sizes]):
-        if not any(low < len(t) <= high for t in texts):
-            continue
-        mine = known.where((F.col("n") > low) & (F.col("n") <= high))
-        span = max(1, int(WINDOW * (high - SHINGLE + 1)))
-        stride = max(1, span - (high - SHINGLE + 1))
-        width = span + stride  # a passage that begins before the next window lies whole in this one
-        at = F.sequence(F.lit(1), F.greatest(F.size("shingles") - span + 1, F.lit(1)), F.lit(stride))
-        # What holds for the text holds for a window: one without a marking word has too few of any template's shingles.
-        at = F.filter(at, lambda i: F.exists("marked", lambda m: (m >= i) & (m < i + width + SHINGLE - 1)))  # noqa: B023
-        windows = near.where(F.size("words") > 0).select(*document, F.explode(F.transform(at, lambda i: F.struct((i - 1).alias("at"), F.slice("shingles", i, width).alias("held")))).alias("w")).select(*document, "w.at", "w.held")
-        keys = windows.select(*document, "at", "held", F.posexplode_outer(_bands("held")).alias("band", "key"))
-        marks_of = mine.select("template_id", "license", "shingles", F.posexplode_outer(_bands("shingles")).alias("band", "key"))
-        met = keys.join(F.broadcast(marks_of), ["band", "key"]).dropDuplicates([*document, "at", "template_id"])
-        # No passage holds more of a template than its window.
-        met = met.where(F.size(F.array_intersect("shingles", "held")) / F.size("shingles") >= CONTAINED)
-        share = lambda i: F.size(F.array_intersect("shingles", F.slice("held", i + 1, span))) / F.size("shingles")  # noqa: B023, E731
-        passages = F.transform(F.sequence(F.lit(0), F.lit(stride - 1)), lambda i: F.struct((F.col("at") + i).alias("at"), share(i).alias("contained")))  # noqa: B023
-        hits = met.select(*document, "template_id", "license", F.explode(passages).alias("p")).select(*document, "template_id", "license", "p.at", "p.contained").where(F.col("contained") >= CONTAINED)
-        found = hits if found is None else found.unionByName(hits)
+        if any(low < len(t) <= high for t in texts):
+            span = max(1, int(WINDOW * (high - SHINGLE + 1)))
+            stride = max(1, span - (high - SHINGLE + 1))
+            width = span + stride  # a passage that begins before the next window lies whole in this one
+            classes.append((low, high, span, stride, width))
+    document, lengths = ["doc_id", "doc_hash"], ["high", "span", "stride", "width"]
+    listed = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(lengths, c[1:]))) for c in classes))
+    each = near.where(F.size("words") > 0).select(*document, "shingles", "marked", F.explode(listed).alias("c")).select(*document, "shingles", "marked", "c.*")
+    at = F.sequence(F.lit(1), F.greatest(F.size("shingles") - F.col("span") + 1, F.lit(1)), F.col("stride"))
+    # What holds for the text holds for a window: one without a marking word has too few of any template's shingles.
+    at = F.filter(at, lambda i: F.exists("marked", lambda m: (m >= i) & (m < i + F.col("width") + SHINGLE - 1)))
+    windows = each.select(*document, *lengths, F.explode(F.transform(at, lambda i: F.struct((i - 1).alias("at"), F.slice("shingles", i, F.col("width")).alias("held")))).alias("w")).select(*document, *lengths, "w.at", "w.held")
+    keys = windows.select(*document, "high", "span", "stride", "at", "held", F.posexplode_outer(_bands("held")).alias("band", "key"))
+    of = F.coalesce(*(F.when((F.col("n") > low) & (F.col("n") <= high), F.lit(high)) for low, high, *_ in classes))
+    marks_of = known.select("template_id", "license", "shingles", of.alias("high"), F.posexplode_outer(_bands("shingles")).alias("band", "key"))
+    met = keys.join(F.broadcast(marks_of), ["high", "band", "key"]).dropDuplicates([*document, "at", "template_id"])  # a template is of one class
+    # No passage holds more of a template than its window.
+    met = met.where(F.size(F.array_intersect("shingles", "held")) / F.size("shingles") >= CONTAINED)
+    share = lambda i: F.size(F.array_intersect("shingles", F.slice("held", i + 1, F.col("span")))) / F.size("shingles")
+    passages = F.transform(F.sequence(F.lit(0), F.col("stride") - 1), lambda i: F.struct((F.col("at") + i).alias("at"), share(i).alias("contained")))
+    found = met.select(*document, "template_id", "license", F.explode(passages).alias("p")).select(*document, "template_id", "license", "p.at", "p.contained").where(F.col("contained") >= CONTAINED)
     out = found.groupBy(*document, "template_id", "license").agg(F.max("contained").alias("contained"), F.min("at").cast("int").alias("first_word"))
     return out.select("doc_id", "template_id", "license", "contained", "first_word", "doc_hash")
 

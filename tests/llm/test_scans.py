@@ -175,6 +175,12 @@ def test_license_scan_runs_no_python(spark):
     assert not re.search("Python|Pandas|Arrow", winnow.decontaminate(docs, bench)._jdf.queryExecution().toString())
 
 
+def test_license_plan_does_not_grow_with_the_classes_of_lengths(spark):
+    docs = spark.createDataFrame([(1, "Released under the MIT License.")], "doc_id long, text string")
+    steps = lambda t: len(re.findall("Generate|Join", licenses.scan_licenses(docs, licenses.template_table(spark, t))._jdf.queryExecution().optimizedPlan().toString()))
+    assert steps(licenses.TEMPLATES) == steps(licenses.TEMPLATES[:1]) > 0
+
+
 def test_trees_learn_and_traverse():
     r = np.random.default_rng(0)
     x = r.normal(size=(3000, 5))
