@@ -119,12 +119,16 @@ def generate(docs: DataFrame, as_of: str, split: bool = True, computations: bool
         overviews = graph.cut_lineage(overviews.groupBy("folder").agg(F.max_by("o", "doc_ord").alias("o")).select("folder", "o.*"))
         whole = whole.join(split_docs.select("doc_ord"), "doc_ord", "left_anti").unionByName(own.drop("folder", "slug"), allowMissingColumns=True)
     whole = whole.drop("is_root", "splittable").withColumn("at", F.struct("doc_ord", "sec_ord"))
-    ranked = graph.cut_lineage(bundle.elect_root(graph.ranks(whole, "at").withColumnRenamed("rank", "ord"), "ord").drop("at"))
+    ranked = bundle.elect_root(graph.ranks(whole, "at").withColumnRenamed("rank", "ord"), "ord").drop("at")
     last = F.regexp_replace(F.element_at(F.split(F.regexp_replace("url", r"[?#].*$|/$", ""), "/"), -1), r"(?i)\.(html?|mdx?|markdown)$", "")
     by_url = F.when(F.col("url").rlike("(?i)^https?://[^/]+/[^?#]"), text.slug(last))
-    slug = F.when(F.col("is_root"), "overview").otherwise(F.coalesce(text.truncate_slug(F.when(F.coalesce("slug_hint", F.lit("")) != "", text.slug("slug_hint"))), F.lit("")))
-    ranked = ranked.withColumn("slug", F.when(slug != "", slug).otherwise(F.coalesce(by_url, text.truncate_slug(text.slug("title")))))
-    ranked = ranked.withColumn("folder", F.coalesce("forced", classify.folder(F.col("section"), F.col("slug"), F.col("is_root"))))
+    # Names are made once a concept and written: copies of their expressions grow beyond what can be compiled.
+    ranked = sections.once(ranked, "_hint", F.when(F.coalesce("slug_hint", F.lit("")) != "", text.slug("slug_hint")))
+    ranked = sections.once(ranked, "_title", text.slug("title"))
+    ranked = sections.once(ranked, "_own", F.when(F.col("is_root"), "overview").otherwise(F.coalesce(text.truncate_slug(F.col("_hint")), F.lit(""))))
+    ranked = sections.once(ranked, "slug", F.when(F.col("_own") != "", F.col("_own")).otherwise(F.coalesce(by_url, text.truncate_slug(F.col("_title")))))
+    ranked = ranked.withColumn("folder", F.coalesce("forced", classify.folder(F.col("section"), F.col("slug"), F.col("is_root")))).drop("_hint", "_title", "_own")
+    ranked = graph.cut_lineage(ranked)
     found = None
     keys = ranked.select("ord", "folder", "slug", "source_id")
     if computations:

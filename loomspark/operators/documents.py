@@ -103,7 +103,7 @@ def parse_documents(docs: DataFrame, key: str, as_of: str) -> DataFrame:
             docs = docs.withColumn(name, F.lit(None).cast(kind))
     some = lambda c: F.nullif(F.trim(F.coalesce(c, F.lit(""))), F.lit(""))
     df = docs.withColumn("is_md", F.col("markdown").isNotNull()).withColumn("fm", front.read(F.col("markdown")))
-    read = structure.parse_pages(docs.where("markdown is null").select(key, "url", "html"), as_of, key)
+    read = structure.parse_pages(docs.where("markdown is null").select(key, "url", "html"), as_of, key, content=False)
     df = df.join(read.select(key, F.struct(*(c for c in read.columns if c != key)).alias("p")), key, "left")
     df = df.withColumn("body", F.when(F.col("is_md"), M.absolute_links_of(F.col("fm.body"), F.when(F.coalesce("absolute_links", F.lit(True)), F.col("url")), F.col("link_root"))).otherwise(M.markdown_of(F.col("html"))))
     df = graph.cut_lineage(df.drop("html", "markdown"))

@@ -29,7 +29,7 @@ def outline(markdown: str | None) -> list[int]:
     return found
 
 
-def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Adds a column that is computed once a row: a generator keeps the optimizer from copying its expression into each use, loops over arrays included."""
     return df.withColumn(name, F.explode_outer(F.array(value)))
 
@@ -43,10 +43,10 @@ def _outlined(docs: DataFrame, column: str) -> DataFrame:
 
     batches.small(docs.sparkSession)
     body = F.coalesce(column, F.lit(""))
-    df = _once(docs.withColumn("at", run(body)), "lines", F.split(body, "\r?\n"))
+    df = once(docs.withColumn("at", run(body)), "lines", F.split(body, "\r?\n"))
     raw = F.transform("at", lambda k: F.struct(k.alias("line_no"), F.get("lines", k).alias("raw")))
     rows = F.transform(F.filter(raw, lambda h: h["raw"].rlike(_HEADING)), lambda h: F.struct(h["line_no"].alias("line_no"), F.length(F.regexp_extract(h["raw"], _HEADING, 1)).alias("level"), text.strip_markdown(F.regexp_extract(h["raw"], _HEADING, 2)).alias("heading"), h["raw"].alias("raw")))
-    return _once(df, "heads", F.filter(rows, lambda h: h["heading"] != "")).drop("at")
+    return once(df, "heads", F.filter(rows, lambda h: h["heading"] != "")).drop("at")
 
 
 def headings(docs: DataFrame, key: str, column: str) -> DataFrame:
@@ -74,15 +74,15 @@ def split_sections(docs: DataFrame, key: str, column: str, min_prose: int = MIN_
     """
     trimmed = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
     df = _outlined(docs.select(key, trimmed(F.coalesce(column, F.lit(""))).alias(column)), column).drop(column)
-    df = _once(df, "top", _split_level("heads", least)).where("top is not null")
+    df = once(df, "top", _split_level("heads", least)).where("top is not null")
     starts = F.filter("heads", lambda h: h["level"] <= F.col("top"))
     # Each block ends where the next one begins; the first has no heading.
-    df = _once(df, "starts", F.concat(F.array(F.struct(F.lit(-1).alias("line_no"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("string").alias("heading"), F.lit(None).cast("string").alias("raw"))), starts)).drop("heads")
+    df = once(df, "starts", F.concat(F.array(F.struct(F.lit(-1).alias("line_no"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("string").alias("heading"), F.lit(None).cast("string").alias("raw"))), starts)).drop("heads")
     end = lambda i: F.coalesce(F.get("starts", i + 1)["line_no"], F.size("lines"))
     body = lambda s, i: trimmed(F.array_join(F.slice("lines", s["line_no"] + 2, end(i) - s["line_no"] - 1), "\n"))
-    df = _once(df, "blocks", F.transform("starts", lambda s, i: F.struct(s["level"].alias("level"), s["heading"].alias("title"), s["raw"].alias("raw"), body(s, i).alias("body")))).drop("lines", "starts")
+    df = once(df, "blocks", F.transform("starts", lambda s, i: F.struct(s["level"].alias("level"), s["heading"].alias("title"), s["raw"].alias("raw"), body(s, i).alias("body")))).drop("lines", "starts")
     numbered = F.transform("blocks", lambda b, i: F.when((i > 0) & (text.prose_length(b["body"]) >= min_prose), i))
-    df = _once(df, "kept", F.concat(F.array(F.lit(0)), F.array_compact(numbered))).where(F.size("kept").between(least + 1, most + 1))
+    df = once(df, "kept", F.concat(F.array(F.lit(0)), F.array_compact(numbered))).where(F.size("kept").between(least + 1, most + 1))
     flush = lambda b: F.regexp_replace(b["raw"], r"^ {1,3}(?=#)", "")
     folded = lambda b: F.when(b["body"] != "", F.concat_ws("\n\n", flush(b), b["body"])).otherwise(flush(b))
     until = lambda g: F.coalesce(F.get("kept", g + 1), F.size("blocks"))
