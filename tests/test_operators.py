@@ -1,6 +1,8 @@
 """Bundle operators on small inputs, and every query against its SQL on the smallest tables."""
 
+import functools
 import os
+from collections.abc import Iterator
 
 import pytest
 from pyspark.sql import functions as F
@@ -223,3 +225,45 @@ def test_a_page_is_read_once_for_its_tags(spark):
     """The expressions over the page are made once, not once for each word that a tag may be."""
     plan = catalogue.page_tags(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("<h1[^>]*>") <= 2 and "lambdafunction" not in plan.split("(?is)<h1")[0].rsplit("\n", 1)[-1]
+
+
+def test_every_python_step_of_a_bundle_gets_small_batches(spark, tmp_path, monkeypatch):
+    """From pages and markdown to the checks of the files: a worker is given about a megabyte at once, however many texts a partition has."""
+    from loomspark import api
+    from loomspark.functions import batches
+
+    folder, make, rows = str(tmp_path), F.pandas_udf, type(spark.range(1)).mapInArrow
+
+    def noted(step, batch):
+        parts = batch if isinstance(batch, tuple) else (batch,)
+        n = batch.nbytes if hasattr(batch, "schema") else sum(len(x) for p in parts for x in p if isinstance(x, str))
+        with open(f"{folder}/{step}", "a") as f:
+            f.write(f"{n}\n")
+        return batch
+
+    def watched(run):
+        step = f"{run.__module__}.{run.__qualname__.split('.')[0]}"
+
+        @functools.wraps(run)
+        def over(given):
+            return run((noted(step, b) for b in given) if isinstance(given, Iterator) else noted(step, given))
+
+        return over
+
+    monkeypatch.setattr(F, "pandas_udf", lambda kind: lambda run: make(kind)(watched(run)))
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda df, run, kind: rows(df, watched(run), kind))
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    text, i = F.repeat(F.lit("Words of a page. "), 1200), F.col("id").cast("string")
+    page = F.concat(F.lit("<html><body><article><h1>Page "), i, F.lit("</h1><p>"), text, F.lit("</p></article></body></html>"))
+    file = F.concat(F.lit("---\ntype: Guide\n---\n# File "), i, F.lit("\n\n[next](x.md) "), text)
+    docs = spark.range(0, 1200, 1, 4).select(
+        F.col("id").alias("doc_ord"), F.lit("s").alias("source_id"), F.lit("url").alias("source_type"), F.concat(F.lit("https://h.example/a/"), i).alias("url"),
+        F.when(F.col("id") % 2 == 0, page).alias("html"), F.when(F.col("id") % 2 == 1, file).alias("markdown"),
+    )
+    assert api.generate(docs, as_of="2024-05-01").report().first().valid
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    given = {p.name: [int(n) for n in p.read_text().split()] for p in tmp_path.iterdir()}
+    parsing = "loomspark.parsing"
+    assert set(given) == {f"{parsing}.pages.nodes", f"{parsing}.markdown.markdown_of", f"{parsing}.markdown.absolute_links_of", f"{parsing}.markdown.code_blocks_of", "loomspark.operators.sections._outlined", "loomspark.operators.front.read"}
+    assert {step: max(sizes) for step, sizes in given.items() if max(sizes) >= 2 * batches.BYTES} == {}
+    assert sum(given[f"{parsing}.pages.nodes"]) > 8 * batches.BYTES  # what would have been too much at once
