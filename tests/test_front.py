@@ -1,15 +1,18 @@
 """Front matter: odd texts, values as VARIANT, keys nobody knows, one parse for all readers."""
 
+import functools
 import json
+from collections.abc import Iterator
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from loomspark import api
+from loomspark.functions import batches
 from loomspark.operators import front, graph, trust, validate
 from loomspark.parsing import front as reading
-from loomspark.plans import frontmatter
+from loomspark.plans import catalogue, frontmatter
 
 SF = "/root/testdata/sf0.001"
 #: Texts that once ended a job, or were read otherwise by one reader than by another.
@@ -103,3 +106,31 @@ def test_query_matches_sql(spark, name):
     made, want = frontmatter.QUERIES[name](spark, SF), con.sql(frontmatter.ORACLE_SQL[name])
     assert made.columns == want.columns
     assert sorted(tuple(r) for r in made.collect()) == sorted(want.fetchall())
+
+
+def test_provenance_gives_python_front_matter_only(spark, tmp_path, monkeypatch):
+    """Of a bundle's concepts a worker gets the front matter, in small batches, however long the files are."""
+    given, make = tmp_path / "given", F.pandas_udf
+    log = str(given)
+
+    def noted(texts):
+        with open(log, "a") as f:
+            f.write(f"{sum(len(x or '') for x in texts)}\n")
+        return texts
+
+    def watched(run):
+        @functools.wraps(run)
+        def over(got):
+            return run(map(noted, got) if isinstance(got, Iterator) else noted(got))
+
+        return over if run.__module__ == front.__name__ else run
+
+    monkeypatch.setattr(F, "pandas_udf", lambda kind: lambda run: make(kind)(watched(run)))
+    i = F.col("id").cast("string")
+    html = F.concat(F.lit("<html><body><article><h1>Page "), i, F.lit("</h1><p>"), F.repeat(F.lit("Words of a page. "), 1200), F.lit("</p></article></body></html>"))
+    pages = spark.range(0, 600, 1, 4).select(F.col("id").alias("page_id"), F.concat(F.lit("https://h.example/a/"), i).alias("url"), html.alias("html"))
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    rows = catalogue.generated_provenance(spark, str(tmp_path)).collect()
+    assert {(r.sources, r.status, r.tier) for r in rows} == {(f"https://h.example/a/{n}", "stable", "machineConfirmed") for n in range(600)} and len(rows) == 600
+    sizes = [int(n) for n in given.read_text().split()]
+    assert max(sizes) < 2 * batches.BYTES and 0 < sum(sizes) < 600 * 2000  # pages of 20,000 characters
